@@ -95,7 +95,7 @@ def groups(docs: DataFrame) -> DataFrame:
     base = src.mapInArrow(_recipes, "doc_id long, digest long, recipe binary, text_sha256 string")
     base = work.stage(base.withColumn("row", F.monotonically_increasing_id()))
     again = work.stage(base.groupBy("digest").count().where("count > 1").select("digest"))
-    bitmap = spark.sparkContext.broadcast(work.bloom(again, "digest"))
+    bitmap = work.share(spark, work.bloom(again, "digest"))
     chunks = src.select("text").mapInArrow(_chunks_of(bitmap), "chunk binary, content binary")
     wrong = chunks.groupBy("chunk").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").limit(1).count()
     if wrong:

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, token_count
+from . import (
+    exact_dedup,
+    language_id,
+    mixing,
+    quality_knn,
+    token_count,
+)
 
 QUERIES = {
+    "op1_quality": quality_knn.op1_quality,
+    "op2_language_id": language_id.op2_language_id,
+    "op8_mix_sources": mixing.op8_mix_sources,
     "op9_token_count": token_count.op9_token_count,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-SQL = {"op10_exact_dedup": exact_dedup.SQL}
+#: DuckDB statements of those that SQL can express.
+SQL = {
+    "op10_exact_dedup": exact_dedup.SQL,
+}

@@ -99,7 +99,7 @@ def counter(path: str, whole: list[str]):
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """Per row: doc_id, n_bytes, n_tokens, over_limit.  ``path``: a vocabulary file that every executor has."""
-    whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))  # at most the vocabulary's size
+    whole = work.share(docs.sparkSession, whole_tokens(path))  # at most the vocabulary's size
 
     def run(batches):
         count = counter(path, whole.value)

@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+from ..runtime import table as read
+
 #: Upper bound of a broadcast bitmap: 2**29 bits are 64 MB.  Beyond it the bitmap only lets more rows through;
 #: every consumer confirms what the bitmap lets through, so results do not depend on its size.
 MAX_BLOOM_BITS = 1 << 29
@@ -34,6 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -45,8 +49,10 @@ def drop_all(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def share(spark: SparkSession, value):
+    """Broadcast a value whose size the caller bounds, to executors that have this package."""
+    ship(spark)
+    return spark.sparkContext.broadcast(value)
 
 
 def bloom(keys: DataFrame, column: str) -> np.ndarray:
