@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from . import (
+    decontaminate,
     exact_dedup,
     language_id,
     mixing,
+    ngram_jaccard,
     quality_knn,
     token_count,
 )
@@ -13,11 +15,14 @@ from . import (
 QUERIES = {
     "op1_quality": quality_knn.op1_quality,
     "op2_language_id": language_id.op2_language_id,
+    "op4_ngram_jaccard": ngram_jaccard.op4_ngram_jaccard,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_token_count": token_count.op9_token_count,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 #: DuckDB statements of those that SQL can express.
 SQL = {
+    "op4_ngram_jaccard": ngram_jaccard.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
