@@ -132,30 +132,6 @@ def _entries(shared):
     return run
 
 
-def chunks(batches, names: list[str], rows: int):
-    """Column arrays of at least ``rows`` rows that end where the first column's run ends, from sorted batches.
-
-    Once one run alone is longer than four times that, it comes in parts; the flag tells that a part continues a run.
-    """
-    held, last, goes_on = [], None, False
-    for b in batches:
-        held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))])
-        if sum(len(h[0]) for h in held) < rows:
-            continue
-        cols = [np.concatenate(c) for c in zip(*held)]
-        cut = int(np.searchsorted(cols[0], cols[0][-1]))
-        if cut == 0 and len(cols[0]) > 4 * rows:
-            cut = len(cols[0])
-        if cut:
-            yield [c[:cut] for c in cols], goes_on and cols[0][0] == last
-            last, goes_on = cols[0][cut - 1], True
-        held = [[c[cut:] for c in cols]]
-    if held:
-        cols = [np.concatenate(c) for c in zip(*held)]
-        if len(cols[0]):
-            yield cols, goes_on and cols[0][0] == last
-
-
 def possible(n1, p1, n2, p2):
     """Whether sizes and positions leave an overlap of 0.8 open, at the first shingle that two sets share."""
     n1, n2 = n1.astype(np.int64), n2.astype(np.int64)
@@ -164,7 +140,7 @@ def possible(n1, p1, n2, p2):
 
 def _pairs(batches):
     hubs = None
-    for (key, node, n, pos), goes_on in chunks(batches, ENTRY.names, ROWS):
+    for (key, node, n, pos), goes_on in work.chunks(batches, ENTRY.names, ROWS):
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
         key, node, n, pos = (c[new] for c in (key, node, n, pos))
@@ -210,7 +186,7 @@ def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 def _across(batches):
     """Pairs of one shingle whose nodes have different labels."""
-    for (key, node, n, pos, label), _ in chunks(batches, [*ENTRY.names, "label"], 1):
+    for (key, node, n, pos, label), _ in work.chunks(batches, [*ENTRY.names, "label"], 1):
         order = np.argsort(label, kind="stable")
         node, n, pos, label = (c[order] for c in (node, n, pos, label))
         end = np.searchsorted(label, label, side="right")

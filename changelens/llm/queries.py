@@ -9,13 +9,17 @@ from . import (
     mixing,
     ngram_jaccard,
     quality_knn,
+    substring_dedup,
+    suffix_dedup,
     token_count,
 )
 
 QUERIES = {
     "op1_quality": quality_knn.op1_quality,
     "op2_language_id": language_id.op2_language_id,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_ngram_jaccard": ngram_jaccard.op4_ngram_jaccard,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_token_count": token_count.op9_token_count,

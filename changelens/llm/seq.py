@@ -44,7 +44,10 @@ def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[0::2], at[1::2]
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    if len(buf) > block:  # word by word range, so memory beside the hashes does not grow with the text
+        cut = np.unique(np.concatenate(([0], np.searchsorted(starts, np.arange(block, len(buf), block)), [len(starts)])))
+        return np.concatenate([word_hashes(buf[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a], 1 << 62) for a, b in zip(cut[:-1], cut[1:])] or [np.zeros(0, U)])
     p, inv = powers(len(buf) + 1)
     acc = np.zeros(len(buf) + 1, U)
     np.cumsum(BYTE[buf] * p[:-1], out=acc[1:])

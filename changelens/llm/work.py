@@ -105,3 +105,27 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
     )
+
+
+def chunks(batches, names: list[str], rows: int):
+    """Column arrays of at least ``rows`` rows that end where the first column's run ends, from sorted batches.
+
+    Once one run alone is longer than four times that, it comes in parts; the flag tells that a part continues a run.
+    """
+    held, last, goes_on = [], None, False
+    for b in batches:
+        held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))])
+        if sum(len(h[0]) for h in held) < rows:
+            continue
+        cols = [np.concatenate(c) for c in zip(*held)]
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        if cut == 0 and len(cols[0]) > 4 * rows:
+            cut = len(cols[0])
+        if cut:
+            yield [c[:cut] for c in cols], goes_on and cols[0][0] == last
+            last, goes_on = cols[0][cut - 1], True
+        held = [[c[cut:] for c in cols]]
+    if held:
+        cols = [np.concatenate(c) for c in zip(*held)]
+        if len(cols[0]):
+            yield cols, goes_on and cols[0][0] == last
