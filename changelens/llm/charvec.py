@@ -102,10 +102,13 @@ def sample_counts(rows: DataFrame, limit: int, codes, orders, bits: int):
                 s.append(structure(v or b""))
             yield work.batch(SPARSE, b.column(0), *(pa.array(x, f.type) for x, f in zip((k, n, s), list(SPARSE)[1:4])), b.column(2))
 
-    picked = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("label").cast("string").alias("label"))
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "text").limit(limit)
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("label").cast("string").alias("label"))
+    ids = rows.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    picked = rows.join(F.broadcast(ids), "doc_id")  # at most ``limit`` ids
+    picked = picked.groupBy("doc_id").agg(F.max(F.struct("text", "label")).alias("x")).select("doc_id", "x.text", "x.label")
     work.ship(rows.sparkSession)
-    got = picked.mapInArrow(run, "doc_id long, k array<int>, n array<int>, s array<float>, label string").toArrow()
+    got = picked.mapInArrow(run, "doc_id long, k array<int>, n array<int>, s array<float>, label string")
+    got = got.withColumn("h", F.xxhash64("doc_id")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
     return [got.column(c).to_pylist() for c in ("k", "n", "s", "label")]
 
 

@@ -8,6 +8,7 @@ from . import (
     language_id,
     mixing,
     ngram_jaccard,
+    pii,
     quality_knn,
     substring_dedup,
     suffix_dedup,
@@ -20,6 +21,7 @@ QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_ngram_jaccard": ngram_jaccard.op4_ngram_jaccard,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+    "op6_pii": pii.op6_pii,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_token_count": token_count.op9_token_count,
