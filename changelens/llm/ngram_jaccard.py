@@ -35,7 +35,7 @@ WIDTH = 5
 #: Hashed shingle bins counted over the corpus; rows of the table of counts that a task writes.
 BINS, CHUNK = 1 << 19, 1 << 12
 #: Incidence rows of up to SMALL nodes give all pairs; larger ones start from HUBS nodes.
-SMALL, HUBS = 32, 8
+SMALL, HUBS = 32, 3
 #: Nodes of a block; incidence rows of a shuffle partition.
 BLOCK, ROWS = 4096, 1_000_000
 
@@ -185,16 +185,23 @@ def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _across(batches):
-    """Pairs of one shingle whose nodes have different labels."""
-    for (key, node, n, pos, label), _ in work.chunks(batches, [*ENTRY.names, "label"], 1):
-        order = np.argsort(label, kind="stable")
-        node, n, pos, label = (c[order] for c in (node, n, pos, label))
-        end = np.searchsorted(label, label, side="right")
-        for i in range(len(node)):
-            j = np.arange(end[i], len(node))
-            ok = possible(n[j], pos[j], np.full(len(j), n[i]), np.full(len(j), pos[i]))
-            if ok.any():
-                yield _pair_batch(node[j[ok]], np.full(int(ok.sum()), node[i]))
+    """Pairs of one shingle whose nodes have different labels, each once a chunk."""
+    for (key, node, n, pos, label), _ in work.chunks(batches, [*ENTRY.names, "label"], 1 << 14):
+        order = np.lexsort((label, key))
+        key, node, n, pos, label = (c[order] for c in (key, node, n, pos, label))
+        run = np.cumsum(np.concatenate(([True], (key[1:] != key[:-1]) | (label[1:] != label[:-1]))))
+        end, last = np.searchsorted(run, run, side="right"), np.searchsorted(key, key, side="right")
+        left, right = [], []
+        for i in np.flatnonzero(end < last):
+            j = np.arange(end[i], last[i])
+            j = j[possible(n[j], pos[j], n[i : i + 1], pos[i : i + 1])]
+            left.append(np.full(len(j), node[i]))
+            right.append(node[j])
+            if sum(map(len, left[-64:])) > ROWS or len(left) > ROWS // 16:
+                yield _pair_batch(np.concatenate(left), np.concatenate(right))
+                left, right = [], []
+        if left:
+            yield _pair_batch(np.concatenate(left), np.concatenate(right))
 
 
 def _similar(batches):
@@ -316,9 +323,10 @@ def classes(docs: DataFrame) -> DataFrame:
     bits = stats.where("node is not null").select("node", "n", "digest", "bitmap").groupBy("digest").agg(F.first("node").alias("node"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
     bits = work.stage(bits.drop("digest"))
 
-    parts = max(1, -(-int(counts.sum()) // (5 * ROWS)))
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(spread, -(-int(counts.sum()) // (5 * ROWS)))
     entries = src.select("text").mapInArrow(_entries(work.share(spark, counts)), ENTRY_DDL)
-    entries = entries.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "key").sortWithinPartitions("key", "node")
+    entries = entries.repartition(parts, "key").sortWithinPartitions("key", "node")
     found = work.stage(entries.mapInArrow(_pairs, PAIR_DDL))
     edges = _filter(found.where("b is not null").select("a", "b").distinct(), bits)
     label = components(edges)
@@ -326,7 +334,7 @@ def classes(docs: DataFrame) -> DataFrame:
     big = found.where("key is not null").select("key", F.col("a").alias("node"), "n", "pos")
     big = work.stage(big.join(label, "node", "left").select("key", "node", "n", "pos", F.coalesce("label", "node").alias("label")))
     mixed = work.stage(big.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"))
-    across = big.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key")
+    across = big.join(mixed, "key", "left_semi").repartition(spread, "key").sortWithinPartitions("key")
     more = _filter(across.mapInArrow(_across, PAIR_DDL).select("a", "b").distinct(), bits)
     if more.limit(1).count():
         edges = work.stage(edges.union(more))
