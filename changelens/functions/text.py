@@ -82,6 +82,11 @@ def split_lines(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).when(last_empty, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def strip(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -33,7 +33,7 @@ def references(lines: DataFrame, symbols: DataFrame, whole_word: bool = True, pe
     hits = hits.withColumn("n", F.row_number().over(near)).where(F.col("n") <= per_file)
     order = Window.partitionBy("symbol").orderBy("path", "line")
     hits = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    return hits.select("symbol", "rank", "path", "line", F.trim("text").alias("context"), T.usage_type(F.col("text"), F.col("symbol")).alias("usage_type"))
+    return hits.select("symbol", "rank", "path", "line", T.strip(F.col("text")).alias("context"), T.usage_type(F.col("text"), F.col("symbol")).alias("usage_type"))
 
 
 def counts(references: DataFrame, by: str) -> DataFrame:

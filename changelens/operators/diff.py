@@ -35,7 +35,7 @@ def hunk_lines(files: DataFrame) -> DataFrame:
             F.coalesce(part(2), F.lit(1)).alias("old_lines"),
             part(3).alias("new_start"),
             F.coalesce(part(4), F.lit(1)).alias("new_lines"),
-            F.nullif(F.trim(F.regexp_extract(raw, HINT, 1)), F.lit("")).alias("hint"),
+            F.nullif(T.strip(F.regexp_extract(raw, HINT, 1)), F.lit("")).alias("hint"),
         ),
     )
     upto = Window.partitionBy(*FILE).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -117,5 +117,5 @@ def first_context(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     place = F.struct("file_ord", "hunk_no", "pos")
     both = lines.where("type <> 'del'").join(symbols.select("review_id", "symbol"), "review_id")
     both = both.where(F.contains("content", "symbol"))
-    snippet = F.substring(F.trim(F.min_by("content", place)), 1, 200)
+    snippet = F.substring(T.strip(F.min_by("content", place)), 1, 200)
     return both.groupBy("review_id", "symbol").agg(snippet.alias("snippet"))

@@ -186,7 +186,7 @@ def chunks(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "symbol", "symbol_type", "start_line", "end_line", "text"])
 
     ship(files.sparkSession)
-    own = files.select("path", T.language(F.col("path")).alias("language"), "content").where(F.trim("content") != "")
+    own = files.select("path", T.language(F.col("path")).alias("language"), "content").where(T.strip(F.col("content")) != "")
     return own.mapInPandas(run, CHUNK)
 
 

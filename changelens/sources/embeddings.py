@@ -14,7 +14,6 @@ def embed(rows: DataFrame, connect: Callable[[], Callable[[list[str]], list[list
     """``rows`` with ``vector``; ``connect`` runs once a task and returns what turns a batch of texts into vectors."""
     import pandas as pd
 
-    @F.pandas_udf("array<float>")
     def vectors(batches):
         client = connect()
         for texts in batches:
@@ -23,8 +22,7 @@ def embed(rows: DataFrame, connect: Callable[[], Callable[[list[str]], list[list
                 out += client(list(texts[k : k + BATCH]))
             yield pd.Series(out)
 
-    vectors.func.__annotations__ = {}
-    return rows.withColumn("vector", vectors(F.col(column)))
+    return rows.withColumn("vector", F.pandas_udf(vectors, "array<float>", F.PandasUDFType.SCALAR_ITER)(F.col(column)))
 
 
 def model_present(name: Column, wanted: Column) -> Column:

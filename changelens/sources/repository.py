@@ -23,9 +23,10 @@ def scan(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
     files = files.select(rel.alias("path"), "length", "content").where(T.language(F.col("path")).isNotNull() & ~T.in_skipped_dir(F.col("path")))
     if limit is not None:
         files = files.where(F.col("length") <= limit)
-    body = F.replace(F.try_validate_utf8(F.decode("content", "UTF-8")), F.lit("�"), F.lit(""))
+    raw = F.col("content").cast("string")
+    body = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit("")))
     out = files.select("path", T.language(F.col("path")).alias("language"), body.alias("content"))
-    return out.where(F.trim("content") != "").withColumn("hash", F.sha2("content", 256))
+    return out.where(T.strip(F.col("content")) != "").withColumn("hash", F.sha2("content", 256))
 
 
 def sidecars(spark: SparkSession, folder: str) -> DataFrame:
