@@ -24,6 +24,8 @@ from . import seq, work
 #: A cut follows each position whose rolling hash has these 10 bits unset; no chunk is longer than MAX_CHUNK.
 CUT_MASK, MAX_CHUNK, WINDOW = np.uint64(((1 << 10) - 1) << 40), 1 << 14, 16
 
+#: Stands for a null doc_id, below every other.
+NO_ID = -(1 << 63)
 RECIPES = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("recipe", pa.binary()), ("text_sha256", pa.string())])
 CHUNKS = pa.schema([("chunk", pa.binary()), ("content", pa.binary())])
 
@@ -100,7 +102,7 @@ def groups(docs: DataFrame) -> DataFrame:
     wrong = chunks.groupBy("chunk").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").limit(1).count()
     if wrong:
         raise ArithmeticError("one chunk identifier stands for two contents")
-    best = F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("o"), "doc_id", "row"))
+    best = F.max(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("o"), "doc_id", "row"))
     same = base.groupBy("recipe").agg(best.alias("top"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     same = work.stage(same.select("recipe", F.col("top.doc_id").alias("keep_id"), F.col("top.row").alias("keep_row"), "group_size"))
     out = base.join(same, "recipe", "left")
@@ -114,9 +116,22 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, without those that have an equal text in a row of larger doc_id."""
-    gone = groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(work.stage(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+    """The rows of ``docs``, all columns, one of each group of equal texts.
+
+    Rows go by doc_id.  Only where several rows share a doc_id, and some stay and some go, are the texts of those rows
+    looked at again; which of wholly tied rows stays is arbitrary.
+    """
+    decided = work.stage(groups(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), "kept", F.col("text_sha256").alias("__sha")))
+    per = work.stage(decided.groupBy("__id").agg(F.max("kept").alias("any"), F.min("kept").alias("all")).where("not all"))
+    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
+    out = docs.join(per.select("__id"), key == F.col("__id"), "left_anti")
+    mixed = per.where("any").select("__id")
+    if mixed.isEmpty():
+        return out
+    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    own = docs.join(mixed, key == F.col("__id"), "left_semi").withColumns({"__id": key, "__sha": F.sha2(text, 256)})
+    stay = decided.where("kept").select("__id", "__sha").distinct()
+    return out.unionByName(own.join(stay, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"]).select(*docs.columns))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
