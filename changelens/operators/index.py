@@ -81,3 +81,15 @@ def commits_behind(commits: DataFrame, since: str, head: str, most: int = 10_000
         return seen
 
     return ancestors(head).join(ancestors(since), "sha", "left_anti").count()
+
+
+def next_step(facts: DataFrame) -> DataFrame:
+    """``facts`` (state) with ``next``: what to do about an index that cannot be relied on, or null."""
+    advice = {
+        "absent": "no index yet: build one to get similar code",
+        "stale": "the index is behind the main line: refresh it, only changed files are read again",
+        "model_mismatch": "the index was built with another model: rebuild it",
+        "unknown": "the index has no record of its state: rebuild it once",
+    }
+    table = F.create_map(*[F.lit(x) for kv in advice.items() for x in kv])
+    return facts.withColumn("next", F.try_element_at(table, F.col("state")))

@@ -73,3 +73,21 @@ def git_facts(spark: SparkSession, root: str, review_head: str | None = None) ->
 def commits_between(root: str, since: str, head: str) -> int | None:
     n = git(root, "rev-list", "--count", f"{since}..{head}")
     return int(n) if n else None
+
+
+def live_keys(spark: SparkSession, roots: list[str], folders: list[str] = ()) -> DataFrame:
+    """(name) of the indexes that are reachable: recorded roots that exist and checkouts found below ``folders``."""
+    from pathlib import Path
+
+    found = {str(Path(r).resolve()) for r in roots if r and Path(r).exists()}
+    for f in folders:
+        found |= {str(g.parent.resolve()) for g in Path(f).expanduser().rglob(".git") if g.is_dir()}
+    keys = {hash_key(git(r, "rev-parse", "--path-format=absolute", "--git-common-dir") or r) for r in found}
+    return spark.createDataFrame([(k,) for k in sorted(keys)], "name string")
+
+
+def hash_key(path: str) -> str:
+    """What ``functions.text.index_key`` gives, for one path on the driver."""
+    import hashlib
+
+    return hashlib.sha256(path.encode()).hexdigest()[:16]
