@@ -77,9 +77,8 @@ def any_suffix(column: Column, suffixes) -> Column:
 
 def split_lines(text: Column) -> Column:
     """The lines of a text at every line end Unicode knows, without an empty last one."""
-    parts = F.split(text, LINE_ENDS, -1)
-    last_empty = F.element_at(parts, -1) == ""
-    return F.when(text == "", F.array().cast("array<string>")).when(last_empty, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    bare = F.regexp_replace(text, f"(?:{LINE_ENDS})\\z", "")  # so that one split suffices
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(bare, LINE_ENDS, -1))
 
 
 def strip(text: Column) -> Column:
@@ -114,12 +113,9 @@ def skip_reason(path: Column, changed: Column) -> Column:
     )
 
 
-def additions(patch: Column) -> Column:
-    return F.size(F.filter(split_lines(patch), lambda x: x.startswith("+") & ~x.startswith("+++")))
-
-
-def deletions(patch: Column) -> Column:
-    return F.size(F.filter(split_lines(patch), lambda x: x.startswith("-") & ~x.startswith("---")))
+def count_lines(lines: Column, sign: str) -> Column:
+    """Lines that start with a sign, but not with three of it."""
+    return F.size(F.filter(lines, lambda x: x.startswith(sign) & ~x.startswith(sign * 3)))
 
 
 def declared_name(text: Column, lang: Column) -> Column:

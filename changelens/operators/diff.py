@@ -15,7 +15,8 @@ MAX_CHARS = 80_000
 
 def measured(files: DataFrame) -> DataFrame:
     """``files`` with additions, deletions, skip_reason and reviewable; no shuffle, and ``patch`` can be pruned."""
-    out = files.withColumns({"additions": T.additions(F.col("patch")), "deletions": T.deletions(F.col("patch"))})
+    out = files.withColumn("__lines", T.split_lines(F.col("patch")))  # once for both counts
+    out = out.withColumns({"additions": T.count_lines(F.col("__lines"), "+"), "deletions": T.count_lines(F.col("__lines"), "-")}).drop("__lines")
     out = out.withColumn("skip_reason", T.skip_reason(F.col("file_path"), F.col("additions") + F.col("deletions")))
     return out.withColumn("reviewable", F.col("skip_reason").isNull())
 
