@@ -28,6 +28,8 @@ from . import seq, work
 HOT, MAX_HOT = 512, 100_000
 #: Cells a shuffle partition and a chunk hold; symbols of a text that are handled at once.
 CELLS, CHUNK, BLOCK = 200_000, 20_000, 1 << 18
+#: Hot windows that a task combines before it sends them.
+HELD = 1_000_000
 NO_ID = (1 << 63) - 1
 COLD, RANGE, WINDOW = 0, 1, 2
 
@@ -97,10 +99,23 @@ def _anchors(spec: Spec):
     return run
 
 
+def _ends(held) -> pa.RecordBatch:
+    """The least and the most position of each hot window among those held; what is between tells nothing new."""
+    key, name, doc, th, start = (np.concatenate(c) for c in zip(*held))
+    order = np.lexsort((start, th, doc, name, key))
+    key, name = key[order], name[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])))
+    at = np.flatnonzero(new | np.concatenate((new[1:], [True])))
+    none, empty = pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())
+    place = order[at]
+    return work.batch(CELL, np.full(len(at), WINDOW, np.int32), key[at], name[at], doc[place], th[place], start[place], none, empty)
+
+
 def _cells(spec: Spec, bitmap, hot):
     def run(batches):
         for b in batches:
             doc, th, values = b.column(0).to_numpy(), b.column(1).to_numpy(), work.texts(b.column(2))
+            held: list[tuple[np.ndarray, ...]] = []
             for lo, hi in work.segments(values):
                 s = Symbols(spec, values[lo:hi])
                 for d, key, first, last, whole in cells(spec, s):
@@ -120,9 +135,13 @@ def _cells(spec: Spec, bitmap, hot):
                     yield work.batch(CELL, np.full(len(c), RANGE, np.int32), none, none, doc[row[c]], th[row[c]], start[c], n[c], empty)
                     off, wh = whole()
                     at = np.repeat(first[c] - np.concatenate(([0], np.cumsum(n[c])[:-1])), n[c]) + np.arange(int(n[c].sum()))
-                    name, own = wh[at - off].view(np.int64), np.repeat(c, n[c])
-                    none, empty = pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())
-                    yield work.batch(CELL, np.full(len(at), WINDOW, np.int32), key[own].view(np.int64), name, doc[row[own]], th[row[own]], at - s.first[d[own]], none, empty)
+                    own = np.repeat(c, n[c])
+                    held.append((key[own].view(np.int64), wh[at - off].view(np.int64), doc[row[own]], th[row[own]], at - s.first[d[own]]))
+                    if sum(len(x[0]) for x in held) > HELD:
+                        yield _ends(held)
+                        held = []
+            if held:
+                yield _ends(held)
 
     return run
 
