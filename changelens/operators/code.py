@@ -10,6 +10,8 @@ from ..functions import text as T
 PER_FILE, MAX_RESULTS = 5, 50
 MAX_FILES, MAX_BYTES = 500, 200_000
 MODULE = "<module>"
+#: Most symbols that are broadcast to be looked for as parts of words.
+MAX_PARTS = 1000
 
 
 def source_lines(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -21,14 +23,17 @@ def references(lines: DataFrame, symbols: DataFrame, whole_word: bool = True, pe
     """Lines that use each of ``symbols`` (symbol), at most ``per_file`` of a file and ``most`` in all, by path and line.
 
     One pass over the lines for all symbols: whole words are exploded and joined, so there is no product of lines and
-    symbols; parts of words need the product, for which the symbols are few by contract (a review's top symbols).
+    symbols; parts of words need the product, so their number is checked and more are refused.
     The over-fetch of twice ``most`` before the cut changes nothing once the order is fixed.
     """
     if whole_word:
         words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9_]+)"), F.lit(1)))
         hits = lines.withColumn("symbol", F.explode(words)).join(symbols.select("symbol").distinct(), "symbol")
     else:
-        hits = lines.join(F.broadcast(symbols.select("symbol").distinct().limit(1000)), F.contains("text", "symbol"))
+        wanted = symbols.select("symbol").distinct()
+        if wanted.count() > MAX_PARTS:
+            raise ValueError(f"parts of words are searched for at most {MAX_PARTS} symbols at once")
+        hits = lines.join(F.broadcast(wanted), F.contains("text", "symbol"))
     near = Window.partitionBy("symbol", "path").orderBy("line")
     hits = hits.withColumn("n", F.row_number().over(near)).where(F.col("n") <= per_file)
     order = Window.partitionBy("symbol").orderBy("path", "line")
