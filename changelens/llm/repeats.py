@@ -191,6 +191,7 @@ def covered(docs: DataFrame, spec: Spec, judge: Callable, spared: Callable) -> t
     limit = max(HOT, -(-total // MAX_HOT))  # so at most MAX_HOT anchors can be above it
     hot = np.sort(np.array([r[0] for r in anchors.where(F.col("n") > limit).select("key").collect()], np.int64).view(seq.U))
     bitmap = work.share(spark, work.bloom(anchors, "key"))
+    work.release(spark)  # the anchors' shuffle, now that their table is written
     found = work.stage(src.select("doc", "th", "text").mapInArrow(_cells(spec, bitmap, work.share(spark, hot)), CELL_DDL))
 
     cold = found.where(F.col("kind") == COLD)

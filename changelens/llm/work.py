@@ -7,6 +7,7 @@ per application; ``drop_all`` removes it once the results have been consumed.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,6 +50,15 @@ def drop_all(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps that are done: it does once the driver has collected its garbage.
+
+    Left alone, the driver does so when its heap fills, and the files of every step stay on the executors' disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def share(spark: SparkSession, value):
     """Broadcast a value whose size the caller bounds, to executors that have this package."""
     ship(spark)
