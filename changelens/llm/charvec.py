@@ -109,7 +109,13 @@ def sample_counts(rows: DataFrame, limit: int, codes, orders, bits: int):
     work.ship(rows.sparkSession)
     got = picked.mapInArrow(run, "doc_id long, k array<int>, n array<int>, s array<float>, label string")
     got = got.withColumn("h", F.xxhash64("doc_id")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
-    return [got.column(c).to_pylist() for c in ("k", "n", "s", "label")]
+    lists = []
+    for name in ("k", "n", "s"):  # slices of one array each, not lists of Python numbers
+        c = got.column(name).combine_chunks()
+        c = c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks or [pa.array([], c.type)])
+        at, flat = c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)
+        lists.append([flat[a:b] for a, b in zip(at[:-1], at[1:])])
+    return [*lists, got.column("label").to_pylist()]
 
 
 def tfidf(c: np.ndarray, idf: np.ndarray) -> np.ndarray:

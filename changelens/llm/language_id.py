@@ -69,9 +69,9 @@ def fit(rows: DataFrame) -> dict:
     names, idf = sorted(set(labels)), charvec.idf_of(df, n)
     data = []
     for k, c, label in zip(ks, ns, labels, strict=True):
-        if k:
-            x = np.log1p(np.array(c)) * idf[k]
-            data.append((np.array(k), x / max(1e-12, np.sqrt(x @ x)), names.index(label)))
+        if len(k):
+            x = np.log1p(c) * idf[k]
+            data.append((k, x / max(1e-12, np.sqrt(x @ x)), names.index(label)))
     if not data:
         return {"names": []}
     train, kept = [r for i, r in enumerate(data) if i % 5], [r for i, r in enumerate(data) if not i % 5]

@@ -44,8 +44,8 @@ def fit(rows: DataFrame, corpus: DataFrame) -> dict:
     idf = charvec.idf_of(df, n)
     x = np.zeros((len(y), 1 << BITS), np.float32)  # MAX_FIT rows at most
     for i, (k, c) in enumerate(zip(ks, ns, strict=True)):
-        x[i, k] = np.log1p(np.array(c, np.float32)) * idf[k]
-    x = with_structure(unit(x), np.array(shares, np.float32))
+        x[i, k] = np.log1p(c.astype(np.float32)) * idf[k]
+    x = with_structure(unit(x), np.array(shares, np.float32).reshape(len(y), -1))
     small = x @ x.T if len(y) <= x.shape[1] else x.T @ x  # the decomposition of the smaller Gram matrix
     values, vectors = np.linalg.eigh(small.astype(np.float64))
     rank = min(RANK, int((values > 1e-9).sum()))
