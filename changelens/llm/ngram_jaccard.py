@@ -184,22 +184,37 @@ def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return work.batch(PAIR, a.astype(np.int64), b.astype(np.int64), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int32()))
 
 
+def folded(m: np.ndarray, width: int) -> np.ndarray:
+    """Rows of parity bitmaps as bitmaps of ``width`` words, by exclusive or of their parts."""
+    return np.bitwise_xor.reduce(m.reshape(len(m), -1, width), axis=1)
+
+
 def _across(batches):
-    """Pairs of one shingle whose nodes have different labels, each once a chunk."""
-    for (key, node, n, pos, label), _ in work.chunks(batches, [*ENTRY.names, "label"], 1 << 14):
+    """Pairs of one shingle whose nodes have different labels and whose bitmaps leave 0.8 open, each once a chunk."""
+    names = [*ENTRY.names, "label", "bitmap"]
+    for (key, node, n, pos, label, bits), _ in work.chunks(batches, names, 1 << 14):
         order = np.lexsort((label, key))
-        key, node, n, pos, label = (c[order] for c in (key, node, n, pos, label))
+        key, node, n, pos, label, bits = (c[order] for c in (key, node, n, pos, label, bits))
+        size = np.array([len(x) // 8 for x in bits])
+        at, table = np.zeros(len(bits), np.int64), {}
+        for w in np.unique(size):  # bitmaps of one length in one matrix
+            own = np.flatnonzero(size == w)
+            at[own] = np.arange(len(own))
+            table[w] = np.frombuffer(b"".join(bits[own].tolist()), np.uint64).reshape(len(own), w)
         run = np.cumsum(np.concatenate(([True], (key[1:] != key[:-1]) | (label[1:] != label[:-1]))))
         end, last = np.searchsorted(run, run, side="right"), np.searchsorted(key, key, side="right")
         left, right = [], []
         for i in np.flatnonzero(end < last):
             j = np.arange(end[i], last[i])
             j = j[possible(n[j], pos[j], n[i : i + 1], pos[i : i + 1])]
-            left.append(np.full(len(j), node[i]))
-            right.append(node[j])
-            if sum(map(len, left[-64:])) > ROWS or len(left) > ROWS // 16:
-                yield _pair_batch(np.concatenate(left), np.concatenate(right))
-                left, right = [], []
+            mine = table[size[i]][at[i] : at[i] + 1]
+            for w in np.unique(size[j]):
+                k, both = j[size[j] == w], min(w, size[i])
+                apart = np.bitwise_count(folded(table[w][at[k]], both) ^ folded(mine, both)).sum(1, dtype=np.int64)
+                total = n[k].astype(np.int64) + int(n[i])
+                k = k[(total - apart) // 2 >= needed(total, 0)]
+                left.append(np.full(len(k), node[i]))
+                right.append(node[k])
         if left:
             yield _pair_batch(np.concatenate(left), np.concatenate(right))
 
@@ -334,8 +349,9 @@ def classes(docs: DataFrame) -> DataFrame:
     big = found.where("key is not null").select("key", F.col("a").alias("node"), "n", "pos")
     big = work.stage(big.join(label, "node", "left").select("key", "node", "n", "pos", F.coalesce("label", "node").alias("label")))
     mixed = work.stage(big.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"))
-    across = big.join(mixed, "key", "left_semi").repartition(spread, "key").sortWithinPartitions("key")
-    more = _filter(across.mapInArrow(_across, PAIR_DDL).select("a", "b").distinct(), bits)
+    across = big.join(mixed, "key", "left_semi").join(bits.select("node", "bitmap"), "node")
+    across = across.select("key", "node", "n", "pos", "label", "bitmap").repartition(spread, "key").sortWithinPartitions("key")
+    more = work.stage(across.mapInArrow(_across, PAIR_DDL).select("a", "b").distinct())
     if more.limit(1).count():
         edges = work.stage(edges.union(more))
         label = components(edges)
