@@ -192,7 +192,7 @@ def folded(m: np.ndarray, width: int) -> np.ndarray:
 def _across(batches):
     """Pairs of one shingle whose nodes have different labels and whose bitmaps leave 0.8 open, each once a chunk."""
     names = [*ENTRY.names, "label", "bitmap"]
-    for (key, node, n, pos, label, bits), _ in work.chunks(batches, names, 1 << 14):
+    for (key, node, n, pos, label, bits), _ in work.chunks(batches, names, 1 << 14, whole=True):
         order = np.lexsort((label, key))
         key, node, n, pos, label, bits = (c[order] for c in (key, node, n, pos, label, bits))
         size = np.array([len(x) // 8 for x in bits])

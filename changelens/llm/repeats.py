@@ -150,7 +150,7 @@ def _cold(spec: Spec, judge):
     names = ["key", "doc", "th", "start", "n", "content"]
 
     def run(batches):
-        for (key, doc, th, start, n, content), _ in work.chunks(batches, names, CHUNK):
+        for (key, doc, th, start, n, content), _ in work.chunks(batches, names, CHUNK, whole=True):
             order = np.lexsort((start, th, doc, key))
             key, doc, th, start, n, content = (c[order] for c in (key, doc, th, start, n, content))
             new = np.ones(len(key), bool)  # rows that are one document come once

@@ -117,10 +117,11 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     )
 
 
-def chunks(batches, names: list[str], rows: int):
+def chunks(batches, names: list[str], rows: int, whole: bool = False):
     """Column arrays of at least ``rows`` rows that end where the first column's run ends, from sorted batches.
 
-    Once one run alone is longer than four times that, it comes in parts; the flag tells that a part continues a run.
+    Unless runs are to stay whole, one longer than four times that comes in parts; the flag tells that a part
+    continues a run.
     """
     held, last, goes_on = [], None, False
     for b in batches:
@@ -129,7 +130,7 @@ def chunks(batches, names: list[str], rows: int):
             continue
         cols = [np.concatenate(c) for c in zip(*held)]
         cut = int(np.searchsorted(cols[0], cols[0][-1]))
-        if cut == 0 and len(cols[0]) > 4 * rows:
+        if cut == 0 and len(cols[0]) > 4 * rows and not whole:
             cut = len(cols[0])
         if cut:
             yield [c[:cut] for c in cols], goes_on and cols[0][0] == last
