@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Word trigrams of the test items are looked up in every whole document, and each one's document frequency in the
-corpus is counted.  A seed is rare when it occurs in at most RARE of all documents, and never fewer than RARE_LEAST
-documents.  Places where at least MIN_SEEDS different rare seeds of one item lie within an item's length become
-candidate passages; a passage with a margin is aligned with the item by Smith-Waterman over words (match 2, mismatch
--1, gap -1), so substituted, inserted and lost words cost a little each.  The score is the alignment's share of a
-perfect one.  An item whose trigrams are all common keeps all of them as seeds, so no item is beyond reach.
+Word trigrams of the test items are looked up in every whole document.  No seed is left out for being common: a
+passage that stands in very many documents makes its own trigrams common.  Places where at least MIN_SEEDS different
+seeds of one item lie within an item's length become candidate passages.  In a passage with a margin, only stretches
+that can hold an alignment of a sufficient score are looked at (``promising``, an upper bound, so nothing that matches
+is lost); they are aligned with the item by Smith-Waterman over words (match 2, mismatch -1, gap -1), so substituted,
+inserted and lost words cost a little each.  The score is the alignment's share of a perfect one.
 
 The test items are a stated query set: they are broadcast in blocks of at most BLOCK_ITEMS items and BLOCK_BYTES
 bytes, one pass over the documents for each block, so what is broadcast does not grow with either table.
@@ -25,14 +25,13 @@ from pyspark.sql import functions as F
 from . import seq, work
 
 SEED_WORDS, MIN_SEEDS = 3, 2
-#: A seed is rare in at most this share of the documents, or in this many.
-RARE, RARE_LEAST = 1e-3, 20
 #: Alignment scores, and the share of a perfect score from which a document is contaminated.
 MATCH, MISMATCH, GAP, THRESHOLD = 2, -1, -1, 0.6
 MARGIN = 8
 BLOCK_ITEMS, BLOCK_BYTES = 10_000, 16 << 20
+#: Places of seeds held at once; a run of texts with more is halved, down to one text.
+HELD = 1 << 21
 HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
-SEEN = pa.schema([("seed", pa.int64()), ("n", pa.int64())])
 
 
 class Items:
@@ -50,17 +49,6 @@ class Items:
         seeds, item = (np.concatenate(x) if x else np.zeros(0, int) for x in (seeds, item))
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.item = seeds[order].astype(seq.U), item[order].astype(np.int64)
-        self.distinct = np.unique(self.seeds)
-        self.shortest = min((len(w) for w in self.words if len(w)), default=0)
-
-    def keep(self, frequency: dict[int, int], n: int) -> None:
-        """Drop the common seeds of items that have enough rare ones."""
-        df = np.array([frequency.get(int(s), 0) for s in self.seeds.view(np.int64)])
-        rare = df <= max(RARE_LEAST, RARE * n)
-        enough = np.bincount(self.item[rare], minlength=len(self.ids)) >= MIN_SEEDS
-        ok = rare | ~enough[self.item]
-        self.seeds, self.item = self.seeds[ok], self.item[ok]
-        self.distinct = np.unique(self.seeds)
 
 
 #: bytes.translate table: lower case of A-Z, and ASCII punctuation as white space.
@@ -84,27 +72,6 @@ def _sizes(items: Items) -> list[int]:
     return sorted({min(SEED_WORDS, len(w)) for w in items.words if len(w)})
 
 
-def _seen(shared):
-    def run(batches):
-        items = shared.value
-        n = np.zeros(len(items.distinct) + 1, np.int64)
-        for b in batches:
-            values = work.texts(b.column(1))
-            n[-1] += len(values)
-            for lo, hi in work.segments(values):
-                w = normalised(values[lo:hi])
-                for g, at in _grams(w, _sizes(items)):
-                    k = np.minimum(np.searchsorted(items.distinct, g), len(items.distinct) - 1)
-                    hit = items.distinct[k] == g
-                    pair = np.unique(np.stack([k[hit], np.searchsorted(w.last, at[hit], side="right")]), axis=1)
-                    n[:-1] += np.bincount(pair[0], minlength=len(n) - 1)
-        k = np.flatnonzero(n)
-        names = np.concatenate([items.distinct.view(np.int64), [0]])
-        yield pa.RecordBatch.from_arrays([pa.array(names[k]), pa.array(n[k]), pa.array(k == len(n) - 1)], names=["seed", "n", "total"])
-
-    return run
-
-
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment of two word-hash sequences: score, and first and past-last word of ``b``.
 
@@ -153,6 +120,47 @@ def passages(at: np.ndarray, seed: np.ndarray, length: int, need: int) -> list[t
     return [(a, b) for a, b in out]
 
 
+def promising(w: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Stretches of a passage outside which no alignment with an item of ``n`` words reaches THRESHOLD.
+
+    ``w`` holds MATCH for words of the item and the lesser penalty for others.  An alignment scores no more than the
+    sum of ``w`` over the words it spans; with at most n matches, one that reaches THRESHOLD spans no more words than
+    those matches and the penalties that they can pay for.
+    """
+    least = THRESHOLD * MATCH * n
+    cost = -max(MISMATCH, GAP)
+    span = min(len(w), n + int((MATCH * n - least) / cost) + 1)
+    total = np.concatenate(([0], np.cumsum(w)))
+    best = seq.sliding(np.concatenate((total, np.full(span, total[-1]))), span + 1, np.maximum)
+    out: list[list[int]] = []
+    for i in np.flatnonzero(best - total >= least - 1e-9).tolist():
+        if out and i <= out[-1][1]:
+            out[-1][1] = min(i + span, len(w))
+        else:
+            out.append([i, min(i + span, len(w))])
+    return [(a, b) for a, b in out]
+
+
+def _found(items: Items, values: list[bytes | None], at: int = 0):
+    """(row of the first text, words, places) of runs of texts; places are (word, item, seed) by text, item and word."""
+    w = normalised(values)
+    grams = [(g, k, np.searchsorted(items.seeds, g)) for g, k in _grams(w, _sizes(items))]
+    grams = [(k, first, np.searchsorted(items.seeds, g, side="right") - first) for g, k, first in grams]
+    if len(values) > 1 and sum(n.sum() for _, _, n in grams) > HELD:
+        half = len(values) // 2
+        yield from _found(items, values[:half], at)
+        yield from _found(items, values[half:], at + half)
+        return
+    found = [np.zeros((3, 0), np.int64)]
+    for word, first, n in grams:
+        k = np.flatnonzero(n)
+        each = np.repeat(first[k] - np.concatenate(([0], np.cumsum(n[k])[:-1])), n[k]) + np.arange(n[k].sum())
+        found.append(np.stack([np.repeat(word[k], n[k]), items.item[each], each]))
+    f = np.concatenate(found, axis=1)
+    order = np.lexsort((f[0], f[1], np.searchsorted(w.last, f[0], side="right")))
+    yield at, w, f[:, order]
+
+
 def _hits(shared):
     def run(batches):
         items = shared.value
@@ -160,31 +168,24 @@ def _hits(shared):
         for b in batches:
             ids, values, rows = b.column(0).to_pylist(), work.texts(b.column(1)), []
             for lo, hi in work.segments(values):
-                w = normalised(values[lo:hi])
-                found = []
-                for g, at in _grams(w, _sizes(items)):
-                    first = np.searchsorted(items.seeds, g)
-                    n = np.searchsorted(items.seeds, g, side="right") - first
-                    k = np.flatnonzero(n)
-                    each = np.repeat(first[k] - np.concatenate(([0], np.cumsum(n[k])[:-1])), n[k]) + np.arange(n[k].sum())
-                    found.append(np.stack([np.repeat(at[k], n[k]), items.item[each], each]))
-                f = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-                text = np.searchsorted(w.last, f[0], side="right")
-                order = np.lexsort((f[0], f[1], text))
-                f, text = f[:, order], text[order]
-                cut = np.flatnonzero(np.diff(text) | np.diff(f[1])) + 1
-                for s, e in zip([0, *cut], [*cut, len(text)]):
-                    if e > s:
+                for at, w, f in _found(items, values[lo:hi], lo):
+                    text = np.searchsorted(w.last, f[0], side="right")
+                    cut = np.flatnonzero(np.diff(text) | np.diff(f[1])) + 1
+                    for s, e in zip([0, *cut], [*cut, len(text)]):
+                        if e == s:
+                            continue
                         i, d = int(f[1, s]), int(text[s])
-                        a = items.words[i]
+                        a, need = items.words[i], min(MIN_SEEDS, int(many[i]))
                         best = (0, 0, 0)
-                        for p, q in passages(f[0, s:e], f[2, s:e], len(a), min(MIN_SEEDS, int(many[i]))):
+                        for p, q in passages(f[0, s:e], f[2, s:e], len(a), need) if e - s >= need else ():
                             x, y = max(int(w.first[d]), p - len(a) - MARGIN), min(int(w.last[d]), q + len(a) + MARGIN)
-                            score, start, end = align(a, w.hash[x:y])
-                            if score > best[0]:
-                                best = (score, start + x - int(w.first[d]), end + x - int(w.first[d]))
+                            own = np.where(np.isin(w.hash[x:y], a), MATCH, max(MISMATCH, GAP))
+                            for u, v in promising(own, len(a)):
+                                score, start, end = align(a, w.hash[x + u : x + v])
+                                if score > best[0]:
+                                    best = (score, start + x + u - int(w.first[d]), end + x + u - int(w.first[d]))
                         if (share := best[0] / (MATCH * len(a))) >= THRESHOLD:
-                            rows.append((ids[lo + d], items.ids[i], share, best[1], best[2]))
+                            rows.append((ids[at + d], items.ids[i], share, best[1], best[2]))
             yield work.batch(HITS, *([list(c) for c in zip(*rows)] or [[]] * 5))
 
     return run
@@ -216,9 +217,6 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         block = Items(ids, texts)
         if not len(block.seeds):
             continue
-        shared = work.share(spark, block)
-        got = src.mapInArrow(_seen(shared), "seed long, n long, total boolean").groupBy("seed", "total").agg(F.sum("n").alias("n")).toArrow().to_pylist()
-        block.keep({r["seed"]: r["n"] for r in got if not r["total"]}, sum(r["n"] for r in got if r["total"]))
         part = src.mapInArrow(_hits(work.share(spark, block)), "doc_id long, item_id long, score double, start_word long, end_word long")
         out = part if out is None else out.unionByName(part)
     if out is None:

@@ -181,6 +181,37 @@ def test_decontaminate(spark):
     assert decontaminate.matches(docs, bench.where("item_id = 52")).count() == 0 and decontaminate.matches(docs.where("doc_id = -1"), bench).count() == 0
 
 
+def test_decontaminate_finds_an_edited_passage_in_many_documents(spark):
+    rng = random.Random(21)
+    item = words(rng, "abcde", 40).split()
+    edited = " ".join([*item[:20], "zzz", *item[21:]])
+    leaked = [(i, f"{words(rng, 'vwxyz', 30)} {edited} {words(rng, 'vwxyz', 30)}") for i in range(30)]
+    clean = [(1000 + i, words(rng, "vwxyz", 60)) for i in range(30)]
+    docs = frame(spark, leaked + clean)
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    got = decontaminate.matches(docs, bench).collect()
+    assert {(r.doc_id, r.start_word, r.end_word) for r in got} == {(i, 30, 70) for i in range(30)}
+    assert {r.score for r in got} == {(2 * 39 - 1) / 80}
+    assert {r.doc_id for r in decontaminate.remove(docs, bench).collect()} == {i for i, _ in clean}
+
+
+def test_promising_stretches_hold_every_sufficient_alignment():
+    rng, met = random.Random(22), 0
+    for _ in range(300):
+        a = np.array([rng.randrange(8) for _ in range(rng.randrange(1, 12))])
+        b = np.array([rng.randrange(40) for _ in range(rng.randrange(1, 60))])
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(b))
+            b = np.concatenate([b[:at], [x for x in a if rng.random() < 0.8], b[at:]]).astype(int)
+        own = np.where(np.isin(b, a), decontaminate.MATCH, -1)
+        part = max([decontaminate.align(a, b[u:v])[0] for u, v in decontaminate.promising(own, len(a))], default=0)
+        whole = decontaminate.align(a, b)[0]
+        if whole / (decontaminate.MATCH * len(a)) >= decontaminate.THRESHOLD:
+            met += 1
+            assert part == whole
+    assert met > 50
+
+
 def brute_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(names)}
