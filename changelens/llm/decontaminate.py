@@ -11,12 +11,14 @@ The test items are a stated query set: they are broadcast in blocks of at most B
 bytes, one pass over the documents for each block, so what is broadcast does not grow with either table.
 
 Defined results.  Null or empty text of a document or an item: no match.  Items of fewer than three words: the whole
-item is its seed.  Null ids: carried as they are, and never removed by ``remove``.  Repeated rows: matched each by
-themselves; equal rows of the result are returned once.  Empty tables: no match.  Other columns are ignored.
+item is its seed.  Null ids: carried as they are.  Repeated rows: matched each by themselves; equal
+rows of the result are returned once.  ``remove`` goes by text, so neither null nor repeated ids matter to it.  Empty tables: no match.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +33,8 @@ MARGIN = 8
 BLOCK_ITEMS, BLOCK_BYTES = 10_000, 16 << 20
 #: Places of seeds held at once; a run of texts with more is halved, down to one text.
 HELD = 1 << 21
-HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
+HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("sha", pa.string())])
+HITS_DDL = "doc_id long, item_id long, score double, start_word long, end_word long, sha string"
 
 
 class Items:
@@ -185,8 +188,8 @@ def _hits(shared):
                                 if score > best[0]:
                                     best = (score, start + x + u - int(w.first[d]), end + x + u - int(w.first[d]))
                         if (share := best[0] / (MATCH * len(a))) >= THRESHOLD:
-                            rows.append((ids[at + d], items.ids[i], share, best[1], best[2]))
-            yield work.batch(HITS, *([list(c) for c in zip(*rows)] or [[]] * 5))
+                            rows.append((ids[at + d], items.ids[i], share, best[1], best[2], hashlib.sha256(values[at + d]).hexdigest()))
+            yield work.batch(HITS, *([list(c) for c in zip(*rows)] or [[]] * 6))
 
     return run
 
@@ -207,8 +210,8 @@ def blocks(items: DataFrame):
         yield ids, texts
 
 
-def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per matching pair: doc_id, item_id, score, and the words of the document that match."""
+def _matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The columns of HITS, a row for each matching pair of rows."""
     spark = docs.sparkSession
     work.ship(spark)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
@@ -217,17 +220,20 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         block = Items(ids, texts)
         if not len(block.seeds):
             continue
-        part = src.mapInArrow(_hits(work.share(spark, block)), "doc_id long, item_id long, score double, start_word long, end_word long")
+        part = src.mapInArrow(_hits(work.share(spark, block)), HITS_DDL)
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long")
-    return out.dropDuplicates()
+    return spark.createDataFrame([], HITS_DDL) if out is None else out
+
+
+def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """One row per matching pair: doc_id, item_id, score, and the words of the document that match."""
+    return _matches(docs, items).drop("sha").dropDuplicates()
 
 
 def remove(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that match no item."""
-    gone = work.stage(matches(docs, items).select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """The rows of ``docs``, all columns, whose text matches no item."""
+    gone = work.stage(_matches(docs, items).select(F.col("sha").alias("__gone")).distinct())
+    return docs.join(gone, F.sha2(docs["text"].cast("string"), 256) == F.col("__gone"), "left_anti")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

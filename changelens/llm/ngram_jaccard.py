@@ -25,7 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import seq, work
@@ -38,9 +38,11 @@ BINS, CHUNK = 1 << 19, 1 << 12
 SMALL, HUBS = 32, 3
 #: Nodes of a block; incidence rows of a shuffle partition.
 BLOCK, ROWS = 4096, 1_000_000
+#: Stands for a null doc_id.
+NO_ID = -(1 << 63)
 
-STATS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("node", pa.int64()), ("bitmap", pa.binary()), ("bin", pa.int32()), ("counts", pa.binary())])
-STATS_DDL = "doc_id long, n long, digest binary, node long, bitmap binary, bin int, counts binary"
+STATS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("node", pa.int64()), ("bitmap", pa.binary()), ("bin", pa.int32()), ("counts", pa.binary()), ("sha", pa.binary())])
+STATS_DDL = "doc_id long, n long, digest binary, node long, bitmap binary, bin int, counts binary, sha binary"
 ENTRY = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 ENTRY_DDL = "key long, node long, n int, pos int"
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
@@ -79,24 +81,30 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s & seq.U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
-def _stats(batches):
-    total = np.zeros(BINS, np.int32)
-    for b in batches:
-        rows = []
-        for s in shingles(work.texts(b.column(1))):
-            if len(s):
-                d = digest(s)
-                rows.append((len(s), d, node_of(d), bitmap(s)))
-                np.add.at(total, (s & seq.U(BINS - 1)).astype(np.int64), 1)
-            else:
-                rows.append((0, None, None, None))
-        none = pa.nulls(b.num_rows)
-        yield work.batch(STATS, b.column(0), *([list(c) for c in zip(*rows)] or [[]] * 4), none.cast(pa.int32()), none.cast(pa.binary()))
-    parts = [total[k : k + CHUNK] for k in range(0, BINS, CHUNK)]
-    used = [k for k, p in enumerate(parts) if p.any()]
-    none = pa.nulls(len(used))
-    cells = [none.cast(f.type) for f in list(STATS)[:5]]
-    yield work.batch(STATS, *cells, np.array(used, np.int32), pa.array([parts[k].tobytes() for k in used], pa.binary()))
+def _stats_of(named: bool):
+    """Per row the figures of its text, and its SHA-256 if ``named``; then the counts of bins."""
+
+    def run(batches):
+        total = np.zeros(BINS, np.int32)
+        for b in batches:
+            rows, values = [], work.texts(b.column(1))
+            for s in shingles(values):
+                if len(s):
+                    d = digest(s)
+                    rows.append((len(s), d, node_of(d), bitmap(s)))
+                    np.add.at(total, (s & seq.U(BINS - 1)).astype(np.int64), 1)
+                else:
+                    rows.append((0, None, None, None))
+            none = pa.nulls(b.num_rows)
+            sha = [hashlib.sha256(v or b"").digest() for v in values] if named else none.cast(pa.binary())
+            yield work.batch(STATS, b.column(0), *([list(c) for c in zip(*rows)] or [[]] * 4), none.cast(pa.int32()), none.cast(pa.binary()), sha)
+        parts = [total[k : k + CHUNK] for k in range(0, BINS, CHUNK)]
+        used = [k for k, p in enumerate(parts) if p.any()]
+        none = pa.nulls(len(used))
+        cells = [none.cast(f.type) for f in list(STATS)[:5]]
+        yield work.batch(STATS, *cells, np.array(used, np.int32), pa.array([parts[k].tobytes() for k in used], pa.binary()), none.cast(pa.binary()))
+
+    return run
 
 
 def _add(batches):
@@ -325,16 +333,24 @@ def _filter(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     return work.stage(both.mapInArrow(_similar, "a long, b long").distinct())
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id."""
+def _place() -> Column:
+    """What orders the rows of a component."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("sha").alias("sha"))
+
+
+def _classes(docs: DataFrame, named: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows, known): rows with their digest, null where a text has no shingles, and each digest's component.
+
+    If ``named``, rows have the SHA-256 of their text, and components their size and their first row, by ``_place``.
+    """
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     work.ship(spark)
-    stats = work.stage(src.mapInArrow(_stats, STATS_DDL))
+    stats = work.stage(src.mapInArrow(_stats_of(named), STATS_DDL))
     counts = np.zeros(BINS, np.int64)
     for r in stats.where("bin is not null").select("bin", "counts").repartition(64, "bin").mapInArrow(_add, "bin int, counts binary").collect():
         counts[r[0] * CHUNK : (r[0] + 1) * CHUNK] += np.frombuffer(r[1], np.int64)  # BINS values in all
-    rows = stats.where("bin is null").select("doc_id", "n", "digest", "node")
+    rows = stats.where("bin is null").select("doc_id", "n", "digest", "node", "sha")
     bits = stats.where("node is not null").select("node", "n", "digest", "bitmap").groupBy("digest").agg(F.first("node").alias("node"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
     bits = work.stage(bits.drop("digest"))
 
@@ -367,19 +383,49 @@ def classes(docs: DataFrame) -> DataFrame:
     dealt = dealt.select(name, "digest", "grams").repartition("group").sortWithinPartitions("group")
     joined = components(work.stage(dealt.mapInArrow(_verify, "a binary, b binary")))
 
-    first = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    first = work.stage(first.join(joined, first["digest"] == joined["node"], "left").select("digest", "rep", F.coalesce("label", "digest").alias("root")))
-    least = work.stage(first.groupBy("root").agg(F.min("rep").alias("component_id")))
-    known = work.stage(first.join(least, "root").select("digest", "component_id"))
+    per = [F.min(_place()).alias("top"), F.count(F.lit(1)).alias("size")] if named else []
+    over = [F.min("top").alias("top"), F.sum("size").alias("size")] if named else []
+    extra = ["top", "size"] if named else []
+    first = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), *per)
+    first = work.stage(first.join(joined, first["digest"] == joined["node"], "left").select("digest", "rep", F.coalesce("label", "digest").alias("root"), *extra))
+    least = work.stage(first.groupBy("root").agg(F.min("rep").alias("component_id"), *over))
+    return rows, work.stage(first.select("digest", "root").join(least, "root").select("digest", "component_id", *extra))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id."""
+    rows, known = _classes(docs, False)
     out = rows.join(known, "digest", "left")
     own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, without those whose component has a smaller doc_id."""
-    gone = classes(docs).where("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(work.stage(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+    """The rows of ``docs``, all columns, one of each component: the one with the least doc_id, null last.
+
+    Rows that tie on doc_id go by the SHA-256 of their texts; which of wholly tied rows stays is arbitrary.  Rows
+    without shingles all stay.  Rows go by doc_id: only where several share one, and some stay and some go, are the
+    texts of those rows looked at again.
+    """
+    rows, known = _classes(docs, True)
+    several = known.where("size > 1").select("digest", "top")
+    both = rows.join(several, "digest", "left").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("sha").alias("__sha"), _place().alias("own"), "top")
+    alone = F.col("top").isNull()
+    decided = work.stage(both.select("__id", "__sha", alone.alias("alone"), (alone | (F.col("own") == F.col("top"))).alias("kept")))
+    firsts = F.count_if(F.col("kept") & ~F.col("alone"))
+    per = decided.groupBy("__id").agg(F.max("kept").alias("any"), F.min("kept").alias("all"), firsts.alias("firsts"))
+    per = work.stage(per.where("not all or firsts > 1"))
+    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
+    out = docs.join(per.select("__id"), key == F.col("__id"), "left_anti")
+    mixed = per.where("any").select("__id")
+    if mixed.isEmpty():
+        return out
+    own = docs.join(mixed, key == F.col("__id"), "left_semi")
+    own = own.withColumns({"__id": key, "__sha": F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))})
+    stay = work.stage(decided.where("kept").join(mixed, "__id", "left_semi").select("__id", "__sha", "alone").distinct())
+    own = own.join(stay, ["__id", "__sha"])
+    one = own.where("not alone").dropDuplicates(["__id", "__sha"])
+    return out.unionByName(own.where("alone").unionByName(one).select(*docs.columns))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,6 +212,24 @@ def test_promising_stretches_hold_every_sufficient_alignment():
     assert met > 50
 
 
+def test_removal_goes_by_row_where_ids_repeat_or_are_null(spark):
+    from changelens.llm import ngram_jaccard
+
+    rng = random.Random(23)
+    near, other, item, lone = (words(rng, "abcde", 60) for _ in range(4))
+    leak = words(rng, "vwxyz", 20) + " " + item
+    docs = frame(spark, [(1, other), (1, leak), (2, "clean"), (None, leak), (None, lone), (None, None)]).repartition(3)
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in decontaminate.remove(docs, bench).collect()), key=repr)
+    assert got == sorted([(1, other), (2, "clean"), (None, lone), (None, None)], key=repr)
+    # 3 has an unrelated text beside a near copy of 2's; 4 ties with itself twice; the null ids are near copies of lone
+    rows = [(2, near), (3, near + " end"), (3, other), (4, item), (4, item + " end"), (4, item), (None, lone), (None, lone + " end"), (None, None), (None, ""), (5, leak), (5, leak), (6, " "), (6, " ")]
+    left = [(r.doc_id, r.text) for r in ngram_jaccard.deduplicate(frame(spark, rows).repartition(3)).collect()]
+    assert sorted((i, t) for i, t in left if i in (2, 3, 6)) == [(2, near), (3, other), (6, " "), (6, " ")]
+    assert [t in (item, item + " end") for i, t in left if i == 4] == [True] and left.count((5, leak)) == 1
+    assert [t in (lone, lone + " end") for i, t in left if i is None and t] == [True] and left.count((None, None)) == left.count((None, "")) == 1
+
+
 def brute_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(names)}
