@@ -1,7 +1,7 @@
 """Personal data by patterns and bootstrapped contextual extraction, with DataFrame functions only.
 
 Base entities (email, ip, card, phone) come from four patterns and their checks.  They are the seeds: the two words
-before an entity are a lexical pattern, and identifier-like words (with a digit or an at sign) elsewhere are
+before an entity, or the start of the text and what there is, are a lexical pattern, and identifier-like words (with a digit or an at sign) elsewhere are
 instances.  Patterns and instances form a graph whose scores go back and forth for ROUNDS rounds: a pattern scores, for
 each kind, the mean of its instances' scores weighted by how often they occur; an instance that is no seed scores the
 weighted mean of its patterns.  Where a pattern with at least SUPPORT different seeds and its instance both score
@@ -40,6 +40,9 @@ SHAPES = {
     "phone": r"^[+(]?[0-9][0-9().-]{6,18}[0-9][.,;]?$",
 }
 ROUNDS, SUPPORT, CONFIDENT = 3, 5, 0.9
+SPACE = r"[\x20\x09-\x0D]+"
+#: Stands for the start of the text; a context of more characters than LONG is named by its digest.
+START, LONG = "\n", 128
 #: Characters before an entity in which its two words of context are looked for.
 REACH = 48
 
@@ -51,38 +54,60 @@ def matched(text: Column, pattern: str, guard: Column, name: str) -> list[Column
     return [found.alias(f"f_{name}"), F.when(guard, F.split(text, pattern, -1)).otherwise(empty).alias(f"g_{name}")]
 
 
+def measure(s: Column) -> Column:
+    """Length, runs of white space, and length after the last of them."""
+    parts = F.split(s, SPACE, -1)
+    return F.struct(F.length(s).alias("n"), (F.size(parts) - 1).alias("spaces"), F.length(F.element_at(parts, -1)).alias("tail"))
+
+
+def moved(at: Column, m: Column) -> Column:
+    """A place (at, spaces, part) moved over text of measure ``m``; part is how much of its word lies before a place."""
+    part = F.when(m["spaces"] > 0, m["tail"]).otherwise(at["part"] + m["n"])
+    return F.struct((at["at"] + m["n"]).alias("at"), (at["spaces"] + m["spaces"]).alias("spaces"), part.alias("part"))
+
+
 def pieces(name: str) -> Column:
-    """The matches of ``matched``: array of (start, end, value, left), in code points.
+    """The matches of ``matched``: array of (start, end, value, spaces, part), in code points.
 
-    What lies between matches and the matches themselves alternate, so running lengths give positions.  They are
+    What lies between matches and the matches themselves alternate, so running measures give places.  They are
     summed by runs of 64 matches, so the cost grows little faster than the number of matches.
     """
     found, gaps = F.col(f"f_{name}"), F.col(f"g_{name}")
     runs = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.floor((F.size(found) - 1) / 64).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
     part = lambda c, j: F.slice(c, j * 64 + 1, 64)
-    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + F.length(x))
-    sums = F.transform(runs, lambda j: total(part(found, j)) + total(F.slice(part(gaps, j), 1, F.size(part(found, j)))))
-    empty = F.expr("cast(array() as array<struct<start: int, end: int, value: string, left: string>>)")
+    pairs = lambda j: F.zip_with(F.slice(part(gaps, j), 1, F.size(part(found, j))), part(found, j), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+    sums = F.transform(runs, lambda j: measure(F.array_join(F.transform(pairs(j), lambda x: F.concat(x["g"], x["m"])), "")))
+    empty = F.expr("cast(array() as array<struct<start: int, end: int, value: string, spaces: int, part: int>>)")
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("spaces"), F.lit(0).alias("part"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        left = F.lower(F.regexp_extract(F.substring(x["g"], -REACH, REACH), r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
-        one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"), left.alias("left"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        def over(start: Column) -> Column:
+            end = moved(start, measure(x["m"]))
+            one = F.struct(start["at"].alias("start"), end["at"].alias("end"), x["m"].alias("value"), start["spaces"].alias("spaces"), start["part"].alias("part"))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+        return F.element_at(F.transform(F.array(moved(acc["at"], measure(x["g"]))), over), 1)
 
     def of(sums: Column) -> Column:
         def run(j: Column) -> Column:
-            own = part(found, j)
-            pairs = F.zip_with(F.slice(part(gaps, j), 1, F.size(own)), own, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-            before = F.aggregate(F.slice(sums, 1, j), F.lit(0), lambda a, x: a + x)
-            return F.aggregate(pairs, F.struct(before.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+            before = F.aggregate(F.slice(sums, 1, j), zero, moved)
+            return F.aggregate(pairs(j), F.struct(before.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
 
         return F.flatten(F.transform(runs, run))
 
     return F.element_at(F.transform(F.array(sums), of), 1)
 
 
+def context(x: Column) -> Column:
+    """The two words before a piece, from the words of the whole text; START stands where there are fewer."""
+    words = F.col("split")
+    own = F.when(x["part"] > 0, F.array(F.substring(F.element_at(words, x["spaces"] + 1), F.lit(1), x["part"]))).otherwise(F.expr("cast(array() as array<string>)"))
+    n = F.least(x["spaces"], F.when(x["part"] > 0, 1).otherwise(2))
+    some = F.filter(F.concat(F.slice(words, x["spaces"] - n + 1, n), own), lambda w: w != "")
+    left = F.lower(F.array_join(F.when(F.size(some) < 2, F.concat(F.array(F.lit(START)), some)).otherwise(some), " "))
+    return F.when(F.length(left) > LONG, F.sha2(left, 256)).otherwise(left)
+
+
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -112,7 +137,7 @@ def base_spans() -> Column:
 
     def of(k: int, kind: str) -> Column:
         ok = F.filter(pieces(kind), lambda x: valid(kind, x["value"]))
-        return F.transform(ok, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), x["value"].alias("value"), x["left"].alias("left")))
+        return F.transform(ok, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), x["value"].alias("value"), context(x).alias("left")))
 
     return F.array_sort(F.concat(*[of(k, kind) for k, kind in enumerate(KINDS)]))
 
@@ -145,13 +170,14 @@ def _spans(docs: DataFrame) -> DataFrame:
     t = F.col("text")
     some = t.rlike("[0-9@]")
     guards = {"email": t.contains("@"), "ip": some & t.contains("."), "card": some, "phone": t.contains("+")}
-    raw = src.select("doc_id", *[c for k in KINDS for c in matched(t, PATTERNS[k], guards[k], k)], *matched(t, WORD, some, "word"))
-    found = raw.select("doc_id", base_spans().alias("base"), pieces("word").alias("words"))
+    raw = src.select("doc_id", F.split(t, SPACE, -1).alias("split"), *[c for k in KINDS for c in matched(t, PATTERNS[k], guards[k], k)], *matched(t, WORD, some, "word"))
+    words = F.transform(pieces("word"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), context(x).alias("left")))
+    found = raw.select("doc_id", base_spans().alias("base"), words.alias("words"))
     found = work.stage(found.withColumn("row", F.monotonically_increasing_id()))
     apart = lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
-    own = found.where(F.size("words") > 0).select("row", F.inline(F.filter("words", lambda w: apart(w) & (F.length(w["left"]) > 0))))
+    own = found.where(F.size("words") > 0).select("row", F.inline(F.filter("words", apart)))
     own = work.stage(own)
-    seeds = found.select(F.inline("base")).where("left <> ''").select("left", F.lower("value").alias("value"), "kind")
+    seeds = found.select(F.inline("base")).select("left", F.lower("value").alias("value"), "kind")
     others = own.select("left", F.lower("value").alias("value"), F.lit(None).cast("int").alias("kind"))
     edges = work.stage(seeds.union(others).groupBy("left", "value", "kind").agg(F.count(F.lit(1)).alias("n")))
     patterns, instances = scored(edges)

@@ -128,6 +128,16 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert out[100] == "now call me: [phone] ok" and out[101] == rows[31][1]
 
 
+def test_contexts_are_taken_from_the_text(spark):
+    long = "x" * 60
+    rows = [(i, f"No. 5 +1 (555) 555-{1000 + i}") for i in range(10)] + [(100, "No. 5 555-867-5309")]
+    rows += [(200 + i, f"ring {long} +1 (555) 555-{2000 + i}") for i in range(10)] + [(300, f"ring {long} 555-867-5308")]
+    rows += [(400 + i, f"Fon: +1 (555) 555-{3000 + i}") for i in range(10)] + [(500, "Fon: 555-867-5307"), (501, "a Fon: 555-867-5306")]
+    rows += [(600 + i, f"+1 (555) 555-{4000 + i} ok") for i in range(10)] + [(700, "555-867-5305 ok")]
+    got = {r.doc_id: r.spans for r in pii.find(frame(spark, rows)).collect()}
+    assert [got[i] for i in (100, 300, 500, 501, 700)] == ["phone:6:18", "phone:66:78", "phone:5:17", "", "phone:0:12"]
+
+
 def test_pii_scores_by_hand(spark):
     edges = [("l", f"s{i}", 0, 1) for i in range(5)] + [("l", "c", None, 1), ("m", "c", None, 3)]
     patterns, instances = pii.scored(spark.createDataFrame(edges, "left string, value string, kind int, n long"))
