@@ -4,10 +4,11 @@ A window is named by its anchor, the leftmost least hash among its runs of K sym
 anchors at equal offsets, so only windows of one anchor need to meet.  Neighbouring windows mostly share an anchor;
 those of one anchor occurrence make a cell.  Anchors that occur once are dropped by a bitmap of those that recur.
 
-Anchors of at most HOT occurrences (cold) meet as cells with their content, a bounded group for each.  The windows of
-more frequent anchors (hot) are aggregated one by one, combined before they are shuffled, so that no group of a hot
-anchor meets in one task.  HOT rises with the corpus such that at most MAX_HOT anchors are hot; their names are all
-that is broadcast beside the bitmap.
+Anchors of more than HOT occurrences (of more than the corpus's total over MAX_HOT, if that is more) are hot; at most
+MAX_HOT names are hot, and they are broadcast.  A hot run is an anchor only where a window has no other: common runs
+in ever new surroundings thus meet under rarer names, and under a hot name meet only windows that are hot throughout,
+which are few different ones.  Copies of one content are combined by each task before anything is shuffled, so a hot
+name brings no more rows than tasks and different contents.
 
 Rows with one doc_id and one text are one document here.  Documents are ordered by doc_id, null last, then by a hash
 of the text.
@@ -25,19 +26,16 @@ from pyspark.sql import functions as F
 
 from . import seq, work
 
-HOT, MAX_HOT = 512, 100_000
-#: Cells a shuffle partition and a chunk hold; symbols of a text that are handled at once.
-CELLS, CHUNK, BLOCK = 200_000, 20_000, 1 << 18
-#: Hot windows that a task combines before it sends them.
-HELD = 1_000_000
+#: Occurrences from which an anchor is hot; most hot names, 8 bytes each, that are broadcast.
+HOT, MAX_HOT = 4096, 1 << 22
+#: Cells a shuffle partition and a chunk hold; symbols of a text that are handled at once; contents a task remembers.
+CELLS, CHUNK, BLOCK, MEMORY = 200_000, 20_000, 1 << 18, 1 << 17
 NO_ID = (1 << 63) - 1
-COLD, RANGE, WINDOW = 0, 1, 2
+TOP = seq.U(1 << 63)
 
 ANCHORS = pa.schema([("key", pa.int64()), ("n", pa.int64())])
-CELL = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("whash", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("content", pa.binary())])
-CELL_DDL = "kind int, key long, whash long, doc long, th long, start long, n int, content binary"
-SPAN = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("kind", pa.int32()), ("s", pa.int64()), ("e", pa.int64())])
-SPAN_DDL = "doc long, th long, kind int, s long, e long"
+CELL = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("content", pa.binary())])
+CELL_DDL = "key long, doc long, th long, start long, n long, content binary"
 
 
 @dataclass(frozen=True)
@@ -55,10 +53,11 @@ class Symbols:
     def __init__(self, spec: Spec, values: list[bytes | None]):
         if spec.words:
             w = seq.Words(values)
-            self.buf, self.hash, self.first, self.last, self.ws, self.we = w.buf, w.hash, w.first, w.last, w.ws, w.we
+            self.buf, self.hash, self.first, self.last = w.buf, w.hash, w.first, w.last
+            self.words = self.buf.tobytes().split()
         else:
             self.buf, self.first, self.last = seq.joined(values)
-            self.hash, self.ws = None, None
+            self.hash, self.words, self.text = None, None, self.buf.tobytes()
 
     def blocks(self, spec: Spec):
         """(offset, hashes) of stretches that overlap by a window, so every window is in exactly one by its start."""
@@ -68,22 +67,45 @@ class Symbols:
             yield lo, seq.BYTE[self.buf[part]] if self.hash is None else self.hash[part]
 
     def content(self, a: int, b: int) -> bytes:
-        if self.ws is None:
-            return self.buf[a:b].tobytes()
-        return b" ".join(self.buf[self.ws[i] : self.we[i]].tobytes() for i in range(a, b))
+        return self.text[a:b] if self.words is None else b" ".join(self.words[a:b])
 
 
-def cells(spec: Spec, s: Symbols, hashes: bool = False):
-    """Per block: text index, anchor hash, first and last window of each cell, and what hashes the block's windows."""
+class Hot:
+    """The hot names, sorted, and a table that tells most others apart at once."""
+
+    def __init__(self, names: np.ndarray):
+        self.names = names
+        self.table = np.zeros(1 << min(26, max(16, (64 * len(names)).bit_length())), bool)
+        self.table[(names & seq.U(len(self.table) - 1)).astype(np.int64)] = True
+
+    def among(self, g: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(g), bool)
+        if len(self.names):
+            at = np.flatnonzero(self.table[(g & seq.U(len(self.table) - 1)).astype(np.int64)])
+            k = np.minimum(np.searchsorted(self.names, g[at]), len(self.names) - 1)
+            out[at] = self.names[k] == g[at]
+        return out
+
+
+def cells(spec: Spec, s: Symbols, hot: Hot | None = None):
+    """Per block: text index, anchor, first and last window of each cell, and whether a run of it is hot."""
     for off, h in s.blocks(spec):
-        g = seq.gram_hashes(h, spec.run)
+        g = seq.gram_hashes(h, spec.run) >> seq.U(1)
+        burns = hot.among(g) if hot is not None else np.zeros(0, bool)
+        if burns.any():
+            g[burns] |= TOP  # last in rank
         p, lo, hi = seq.winnow(g, spec.window - spec.run + 1)
         d = np.searchsorted(s.last, p + off, side="right")
         ok = d < len(s.last)
         p, lo, hi, d = p[ok], lo[ok] + off, hi[ok] + off, d[ok]
         lo, hi = np.maximum(lo, s.first[d]), np.minimum(hi, s.last[d] - spec.window)
         ok = (lo <= hi) & (hi <= p + off)
-        yield d[ok], g[p[ok]], lo[ok], hi[ok], (lambda: (off, seq.gram_hashes(h, spec.window)))
+        p, lo, hi, d = p[ok], lo[ok], hi[ok], d[ok]
+        near = np.zeros(len(p), bool)
+        if burns.any():
+            total = np.concatenate(([0], np.cumsum(burns)))
+            near = total[hi - off + spec.window - spec.run + 1] > total[lo - off]
+        yield d, g[p], lo, hi, near
 
 
 def _anchors(spec: Spec):
@@ -99,141 +121,90 @@ def _anchors(spec: Spec):
     return run
 
 
-def _ends(held) -> pa.RecordBatch:
-    """The least and the most position of each hot window among those held; what is between tells nothing new."""
-    key, name, doc, th, start = (np.concatenate(c) for c in zip(*held))
-    order = np.lexsort((start, th, doc, name, key))
-    key, name = key[order], name[order]
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])))
-    at = np.flatnonzero(new | np.concatenate((new[1:], [True])))
-    none, empty = pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())
-    place = order[at]
-    return work.batch(CELL, np.full(len(at), WINDOW, np.int32), key[at], name[at], doc[place], th[place], start[place], none, empty)
-
-
-def _cells(spec: Spec, bitmap, hot):
+def _cells(spec: Spec, bitmap, hot, sender):
     def run(batches):
+        send, names = sender(), Hot(hot.value)
         for b in batches:
             doc, th, values = b.column(0).to_numpy(), b.column(1).to_numpy(), work.texts(b.column(2))
-            held: list[tuple[np.ndarray, ...]] = []
             for lo, hi in work.segments(values):
-                s = Symbols(spec, values[lo:hi])
-                for d, key, first, last, whole in cells(spec, s):
-                    ok = work.in_bloom(bitmap.value, key)
+                s, rows = Symbols(spec, values[lo:hi]), []
+                for d, key, first, last, near in cells(spec, s, names):
+                    ok = work.in_bloom(bitmap.value, key) | near
                     d, key, first, last = d[ok], key[ok], first[ok], last[ok]
-                    n, start, row = (last - first + 1).astype(np.int32), first - s.first[d], d + lo
-                    k = np.minimum(np.searchsorted(hot.value, key), max(0, len(hot.value) - 1))
-                    is_hot = hot.value[k] == key if len(hot.value) else np.zeros(len(key), bool)
-                    c = np.flatnonzero(~is_hot)
-                    none = pa.nulls(len(c), pa.int64())
-                    text = [s.content(x, y + spec.window) for x, y in zip(first[c].tolist(), last[c].tolist())]
-                    yield work.batch(CELL, np.full(len(c), COLD, np.int32), key[c].view(np.int64), none, doc[row[c]], th[row[c]], start[c], n[c], text)
-                    c = np.flatnonzero(is_hot)
-                    if not len(c):
-                        continue
-                    none, empty = pa.nulls(len(c), pa.int64()), pa.nulls(len(c), pa.binary())
-                    yield work.batch(CELL, np.full(len(c), RANGE, np.int32), none, none, doc[row[c]], th[row[c]], start[c], n[c], empty)
-                    off, wh = whole()
-                    at = np.repeat(first[c] - np.concatenate(([0], np.cumsum(n[c])[:-1])), n[c]) + np.arange(int(n[c].sum()))
-                    own = np.repeat(c, n[c])
-                    held.append((key[own].view(np.int64), wh[at - off].view(np.int64), doc[row[own]], th[row[own]], at - s.first[d[own]]))
-                    if sum(len(x[0]) for x in held) > HELD:
-                        yield _ends(held)
-                        held = []
-            if held:
-                yield _ends(held)
+                    row = d + lo
+                    text = [s.content(x, y + spec.window) for x, y in zip(first.tolist(), last.tolist())]
+                    rows += zip(key.view(np.int64).tolist(), doc[row].tolist(), th[row].tolist(), (first - s.first[d]).tolist(), (last - first + 1).tolist(), text)
+                out = send(rows)
+                if out:
+                    yield work.batch(CELL, *map(list, zip(*out)))
 
     return run
 
 
-def _cold(spec: Spec, judge):
-    names = ["key", "doc", "th", "start", "n", "content"]
+def spread(*parts: int) -> int:
+    """A name for a row that need not meet any other."""
+    h = sum(p * q for p, q in zip(parts, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))) & (2**64 - 1)
+    h ^= h >> 31
+    return (h * 0xBF58476D1CE4E5B9 & (2**64 - 1)) - 2**63
 
-    def run(batches):
-        for (key, doc, th, start, n, content), _ in work.chunks(batches, names, CHUNK, whole=True):
-            order = np.lexsort((start, th, doc, key))
-            key, doc, th, start, n, content = (c[order] for c in (key, doc, th, start, n, content))
-            new = np.ones(len(key), bool)  # rows that are one document come once
-            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (start[1:] != start[:-1])
-            size = np.bincount(np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))[new]) - 1)
-            ok = np.repeat(size > 1, size)
-            key, doc, th, start, n, content = (c[new][ok] for c in (key, doc, th, start, n, content))
-            if not len(key):
-                continue
-            hit = judge(key, doc, th, start, n, content.tolist())  # a flag for each window, cell after cell
-            own = np.repeat(np.arange(len(key)), n)
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], np.where(hit, own + 1, 0), [0]))))
-            at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-            a, b = edge[:-1], edge[1:]
-            a, b = a[hit[a]], b[hit[a]]  # runs of flagged windows of one cell
-            c = own[a]
-            yield work.batch(SPAN, doc[c], th[c], np.full(len(c), COLD, np.int32), start[c] + at[a], start[c] + at[b - 1] + spec.window)
 
-    return run
+@dataclass
+class Candidates:
+    """Documents as rows (doc_id, doc, th, text), and an estimate of their recurring cells."""
 
+    src: DataFrame
+    cells: DataFrame
+    total: int
 
-def covered(docs: DataFrame, spec: Spec, judge: Callable, spared: Callable) -> tuple[DataFrame, DataFrame]:
-    """(documents, spans): rows (doc, th, doc_id, text), and per document the array of spans (kind, s, e).
 
-    ``judge(key, doc, th, start, n, contents)`` flags windows of cold cells, which come sorted by key, then position.
-    ``spared(least, most)`` says of a hot window, from its least and most position, which of its places to spare:
-    it returns a condition and the position.  Spans of kind COLD are symbols to remove; RANGE, stretches of hot
-    windows; WINDOW, starts of windows to spare from the RANGE spans.
+def candidates(docs: DataFrame, spec: Spec, sender: Callable) -> Candidates:
+    """The cells of windows that can recur, sorted by key within partitions by key.
+
+    ``sender()`` gives each task a function from its cells (rows of CELL) to the rows of CELL that it sends.
     """
     spark = docs.sparkSession
     work.ship(spark)
-    text = F.col("text").cast("string")
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    src = src.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("th"), "text", "doc_id")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = src.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("th"), "text")
     anchors = src.select("text").mapInArrow(_anchors(spec), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
     anchors = work.stage(anchors)
     total = anchors.agg(F.sum("n")).first()[0] or 0
     limit = max(HOT, -(-total // MAX_HOT))  # so at most MAX_HOT anchors can be above it
-    hot = np.sort(np.array([r[0] for r in anchors.where(F.col("n") > limit).select("key").collect()], np.int64).view(seq.U))
+    hot = anchors.where(F.col("n") > limit).select("key").toArrow().column(0).to_numpy()
     bitmap = work.share(spark, work.bloom(anchors, "key"))
-    work.release(spark)  # the anchors' shuffle, now that their table is written
-    found = work.stage(src.select("doc", "th", "text").mapInArrow(_cells(spec, bitmap, work.share(spark, hot)), CELL_DDL))
-
-    cold = found.where(F.col("kind") == COLD)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cold.count() // CELLS))
-    cold = cold.select("key", "doc", "th", "start", "n", "content").repartition(parts, "key").sortWithinPartitions("key")
-    cold = cold.mapInArrow(_cold(spec, judge), SPAN_DDL)
-    wide = found.where(F.col("kind") == RANGE).select("doc", "th", "kind", F.col("start").alias("s"), (F.col("start") + F.col("n")).alias("e"))
-    at = F.struct("doc", "th", "start")
-    hot_windows = found.where(F.col("kind") == WINDOW).groupBy("key", "whash").agg(F.min(at).alias("least"), F.max(at).alias("most"))
-    keep, place = spared(F.col("least"), F.col("most"))
-    safe = hot_windows.where(keep).select(place["doc"].alias("doc"), place["th"].alias("th"), F.lit(WINDOW).alias("kind"), place["start"].alias("s"), place["start"].alias("e"))
-    spans = cold.unionByName(wide).unionByName(safe).groupBy("doc", "th").agg(F.collect_list(F.struct("kind", "s", "e")).alias("spans"))
-    return src, spans
-
-
-def removed(spans, window: int) -> list[tuple[int, int]]:
-    """Disjoint, sorted stretches of symbols to remove, from a document's spans."""
-    kind = np.array([x["kind"] for x in spans])
-    s, e = (np.array([x[k] for x in spans], np.int64) for k in ("s", "e"))
-    a, b = [s[kind == COLD]], [e[kind == COLD]]
-    if (kind == RANGE).any():
-        n = (e - s)[kind == RANGE]
-        at = np.repeat(s[kind == RANGE] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        at = np.setdiff1d(at, s[kind == WINDOW])
-        a.append(at)
-        b.append(at + window)
-    a, b = np.concatenate(a), np.concatenate(b)
-    if not len(a):
-        return []
-    order = np.argsort(a, kind="stable")
-    a, b = a[order], np.maximum.accumulate(b[order])
-    first = np.flatnonzero(np.concatenate(([True], a[1:] > b[:-1])))
-    return list(zip(a[first].tolist(), b[np.concatenate((first[1:] - 1, [len(b) - 1]))].tolist()))
+    names = work.share(spark, np.sort(hot.astype(np.int64).view(seq.U)))
+    found = src.select("doc", "th", "text").mapInArrow(_cells(spec, bitmap, names, sender), CELL_DDL)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // CELLS))
+    return Candidates(src, found.repartition(parts, "key").sortWithinPartitions("key"), total)
 
 
-def apply(src: DataFrame, spans: DataFrame, window: int, result: Callable, schema: pa.Schema, ddl: str) -> DataFrame:
-    """Per document, ``result(text, stretches)`` as the columns after doc_id."""
+def without(src: DataFrame, bitmap, result: Callable, schema: pa.Schema, ddl: str) -> DataFrame:
+    """The results of documents whose ``th`` is not in the bitmap, as they are."""
 
     def run(batches):
         for b in batches:
-            rows = [result(t or b"", removed(sp, window) if sp else []) for t, sp in zip(work.texts(b.column(1)), b.column(2).to_pylist())]
+            b = b.filter(pa.array(~work.in_bloom(bitmap.value, b.column(1).to_numpy().view(seq.U))))
+            rows = [result(t or b"", []) for t in work.texts(b.column(2))]
             yield work.batch(schema, b.column(0), *([list(c) for c in zip(*rows)] or [[] for _ in list(schema)[1:]]))
 
-    both = src.join(spans, ["doc", "th"], "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(run, ddl)
+    return src.select("doc_id", "th", "text").mapInArrow(run, ddl)
+
+
+def within(src: DataFrame, bitmap) -> DataFrame:
+    """The documents whose ``th`` is in the bitmap."""
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(work.in_bloom(bitmap.value, b.column(2).to_numpy().view(seq.U))))
+
+    return src.select("doc_id", "doc", "th", "text").mapInArrow(run, "doc_id long, doc long, th long, text string")
+
+
+def merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Disjoint, sorted stretches that cover what the stretches from ``a`` to before ``b`` cover."""
+    if not len(a):
+        return []
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    first = np.flatnonzero(np.concatenate(([True], a[1:] > b[:-1])))
+    return list(zip(a[first].tolist(), b[np.concatenate((first[1:] - 1, [len(b) - 1]))].tolist()))

@@ -1,9 +1,15 @@
 """Substring deduplication by repeated-phrase automata.
 
-Windows of 35 words that can recur meet by anchor (``repeats``); an anchor's hash deals cells to shards, so every
-document is streamed, but only through the shards that can hold its passages.  A chunk of a shard confirms by the
-words themselves which windows occur at two places, joins neighbouring ones to passages, compiles the passages into an
-Aho-Corasick automaton, one letter a word, and streams the chunk's cells through it to locate every occurrence.
+1. Confirm.  Windows of 35 words that can recur meet by anchor (``repeats``), as the contents of cells.  Windows of
+   equal hash are compared word by word; those that start at two places are confirmed, and neighbouring ones of a
+   content make a phrase.  No place of an occurrence goes on from here: a phrase goes to the shards of documents that
+   hold its content, by a hash of the document.
+2. Locate.  Each shard's documents and phrases meet.  Phrases are compiled, at most LETTERS words at a time, into an
+   Aho-Corasick automaton, one letter a word, and every document of the shard is streamed through it whole; the words
+   that its hits cover are removed.  Phrases of hot anchors occur in most shards: they are broadcast in blocks of at
+   most HOT_BYTES while they have at most HOT_LIMIT bytes in all, and go to every shard by shuffle beyond that.
+
+Documents that hold no confirmed window are not shuffled.
 
 Defined results.  Null text: no words.  Null doc_id: an ordinary document.  Rows of one doc_id and one text are one
 document and get one result each.  Texts of fewer than 35 words: nothing removed.  Empty table: no rows.  Other
@@ -19,79 +25,297 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import repeats, work
+from . import repeats, seq, work
 
 WINDOW = 35
 SPEC = repeats.Spec(words=True, window=WINDOW, run=8)
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 DDL = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+#: Words of one automaton; recurring cells of a shard's documents, about; bytes of a block and of all broadcast phrases.
+LETTERS, SHARD_CELLS = 400_000, 20_000
+HOT_BYTES, HOT_LIMIT = 4 << 20, 32 << 20
+#: What the confirming step gives: a phrase for a shard, a phrase of a hot anchor, a document that holds a phrase.
+PHRASE, COMMON, HOLDER = 0, 1, 2
+FOUND = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("th", pa.int64()), ("phrase", pa.binary())])
+FOUND_DDL = "kind int, shard long, th long, phrase binary"
+ROW = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("body", pa.binary())])
+ROW_DDL = "shard long, kind int, doc_id long, body binary"
 
 
-class Letters(dict):
-    """A letter for each word; surrogates are left out."""
-
-    def __missing__(self, word: bytes) -> str:
-        k = len(self) + 1
-        letter = self[word] = chr(k if k < 0xD800 else k + 0x800)
-        return letter
-
-
-def recurring(phrases: list[str], times: list[int]) -> list[list[tuple[int, int]]]:
-    """For each phrase, which stretches of windows occur at two places of the phrases, each there ``times`` over."""
-    seen: dict[str, int] = {}
-    for p, t in zip(phrases, times):
-        for o in range(len(p) - WINDOW + 1):
-            w = p[o : o + WINDOW]
-            seen[w] = seen.get(w, 0) + t
-    out = []
-    for p in phrases:
-        runs: list[list[int]] = []
-        for o in range(len(p) - WINDOW + 1):
-            if seen[p[o : o + WINDOW]] > 1:
-                if runs and runs[-1][1] == o:
-                    runs[-1][1] = o + 1
-                else:
-                    runs.append([o, o + 1])
-        out.append([(a, b) for a, b in runs])
+def named(content: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True)
+
+
+def sender():
+    """What a task sends: each content from two places, which proves that it recurs; from then on only its name.
+
+    A name is sent to its anchor, which brings the phrase to that document's shard.  A hot anchor's phrases are
+    everywhere, so a document that has only those is sent by itself, to no group.
+    """
+    known: dict[tuple[int, bytes], tuple | None] = {}
+
+    def send(rows):
+        out, told = [], set()
+        for row in rows:
+            key, doc, th, start, n, content = row
+            name, at = (key, content), (doc, th, start)
+            old = known.get(name, at)
+            if old is None:
+                if key >= 0:
+                    out.append((key, doc, th, named(content), 0, None))
+                elif th not in told:
+                    told.add(th)
+                    out.append((repeats.spread(doc, th, 1), doc, th, 0, -1, None))
+                continue
+            if old is not at and old != at:
+                known[name] = None
+            else:
+                known[name] = at
+                if old is not at:
+                    continue  # the same place once more
+            out.append(row)
+        if len(known) > repeats.MEMORY:
+            known.clear()
+        return out
+
+    return send
+
+
+def phrases(key: np.ndarray, content: list[bytes], times: np.ndarray) -> list[list[bytes]]:
+    """Per content of an anchor, sorted by anchor, the longest stretches of windows that start at two places.
+
+    ``times``: at how many places each content is known to stand.  Windows are compared by their words, where their
+    hashes agree.
+    """
+    out: list[list[bytes]] = [[c] if t > 1 else [] for c, t in zip(content, times.tolist())]
+    family = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1
+    open_ = np.bincount(family, weights=times == 1)[family] > 0
+    look = np.flatnonzero(open_ & (np.bincount(family) > 1)[family])
+    if not len(look):
+        return out
+    w = seq.Words([content[i] for i in look])
+    g = seq.gram_hashes(w.hash, WINDOW)
+    n = w.last - w.first - WINDOW + 1
+    cell = np.repeat(np.arange(len(look)), n)
+    at = np.arange(len(cell)) - np.repeat(np.cumsum(n) - n, n) + w.first[cell]
+    fam, h = family[look][cell], g[at]
+    order = np.lexsort((h, fam))
+    new = np.concatenate(([True], (fam[order][1:] != fam[order][:-1]) | (h[order][1:] != h[order][:-1])))
+    group = np.cumsum(new) - 1
+    size = np.bincount(group)
+    hit = np.zeros(len(cell), bool)
+    hit[times[look][cell] > 1] = True
+    text, a, b = w.buf.tobytes(), w.ws[at].tolist(), w.we[at + WINDOW - 1].tolist()
+    cut = np.concatenate((np.flatnonzero(new), [len(order)]))
+    for k in np.flatnonzero(size > 1).tolist():
+        own = order[cut[k] : cut[k + 1]].tolist()
+        same: dict[bytes, list[int]] = {}
+        for i in own:
+            same.setdefault(text[a[i] : b[i]], []).append(i)
+        for places in same.values():
+            if len(places) > 1:
+                hit[places] = True
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], np.where(hit, cell + 1, 0), [0]))))
+    x, y = edge[:-1], edge[1:]
+    x, y = x[hit[x]], y[hit[x]]  # runs of confirmed windows of one content
+    for p, q in zip(x.tolist(), y.tolist()):
+        i = int(look[cell[p]])
+        if times[i] == 1:
+            out[i].append(text[a[p] : b[q - 1]])
     return out
 
 
-def judge(key, doc, th, start, n, content) -> np.ndarray:
-    import ahocorasick
-
-    letters = Letters()
-    cells: dict[tuple[int, bytes], int] = {}
-    of = [cells.setdefault(c, len(cells)) for c in zip(key.tolist(), content)]
-    names = list(cells)
-    times = np.bincount(of, minlength=len(names))
-    phrases = ["".join([letters[w] for w in c.split(b" ")]) for _, c in names]
-    passages: set[str] = set()
-    group = np.array([k for k, _ in names])
-    cut = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):  # cells of one anchor
-        if b - a == 1:
-            passages.add(phrases[a])  # an anchor with one content only, at two places or more
-            continue
-        for p, runs in zip(phrases[a:b], recurring(phrases[a:b], times[a:b].tolist())):
-            passages.update(p[x : y + WINDOW - 1] for x, y in runs)
-    hits = [np.zeros(len(p) - WINDOW + 1, bool) for p in phrases]
-    if passages:
-        automaton = ahocorasick.Automaton()
-        for p in passages:
-            automaton.add_word(p, len(p))
-        automaton.make_automaton()
-        for p, hit in zip(phrases, hits):
-            for end, size in automaton.iter(p):
-                hit[end + 1 - size : end + 2 - WINDOW] = True
-    return np.concatenate([hits[i] for i in of])
-
-
-def _spared(least, most):
-    return least == most, least
-
-
-def result(text: bytes, stretches: list[tuple[int, int]]) -> tuple:
-    words = text.split()
+def shard_of(doc: np.ndarray, th: np.ndarray, shards: int) -> np.ndarray:
+    return (seq.mix(doc.view(seq.U) * seq.STEP[50] + th.view(seq.U)) % seq.U(shards)).astype(np.int64)
+
+
+def _confirm(shards: int):
+    def run(batches):
+        for (key, doc, th, start, n, content), _ in work.chunks(batches, repeats.CELL.names, repeats.CHUNK, whole=True):
+            alone = n < 0
+            if alone.any():
+                yield work.batch(FOUND, np.full(int(alone.sum()), HOLDER, np.int32), np.full(int(alone.sum()), -1), th[alone], pa.nulls(int(alone.sum()), pa.binary()))
+            names: dict[tuple[int, bytes], int] = {}
+            full = np.array([c is not None for c in content], bool)
+            own, places = np.full(len(key), -1), []
+            for i in np.flatnonzero(full).tolist():
+                k = own[i] = names.setdefault((int(key[i]), content[i]), len(names))
+                at = (doc[i], th[i], start[i])
+                if k == len(places):
+                    places.append(at)
+                elif places[k] is not None and places[k] != at:
+                    places[k] = None  # at two places
+            if not names:
+                continue
+            group, texts = np.array([k for k, _ in names], np.int64), [c for _, c in names]
+            found = phrases(group, texts, np.array([2 if p is None else 1 for p in places]))
+            called: dict[tuple[int, int], list[int]] = {}
+            held = np.flatnonzero(~full & ~alone)
+            if len(held):
+                for k, (g, c) in enumerate(names):
+                    called.setdefault((g, named(c)), []).append(k)
+            shard, rows, common, holders = shard_of(doc, th, shards), set(), set(), set()
+            for i in np.flatnonzero(full).tolist() + held.tolist():
+                for k in [int(own[i])] if full[i] else called.get((int(key[i]), int(start[i])), []):
+                    if found[k]:
+                        holders.add(int(th[i]))
+                        if key[i] < 0:
+                            common.update(found[k])
+                        else:
+                            rows.update((int(shard[i]), p) for p in found[k])
+            none = pa.nulls(len(holders), pa.binary())
+            yield work.batch(FOUND, np.full(len(holders), HOLDER, np.int32), np.full(len(holders), -1), list(holders), none)
+            for kind, some in ((PHRASE, rows), (COMMON, [(-1, p) for p in common])):
+                some = sorted(some)
+                yield work.batch(FOUND, np.full(len(some), kind, np.int32), [s for s, _ in some], np.zeros(len(some), np.int64), [p for _, p in some])
+
+    return run
+
+
+class Automaton:
+    """An Aho-Corasick automaton of phrases, one letter a word of theirs and one for all other words."""
+
+    def __init__(self, some: list[list[bytes]]):
+        import ahocorasick
+
+        self.letters: dict[bytes, str] = {}
+        self.automaton = ahocorasick.Automaton()
+        for words in some:
+            for w in words:
+                if w not in self.letters:
+                    k = len(self.letters) + 2
+                    self.letters[w] = chr(k if k < 0xD800 else k + 0x800)  # surrogates are left out
+            self.automaton.add_word("".join([self.letters[w] for w in words]), len(words))
+        self.automaton.make_automaton()
+
+    def hits(self, words: list[bytes]):
+        """(start, end) of each occurrence of a phrase, in words."""
+        get = self.letters.get
+        for end, size in self.automaton.iter("".join([get(w, "\x01") for w in words])):
+            yield end + 1 - size, end + 1
+
+
+def automata(some):
+    """Automata of at most LETTERS words each (one phrase at least) that together have all phrases."""
+    part, size = [], 0
+    for p in some:
+        words = p.split()
+        if part and size + len(words) > LETTERS:
+            yield Automaton(part)
+            part, size = [], 0
+        part.append(words)
+        size += len(words)
+    if part:
+        yield Automaton(part)
+
+
+class Streams:
+    """A shard's documents, and which of their words hits have covered."""
+
+    def __init__(self):
+        self.ids, self.words, self.covered = [], [], []
+
+    def add(self, doc_id, text: bytes):
+        self.ids.append(doc_id)
+        self.words.append(text.split())
+        self.covered.append([])
+
+    def through(self, a: Automaton):
+        for words, covered in zip(self.words, self.covered):
+            for s, e in a.hits(words):
+                if covered and covered[-1][0] <= s <= covered[-1][1]:
+                    covered[-1][1] = max(covered[-1][1], e)
+                else:
+                    covered.append([s, e])
+
+    def results(self, result):
+        for doc_id, words, covered in zip(self.ids, self.words, self.covered):
+            a = np.array(covered, np.int64).reshape(-1, 2)
+            yield doc_id, *result(words, repeats.merged(a[:, 0], a[:, 1]))
+
+
+def _locate(blocks, result, schema: pa.Schema):
+    """Rows of a shard: its documents (kind 0), then its phrases (kind 1)."""
+
+    def run(batches):
+        common = [a for b in blocks for a in automata(b.value)] if blocks else []
+        shard, streams, part, size = None, Streams(), [], 0
+
+        def close():
+            nonlocal part, size
+            for a in automata(part):
+                streams.through(a)
+            part, size = [], 0
+
+        def end():
+            close()
+            for a in common:
+                streams.through(a)
+            rows = list(streams.results(result))
+            if rows:
+                return work.batch(schema, *([list(c) for c in zip(*rows)]))
+
+        for b in batches:
+            for s, kind, doc_id, body in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if s != shard:
+                    if (out := end()) is not None:
+                        yield out
+                    shard, streams = s, Streams()
+                if kind == 0:
+                    streams.add(doc_id, body or b"")
+                else:
+                    part.append(body)
+                    size += len(body)
+                    if size > 8 * LETTERS:
+                        close()
+        if (out := end()) is not None:
+            yield out
+
+    return run
+
+
+def _common(rows: DataFrame):
+    """Phrases in blocks of at most HOT_BYTES (one phrase at least), streamed to the driver; the caller checks their size."""
+    part, size = [], 0
+    for r in rows.toLocalIterator():
+        if part and size + len(r[0]) > HOT_BYTES:
+            yield part
+            part, size = [], 0
+        part.append(bytes(r[0]))
+        size += len(r[0])
+    if part:
+        yield part
+
+
+def _applied(docs: DataFrame, result, schema: pa.Schema, ddl: str) -> DataFrame:
+    """Per document, ``result(words, stretches to remove)`` as the columns after doc_id."""
+    spark = docs.sparkSession
+    found = repeats.candidates(docs, SPEC, sender)
+    shards = max(1, -(-found.total // SHARD_CELLS))
+    told = work.stage(found.cells.mapInArrow(_confirm(shards), FOUND_DDL))
+    bitmap = work.share(spark, work.bloom(told.where(F.col("kind") == HOLDER).select("th").distinct(), "th"))
+    common = work.stage(told.where(F.col("kind") == COMMON).select("phrase").distinct())
+    own = told.where(F.col("kind") == PHRASE).select("shard", "phrase").distinct()
+    blocks = []
+    if (common.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0) <= HOT_LIMIT:
+        blocks = [work.share(spark, b) for b in _common(common)]
+    else:
+        own = own.union(common.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), "phrase"))
+
+    def dealt(batches):
+        for b in batches:
+            shard = shard_of(b.column(1).to_numpy(), b.column(2).to_numpy(), shards)
+            yield work.batch(ROW, shard, np.zeros(b.num_rows, np.int32), b.column(0), b.column(3).cast(pa.binary()))
+
+    rows = repeats.within(found.src, bitmap).mapInArrow(dealt, ROW_DDL)
+    rows = rows.union(own.select("shard", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.col("phrase").alias("body")))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 8)
+    rows = rows.repartition(parts, "shard").sortWithinPartitions("shard", "kind")
+    alone = repeats.without(found.src, bitmap, lambda text, _: result(text.split(), []), schema, ddl)
+    return rows.mapInArrow(_locate(blocks, result, schema), ddl).unionByName(alone)
+
+
+def result(words: list[bytes], stretches: list[tuple[int, int]]) -> tuple:
     kept, at = [], 0
     for a, b in stretches:
         kept += words[at:a]
@@ -102,19 +326,17 @@ def result(text: bytes, stretches: list[tuple[int, int]]) -> tuple:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256."""
-    src, spans = repeats.covered(docs, SPEC, judge, _spared)
-    return repeats.apply(src, spans, WINDOW, result, OUT, DDL)
+    return _applied(docs, result, OUT, DDL)
 
 
 def kept_words(docs: DataFrame) -> DataFrame:
     """Per row: doc_id and the kept words, joined by one space."""
 
-    def keep(text, stretches):
-        words, ends = text.split(), [0, *[b for _, b in stretches]]
+    def keep(words, stretches):
+        ends = [0, *[b for _, b in stretches]]
         return (b" ".join(w for e, a in zip(ends, [*[a for a, _ in stretches], len(words)]) for w in words[e:a]).decode(),)
 
-    src, spans = repeats.covered(docs, SPEC, judge, _spared)
-    return repeats.apply(src, spans, WINDOW, keep, pa.schema([("doc_id", pa.int64()), ("kept", pa.string())]), "doc_id long, kept string")
+    return _applied(docs, keep, pa.schema([("doc_id", pa.int64()), ("kept", pa.string())]), "doc_id long, kept string")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

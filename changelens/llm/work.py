@@ -7,7 +7,6 @@ per application; ``drop_all`` removes it once the results have been consumed.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -50,13 +49,10 @@ def drop_all(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps that are done: it does once the driver has collected its garbage.
-
-    Left alone, the driver does so when its heap fills, and the files of every step stay on the executors' disks.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
+def packed(docs: DataFrame, none: int) -> DataFrame:
+    """(row, id): whole rows of ``docs`` in one column, so that no name of theirs can clash, and doc_id or ``none``."""
+    row = docs.select(F.struct("*").alias("row"))
+    return row.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(none)).alias("id"))
 
 
 def share(spark: SparkSession, value):
