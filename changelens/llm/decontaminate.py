@@ -232,8 +232,9 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose text matches no item."""
-    gone = work.stage(_matches(docs, items).select(F.col("sha").alias("__gone")).distinct())
-    return docs.join(gone, F.sha2(docs["text"].cast("string"), 256) == F.col("__gone"), "left_anti")
+    gone = work.stage(_matches(docs, items).select("sha").distinct())
+    sha = F.sha2(F.col("row.text").cast("string"), 256)
+    return work.packed(docs, 0).withColumn("sha", sha).join(gone, "sha", "left_anti").select("row.*")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

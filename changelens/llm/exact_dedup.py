@@ -121,17 +121,18 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Rows go by doc_id.  Only where several rows share a doc_id, and some stay and some go, are the texts of those rows
     looked at again; which of wholly tied rows stays is arbitrary.
     """
-    decided = work.stage(groups(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), "kept", F.col("text_sha256").alias("__sha")))
-    per = work.stage(decided.groupBy("__id").agg(F.max("kept").alias("any"), F.min("kept").alias("all")).where("not all"))
-    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
-    out = docs.join(per.select("__id"), key == F.col("__id"), "left_anti")
-    mixed = per.where("any").select("__id")
+    decided = work.stage(groups(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "kept", F.col("text_sha256").alias("sha")))
+    per = work.stage(decided.groupBy("id").agg(F.max("kept").alias("any"), F.min("kept").alias("all")).where("not all"))
+    packed = work.packed(docs, NO_ID)
+    out = packed.join(per.select("id"), "id", "left_anti")
+    mixed = per.where("any").select("id")
     if mixed.isEmpty():
-        return out
-    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    own = docs.join(mixed, key == F.col("__id"), "left_semi").withColumns({"__id": key, "__sha": F.sha2(text, 256)})
-    stay = decided.where("kept").select("__id", "__sha").distinct()
-    return out.unionByName(own.join(stay, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"]).select(*docs.columns))
+        return out.select("row.*")
+    text = F.translate(F.coalesce(F.col("row.text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    own = packed.join(mixed, "id", "left_semi").withColumn("sha", F.sha2(text, 256))
+    stay = decided.where("kept").select("id", "sha").distinct()
+    own = own.join(stay, ["id", "sha"], "left_semi").dropDuplicates(["id", "sha"])
+    return out.select("row").union(own.select("row")).select("row.*")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,19 +4,24 @@ A document's set holds the hashes of its distinct 5-word shingles.  Documents wi
 
 1. Statistics: each node's size, digest and parity bitmap, and how often each of BINS hashed shingle bins occurs.
 2. Incidence: each node emits its rarest n - ceil(0.8 n) + 1 shingles; two sets that are similar enough share one.
-3. Product: the incidence rows of one shingle give pairs, discarded where sizes or positions rule 0.8 out.  Rows of
-   few nodes give all their pairs.  Rows of many give each node's pairs with a few hubs first; later, pairs whose
-   nodes the hubs have not brought together already are looked at too, so none is missed.
-4. Bitmaps: the bits in which two parity bitmaps differ bound the sets' difference from below, exactly.
-5. Blocks: what is left falls into clusters, each cut into blocks of at most BLOCK nodes; one task per pair of blocks
-   accumulates overlap counts over whole sets from the incidence lists and keeps links of 0.8 and more.
+3. Product: the incidence rows of one shingle give pairs, discarded where sizes or positions rule 0.8 out.  Up to
+   SMALL nodes give all their pairs, more give each node's pair with the first only: no more rows than nodes.
+4. Bitmaps: the bits in which two parity bitmaps differ bound the sets' difference from below, exactly.  What is left
+   joins nodes to clusters.  Shingles of more than SMALL nodes that are not all in one cluster are gone through once
+   more, in blocks of bounded size, for pairs between clusters; so no pair is missed.
+5. Links: a cluster is cut into blocks of bounded size, and CENTERS of its nodes go to every block.  A task accumulates
+   overlap counts over the whole sets of its block from the incidence lists and keeps links of 0.8 and more.
+6. Between blocks: where a cluster of several blocks is not one component by then, its nodes are dealt anew, by
+   component where that is large and by size.  Pairs of blocks are multiplied, but for those of one component and
+   those whose sizes rule 0.8 out.
 
 Links inside what is already one component are not looked for, as only the components are asked for; every other
 pair is.  No step holds more than a block, a chunk or a bounded bitmap in memory.
 
 Defined results.  Null, empty or wordless text: an empty set, linked with nothing.  Null doc_id: takes part, sorts
 above every other as a representative, so component_id is null only where all ids are.  Repeated rows: one row out
-for each.  Empty table: no rows.  Other columns: ignored by ``classes``, carried by ``deduplicate``.
+for each.  Empty table: no rows.  Other columns, whatever their names: ignored by ``classes``, carried by
+``deduplicate``.
 """
 
 from __future__ import annotations
@@ -34,10 +39,12 @@ from .components import components
 WIDTH = 5
 #: Hashed shingle bins counted over the corpus; rows of the table of counts that a task writes.
 BINS, CHUNK = 1 << 19, 1 << 12
-#: Incidence rows of up to SMALL nodes give all pairs; larger ones start from HUBS nodes.
-SMALL, HUBS = 32, 3
-#: Nodes of a block; incidence rows of a shuffle partition.
-BLOCK, ROWS = 4096, 1_000_000
+#: Incidence rows of up to SMALL nodes give all pairs; those of more give each node's with the first.
+SMALL = 4
+#: Nodes of a block, and its shingles; nodes that go to every block of a cluster; incidence rows of a shuffle partition.
+BLOCK, GRAMS, CENTERS, ROWS = 1024, 1 << 20, 4, 1_000_000
+#: Rows of a shingle, and bytes of their bitmaps, that are looked at together for pairs between clusters.
+ACROSS, ACROSS_BYTES = 4096, 1 << 24
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 
@@ -147,7 +154,7 @@ def possible(n1, p1, n2, p2):
 
 
 def _pairs(batches):
-    hubs = None
+    first = None
     for (key, node, n, pos), goes_on in work.chunks(batches, ENTRY.names, ROWS):
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
@@ -160,28 +167,27 @@ def _pairs(batches):
         left, right = [], []
         for d in range(1, SMALL):
             i = np.flatnonzero((key[d:] == key[:-d]) & ~big[d:]) if d < len(key) else np.zeros(0, int)
-            if not len(i):
-                break
             left.append(i)
             right.append(i + d)
-        for k in np.flatnonzero(size > SMALL) if not goes_on else np.unique(np.concatenate(([0], np.flatnonzero(size > SMALL)))):
-            s, e = int(start[k]), int(start[k] + size[k])
-            if goes_on and k == 0:
-                for h in hubs:
-                    ok = possible(n[s:e], pos[s:e], np.full(e - s, h[1]), np.full(e - s, h[2])) & (node[s:e] != h[0])
-                    yield _pair_batch(node[s:e][ok], np.full(int(ok.sum()), h[0]))
-                continue
-            for h in range(HUBS):
-                left.append(np.full(e - s - h - 1, s + h))
-                right.append(np.arange(s + h + 1, e))
-            hubs = [(node[s + h], n[s + h], pos[s + h]) for h in range(HUBS)]
-        if left:
-            i, j = np.concatenate(left), np.concatenate(right)
-            ok = possible(n[i], pos[i], n[j], pos[j])
-            yield _pair_batch(node[i[ok]], node[j[ok]])
+        head = np.repeat(start, size)
+        i = np.flatnonzero(big & (head != np.arange(len(key))))
+        if goes_on:  # the first chunk's first node goes on
+            own = i[i >= size[0]]
+            part = slice(0, int(size[0]))
+            ok = possible(n[part], pos[part], np.full(size[0], first[1]), np.full(size[0], first[2])) & (node[part] != first[0])
+            yield _pair_batch(node[part][ok], np.full(int(ok.sum()), first[0]))
+            i = own
+        else:
+            first = None
+        if len(start) > 1 or first is None:
+            first = (node[start[-1]], n[start[-1]], pos[start[-1]])
+        left.append(head[i])
+        right.append(i)
+        i, j = np.concatenate(left), np.concatenate(right)
+        ok = possible(n[i], pos[i], n[j], pos[j])
+        yield _pair_batch(node[i[ok]], node[j[ok]])
         if big.any():
-            m = int(big.sum())
-            none = pa.nulls(m, pa.int64())
+            none = pa.nulls(int(big.sum()), pa.int64())
             yield work.batch(PAIR, node[big], none, key[big], n[big], pos[big])
 
 
@@ -198,23 +204,28 @@ def folded(m: np.ndarray, width: int) -> np.ndarray:
 
 
 def _across(batches):
-    """Pairs of one shingle whose nodes have different labels and whose bitmaps leave 0.8 open, each once a chunk."""
-    names = [*ENTRY.names, "label", "bitmap"]
-    for (key, node, n, pos, label, bits), _ in work.chunks(batches, names, 1 << 14, whole=True):
-        order = np.lexsort((label, key))
-        key, node, n, pos, label, bits = (c[order] for c in (key, node, n, pos, label, bits))
+    """Pairs of one shingle whose nodes have different labels and whose bitmaps leave 0.8 open, each once a chunk.
+
+    Rows come by group, a shingle or two blocks of its nodes; ``own`` is a row's block, -1 where there is but one.
+    """
+    names = ["group", *ENTRY.names, "label", "bitmap", "own"]
+    for (group, key, node, n, pos, label, bits, own), _ in work.chunks(batches, names, ACROSS, whole=True):
+        order = np.lexsort((label, key, group))
+        group, key, node, n, pos, label, bits, own = (c[order] for c in (group, key, node, n, pos, label, bits, own))
         size = np.array([len(x) // 8 for x in bits])
         at, table = np.zeros(len(bits), np.int64), {}
         for w in np.unique(size):  # bitmaps of one length in one matrix
-            own = np.flatnonzero(size == w)
-            at[own] = np.arange(len(own))
-            table[w] = np.frombuffer(b"".join(bits[own].tolist()), np.uint64).reshape(len(own), w)
-        run = np.cumsum(np.concatenate(([True], (key[1:] != key[:-1]) | (label[1:] != label[:-1]))))
-        end, last = np.searchsorted(run, run, side="right"), np.searchsorted(key, key, side="right")
+            some = np.flatnonzero(size == w)
+            at[some] = np.arange(len(some))
+            table[w] = np.frombuffer(b"".join(bits[some].tolist()), np.uint64).reshape(len(some), w)
+        last_of = np.concatenate(([True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])))
+        run = np.cumsum(last_of | np.concatenate(([True], label[1:] != label[:-1])))
+        part = np.cumsum(last_of)
+        end, last = np.searchsorted(run, run, side="right"), np.searchsorted(part, part, side="right")
         left, right = [], []
         for i in np.flatnonzero(end < last):
             j = np.arange(end[i], last[i])
-            j = j[possible(n[j], pos[j], n[i : i + 1], pos[i : i + 1])]
+            j = j[((own[j] != own[i]) | (own[i] < 0)) & possible(n[j], pos[j], n[i : i + 1], pos[i : i + 1])]
             mine = table[size[i]][at[i] : at[i] + 1]
             for w in np.unique(size[j]):
                 k, both = j[size[j] == w], min(w, size[i])
@@ -264,18 +275,19 @@ def _sets_of(shared):
     return run
 
 
-def links(sets: list[np.ndarray]) -> np.ndarray:
+def links(sets: list[np.ndarray], label: np.ndarray | None = None) -> np.ndarray:
     """Component labels of the sets, linked at 0.8, by rows of the sparse product of sets and shingles.
 
     A row counts one set's overlap with all others at once from the lists of the sets that hold each shingle.  Rows
     are computed until those sets that have none yet are all in one component: no other pair can change anything.
+    ``label``: what is known to be one component already.
     """
     m = len(sets)
     n = np.array([len(s) for s in sets], np.int64)
-    label, done = np.arange(m), np.zeros(m, bool)
-    if m == 2:
+    label, done = np.arange(m) if label is None else label.copy(), np.zeros(m, bool)
+    if m == 2 and label[0] != label[1]:
         both = len(np.intersect1d(*sets, assume_unique=True))
-        return np.zeros(2, int) if both >= needed(*n) else label
+        return label[[0, 0]] if both >= needed(*n) else label
     owner = np.repeat(np.arange(m), n)
     _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = df[token] > 1
@@ -302,28 +314,35 @@ def links(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verify(batches):
-    """Rows (group, digest, grams) sorted by group; out: links as (digest of the component's first set, digest)."""
+    """Rows (x, y, digest, root, grams) sorted by (x, y), the name of a block or of two; out: roots that are linked."""
     group, rows = None, {}
     out: list[tuple[bytes, bytes]] = []
 
     def close():
         names = list(rows)
-        if len(names) > 1:
-            label = links([np.frombuffer(rows[d], seq.U) for d in names])
-            out.extend((names[k], d) for k, d in zip(label.tolist(), names) if names[k] != d)
+        roots = [rows[d][0] for d in names]
+        known: dict[bytes, int] = {}
+        label = np.array([known.setdefault(r, k) for k, r in enumerate(roots)])
+        if len(known) > 1:
+            label = links([np.frombuffer(rows[d][1], seq.U) for d in names], label)
+            out.extend({(roots[k], r) for k, r in zip(label.tolist(), roots) if roots[k] != r})
+
+    def batch():
+        some = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+        out.clear()
+        return some
 
     for b in batches:
-        for g, d, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            if g != group:
+        for x, y, d, r, s in zip(*(b.column(i).to_pylist() for i in range(5))):
+            if (x, y) != group:
                 close()
-                group, rows = g, {}
-            rows[d] = s
+                group, rows = (x, y), {}
+            rows[d] = r, s
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
-            out.clear()
+            yield batch()
     close()
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+        yield batch()
 
 
 def _filter(pairs: DataFrame, bits: DataFrame) -> DataFrame:
@@ -338,6 +357,56 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("sha").alias("sha"))
 
 
+def _several(count: Column, grams: Column) -> Column:
+    """In how many blocks so many nodes of so many shingles are cut."""
+    return F.greatest(F.lit(1), F.ceil(count / F.lit(BLOCK)), F.ceil(grams / F.lit(GRAMS))).cast("long")
+
+
+def _linked(src: DataFrame, dealt: DataFrame) -> DataFrame:
+    """Linked roots (a, b), from sets dealt to groups: rows (digest, node, root, x, y)."""
+    wanted = work.share(src.sparkSession, work.bloom(dealt.select("node").distinct(), "node"))
+    sets = src.select("text").mapInArrow(_sets_of(wanted), "node long, digest binary, grams binary").drop("node")
+    rows = sets.join(dealt.drop("node"), "digest").select("x", "y", "digest", "root", "grams")
+    return work.stage(rows.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(_verify, "a binary, b binary"))
+
+
+def _within(src: DataFrame, member: DataFrame) -> DataFrame:
+    """(node, label) of the linked digests of each block, from the rows (digest, node, n, label, blocks, own)."""
+    slot = F.pmod(F.xxhash64("digest"), F.lit(CENTERS))
+    centers = member.where("blocks > 1").groupBy("label", slot).agg(F.min("digest").alias("digest")).select("digest", F.lit(True).alias("center"))
+    at = F.when(F.col("center"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own"))
+    dealt = member.join(centers, "digest", "left").select("digest", "node", F.col("digest").alias("root"), F.col("label").alias("x"), F.explode(at).alias("y"))
+    return components(_linked(src, dealt))
+
+
+def _between(src: DataFrame, member: DataFrame, joined: DataFrame) -> DataFrame | None:
+    """(node, label) of linked roots whose links lie between blocks; None if every cluster is one component."""
+    wide = member.where("blocks > 1").join(joined.withColumnRenamed("label", "root"), F.col("digest") == joined["node"], "left")
+    wide = work.stage(wide.select("digest", member["node"], "n", member["label"], F.coalesce("root", "digest").alias("root")))
+    mixed = work.stage(wide.groupBy("label").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("label"))
+    if mixed.isEmpty():
+        return None
+    wide = wide.join(mixed, "label", "left_semi")
+    large = wide.groupBy("label", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).where(_several(F.col("c"), F.col("s")) > 1)
+    unit = F.when(F.col("c").isNotNull(), F.col("root"))  # null: components of less than a block, together
+    size = F.floor(F.log(1.26, "n")).cast("int")  # sets that can be linked are at most one apart
+    wide = work.stage(wide.join(large, ["label", "root"], "left").select("digest", "node", "label", "root", "n", unit.alias("unit"), size.alias("size")))
+    unit = ["label", "unit", "size"]
+    per = wide.groupBy(*unit).agg(_several(F.count(F.lit(1)), F.sum("n")).alias("blocks"))
+    per = per.select(*[F.col(k).alias(f"{k}_") for k in unit], "blocks")
+    same = [wide[k].eqNullSafe(per[f"{k}_"]) for k in unit]
+    block = F.xxhash64(*unit, F.pmod(F.xxhash64("digest"), "blocks"))
+    wide = work.stage(wide.join(per, same).select("digest", "node", "root", *unit, block.alias("block")))
+    blocks = work.stage(wide.select(*unit, "block").distinct())
+    other = blocks.select(*[F.col(k).alias(f"{k}_") for k in blocks.columns])
+    apart = F.col("unit").isNull() | ~F.col("unit").eqNullSafe(F.col("unit_"))
+    near = F.abs(F.col("size") - F.col("size_")) <= 1
+    pairs = blocks.join(other, F.col("label") == F.col("label_")).where(near & apart & (F.col("block") <= F.col("block_")))
+    pairs = work.stage(pairs.select(F.col("block").alias("x"), F.col("block_").alias("y")).distinct())
+    sides = pairs.select(F.col("x").alias("block"), "x", "y").union(pairs.where("x <> y").select(F.col("y").alias("block"), "x", "y"))
+    return components(_linked(src, wide.join(sides, "block").select("digest", "node", "root", "x", "y")))
+
+
 def _classes(docs: DataFrame, named: bool) -> tuple[DataFrame, DataFrame]:
     """(rows, known): rows with their digest, null where a text has no shingles, and each digest's component.
 
@@ -352,42 +421,47 @@ def _classes(docs: DataFrame, named: bool) -> tuple[DataFrame, DataFrame]:
         counts[r[0] * CHUNK : (r[0] + 1) * CHUNK] += np.frombuffer(r[1], np.int64)  # BINS values in all
     rows = stats.where("bin is null").select("doc_id", "n", "digest", "node", "sha")
     bits = stats.where("node is not null").select("node", "n", "digest", "bitmap").groupBy("digest").agg(F.first("node").alias("node"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
-    bits = work.stage(bits.drop("digest"))
+    bits = work.stage(bits)
 
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(spread, -(-int(counts.sum()) // (5 * ROWS)))
     entries = src.select("text").mapInArrow(_entries(work.share(spark, counts)), ENTRY_DDL)
     entries = entries.repartition(parts, "key").sortWithinPartitions("key", "node")
     found = work.stage(entries.mapInArrow(_pairs, PAIR_DDL))
-    edges = _filter(found.where("b is not null").select("a", "b").distinct(), bits)
-    label = components(edges)
+    label = components(_filter(found.where("b is not null").select("a", "b").distinct(), bits))
 
     big = found.where("key is not null").select("key", F.col("a").alias("node"), "n", "pos")
     big = work.stage(big.join(label, "node", "left").select("key", "node", "n", "pos", F.coalesce("label", "node").alias("label")))
-    mixed = work.stage(big.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"))
-    across = big.join(mixed, "key", "left_semi").join(bits.select("node", "bitmap"), "node")
-    across = across.select("key", "node", "n", "pos", "label", "bitmap").repartition(spread, "key").sortWithinPartitions("key")
+    cut = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(ACROSS)), F.ceil(F.sum("n") / F.lit(2 * ACROSS_BYTES))).cast("int")
+    mixed = big.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), cut.alias("cut"))
+    mixed = work.stage(mixed.where("lo <> hi").select("key", "cut"))
+    own = F.when(F.col("cut") > 1, F.pmod(F.xxhash64("node"), F.col("cut")).cast("int")).otherwise(-1)
+    across = big.join(mixed, "key").withColumn("own", own).join(bits.select("node", "bitmap"), "node")
+    across = across.withColumn("other", F.explode(F.when(F.col("cut") > 1, F.sequence(F.lit(0), F.col("cut") - 1)).otherwise(F.array(F.lit(-1)))))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    group = F.when(F.col("cut") > 1, F.xxhash64("key", lo, hi)).otherwise(F.col("key")).alias("group")
+    within = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).cast("long").alias("own")
+    across = across.select(group, "key", "node", "n", "pos", "label", "bitmap", within)
+    across = across.repartition(spread, "group").sortWithinPartitions("group")
     more = work.stage(across.mapInArrow(_across, PAIR_DDL).select("a", "b").distinct())
-    if more.limit(1).count():
-        edges = work.stage(edges.union(more))
-        label = components(edges)
-
-    sized = label.join(work.stage(label.groupBy("label").count()), "label")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("count") / F.lit(BLOCK))).cast("int")
-    member = work.stage(sized.select("node", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own")))
-    wanted = work.share(spark, work.bloom(member, "node"))
-    sets = src.select("text").mapInArrow(_sets_of(wanted), "node long, digest binary, grams binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = sets.join(member, "node").select("label", "own", "digest", "grams", other)
-    name = F.concat_ws(":", "label", F.least("own", "other"), F.greatest("own", "other")).alias("group")
-    dealt = dealt.select(name, "digest", "grams").repartition("group").sortWithinPartitions("group")
-    joined = components(work.stage(dealt.mapInArrow(_verify, "a binary, b binary")))
+    if not more.isEmpty():
+        label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+
+    member = bits.select("digest", "node", "n").join(label, "node")
+    per = work.stage(member.groupBy("label").agg(_several(F.count(F.lit(1)), F.sum("n")).alias("blocks")))
+    member = member.join(per, "label").withColumn("own", F.pmod(F.xxhash64("digest"), "blocks"))
+    member = work.stage(member.select("digest", "node", "n", "label", "blocks", "own"))
+    joined = _within(src, member)
+    again = _between(src, member, joined)
 
     per = [F.min(_place()).alias("top"), F.count(F.lit(1)).alias("size")] if named else []
     over = [F.min("top").alias("top"), F.sum("size").alias("size")] if named else []
     extra = ["top", "size"] if named else []
     first = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), *per)
-    first = work.stage(first.join(joined, first["digest"] == joined["node"], "left").select("digest", "rep", F.coalesce("label", "digest").alias("root"), *extra))
+    first = first.join(joined, first["digest"] == joined["node"], "left").select("digest", "rep", F.coalesce("label", "digest").alias("root"), *extra)
+    if again is not None:
+        first = first.join(again, first["root"] == again["node"], "left").select("digest", "rep", F.coalesce("label", "root").alias("root"), *extra)
+    first = work.stage(first)
     least = work.stage(first.groupBy("root").agg(F.min("rep").alias("component_id"), *over))
     return rows, work.stage(first.select("digest", "root").join(least, "root").select("digest", "component_id", *extra))
 
@@ -409,23 +483,23 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     rows, known = _classes(docs, True)
     several = known.where("size > 1").select("digest", "top")
-    both = rows.join(several, "digest", "left").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("sha").alias("__sha"), _place().alias("own"), "top")
+    both = rows.join(several, "digest", "left").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "sha", _place().alias("own"), "top")
     alone = F.col("top").isNull()
-    decided = work.stage(both.select("__id", "__sha", alone.alias("alone"), (alone | (F.col("own") == F.col("top"))).alias("kept")))
+    decided = work.stage(both.select("id", "sha", alone.alias("alone"), (alone | (F.col("own") == F.col("top"))).alias("kept")))
     firsts = F.count_if(F.col("kept") & ~F.col("alone"))
-    per = decided.groupBy("__id").agg(F.max("kept").alias("any"), F.min("kept").alias("all"), firsts.alias("firsts"))
+    per = decided.groupBy("id").agg(F.max("kept").alias("any"), F.min("kept").alias("all"), firsts.alias("firsts"))
     per = work.stage(per.where("not all or firsts > 1"))
-    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
-    out = docs.join(per.select("__id"), key == F.col("__id"), "left_anti")
-    mixed = per.where("any").select("__id")
+    packed = work.packed(docs, NO_ID)
+    out = packed.join(per.select("id"), "id", "left_anti")
+    mixed = per.where("any").select("id")
     if mixed.isEmpty():
-        return out
-    own = docs.join(mixed, key == F.col("__id"), "left_semi")
-    own = own.withColumns({"__id": key, "__sha": F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))})
-    stay = work.stage(decided.where("kept").join(mixed, "__id", "left_semi").select("__id", "__sha", "alone").distinct())
-    own = own.join(stay, ["__id", "__sha"])
-    one = own.where("not alone").dropDuplicates(["__id", "__sha"])
-    return out.unionByName(own.where("alone").unionByName(one).select(*docs.columns))
+        return out.select("row.*")
+    sha = F.unhex(F.sha2(F.coalesce(F.col("row.text").cast("string"), F.lit("")), 256))
+    own = packed.join(mixed, "id", "left_semi").withColumn("sha", sha)
+    stay = work.stage(decided.where("kept").join(mixed, "id", "left_semi").select("id", "sha", "alone").distinct())
+    own = own.join(stay, ["id", "sha"])
+    one = own.where("not alone").dropDuplicates(["id", "sha"])
+    return out.select("row").union(own.where("alone").union(one).select("row")).select("row.*")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

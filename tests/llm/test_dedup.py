@@ -5,8 +5,9 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from changelens.llm import exact_dedup, ngram_jaccard, repeats, seq, substring_dedup, suffix_dedup
+from changelens.llm import components, exact_dedup, ngram_jaccard, repeats, seq, substring_dedup, suffix_dedup
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -127,19 +128,19 @@ def test_chunks_give_the_text_back(b, k):
     assert b"".join(exact_dedup.cut(b * k)) == b * k
 
 
-@pytest.mark.parametrize("hot", [2, 512])
-def test_substrings(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot,limit", [(2, 1 << 20), (2, 0), (5, 1 << 20), (4096, 1 << 20)])
+def test_substrings(spark, monkeypatch, hot, limit):
     monkeypatch.setattr(repeats, "HOT", hot)
-    monkeypatch.setattr(repeats, "CHUNK", 64)
+    monkeypatch.setattr(substring_dedup, "HOT_LIMIT", limit)
+    monkeypatch.setattr(substring_dedup, "HOT_BYTES", 400)
+    monkeypatch.setattr(substring_dedup, "SHARD_CELLS", 20)
     rows = corpus(2)
     assert got(substring_dedup.deduplicate(frame(spark, rows))) == brute_words(rows)
 
 
-@pytest.mark.parametrize("hot", [2, 512])
+@pytest.mark.parametrize("hot", [2, 5, 4096])
 def test_suffixes(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
-    monkeypatch.setattr(repeats, "CHUNK", 64)
-    monkeypatch.setattr(repeats, "BLOCK", 500)
     rows = corpus(3)
     assert got(suffix_dedup.deduplicate(frame(spark, rows))) == brute_bytes(rows)
 
@@ -153,14 +154,68 @@ def test_substrings_odd_rows(spark):
     assert [(r.doc_id, r.n_removed) for r in out] == [(1, 0), (1, 0), (3, 0), (None, len(t))]
 
 
-def test_suffix_order_by_brute_force():
-    rng = np.random.default_rng(1)
-    buf = rng.integers(0, 2, 400).astype(np.uint8)
-    at = np.arange(360)
-    order, run = suffix_dedup.suffix_runs(buf, at, 40)
-    assert order.tolist() == sorted(range(360), key=lambda i: (buf[i : i + 40].tobytes(), i))
-    flag = suffix_dedup.later_copies(buf, at, 12)
-    assert flag.tolist() == [any((buf[i : i + 12] == buf[j : j + 12]).all() for j in range(i)) for i in range(360)]
+def common_prefix(a: bytes, b: bytes) -> int:
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("letters,depth", [(1, 20), (2, 40), (2, 12), (3, 9), (200, 8)])
+def test_longest_previous_factors_by_brute_force(letters, depth):
+    rng = np.random.default_rng(letters + depth)
+    buf = rng.integers(0, letters, 300).astype(np.uint8)
+    at = rng.permutation(300 - depth)[:200]
+    part = [buf[i : i + depth].tobytes() for i in at]
+    order, lcp = suffix_dedup.suffix_order(buf, at, depth)
+    assert order.tolist() == sorted(range(200), key=lambda i: (part[i], i))
+    assert lcp.tolist() == [0] + [common_prefix(part[a], part[b]) for a, b in zip(order, order[1:])]
+    want = [max([common_prefix(part[i], part[j]) for j in range(i)], default=0) for i in range(200)]
+    assert suffix_dedup.longest_previous_factor(order, lcp).tolist() == want
+
+
+def in_process(rows, monkeypatch, shards=3, **values):
+    """The steps of ``substring_dedup`` in this process, where ``values`` hold for its constants."""
+    for name, value in values.items():
+        monkeypatch.setattr(repeats if hasattr(repeats, name) else substring_dedup, name, value)
+
+    class Box:
+        def __init__(self, value):
+            self.value = value
+
+    src = [(repeats.NO_ID if i is None else i, hash(t) % 10**9, t) for i, t in rows]
+    everything = Box(np.full(64, ~np.uint64(0)))
+    hot = Box(np.zeros(0, np.uint64))
+    parts = [src[k::3] for k in range(3)]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.string())], names=["doc", "th", "text"])
+    sent = [b for part in parts for b in repeats._cells(substring_dedup.SPEC, everything, hot, substring_dedup.sender)(iter([batch(part)]))]
+    table = pa.Table.from_batches(sent, repeats.CELL).sort_by("key")
+    found = pa.Table.from_batches(list(substring_dedup._confirm(shards)(table.to_batches(50))), substring_dedup.FOUND).to_pylist()
+    docs = [{"shard": int(substring_dedup.shard_of(np.array([d]), np.array([th]), shards)[0]), "kind": 0, "doc_id": d, "body": (t or "").encode()} for d, th, t in src]
+    got = {(r["shard"], r["phrase"]) for r in found if r["kind"] == substring_dedup.PHRASE}
+    rows = sorted(docs + [{"shard": s, "kind": 1, "doc_id": None, "body": p} for s, p in got], key=lambda r: (r["shard"], r["kind"]))
+    out = pa.Table.from_batches(list(substring_dedup._locate([], substring_dedup.result, substring_dedup.OUT)(iter(pa.Table.from_pylist(rows, substring_dedup.ROW).to_batches(7)))), substring_dedup.OUT)
+    return {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out.to_pylist()}, found
+
+
+def test_substrings_in_small_pieces(monkeypatch):
+    rows = corpus(6)
+    out, found = in_process(rows, monkeypatch, CHUNK=16, BLOCK=300, LETTERS=100, MEMORY=10)
+    assert out == brute_words(rows)
+    assert {r["th"] for r in found if r["kind"] == substring_dedup.HOLDER} == {hash(t) % 10**9 for i, t in rows if brute_words(rows)[i][1]}
+
+
+def test_automata_give_the_result(monkeypatch):
+    """Confirmed phrases bring no places: without the automata's hits nothing is removed."""
+    rows = corpus(6)
+    monkeypatch.setattr(substring_dedup.Automaton, "hits", lambda self, words: iter(()))
+    out, _ = in_process(rows, monkeypatch)
+    assert {v[1] for v in out.values()} == {0} < {v[1] for v in brute_words(rows).values()}
+
+
+def test_phrases_of_very_many_words():
+    rng = np.random.default_rng(3)
+    words = [b"%d" % x for x in rng.integers(0, 10**9, 1_200_000)]
+    some = [b" ".join(words[k : k + 60]) for k in range(0, len(words), 60)]
+    found = list(substring_dedup.automata(some))
+    assert len(found) == 4 and sum(len(list(a.hits(words))) for a in found) >= len(some)
 
 
 @given(st.lists(st.integers(0, 6), min_size=1, max_size=80), st.integers(1, 12))
@@ -175,9 +230,9 @@ def test_winnow_picks_the_leftmost_least(values, w):
     assert [(a, b, c) for a, b, c in zip(p, lo, hi)] == [(k, *v) for k, v in sorted(want.items())]
 
 
-@pytest.mark.parametrize("small,hubs,block", [(32, 3, 4096), (2, 1, 3)])
-def test_jaccard_components(spark, monkeypatch, small, hubs, block):
-    for name, value in (("SMALL", small), ("HUBS", hubs), ("BLOCK", block)):
+@pytest.mark.parametrize("small,block,across", [(4, 1024, 4096), (2, 3, 3)])
+def test_jaccard_components(spark, monkeypatch, small, block, across):
+    for name, value in (("SMALL", small), ("BLOCK", block), ("ACROSS", across)):
         monkeypatch.setattr(ngram_jaccard, name, value)
     rows = corpus(4)
     want = brute_components(rows)
@@ -185,6 +240,39 @@ def test_jaccard_components(spark, monkeypatch, small, hubs, block):
     assert len({v[1] for v in want.values()}) < len(want)
 
 
+def test_jaccard_between_blocks(spark, monkeypatch):
+    """Clusters that fall into several components, large and small, of several blocks each."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 4)
+    monkeypatch.setattr(ngram_jaccard, "CENTERS", 1)
+    monkeypatch.setattr(ngram_jaccard, "_similar", lambda batches: (b.select(["a", "b"]) for b in batches))
+    rng, rows = random.Random(31), []
+    base = [f"w{i}" for i in range(120)]
+    for family in range(4):
+        for k in range(14):
+            w = list(base[: 90 + family * 4])
+            for _ in range(rng.randrange(0, 5)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(40)}"
+            rows.append((family * 100 + k, " ".join(w)))
+    rows += [(1000 + k, " ".join(base[k : k + 60])) for k in range(20)]
+    want = brute_components(rows)
+    assert got(ngram_jaccard.classes(frame(spark, rows))) == want and 3 < len({v[1] for v in want.values()}) < 60
+
+
+@pytest.mark.parametrize("held", [4, 1 << 19])
+def test_components_by_brute_force(spark, monkeypatch, held):
+    rng, edges = random.Random(32), [(i, i + 1) for i in range(100, 160)]
+    edges += [(rng.randrange(300), rng.randrange(300)) for _ in range(120)] + [(500, k) for k in range(501, 560)] + [(7, 7), (900, 900)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    out = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()}
+    assert set(out) == {x for a, b in edges if a != b for x in (a, b)}
+    assert all((out[x] == out[y]) == (root[x] == root[y]) for x in out for y in out)
+    none = spark.createDataFrame([], "a long, b long")
+    assert components.components(none).count() == 0
+
+
 def test_jaccard_links_by_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(30):
