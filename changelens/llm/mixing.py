@@ -4,14 +4,17 @@ A source's target in words is water-filled from the weights.  Below its target a
 one partial pass; the partial pass is an exact quota of its blocks (BLOCK consecutive words of one document).  The
 quota goes down a binary tree over the output shards: each node splits what it got between its halves by one
 hypergeometric draw, whose seed is (seed, source, node), and a shard splits its own among its documents by a
-multivariate-hypergeometric draw.  A document's blocks are then the first of a permutation of its own, so blocks
-are disjoint within a pass.  Draws depend on the data and the seed only, never on partitions or task order.
+multivariate-hypergeometric draw.  The tree's top ends at groups of GROUP shards; each group goes on in a task of its
+own.  A document's blocks are then the first of a permutation of its own, so blocks are disjoint within a pass, and a
+shard's blocks are shuffled.  What the mix takes of a document is summed from its drawn blocks.  Draws depend on the
+data and the seed only, never on partitions or task order.
 
 Only (doc_id, size, source) move, dealt by a hash of doc_id, so a hot source is spread over all shards.
 
 Defined results.  Null text: size 0, nothing taken.  Null source: a source of its own, last in order.  Null doc_id:
 an ordinary row.  Repeated rows: each is drawn from by itself.  Sources without words: target 0.  Empty table: no
-rows.  Other columns are carried by ``mixed_texts`` only where asked for.
+rows.  A text of any length is drawn from whole.  Other columns, whatever their names, are ignored; ``mixed_texts``
+keeps doc_id and source.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ SHARE, CAP = 1.5, 2.0
 #: Words a block has; rows a shard has on average; least number of shards.
 BLOCK, SHARD_ROWS, LEAST_SHARDS = 32, 20_000, 64
 SEED = 17
+#: Shards that one task deals quotas to; population from which hypergeometric draws are made here, not by numpy.
+GROUP, LARGE = 1024, 1_000_000_000
 
 SIZES = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("source", pa.string())])
 TAKEN = "doc_id long, source string, size long, source_size long, target double, taken long"
@@ -72,16 +77,49 @@ def _rng(seed: int, *key) -> np.random.Generator:
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """A hypergeometric draw for counts of any size: numpy's below its bound of 10**9, else a tree of parts."""
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, n)) if n else 0
-    p = good / (good + bad)  # the normal limit, whose error is far below a block in 10**9
-    sd = (n * p * (1 - p) * (good + bad - n) / max(1, good + bad - 1)) ** 0.5
-    return min(good, n, max(0, n - bad, round(rng.normal(n * p, sd))))
-
-
-def split(counts: list[int], quota: int, seed: int, source) -> list[int]:
-    """``quota`` blocks dealt over shards that hold ``counts`` blocks, by the tree of draws."""
+    """A hypergeometric draw for counts of any size: numpy's below its bound, else by inversion."""
+    if not n:
+        return 0
+    return int(rng.hypergeometric(good, bad, n)) if good + bad < LARGE else inversion(rng, good, bad, n)
+
+
+def inversion(rng: np.random.Generator, good: int, bad: int, n: int, part: int = 1 << 20) -> int:
+    """A hypergeometric draw by inversion of the probabilities themselves, from the mode outwards.
+
+    Each value's weight follows from its neighbour's by an exact ratio; values are left out only where all of them
+    together weigh less than a double tells from nothing.  Time grows with the standard deviation; memory does not.
+    """
+    least, most = max(0, n - bad), min(n, good)
+    mode = min(max((n + 1) * (good + 1) // (good + bad + 2), least), most)
+
+    def side(step: int):
+        """(first value, weights) of parts on one side, relative to the mode's weight of 1."""
+        at, weight = mode, 1.0
+        while weight > 1e-25 and at != (most if step > 0 else least):
+            m = min(part, most - at if step > 0 else at - least)
+            k = at + step * np.arange(m, dtype=np.float64)  # counts below 2**53 are exact
+            up = (good - k) * (n - k), (k + 1) * (bad - n + k + 1)
+            down = k * (bad - n + k), (good - k + 1) * (n - k + 1)
+            a, b = up if step > 0 else down
+            w = weight * np.cumprod(a / b)
+            yield at + step, w
+            at, weight = at + step * m, float(w[-1])
+
+    total = 1.0 + sum(float(w.sum()) for step in (1, -1) for _, w in side(step))
+    left = rng.random() * total - 1.0
+    if left < 0:
+        return mode
+    for step in (1, -1):
+        for at, w in side(step):
+            own = float(w.sum())
+            if left < own:
+                return at + step * min(int(np.searchsorted(np.cumsum(w), left, side="right")), len(w) - 1)
+            left -= own
+    return mode
+
+
+def split(counts: list[int], quota: int, seed: int, *name) -> list[int]:
+    """``quota`` blocks dealt over parts that hold ``counts`` blocks, by the tree of draws below the node ``name``."""
     total = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
     out = [0] * len(counts)
     stack = [(0, len(counts), quota)]
@@ -91,41 +129,61 @@ def split(counts: list[int], quota: int, seed: int, source) -> list[int]:
             out[lo] = q
         elif q:
             mid = (lo + hi) // 2
-            left = hypergeometric(_rng(seed, source, "node", lo, hi), int(total[mid] - total[lo]), int(total[hi] - total[mid]), q)
+            left = hypergeometric(_rng(seed, *name, "node", lo, hi), int(total[mid] - total[lo]), int(total[hi] - total[mid]), q)
             stack += [(lo, mid, left), (mid, hi, q - left)]
     return out
 
 
-def _quotas(seed: int, shards: int):
+def _of(value) -> str | None:
+    return value if isinstance(value, str) else None
+
+
+def _tops(seed: int, groups: int):
+    """A source's groups of shards: what each is to give."""
+
     def run(pdf):
-        source = pdf["source"].iloc[0]
-        source = None if not isinstance(source, str) else source
-        counts = [0] * shards
-        for s, n in zip(pdf["shard"], pdf["blocks"]):
-            counts[int(s)] = int(n)
+        source, counts = _of(pdf["source"].iloc[0]), [0] * groups
+        for g, n in zip(pdf["group"], pdf["blocks"]):
+            counts[int(g)] = int(n)
         size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
         whole, part = divmod(target / size, 1) if size else (0, 0)
         quota = split(counts, round(part * sum(counts)), seed, source)
-        out = pdf[["source", "shard", "source_size", "target"]].copy()
+        out = pdf[["source", "group", "source_size", "target"]].copy()
         out["whole"] = int(whole)
-        out["quota"] = [quota[int(s)] for s in pdf["shard"]]
+        out["quota"] = [quota[int(g)] for g in pdf["group"]]
+        return out
+
+    return run
+
+
+def _quotas(seed: int):
+    """A group's shards of one source: what each is to give."""
+
+    def run(pdf):
+        source, group = _of(pdf["source"].iloc[0]), int(pdf["group"].iloc[0])
+        counts = [0] * GROUP
+        for s, n in zip(pdf["shard"], pdf["blocks"]):
+            counts[int(s) % GROUP] = int(n)
+        quota = split(counts, int(pdf["quota"].iloc[0]), seed, source, "group", group)
+        out = pdf[["source", "shard", "source_size", "target", "whole"]].copy()
+        out["quota"] = [quota[int(s) % GROUP] for s in pdf["shard"]]
         return out
 
     return run
 
 
 def _draws(seed: int, digest: bool):
-    """One shard: what each of its documents gives (digest), or the drawn blocks in their local shuffle."""
+    """One shard: its drawn blocks in their local shuffle, or (digest) what they take of each of its documents."""
     import pandas as pd
 
     def run(docs, quotas):
-        plan = {(s if isinstance(s, str) else None): (int(w), int(q), int(z), float(t)) for s, w, q, z, t in zip(quotas["source"], quotas["whole"], quotas["quota"], quotas["source_size"], quotas["target"])}
+        plan = {_of(s): (int(w), int(q), int(z), float(t)) for s, w, q, z, t in zip(quotas["source"], quotas["whole"], quotas["quota"], quotas["source_size"], quotas["target"])}
         docs = docs.sort_values(["source", "doc_id", "size"], kind="stable", na_position="last")
-        source = [s if isinstance(s, str) else None for s in docs["source"]]
+        source = [_of(s) for s in docs["source"]]
         ids = [None if pd.isna(x) else int(x) for x in docs["doc_id"]]
         size = docs["size"].to_numpy(np.int64)
         blocks = -(-size // BLOCK)
-        taken, rows, at = np.zeros(len(size), np.int64), [], 0
+        rows, passes, drawn, at = [], [], [], 0  # of each drawn block: document, pass, number
         shard = int(docs["shard"].iloc[0]) if len(docs) else 0
         while at < len(source):
             end = at
@@ -138,21 +196,20 @@ def _draws(seed: int, digest: bool):
                 n = int(blocks[k])
                 got = hypergeometric(rng, n, total - n, left)
                 total, left = total - n, left - got
-                drawn = rng.permutation(n)[:got]
-                last = int(size[k]) - (n - 1) * BLOCK if n else 0
-                taken[k] = whole * size[k] + got * BLOCK - (BLOCK - last) * int((drawn == n - 1).any())
-                if not digest:
-                    rows += [(ids[k], source[k], p, b) for p in range(whole) for b in range(n)]
-                    rows += [(ids[k], source[k], whole, int(b)) for b in drawn]
+                drawn += [*[np.arange(n)] * whole, rng.permutation(n)[:got]]
+                passes += [np.full(n, p) for p in range(whole)] + [np.full(got, whole)]
+                rows.append(np.full(whole * n + got, k))
             at = end
+        rows, passes, drawn = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, passes, drawn))
+        place = _rng(seed, "place", shard).permutation(len(rows))
         if digest:
+            words = np.minimum(BLOCK, size[rows] - drawn * BLOCK)
+            taken = np.bincount(rows, weights=words, minlength=len(size)).astype(np.int64)
             z = [plan[s] for s in source]
             cells = (pd.array(ids, "Int64"), source, size, [p[2] for p in z], [p[3] for p in z], taken)
             return pd.DataFrame(dict(zip(("doc_id", "source", "size", "source_size", "target", "taken"), cells)))
-        place = _rng(seed, "place", shard).permutation(len(rows))
-        cells = list(zip(*rows)) or [[]] * 4
-        out = pd.DataFrame(dict(zip(("doc_id", "source", "pass", "block"), (pd.array(cells[0], "Int64"), *map(list, cells[1:])))))
-        return out.assign(place=shard * (1 << 40) + place)
+        names = np.array([*source, None], object)[rows]
+        return pd.DataFrame({"doc_id": pd.array(ids, "Int64")[rows], "source": names, "pass": passes, "block": drawn, "place": shard * (1 << 40) + place})
 
     return run
 
@@ -164,9 +221,14 @@ def _mix(docs: DataFrame, seed: int, digest: bool) -> DataFrame:
     sized = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size"), F.lit(shards)).cast("int"))
     blocks = F.ceil(F.col("size") / F.lit(BLOCK))
     counts = sized.groupBy("source", "shard").agg(F.sum(blocks).alias("blocks"))
+    counts = work.stage(counts.withColumn("group", F.floor(F.col("shard") / GROUP).cast("int")))  # a row for each shard and source
+    tops = counts.groupBy("source", "group").agg(F.sum("blocks").alias("blocks"))
     goal = targets(sized).withColumnRenamed("source", "of")
-    counts = counts.join(goal, counts["source"].eqNullSafe(goal["of"])).drop("of")
-    quotas = counts.groupBy("source").applyInPandas(_quotas(seed, shards), "source string, shard int, source_size long, target double, whole int, quota long")
+    tops = tops.join(goal, tops["source"].eqNullSafe(goal["of"])).drop("of")
+    tops = tops.groupBy("source").applyInPandas(_tops(seed, -(-shards // GROUP)), "source string, group int, source_size long, target double, whole int, quota long")
+    tops = work.stage(tops).withColumnsRenamed({"source": "of", "group": "at"})
+    quotas = counts.join(tops, counts["source"].eqNullSafe(F.col("of")) & (F.col("group") == F.col("at"))).drop("of", "at")
+    quotas = quotas.groupBy("source", "group").applyInPandas(_quotas(seed), "source string, shard int, source_size long, target double, whole int, quota long")
     quotas = work.stage(quotas)  # at most shards rows a source
     pairs = sized.groupBy("shard").cogroup(quotas.groupBy("shard"))
     return pairs.applyInPandas(_draws(seed, digest), TAKEN if digest else DRAWN)
@@ -186,10 +248,10 @@ def mixed_texts(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """``mixed_blocks`` with the words of each block, for documents whose doc_id is unique."""
     words = F.expr("regexp_extract_all(text, '[^ \\\\x09-\\\\x0D]+', 0)")
     drawn = mixed_blocks(docs, seed)
-    per = drawn.groupBy("doc_id").agg(F.collect_list(F.struct("pass", "block", "place")).alias("__drawn"))
-    both = docs.select("doc_id", "source", words.alias("__words")).join(work.stage(per), "doc_id")
-    out = both.select("doc_id", "source", "__words", F.inline("__drawn"))
-    text = F.array_join(F.slice("__words", F.col("block") * BLOCK + 1, BLOCK), " ")
+    per = drawn.groupBy("doc_id").agg(F.collect_list(F.struct("pass", "block", "place")).alias("drawn"))
+    both = docs.select("doc_id", "source", words.alias("words")).join(work.stage(per), "doc_id")
+    out = both.select("doc_id", "source", "words", F.inline("drawn"))
+    text = F.array_join(F.slice("words", F.col("block") * BLOCK + 1, BLOCK), " ")
     return out.select("doc_id", "source", "pass", "block", "place", text.alias("text"))
 
 
