@@ -12,7 +12,7 @@ from . import seq, work
 #: Characters handled at once, so memory does not grow with a text.
 BLOCK = 1 << 18
 FREQUENCY = pa.schema([("k", pa.int32()), ("n", pa.int64())])
-SPARSE = pa.schema([("doc_id", pa.int64()), ("k", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("s", pa.list_(pa.float32())), ("label", pa.string())])
+SPARSE = pa.schema([("doc_id", pa.int64()), ("view", pa.int32()), ("k", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("s", pa.list_(pa.float32())), ("label", pa.string())])
 #: Class of each byte: 0 other, 1 capital, 2 symbol, 3 digit.
 CLASS = np.array([1 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 2 if chr(c) in "#$%&*|!<>{}[]=+~^@\\/_" else 0 for c in range(256)])
 _letters: list[np.ndarray] = []
@@ -85,37 +85,39 @@ def document_frequency(docs: DataFrame, codes, orders, bits: int) -> tuple[np.nd
     return out[:-1], int(out[-1])
 
 
-def sample_counts(rows: DataFrame, limit: int, codes, orders, bits: int):
+def sample_counts(rows: DataFrame, limit: int, views, orders, bits: int):
     """A bounded sample of (doc_id, text, label), the ``limit`` rows of least hashed doc_id.
 
-    Returns per row the bins, their counts, the structure shares and the label.
+    ``views`` gives the code sequences that are counted of a text.  Returns per view the bins, their counts, the
+    text's structure shares, its label, and the view's number.  Of rows that share a doc_id, the greatest by text,
+    then label, is taken.
     """
 
     def run(batches):
         for b in batches:
-            k, n, s = [], [], []
-            for v in work.texts(b.column(1)):
-                c = counts(codes(v or b""), orders, bits)
-                at = np.flatnonzero(c)
-                k.append(at.astype(np.int32))
-                n.append(c[at].astype(np.int32))
-                s.append(structure(v or b""))
-            yield work.batch(SPARSE, b.column(0), *(pa.array(x, f.type) for x, f in zip((k, n, s), list(SPARSE)[1:4])), b.column(2))
+            rows = []
+            for i, (v, label) in enumerate(zip(work.texts(b.column(1)), b.column(2).to_pylist())):
+                s = structure(v or b"")
+                for view, codes in enumerate(views(v or b"")):
+                    c = counts(codes, orders, bits)
+                    at = np.flatnonzero(c)
+                    rows.append((b.column(0)[i].as_py(), view, at.astype(np.int32), c[at].astype(np.int32), s, label))
+            yield work.batch(SPARSE, *(pa.array([r[k] for r in rows], f.type) for k, f in enumerate(SPARSE)))
 
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("label").cast("string").alias("label"))
     ids = rows.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     picked = rows.join(F.broadcast(ids), "doc_id")  # at most ``limit`` ids
     picked = picked.groupBy("doc_id").agg(F.max(F.struct("text", "label")).alias("x")).select("doc_id", "x.text", "x.label")
     work.ship(rows.sparkSession)
-    got = picked.mapInArrow(run, "doc_id long, k array<int>, n array<int>, s array<float>, label string")
-    got = got.withColumn("h", F.xxhash64("doc_id")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
+    got = picked.mapInArrow(run, "doc_id long, view int, k array<int>, n array<int>, s array<float>, label string")
+    got = got.withColumn("h", F.xxhash64("doc_id")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending"), ("view", "ascending")])
     lists = []
     for name in ("k", "n", "s"):  # slices of one array each, not lists of Python numbers
         c = got.column(name).combine_chunks()
         c = c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks or [pa.array([], c.type)])
         at, flat = c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)
         lists.append([flat[a:b] for a, b in zip(at[:-1], at[1:])])
-    return [*lists, got.column("label").to_pylist()]
+    return [*lists, got.column("label").to_pylist(), got.column("view").to_pylist()]
 
 
 def tfidf(c: np.ndarray, idf: np.ndarray) -> np.ndarray:

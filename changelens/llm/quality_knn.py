@@ -1,15 +1,15 @@
 """Quality classification by nearest-neighbour voting among latent-semantic vectors.
 
 Hashed byte trigrams (case, symbols and layout kept) become TF-IDF vectors, get a few shares of repetition and
-symbols beside them and, by a truncated singular value
-decomposition of the labelled sample, latent vectors.  The sample's vectors are broadcast; each document is compared
+symbols beside them and, by a truncated singular value decomposition of the labelled sample, latent vectors.  The sample's vectors are broadcast; each document is compared
 with all of them by exact cosine, in blocks of one matrix product, and its NEIGHBOURS nearest vote with a weight that
 falls off with their cosine.  Document frequencies are counted over all rows; the labelled sample is at most MAX_FIT rows, so the
 broadcast is at most MAX_FIT * RANK floats however large the corpus is.
 
 Defined results.  Null or empty text: the share of label 1 in the sample.  Null doc_id: never learned from, scored
-like any other, held_out null.  No labelled row: score 0.5.  Repeated rows: one row out for each.  Empty table: no
-rows.  Other columns are ignored.  A score depends on the text alone.
+like any other, held_out null.  No labelled row: score 0.5.  Repeated rows: one row out for each; of
+labelled rows that share a doc_id, the greatest text and the greatest label are learned, as one row.  Empty table: no
+rows.  A text of any length is scored whole.  Other columns are ignored.  A score depends on the text alone.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 def fit(rows: DataFrame, corpus: DataFrame) -> dict:
     """A model from rows of (doc_id, text, label 0 or 1) and the corpus whose document frequencies count."""
     df, n = charvec.document_frequency(corpus, charvec.raw_codes, ORDERS, BITS)
-    ks, ns, shares, labels = charvec.sample_counts(rows, MAX_FIT, charvec.raw_codes, ORDERS, BITS)
+    ks, ns, shares, labels, _ = charvec.sample_counts(rows, MAX_FIT, lambda v: [charvec.raw_codes(v)], ORDERS, BITS)
     y = np.array([float(v) for v in labels], np.float32)
     if not len(y):
         return {"prior": 0.5}
@@ -46,16 +46,24 @@ def fit(rows: DataFrame, corpus: DataFrame) -> dict:
     for i, (k, c) in enumerate(zip(ks, ns, strict=True)):
         x[i, k] = np.log1p(c.astype(np.float32)) * idf[k]
     x = with_structure(unit(x), np.array(shares, np.float32).reshape(len(y), -1))
-    small = x @ x.T if len(y) <= x.shape[1] else x.T @ x  # the decomposition of the smaller Gram matrix
-    values, vectors = np.linalg.eigh(small.astype(np.float64))
-    rank = min(RANK, int((values > 1e-9).sum()))
-    vectors = vectors[:, ::-1][:, :rank]
-    if len(y) <= x.shape[1]:
-        vectors = (x.T @ vectors) / np.sqrt(values[::-1][:rank])
-    basis = vectors.astype(np.float32)
+    basis = principal(x, RANK)
     return {"prior": float(y.mean()), "idf": idf.astype(np.float32), "basis": basis, "known": unit(x @ basis), "y": y}
 
 
+def principal(x: np.ndarray, rank: int, rounds: int = 12) -> np.ndarray:
+    """The right singular vectors of the largest singular values, by subspace iteration from a fixed start.
+
+    It needs no more memory than a few columns beside ``x``, as no Gram matrix is formed.
+    """
+    rank = min(rank, *x.shape)
+    wide = min(rank + 16, *x.shape)
+    q = np.linalg.qr(np.random.Generator(np.random.PCG64(5)).normal(size=(x.shape[1], wide)).astype(np.float32))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    _, values, turn = np.linalg.svd(x @ q, full_matrices=False)
+    return (q @ turn.T)[:, : max(1, int((values[:rank] > 1e-4 * values[0]).sum()))].astype(np.float32)
+
+
 def with_structure(x: np.ndarray, shares: np.ndarray) -> np.ndarray:
     return np.concatenate([x, STRUCTURE * np.sqrt(shares)], axis=1)
 
@@ -96,10 +104,12 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, label) of the rows that may be learned from, at most MAX_FIT by the same hash as the sample."""
-    own = labels.where(F.col("quality").isin(0, 1) & ~held_out()).select("doc_id", F.col("quality").alias("label"))
-    own = own.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id")).limit(MAX_FIT)
-    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")  # own: at most MAX_FIT rows
+    """(doc_id, text, label) of the rows that may be learned from: of documents at hand, at most MAX_FIT ids."""
+    own = labels.where(F.col("quality").isin(0, 1) & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label"))
+    own = own.groupBy("doc_id").agg(F.max("label").alias("label"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = own.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_FIT)
+    return docs.join(F.broadcast(work.stage(own)), "doc_id")  # own: at most MAX_FIT rows
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
