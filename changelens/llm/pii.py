@@ -1,18 +1,21 @@
 """Personal data by patterns and bootstrapped contextual extraction, with DataFrame functions only.
 
-Base entities (email, ip, card, phone) come from four patterns and their checks.  They are the seeds: the two words
-before an entity, or the start of the text and what there is, are a lexical pattern, and identifier-like words (with a digit or an at sign) elsewhere are
-instances.  Patterns and instances form a graph whose scores go back and forth for ROUNDS rounds: a pattern scores, for
-each kind, the mean of its instances' scores weighted by how often they occur; an instance that is no seed scores the
-weighted mean of its patterns.  Where a pattern with at least SUPPORT different seeds and its instance both score
-CONFIDENT or more for a kind, and the instance has the kind's shape, the occurrence is a span of that kind.
+Base entities (email, ip, card, phone) come from four patterns and their checks.  They are the seeds.  The two words
+before an entity are a lexical pattern, and so are the two after it (with the start or the end of the text, and what
+there is, where there is but one).  Identifier-like words (with a digit or an at sign) elsewhere are instances.
+Patterns and instances form a graph whose scores go back and forth for ROUNDS rounds: a pattern scores, for each kind,
+the mean of its instances' scores weighted by how often they occur; an instance that is no seed scores the weighted
+mean of its patterns, on the side that says more.  A pattern counts from SUPPORT different entities on: seeds and, from
+the second round on, instances that score CONFIDENT or more, so what has been found induces patterns that no seed has
+shown.  Where a pattern and its instance both score CONFIDENT or more for a kind, and the instance has the kind's shape,
+the occurrence is a span of that kind.
 
 The patterns are written so that no text makes them go back over what they have read: long runs of digits or letters
 cost time in proportion to their length.  Spans of a kind never overlap; those of different kinds may.
 
 Defined results.  Null text: as the empty text, no spans.  Null doc_id: an ordinary row.  Repeated rows: each gets its
-own spans; an entity that occurs twice counts twice in the graph.  Empty table: no rows.  Other columns are carried by
-``redact`` and ignored by ``find``.  n_email, n_ip, n_card and n_phone count base spans.
+own spans; an entity that occurs twice counts twice in the graph.  Empty table: no rows.  Other columns, whatever their
+names: carried by ``redact``, ignored by ``find``.  n_email, n_ip, n_card and n_phone count base spans.
 """
 
 from __future__ import annotations
@@ -39,12 +42,10 @@ SHAPES = {
     "card": r"^[0-9]([0-9-]{11,21})[0-9][.,;]?$",
     "phone": r"^[+(]?[0-9][0-9().-]{6,18}[0-9][.,;]?$",
 }
-ROUNDS, SUPPORT, CONFIDENT = 3, 5, 0.9
+ROUNDS, SUPPORT, CONFIDENT = 6, 5, 0.9
 SPACE = r"[\x20\x09-\x0D]+"
-#: Stands for the start of the text; a context of more characters than LONG is named by its digest.
+#: Stands for the start or the end of the text; a context of more characters than LONG is named by its digest.
 START, LONG = "\n", 128
-#: Characters before an entity in which its two words of context are looked for.
-REACH = 48
 
 
 def matched(text: Column, pattern: str, guard: Column, name: str) -> list[Column]:
@@ -67,7 +68,7 @@ def moved(at: Column, m: Column) -> Column:
 
 
 def pieces(name: str) -> Column:
-    """The matches of ``matched``: array of (start, end, value, spaces, part), in code points.
+    """The matches of ``matched``: array of (start, end, value, and places of both ends), in code points.
 
     What lies between matches and the matches themselves alternate, so running measures give places.  They are
     summed by runs of 64 matches, so the cost grows little faster than the number of matches.
@@ -77,13 +78,13 @@ def pieces(name: str) -> Column:
     part = lambda c, j: F.slice(c, j * 64 + 1, 64)
     pairs = lambda j: F.zip_with(F.slice(part(gaps, j), 1, F.size(part(found, j))), part(found, j), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
     sums = F.transform(runs, lambda j: measure(F.array_join(F.transform(pairs(j), lambda x: F.concat(x["g"], x["m"])), "")))
-    empty = F.expr("cast(array() as array<struct<start: int, end: int, value: string, spaces: int, part: int>>)")
+    empty = F.expr("cast(array() as array<struct<start: int, end: int, value: string, spaces: int, part: int, after: int, done: int>>)")
     zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("spaces"), F.lit(0).alias("part"))
 
     def step(acc: Column, x: Column) -> Column:
         def over(start: Column) -> Column:
             end = moved(start, measure(x["m"]))
-            one = F.struct(start["at"].alias("start"), end["at"].alias("end"), x["m"].alias("value"), start["spaces"].alias("spaces"), start["part"].alias("part"))
+            one = F.struct(start["at"].alias("start"), end["at"].alias("end"), x["m"].alias("value"), start["spaces"].alias("spaces"), start["part"].alias("part"), end["spaces"].alias("after"), end["part"].alias("done"))
             return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
         return F.element_at(F.transform(F.array(moved(acc["at"], measure(x["g"]))), over), 1)
@@ -98,14 +99,28 @@ def pieces(name: str) -> Column:
     return F.element_at(F.transform(F.array(sums), of), 1)
 
 
-def context(x: Column) -> Column:
-    """The two words before a piece, from the words of the whole text; START stands where there are fewer."""
-    words = F.col("split")
-    own = F.when(x["part"] > 0, F.array(F.substring(F.element_at(words, x["spaces"] + 1), F.lit(1), x["part"]))).otherwise(F.expr("cast(array() as array<string>)"))
+def named(words: Column) -> Column:
+    """The name of a context of words, which are joined by one space."""
+    whole = F.lower(F.array_join(words, " "))
+    return F.when(F.length(whole) > LONG, F.sha2(whole, 256)).otherwise(whole)
+
+
+def left(x: Column) -> Column:
+    """The two words before a piece, from the words of the whole text; START stands for one that is missing, null for both."""
+    words, none = F.col("split"), F.expr("cast(array() as array<string>)")
+    own = F.when(x["part"] > 0, F.array(F.substring(F.element_at(words, x["spaces"] + 1), F.lit(1), x["part"]))).otherwise(none)
     n = F.least(x["spaces"], F.when(x["part"] > 0, 1).otherwise(2))
     some = F.filter(F.concat(F.slice(words, x["spaces"] - n + 1, n), own), lambda w: w != "")
-    left = F.lower(F.array_join(F.when(F.size(some) < 2, F.concat(F.array(F.lit(START)), some)).otherwise(some), " "))
-    return F.when(F.length(left) > LONG, F.sha2(left, 256)).otherwise(left)
+    return F.when(F.size(some) > 0, named(F.concat(F.array(F.lit("<")), F.when(F.size(some) < 2, F.concat(F.array(F.lit(START)), some)).otherwise(some))))
+
+
+def right(x: Column) -> Column:
+    """The two words after a piece, the rest of its own word first; START stands for one that is missing, null for both."""
+    words, none = F.col("split"), F.expr("cast(array() as array<string>)")
+    word = F.element_at(words, x["after"] + 1)
+    rest = F.when(F.length(word) > x["done"], F.array(F.substring(word, x["done"] + 1, F.length(word)))).otherwise(none)
+    some = F.slice(F.filter(F.concat(rest, F.slice(words, x["after"] + 2, 2)), lambda w: w != ""), 1, 2)
+    return F.when(F.size(some) > 0, named(F.concat(F.array(F.lit(">")), F.when(F.size(some) < 2, F.concat(some, F.array(F.lit(START)))).otherwise(some))))
 
 
 def digits(value: Column) -> Column:
@@ -133,11 +148,11 @@ def valid(kind: str, value: Column) -> Column:
 
 
 def base_spans() -> Column:
-    """The base entities of a row of matches: array of (start, kind, end, value, left), ordered by start, then kind."""
+    """The base entities of a row of matches: array of (start, kind, end, value, sides), ordered by start, then kind."""
 
     def of(k: int, kind: str) -> Column:
         ok = F.filter(pieces(kind), lambda x: valid(kind, x["value"]))
-        return F.transform(ok, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), x["value"].alias("value"), context(x).alias("left")))
+        return F.transform(ok, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), x["value"].alias("value"), F.array(left(x), right(x)).alias("sides")))
 
     return F.array_sort(F.concat(*[of(k, kind) for k, kind in enumerate(KINDS)]))
 
@@ -145,39 +160,42 @@ def base_spans() -> Column:
 def scored(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(patterns, instances) with their scores after ROUNDS rounds, from (left, value, kind or null, n).
 
-    patterns: left, kind, score, seeds.  instances that are no seeds: value, kind, score.
+    ``left`` names a pattern, its first letter the side.  patterns: left, kind, score, seeds (entities that support
+    it).  instances that are no seeds: value, kind, score.
     """
-    seeds = edges.where("kind is not null")
+    seeds = edges.where("kind is not null").select("left", "value", "kind", F.col("n").cast("double").alias("s"), F.lit(True).alias("sure"))
     others = work.stage(edges.where("kind is null").select("left", "value", "n"))
     total = work.stage(edges.groupBy("left").agg(F.sum("n").alias("total")))
-    count = work.stage(others.groupBy("value").agg(F.sum("n").alias("times")))
-    base = work.stage(seeds.groupBy("left", "kind").agg(F.sum("n").alias("known"), F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= SUPPORT))
-    patterns = work.stage(base.join(total, "left").select("left", "kind", (F.col("known") / F.col("total")).alias("score"), "seeds"))
+    side = F.substring("left", 1, 1).alias("side")
+    count = work.stage(others.groupBy("value", side).agg(F.sum("n").alias("times")))
+    known = seeds
     for k in range(ROUNDS):
-        reach = others.join(patterns, "left").groupBy("value", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("s"))
-        instances = work.stage(reach.join(count, "value").select("value", "kind", (F.col("s") / F.col("times")).alias("score")))
+        per = known.groupBy("left", "kind").agg(F.sum("s").alias("s"), F.count_if("sure").alias("seeds")).where(F.col("seeds") >= SUPPORT)
+        patterns = work.stage(per.join(total, "left").select("left", "kind", (F.col("s") / F.col("total")).alias("score"), "seeds"))
+        reach = others.join(patterns, "left").groupBy("value", side, "kind").agg(F.sum(F.col("n") * F.col("score")).alias("s"))
+        reach = reach.join(count, ["value", "side"]).groupBy("value", "kind").agg(F.max(F.col("s") / F.col("times")).alias("score"))
+        instances = work.stage(reach)
         if k + 1 < ROUNDS:
-            more = others.join(instances, "value").groupBy("left", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("more"))
-            both = base.join(total, "left").join(work.stage(more), ["left", "kind"], "left")
-            patterns = work.stage(both.select("left", "kind", ((F.col("known") + F.coalesce("more", F.lit(0.0))) / F.col("total")).alias("score"), "seeds"))
+            more = others.join(instances, "value").select("left", "value", "kind", (F.col("n") * F.col("score")).alias("s"), (F.col("score") >= CONFIDENT).alias("sure"))
+            known = seeds.union(more)
     return patterns, instances
 
 
 def _spans(docs: DataFrame) -> DataFrame:
-    """Rows (row, doc_id, base, spans); ``row`` numbers the rows of ``docs`` within this call's work table."""
+    """Rows (row, doc_id, sha, base, spans); ``row`` numbers the rows of ``docs``, ``sha`` names the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     t = F.col("text")
     some = t.rlike("[0-9@]")
     guards = {"email": t.contains("@"), "ip": some & t.contains("."), "card": some, "phone": t.contains("+")}
-    raw = src.select("doc_id", F.split(t, SPACE, -1).alias("split"), *[c for k in KINDS for c in matched(t, PATTERNS[k], guards[k], k)], *matched(t, WORD, some, "word"))
-    words = F.transform(pieces("word"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), context(x).alias("left")))
-    found = raw.select("doc_id", base_spans().alias("base"), words.alias("words"))
+    raw = src.select("doc_id", F.sha2(t, 256).alias("sha"), F.split(t, SPACE, -1).alias("split"), *[c for k in KINDS for c in matched(t, PATTERNS[k], guards[k], k)], *matched(t, WORD, some, "word"))
+    words = F.transform(pieces("word"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.array(left(x), right(x)).alias("sides")))
+    found = raw.select("doc_id", "sha", base_spans().alias("base"), words.alias("words"))
     found = work.stage(found.withColumn("row", F.monotonically_increasing_id()))
     apart = lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
     own = found.where(F.size("words") > 0).select("row", F.inline(F.filter("words", apart)))
-    own = work.stage(own)
-    seeds = found.select(F.inline("base")).select("left", F.lower("value").alias("value"), "kind")
+    own = work.stage(own.select("row", "start", "end", "value", F.explode(F.array_compact("sides")).alias("left")))
+    seeds = found.select(F.inline("base")).select(F.explode(F.array_compact("sides")).alias("left"), F.lower("value").alias("value"), "kind")
     others = own.select("left", F.lower("value").alias("value"), F.lit(None).cast("int").alias("kind"))
     edges = work.stage(seeds.union(others).groupBy("left", "value", "kind").agg(F.count(F.lit(1)).alias("n")))
     patterns, instances = scored(edges)
@@ -187,9 +205,9 @@ def _spans(docs: DataFrame) -> DataFrame:
     shape = F.element_at(F.array(*[F.col("value").rlike(SHAPES[k]) for k in KINDS]), F.col("kind") + 1)
     new = new.where(shape).groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("new"))
     bare = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    out = found.join(work.stage(new), "row", "left").select("row", "doc_id", bare.alias("base"), "new")
+    out = found.join(work.stage(new), "row", "left").select("row", "doc_id", "sha", bare.alias("base"), "new")
     none = F.expr("cast(array() as array<struct<start: int, kind: int, end: int>>)")
-    return out.select("row", "doc_id", "base", F.array_sort(F.concat("base", F.coalesce("new", none))).alias("spans"))
+    return out.select("row", "doc_id", "sha", "base", F.array_sort(F.concat("base", F.coalesce("new", none))).alias("spans"))
 
 
 def listed(spans: str) -> Column:
@@ -208,18 +226,22 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs``, all columns, with each span of ``text`` replaced by its kind in brackets; for unique doc_ids."""
-    spans = work.stage(_spans(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")))
-    names = F.array(*map(F.lit, KINDS))
+    """``docs``, all columns, with each span of ``text`` replaced by its kind in brackets.
+
+    Spans depend on the text alone, beside the patterns of the whole table, so rows meet their spans by text.
+    """
+    spans = _spans(docs).where(F.size("spans") > 0).groupBy("sha").agg(F.first("spans").alias("spans"))
+    names, text = F.array(*map(F.lit, KINDS)), F.col("row.text").cast("string")
 
     def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(F.lit(0), x["start"] - acc["at"]))
+        gap = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), x["start"] - acc["at"]))
         put = F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit("["), F.element_at(names, x["kind"] + 1), F.lit("]"))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), put.alias("out"))
 
-    whole = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    both = docs.join(spans, docs["doc_id"] == spans["__id"], "left")
-    return both.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(whole)).drop("__id", "__spans")
+    whole = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    packed = docs.select(F.struct("*").alias("row")).withColumn("sha", F.sha2(F.coalesce(text, F.lit("")), 256))
+    both = packed.join(work.stage(spans), "sha", "left")
+    return both.select(F.col("row").withField("text", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(whole)).alias("row")).select("row.*")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 
@@ -139,15 +140,35 @@ def test_contexts_are_taken_from_the_text(spark):
 
 
 def test_pii_scores_by_hand(spark):
-    edges = [("l", f"s{i}", 0, 1) for i in range(5)] + [("l", "c", None, 1), ("m", "c", None, 3)]
+    edges = [("<l", f"s{i}", 0, 1) for i in range(5)] + [("<l", "c", None, 1), ("<m", "c", None, 3)]
     patterns, instances = pii.scored(spark.createDataFrame(edges, "left string, value string, kind int, n long"))
     s, c = 5 / 6, 5 / 24
-    for _ in range(2):
+    for _ in range(pii.ROUNDS - 1):
         s = (5 + c) / 6
         c = s / 4
     assert patterns.first().score == pytest.approx(s) and instances.first().score == pytest.approx(c)
 
 
+def test_found_identifiers_induce_patterns(spark):
+    """Identifiers found by a seeds' pattern support a pattern without seeds, which finds others; none else do."""
+    rng = random.Random(17)
+    word = lambda: words(rng, "abc", 1)
+    rows = [(i, f"{word()} dial now +1 (555) 555-{1000 + i} {word()} {word()}") for i in range(30)]
+    rows += [(100 + i, f"{word()} dial now 555-867-{5300 + i} or text {word()}") for i in range(8)]  # found by the left pattern
+    rows += [(200 + i, f"{word()} {word()} 555-867-{6300 + i} or text {word()}") for i in range(3)]  # by the right one it induces
+    rows += [(300 + i, f"{word()} {word()} 555-867-{7300 + i} {word()} {word()}") for i in range(3)]
+    got = {r.doc_id: r.spans for r in pii.find(frame(spark, rows)).collect()}
+    assert all(got[i].startswith("phone:") for i, _ in rows if i < 300) and [got[300 + i] for i in range(3)] == [""] * 3
+
+
+def test_pii_odd_rows(spark):
+    rows = [(None, "a@b.co"), (None, None), (7, "x 1.2.3.4"), (7, "x 1.2.3.4"), (7, "no")]
+    out = sorted(pii.find(frame(spark, rows)).collect(), key=str)
+    assert sorted((r.doc_id or 0, r.n_email, r.n_ip, r.spans) for r in out) == [(0, 0, 0, ""), (0, 1, 0, "email:0:6"), (7, 0, 0, ""), (7, 0, 1, "ip:2:9"), (7, 0, 1, "ip:2:9")]
+    assert sorted(str(r.text) for r in pii.redact(frame(spark, rows)).collect()) == ["None", "[email]", "no", "x [ip]", "x [ip]"]
+    assert pii.find(frame(spark, rows).where("doc_id = -1")).count() == pii.redact(frame(spark, rows).where("doc_id = -1")).count() == 0
+
+
 def test_pii_is_native(spark):
     text = pii.find(frame(spark, [(1, "a@b.co")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Arrow" not in text
@@ -298,6 +319,35 @@ def test_split_keeps_quota_and_capacity():
     assert abs(mean[0] - 20) < 1
 
 
+@pytest.mark.parametrize("good,bad,n", [(5, 9, 6), (3, 2, 4), (40, 60, 30), (1, 1000, 900), (7, 7, 0), (6, 0, 3), (0, 6, 3), (900, 1000, 1500)])
+def test_large_draws_are_hypergeometric(good, bad, n):
+    rng = np.random.default_rng(good * bad + n)
+    got = np.array([mixing.inversion(rng, good, bad, n, part=7) if n else 0 for _ in range(4000)])
+    low, high = max(0, n - bad), min(n, good)
+    assert got.min() >= low and got.max() <= high
+    chance = np.array([math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(low, high + 1)])
+    seen = np.bincount(got - low, minlength=len(chance))
+    assert (np.abs(seen - 4000 * chance) < 5 * np.sqrt(4000 * chance * (1 - chance)) + 3).all()
+
+
+def test_draws_beyond_the_library_bound():
+    rng = np.random.default_rng(1)
+    good, bad, n = 3 * 10**11, 7 * 10**11, 4 * 10**11
+    got = np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(12)], float)
+    sd = (n * 0.3 * 0.7 * (good + bad - n) / (good + bad)) ** 0.5
+    assert (np.abs(got - n * 0.3) < 5 * sd).all() and len(set(got)) == 12 and got.std() > sd / 4
+
+
+def test_quotas_go_through_groups_of_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(i, words(rng, "abc", rng.randrange(1, 200)), "stu"[i % 3]) for i in range(400)], "doc_id long, text string, source string")
+    out = mixing.mix(docs).collect()
+    for s in "stu":
+        own = [r for r in out if r.source == s]
+        assert sum(r.taken for r in own) == pytest.approx(own[0].target, rel=0.03, abs=64) and all(r.taken <= 2 * r.size for r in own)
+
+
 def test_token_counts(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -339,7 +389,19 @@ def test_pipeline(spark, tmp_path):
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
 
 
-def test_clashing_columns(spark):
-    df = frame(spark, [(1, "abc"), (2, "abd")]).withColumnsRenamed({"n": "row", "digest": "keep_id"})
-    assert SCHEMA and language_id.keep(df, {"names": []}).count() == 0
-    assert pii.redact(df).columns == df.columns
+@pytest.mark.parametrize("names", [["row", "sha", "id"], ["__gone", "__id", "__sha"], ["__spans", "sure", "any"], ["digest", "top", "spans"]])
+def test_clashing_columns(spark, names):
+    """Columns named like helpers are carried as they are, for any id, null or shared."""
+    from changelens.llm import exact_dedup, ngram_jaccard
+
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text), (1, "other"), (2, text + " end"), (2, text + " end"), (None, text), (None, None), (3, "mail a@b.co"), (4, "mail A@B.CO")]
+    df = spark.createDataFrame([(i, t, k, "c", "d") for k, (i, t) in enumerate(rows)], ["doc_id", "text", *names]).repartition(3)
+    bench = spark.createDataFrame([(0, "w3 w4 w5 w6 w7 w8")], "item_id long, text string")
+    for f, left in ((exact_dedup.deduplicate, 5), (ngram_jaccard.deduplicate, 4), (lambda d: decontaminate.remove(d, bench), 4), (pii.redact, 8)):
+        out = f(df)
+        assert out.columns == df.columns
+        got = out.collect()
+        assert len(got) == left and all(r[3:] == ("c", "d") and (r.doc_id, r.text) in [*rows, (3, "mail [email]"), (4, "mail [email]")] and rows[r[2]][0] == r.doc_id for r in got)
+    kept = language_id.keep(df, {"names": []})
+    assert kept.columns == df.columns and kept.count() == 0
