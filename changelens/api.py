@@ -20,7 +20,7 @@ def changed_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _page(files: DataFrame, cost: DataFrame, targeted: bool, max_chars: int, skip_noise: bool) -> DataFrame:
-    rows = diff.measured(files).drop("patch").join(cost, diff.FILE, "left").fillna({"cost": 2})
+    rows = diff.measured(files).drop("patch").join(cost, diff.FILE, "left").fillna({"cost": 0})
     if targeted:
         return rows.withColumns({"used_chars": F.lit(None).cast("long"), "status": F.lit("returned")})
     return diff.budget(rows, max_chars, skip_noise)
@@ -36,20 +36,21 @@ def diff_lines(files: DataFrame, files_filter: list[str] | None = None, lines_fi
         wanted = F.flatten(F.array(*[F.when(F.col("file_path").contains(k), F.array(*map(F.lit, v))).otherwise(F.array().cast("array<int>")) for k, v in lines_filter.items()]))
         page = _page(own, own.select(*diff.FILE, F.lit(0).alias("cost")), True, max_chars, skip_noise)
         return diff.line_mappings(lines, own.select(*diff.FILE, wanted.alias("requested"))), page
-    row = F.to_json(F.struct("type", "old_line", "new_line", "content"))
-    page = _page(own, lines.groupBy(*diff.FILE).agg(F.sum(F.length(row) + 2).alias("cost")), bool(files_filter), max_chars, skip_noise)
+    page = _page(own, diff.entry_costs(diff.measured(own), lines), bool(files_filter), max_chars, skip_noise)
     return lines.join(page.where("status = 'returned'").select(*diff.FILE), diff.FILE, "left_semi"), page
 
 
 def diff_sections(files: DataFrame, include_context: bool = False, files_filter: list[str] | None = None, max_chars: int = diff.MAX_CHARS, skip_noise: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(sections of the returned files, files with their status): new files by syntax, others by hunk context."""
+    """(sections of the returned files with their lines as ``changes``, files with their status).
+
+    New files go by syntax, others by hunk context.  A file costs what its entry has of characters as JSON.
+    """
     own = diff.path_filter(files, files_filter)
     lines = diff.hunk_lines(own)
-    by_syntax = syntax.new_file_sections(lines, own, include_context)
-    by_hunk = sections.hunk_sections(lines, include_context).drop("section_no").join(by_syntax.select(*diff.FILE).distinct(), diff.FILE, "left_anti")
+    by_syntax = syntax.new_file_sections(lines, own, include_context, with_changes=True)
+    by_hunk = sections.hunk_sections(lines, include_context, with_changes=True).drop("section_no").join(by_syntax.select(*diff.FILE).distinct(), diff.FILE, "left_anti")
     found = by_hunk.unionByName(by_syntax)
-    size = F.length(F.to_json(F.struct("symbol", "symbol_type", "start_line", "end_line", "changed_lines")))
-    page = _page(own, found.groupBy(*diff.FILE).agg(F.sum(size).alias("cost")), bool(files_filter), max_chars, skip_noise)
+    page = _page(own, diff.section_costs(diff.measured(own), found), bool(files_filter), max_chars, skip_noise)
     return found.join(page.where("status = 'returned'").select(*diff.FILE), diff.FILE, "left_semi"), page
 
 

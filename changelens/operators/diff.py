@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 FILE = ["review_id", "file_ord", "file_path"]
+#: The headers of hunks in the unified diff format, and what stands after them.
 HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 HINT = r"^@@ [^@]+ @@ ?(.+)$"
 MAX_CHARS = 80_000
@@ -86,9 +87,68 @@ def budget(files: DataFrame, max_chars: int = MAX_CHARS, skip_noise: bool = True
     return out.withColumn("status", status).drop("rank")
 
 
-def json_cost(entry: str = "entry"):
-    """Characters of a row's JSON as a compact reader sees it; exact for ASCII, as spacing is fixed."""
-    return F.length(F.to_json(F.col(entry)))
+def json_string(c: Column) -> Column:
+    """Characters of a string in JSON that is pure ASCII: quotes, escapes of two, six or (beyond 16 bits) twelve."""
+    short = F.length(c) - F.length(F.translate(c, '"\\\n\r\t\b\f', ""))
+    plain = F.octet_length(c) == F.length(c)
+    other = F.length(F.regexp_replace(c, r"[ -~\x08\x09\x0A\x0C\x0D]", ""))
+    far = F.when(plain, 0).otherwise(F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]", "")))
+    return F.when(c.isNull(), 4).otherwise(2 + F.length(c) + short + 5 * other + 6 * far)
+
+
+def json_plain(c: Column) -> Column:
+    """Characters of a number, a truth value or null in JSON."""
+    return F.coalesce(F.length(c.cast("string")), F.lit(4))
+
+
+def json_object(*keys: str) -> int:
+    """Characters of an object of such keys without its values, with ", " and ": " between."""
+    return 2 + sum(len(k) + 4 for k in keys) + 2 * (len(keys) - 1)
+
+
+def json_array(n: Column, total: Column) -> Column:
+    """Characters of an array of ``n`` values of ``total`` characters."""
+    return 2 + total + F.when(n > 0, 2 * (n - 1)).otherwise(0)
+
+
+def line_cost(x: Column | None = None) -> Column:
+    """Characters of a diff line's JSON: of a row, or of a struct."""
+    f = F.col if x is None else x.__getitem__
+    return json_object("type", "old_line", "new_line", "content") + json_string(f("type")) + json_plain(f("old_line")) + json_plain(f("new_line")) + json_string(f("content"))
+
+
+def hunk_heads(files: DataFrame) -> DataFrame:
+    """One row per hunk, also of those without lines: hunk_no and the four numbers of its header."""
+    heads = F.filter(T.split_lines(F.col("patch")), lambda x: x.rlike(HEADER))
+    rows = files.select(*FILE, F.posexplode(heads).alias("at", "raw"))
+    part = lambda k: F.regexp_extract("raw", HEADER, k).try_cast("int")
+    numbers = [part(1), F.coalesce(part(2), F.lit(1)), part(3), F.coalesce(part(4), F.lit(1))]
+    return rows.select(*FILE, (F.col("at") + 1).alias("hunk_no"), *[n.alias(k) for n, k in zip(numbers, ("old_start", "old_lines", "new_start", "new_lines"))])
+
+
+def entry_costs(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """(FILE columns, cost): characters of each measured file's entry as JSON, its hunks and their lines included."""
+    per_line = lines.groupBy(*FILE).agg(F.count(F.lit(1)).alias("n"), F.sum(line_cost()).alias("chars"), F.count_distinct("hunk_no").alias("full"))
+    numbers = [json_plain(F.col(c)) for c in ("old_start", "old_lines", "new_start", "new_lines")]
+    hunk = json_object("old_start", "old_lines", "new_start", "new_lines", "lines") + 2 + sum(numbers[1:], numbers[0])
+    per_hunk = hunk_heads(files).groupBy(*FILE).agg(F.count(F.lit(1)).alias("hunks"), F.sum(hunk).alias("heads"))
+    both = files.join(per_hunk, FILE, "left").join(per_line, FILE, "left").fillna(0, ["n", "chars", "full", "hunks", "heads"])
+    hunks = json_array(F.col("hunks"), F.col("heads") + F.col("chars") + 2 * (F.col("n") - F.col("full")))
+    flags = ["new_file", "deleted_file", "renamed_file", "additions", "deletions"]
+    own = json_object("file_path", "old_path", *flags, "hunks") + json_string(F.col("file_path")) + json_string(F.col("old_path")) + sum((json_plain(F.col(c)) for c in flags), F.lit(0))
+    return both.select(*FILE, (own + hunks).cast("long").alias("cost"))
+
+
+def section_costs(files: DataFrame, sections: DataFrame) -> DataFrame:
+    """(FILE columns, cost): characters of each measured file's entry as JSON, from sections with their ``changes``."""
+    values = json_string(F.col("symbol")) + json_string(F.col("symbol_type")) + json_plain(F.col("start_line")) + json_plain(F.col("end_line"))
+    lines = F.aggregate(F.transform("changes", line_cost), F.lit(0), lambda a, x: a + x)
+    one = json_object("symbol", "symbol_type", "start_line", "end_line", "changes") + values + json_array(F.size("changes"), lines)
+    per = sections.groupBy(*FILE).agg(F.count(F.lit(1)).alias("n"), F.sum(one).alias("chars"))
+    both = files.join(per, FILE, "left").fillna(0, ["n", "chars"])
+    flags = ["new_file", "deleted_file", "additions", "deletions"]
+    own = json_object("file_path", "language", *flags, "sections") + json_string(F.col("file_path")) + json_string(T.language(F.col("file_path"))) + sum((json_plain(F.col(c)) for c in flags), F.lit(0))
+    return both.select(*FILE, (own + json_array(F.col("n"), F.col("chars"))).cast("long").alias("cost"))
 
 
 def line_mappings(lines: DataFrame, targets: DataFrame) -> DataFrame:

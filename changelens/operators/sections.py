@@ -19,15 +19,12 @@ STOPWORDS = (
     "int", "long", "float", "double", "bool", "boolean", "str", "string", "true", "false", "null", "None", "nil",
     "undefined", "NaN", "Infinity", "this", "self", "super", "it", "to", "of", "at", "be", "by", "on",
 )
+#: Fixed value: what an identifier is; the second form is its ASCII part.
 IDENTIFIER, ASCII_IDENTIFIER = r"(?U)\b([A-Za-z_][A-Za-z0-9_]*)\b", r"([A-Za-z_][A-Za-z0-9_]*)"
 
 
-def hunk_symbols(lines: DataFrame) -> DataFrame:
-    """Per hunk: symbol and symbol_type, or null and 'unknown'.
-
-    A name in the header's hint wins; else the nearest declaration in the context before the first change; else the
-    first declaration in any context line.  Aggregates by file and hunk, so it shares the lines' exchange.
-    """
+def _hunks(lines: DataFrame, *extra) -> DataFrame:
+    """Per hunk: symbol, symbol_type and ``extra`` aggregates, in one aggregate that shares the lines' exchange by file."""
     hunk = Window.partitionBy(*FILE, "hunk_no")
     first = F.min(F.when(F.col("type") != "context", F.col("pos"))).over(hunk)
     name = F.when(F.col("type") == "context", T.declared_name(F.col("content"), T.language(F.col("file_path"))))
@@ -38,11 +35,22 @@ def hunk_symbols(lines: DataFrame) -> DataFrame:
         F.first("hint").alias("hint"),
         F.max_by(found, F.when(lead, F.col("pos"))).alias("lead"),
         F.min_by(found, F.when(F.col("name").isNotNull(), F.col("pos"))).alias("any"),
+        *extra,
     )
     hint = T.hint_name(F.col("hint"))
     symbol = F.coalesce(hint, "lead.name", "any.name")
     source = F.when(hint.isNotNull(), F.col("hint")).otherwise(F.coalesce("lead.content", "any.content"))
-    return per.select(*FILE, "hunk_no", symbol.alias("symbol"), F.when(symbol.isNull(), "unknown").otherwise(T.symbol_type(source)).alias("symbol_type"))
+    kind = F.when(symbol.isNull(), "unknown").otherwise(T.symbol_type(source))
+    return per.withColumns({"symbol": symbol, "symbol_type": kind}).drop("hint", "lead", "any")
+
+
+def hunk_symbols(lines: DataFrame) -> DataFrame:
+    """Per hunk: symbol and symbol_type, or null and 'unknown'.
+
+    A name in the header's hint wins; else the nearest declaration in the context before the first change; else the
+    first declaration in any context line.
+    """
+    return _hunks(lines)
 
 
 def hunk_sections(lines: DataFrame, include_context: bool = False, with_changes: bool = False) -> DataFrame:
@@ -51,18 +59,18 @@ def hunk_sections(lines: DataFrame, include_context: bool = False, with_changes:
     Columns: the FILE columns, section_no, symbol, symbol_type, start_line, end_line, changed_lines (added and
     deleted) and, if asked for, the lines themselves as ``changes``.
     """
-    kept = lines if include_context else lines.where("type <> 'context'")
-    low = lambda c: F.min(F.when(F.col(c) > 0, F.col(c)))
-    high = lambda c: F.max(F.when(F.col(c) > 0, F.col(c)))
+    kept = F.lit(True) if include_context else F.col("type") != "context"
+    number = lambda c: F.when(kept & (F.col(c) > 0), F.col(c))
     row = F.struct("hunk_no", "pos", "type", "old_line", "new_line", "content")
-    extra = [F.collect_list(row).alias("changes")] if with_changes else []
-    per = kept.groupBy(*FILE, "hunk_no").agg(
-        F.coalesce(low("new_line"), low("old_line"), F.first("new_start")).alias("start_line"),
-        F.coalesce(high("new_line"), high("old_line"), F.first("new_start")).alias("end_line"),
-        F.count(F.when(F.col("type") != "context", 1)).alias("changed_lines"),
-        *extra,
+    per = _hunks(
+        lines,
+        F.coalesce(F.min(number("new_line")), F.min(number("old_line")), F.first("new_start")).alias("start_line"),
+        F.coalesce(F.max(number("new_line")), F.max(number("old_line")), F.first("new_start")).alias("end_line"),
+        F.count_if(F.col("type") != "context").alias("changed_lines"),
+        F.count_if(kept).alias("kept"),
+        *([F.collect_list(F.when(kept, row)).alias("changes")] if with_changes else []),
     )
-    per = per.join(hunk_symbols(lines), [*FILE, "hunk_no"])
+    per = per.where("kept > 0")
     order = Window.partitionBy(*FILE).orderBy("hunk_no")
     fresh = ~F.coalesce(F.col("symbol") == F.lag("symbol").over(order), F.lit(False))
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -220,10 +220,10 @@ def declarations(syntax: DataFrame) -> DataFrame:
     return syntax.where("kind = 'span'").select("path", "name", "symbol_type", "start_line", "end_line", "pos")
 
 
-def new_file_sections(lines: DataFrame, files: DataFrame, include_context: bool = False) -> DataFrame:
+def new_file_sections(lines: DataFrame, files: DataFrame, include_context: bool = False, with_changes: bool = False) -> DataFrame:
     """Sections of new files by syntax: the file is rebuilt from added lines, chunked, and lines fall into chunks.
 
-    A line may fall into several chunks; missing numbers are empty lines.  Files without chunks give no row.
+    The lines come as ``changes`` if asked for.  A line may fall into several chunks; missing numbers are empty lines.  Files without chunks give no row.
     """
     key = ["review_id", "file_ord", "file_path"]
     new = files.where("new_file").select(*key)
@@ -237,7 +237,9 @@ def new_file_sections(lines: DataFrame, files: DataFrame, include_context: bool
     kept = own if include_context else own.where("type <> 'context'")
     ref = F.coalesce(F.when(F.col("new_line") > 0, F.col("new_line")), "old_line")
     hit = found.join(kept.withColumn("ref", ref), key).where("ref between start_line and end_line")
-    return hit.groupBy(*key, "symbol", "symbol_type", "start_line", "end_line").agg(F.count(F.when(F.col("type") != "context", 1)).alias("changed_lines"))
+    row = F.struct("hunk_no", "pos", "type", "old_line", "new_line", "content")
+    extra = [F.array_sort(F.collect_list(row)).alias("changes")] if with_changes else []
+    return hit.groupBy(*key, "symbol", "symbol_type", "start_line", "end_line").agg(F.count(F.when(F.col("type") != "context", 1)).alias("changed_lines"), *extra)
 
 
 def register(spark: SparkSession) -> None:

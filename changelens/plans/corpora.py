@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.search import WORD
 from ..runtime import table
 
 PATH = """CASE WHEN doc_id % 23 = 0 THEN concat('d', doc_id % 5, '/f', doc_id, '/yarn.lock')
@@ -129,15 +128,13 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
-    d = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return d.join(e, "chunk_id")
+    """(chunk_id, text): every document."""
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, query, terms): every hundredth chunk asks with its vector and its first three words."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(1))
-    return chunks(spark, sf_dir).where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query"), F.slice(words, 1, 3).alias("terms"))
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, vector): every embedding, of a chunk of that id."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,25 +69,41 @@ def hunk_lines(s, d):
     return _lines(s, d).select("review_id", "file_ord", "hunk_no", "type", "old_line", "new_line", "content")
 
 
-_COST = "SELECT m.*, d.n_chars AS cost FROM m JOIN documents d ON d.doc_id = m.file_ord"
+def _json(c):
+    """SQL for the characters of a string in pure ASCII JSON."""
+    return f"""(CASE WHEN {c} IS NULL THEN 4 ELSE 2 + 2 * length({c}) - length(translate({c}, concat(chr(34), chr(92), chr(10), chr(13), chr(9), chr(8), chr(12)), ''))
+ + 5 * length(regexp_replace({c}, '[ -~\\x08\\x09\\x0A\\x0C\\x0D]', '', 'g')) + 6 * length(regexp_replace({c}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) END)"""
 
 
-@query(f"""{FILES}, c AS ({_COST}), u AS (SELECT *, sum(CASE WHEN reviewable THEN cost ELSE 0 END) OVER w AS used, count(*) FILTER (reviewable) OVER w AS rank FROM c
- WINDOW w AS (PARTITION BY review_id ORDER BY file_ord ROWS UNBOUNDED PRECEDING))
- SELECT review_id, file_path, CAST(used AS BIGINT) AS used_chars, CASE WHEN NOT reviewable THEN 'skipped' WHEN rank = 1 OR used <= 30000 THEN 'returned' ELSE 'omitted' END AS status FROM u""")
+def _plain(c):
+    return f"coalesce(length(CAST({c} AS VARCHAR)), 4)"
+
+
+#: Costs of file entries: a line's, a hunk's and a file's JSON, of which 51, 71 and 120 characters are keys and marks.
+_COST = f"""lc AS (SELECT file_ord, count(*) AS n, sum(51 + {_json('type')} + {_plain('old_line')} + {_plain('new_line')} + {_json('content')}) AS chars FROM l GROUP BY file_ord),
+hc AS (SELECT file_ord, count(*) AS hunks, sum(75 + length(CAST(1 + 20 * (hunk_no - 1) AS VARCHAR)) + length(CAST(1 + 25 * (hunk_no - 1) AS VARCHAR))) AS heads FROM (SELECT DISTINCT file_ord, hunk_no FROM l) GROUP BY file_ord),
+c AS (SELECT m.*, CAST(120 + 2 * {_json('file_path')} + CASE WHEN file_ord % 11 = 0 THEN 4 ELSE 5 END + CASE WHEN file_ord % 13 = 0 THEN 4 ELSE 5 END + CASE WHEN file_ord % 17 = 0 THEN 4 ELSE 5 END
+ + {_plain('additions')} + {_plain('deletions')} + 2 + 2 * (hunks - 1) + heads + chars + 2 * (n - hunks) AS BIGINT) AS cost FROM m JOIN lc USING (file_ord) JOIN hc USING (file_ord)),
+u AS (SELECT *, sum(CASE WHEN reviewable THEN cost ELSE 0 END) OVER w AS used, count(*) FILTER (reviewable) OVER w AS rank FROM c WINDOW w AS (PARTITION BY review_id ORDER BY file_ord ROWS UNBOUNDED PRECEDING)),
+v AS (SELECT *, CASE WHEN NOT reviewable THEN 'skipped' WHEN rank = 1 OR used <= 80000 THEN 'returned' ELSE 'omitted' END AS status FROM u)"""
+
+
+def _budget(s, d):
+    files = _files(s, d)
+    cost = diff.entry_costs(files, diff.hunk_lines(files))
+    return diff.budget(files.drop("patch").join(cost, diff.FILE))
+
+
+@query(f"{FILES}, {_COST} SELECT review_id, file_path, cost, CAST(used AS BIGINT) AS used_chars, status FROM v")
 def diff_budget_page(s, d):
-    cost = C.documents(s, d).select(F.col("doc_id").alias("file_ord"), F.col("n_chars").alias("cost"))
-    return diff.budget(_files(s, d).drop("patch").join(cost, "file_ord"), 30_000).select("review_id", "file_path", "used_chars", "status")
+    return _budget(s, d).select("review_id", "file_path", "cost", "used_chars", "status")
 
 
-@query(f"""{FILES}, c AS ({_COST}), u AS (SELECT *, sum(CASE WHEN reviewable THEN cost ELSE 0 END) OVER w AS used, count(*) FILTER (reviewable) OVER w AS rank FROM c
- WINDOW w AS (PARTITION BY review_id ORDER BY file_ord ROWS UNBOUNDED PRECEDING)), v AS (SELECT *, CASE WHEN NOT reviewable THEN 'skipped' WHEN rank = 1 OR used <= 30000 THEN 'returned' ELSE 'omitted' END AS status FROM u)
- SELECT review_id, count(*) FILTER (status = 'returned') AS returned, count(*) FILTER (status = 'omitted') AS omitted, count(*) FILTER (status = 'skipped') AS skipped, CAST(sum(additions) AS BIGINT) AS additions FROM v GROUP BY review_id""")
+@query(f"""{FILES}, {_COST} SELECT review_id, count(*) FILTER (status = 'returned') AS returned, count(*) FILTER (status = 'omitted') AS omitted, count(*) FILTER (status = 'skipped') AS skipped,
+ CAST(sum(additions) AS BIGINT) AS additions FROM v GROUP BY review_id""")
 def diff_stats(s, d):
-    cost = C.documents(s, d).select(F.col("doc_id").alias("file_ord"), F.col("n_chars").alias("cost"))
-    rows = diff.budget(_files(s, d).drop("patch").join(cost, "file_ord"), 30_000)
     n = lambda v: F.count_if(F.col("status") == v).alias(v)
-    return rows.groupBy("review_id").agg(n("returned"), n("omitted"), n("skipped"), F.sum("additions").alias("additions"))
+    return _budget(s, d).groupBy("review_id").agg(n("returned"), n("omitted"), n("skipped"), F.sum("additions").alias("additions"))
 
 
 @query(f"{LINES} SELECT file_ord, hunk_no, type, new_line, content FROM l WHERE contains(file_path, 'd1/') OR contains(file_path, '.go')")
@@ -305,24 +321,26 @@ def root_status(s, d):
     return index.root_state(facts).select("doc_id", "root_state")
 
 
-_CHUNKS = """ck AS (SELECT d.doc_id AS chunk_id, coalesce(d.text, '') AS text, e.embedding AS vector FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
-q AS (SELECT chunk_id AS query_id, vector AS query, list_slice(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1), 1, 3) AS terms FROM ck WHERE chunk_id % 100 = 0),
-v0 AS (SELECT query_id, chunk_id, round(list_sum(list_transform(range(1, len(vector) + 1), lambda i: (CAST(vector[i] AS DOUBLE) - CAST(query[i] AS DOUBLE)) * (CAST(vector[i] AS DOUBLE) - CAST(query[i] AS DOUBLE)))), 6) AS distance FROM ck, q),
+_CHUNKS = """ve AS (SELECT vec_id AS chunk_id, embedding AS vector FROM embeddings), ck AS (SELECT doc_id AS chunk_id, coalesce(text, '') AS text FROM documents),
+vq AS (SELECT chunk_id AS query_id, vector AS query FROM ve WHERE chunk_id % 50 = 0),
+v0 AS (SELECT query_id, chunk_id, round(list_sum(list_transform(range(1, len(vector) + 1), lambda i: (CAST(vector[i] AS DOUBLE) - CAST(query[i] AS DOUBLE)) * (CAST(vector[i] AS DOUBLE) - CAST(query[i] AS DOUBLE)))), 6) AS distance FROM ve, vq),
 v AS (SELECT query_id, chunk_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM v0 QUALIFY rank <= 20),
 w0 AS MATERIALIZED (SELECT chunk_id, regexp_extract_all(lower(text), '([a-z0-9_]+)', 1) AS words FROM ck), w1 AS (SELECT chunk_id, words, len(words) AS length FROM w0),
 w AS (SELECT chunk_id, length, unnest(words) AS term FROM w1),
 po AS (SELECT term, chunk_id, count(*) AS tf, any_value(length) AS length FROM w GROUP BY ALL),
 tt AS (SELECT count(*) AS n, avg(len(words)) AS mean_length FROM w0),
-qt AS (SELECT DISTINCT query_id, unnest(terms) AS term FROM q), df AS (SELECT term, count(*) AS df FROM po GROUP BY term),
+qt AS (SELECT DISTINCT chunk_id AS query_id, unnest(words) AS term FROM w0 WHERE chunk_id % 50 = 0), df AS (SELECT term, count(*) AS df FROM po GROUP BY term),
 b0 AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean_length))), 6) AS score FROM qt JOIN po USING (term) JOIN df USING (term), tt GROUP BY ALL),
 b AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM b0 QUALIFY rank <= 20)"""
 
 
 def _arms(s, d):
-    chunks, queries = C.chunks(s, d), C.search_queries(s, d)
-    near = search.nearest(chunks, queries.select("query_id", "query"))
-    text = search.bm25(search.postings(chunks), queries.select("query_id", F.explode("terms").alias("term")), search.totals(chunks))
-    return near, text
+    vectors, chunks = C.vectors(s, d), C.chunks(s, d)
+    asked = vectors.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query"))
+    near = search.nearest(vectors, asked)
+    postings = search.postings(chunks)
+    terms = search.terms(chunks.where("chunk_id % 50 = 0")).select(F.col("chunk_id").alias("query_id"), "term")
+    return near, search.bm25(postings, terms, search.totals(chunks))
 
 
 @query(f"WITH {_CHUNKS} SELECT query_id, chunk_id, distance, CAST(rank AS INTEGER) AS rank FROM v")
@@ -385,16 +403,16 @@ def remote_normalise(s, d):
 
 def _drafts(s, d):
     k = F.col("conv_id")
-    c = table(s, d, "conversations").where("turn = 1")
+    c = table(s, d, "conversations")
     return c.select(
-        F.concat(F.lit("r"), (k % 10).cast("string")).alias("review_id"), k.alias("ord"), F.when(k % 6 != 0, F.concat(F.lit("f"), k.cast("string"))).alias("file_path"), F.when(k % 7 == 0, "").otherwise(F.col("text")).alias("body"),
+        F.concat(F.lit("r"), (k % 10).cast("string")).alias("review_id"), (k * 1000 + F.col("turn")).alias("ord"), F.when(k % 6 != 0, F.concat(F.lit("f"), k.cast("string"))).alias("file_path"), F.when(k % 7 == 0, "").otherwise(F.col("text")).alias("body"),
         F.when(k % 4 != 0, (k % 3).cast("int")).alias("new_line"), F.when(k % 5 != 0, (k % 2).cast("int")).alias("old_line"), F.when(k % 3 == 0, "old").alias("old_path"),
         F.when(k % 9 != 0, "b").alias("base_sha"), F.lit("h").alias("head_sha"), F.lit("s").alias("start_sha"),
     )
 
 
-_DRAFTS = """dr AS (SELECT concat('r', conv_id % 10) AS review_id, conv_id AS ord, CASE WHEN conv_id % 6 <> 0 THEN concat('f', conv_id) END AS file_path, CASE WHEN conv_id % 7 = 0 THEN '' ELSE text END AS body,
- CASE WHEN conv_id % 4 <> 0 THEN CAST(conv_id % 3 AS INTEGER) END AS new_line, CASE WHEN conv_id % 5 <> 0 THEN CAST(conv_id % 2 AS INTEGER) END AS old_line, CASE WHEN conv_id % 3 = 0 THEN 'old' END AS old_path FROM conversations WHERE turn = 1)"""
+_DRAFTS = """dr AS (SELECT concat('r', conv_id % 10) AS review_id, conv_id * 1000 + turn AS ord, conv_id, CASE WHEN conv_id % 6 <> 0 THEN concat('f', conv_id) END AS file_path, CASE WHEN conv_id % 7 = 0 THEN '' ELSE text END AS body,
+ CASE WHEN conv_id % 4 <> 0 THEN CAST(conv_id % 3 AS INTEGER) END AS new_line, CASE WHEN conv_id % 5 <> 0 THEN CAST(conv_id % 2 AS INTEGER) END AS old_line, CASE WHEN conv_id % 3 = 0 THEN 'old' END AS old_path FROM conversations)"""
 
 
 @query(f"""WITH {_DRAFTS} SELECT review_id, ord, CASE WHEN file_path IS NULL THEN concat('comment ', ord, ': file_path is missing') WHEN coalesce(body, '') = '' THEN concat('comment ', ord, ': body is missing')
@@ -404,7 +422,7 @@ def comment_validate(s, d):
 
 
 @query(f"""WITH {_DRAFTS} SELECT review_id, ord, CASE WHEN new_line IS NOT NULL THEN 'RIGHT' ELSE 'LEFT' END AS side, CASE WHEN new_line IS NOT NULL THEN new_line ELSE old_line END AS line,
- CASE WHEN ord % 9 <> 0 THEN coalesce(old_path, file_path) END AS old_path FROM dr""")
+ CASE WHEN conv_id % 9 <> 0 THEN coalesce(old_path, file_path) END AS old_path FROM dr""")
 def comment_position(s, d):
     rows = review.positions(_drafts(s, d))
     return rows.select("review_id", "ord", "side", "line", F.get_json_object("gitlab", "$.old_path").alias("old_path"))

@@ -1,3 +1,4 @@
+import json
 import random
 
 from changelens import schemas
@@ -108,3 +109,27 @@ def test_identifiers_and_fallback(spark):
 def test_one_exchange_and_no_python(spark):
     plan = diff.hunk_lines(files(spark, ("a.py", MIXED, False)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and "Arrow" not in plan
+
+
+def test_costs_are_the_length_of_the_entry(spark):
+    """Characters of ``json.dumps`` of the entry that a reader of the tool gets."""
+    odd = "@@ -1,2 +1,3 @@ def f():\n a\"b\\\\c\t\u00e9\n+\U0001f600 \x7f\x01\n-\n@@ -90 +95 @@\n@@ -100,2 +110 @@\n x"
+    rows = [("r", 0, "d/a.py", "d/\u00e4.py", True, False, False, odd), ("r", 1, "b", "b", False, True, False, ""), ("r", 2, "c.go", None, False, False, True, MIXED)]
+    f = spark.createDataFrame(rows, "review_id string, file_ord long, file_path string, old_path string, new_file boolean, deleted_file boolean, renamed_file boolean, patch string")
+    lines = diff.hunk_lines(f)
+    measured = {r.file_ord: r for r in diff.measured(f).collect()}
+    heads = {(r.file_ord, r.hunk_no): r for r in diff.hunk_heads(f).collect()}
+    line = lambda r: {"type": r.type, "old_line": r.old_line, "new_line": r.new_line, "content": r.content}
+    own = {k: [line(r) for r in sorted(lines.collect(), key=lambda r: r.pos) if (r.file_ord, r.hunk_no) == k] for k in heads}
+    got = {r.file_ord: r.cost for r in diff.entry_costs(diff.measured(f), lines).collect()}
+    for k, r in measured.items():
+        hunks = [{**{c: h[c] for c in ("old_start", "old_lines", "new_start", "new_lines")}, "lines": own[o, n]} for (o, n), h in sorted(heads.items()) if o == k]
+        entry = {c: r[c] for c in ("file_path", "old_path", "new_file", "deleted_file", "renamed_file", "additions", "deletions")} | {"hunks": hunks}
+        assert got[k] == len(json.dumps(entry))
+    found = sections.hunk_sections(lines, True, with_changes=True)
+    got = {r.file_ord: r.cost for r in diff.section_costs(diff.measured(f), found).collect()}
+    language = {0: "python", 1: None, 2: "go"}
+    for k, r in measured.items():
+        some = [{c: x[c] for c in ("symbol", "symbol_type", "start_line", "end_line")} | {"changes": [line(y) for y in x.changes]} for x in sorted(found.collect(), key=lambda x: x.section_no) if x.file_ord == k]
+        entry = {"file_path": r.file_path, "language": language[k]} | {c: r[c] for c in ("new_file", "deleted_file", "additions", "deletions")} | {"sections": some}
+        assert got[k] == len(json.dumps(entry))

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["changed_files_manifest", "hunk_lines", "sections_merge", "verify_range_join", "impact_by_usage", "hybrid_rrf", "index_delta", "jaccard_pairs"])
+@pytest.mark.parametrize("name", ["changed_files_manifest", "hunk_lines", "sections_merge", "verify_range_join", "impact_by_usage", "hybrid_rrf", "index_delta", "jaccard_pairs", "diff_budget_page", "vector_topk", "comment_position", "verify_path_match", "thread_grouping"])
 def test_parity(spark, name):
     import duckdb
 
