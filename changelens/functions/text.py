@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -191,3 +193,24 @@ def repository(url: Column, base: str = "") -> Column:
 
 def index_key(path: Column) -> Column:
     return F.substring(F.sha2(path, 256), 1, 16)
+
+
+def glob_pattern(glob: str) -> str:
+    """The pattern of paths that a file glob selects: without a slash at any depth, else from the root."""
+    out, i = "", 0
+    while i < len(glob):
+        c = glob[i]
+        if glob[i : i + 3] == "**/":
+            out, i = out + "(?:.*/)?", i + 3
+            continue
+        if glob[i : i + 2] == "**":
+            out, i = out + ".*", i + 2
+            continue
+        close = glob.find("]", i + 2) if c == "[" else -1
+        if close > 0:
+            body = glob[i + 1 : close].replace("\\", "\\\\")
+            out, i = out + "[" + ("^" + body[1:] if body[0] in "!^" else body) + "]", close + 1
+            continue
+        out += {"*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")", ",": "|" if "{" in glob[:i] and "}" in glob[i:] else ","}.get(c) or re.escape(c)
+        i += 1
+    return ("^" if "/" in glob else "^(?:.*/)?") + out.lstrip("/") + "$"

@@ -10,7 +10,7 @@ from ..functions import text as T
 PER_FILE, MAX_RESULTS = 5, 50
 MAX_FILES, MAX_BYTES = 500, 200_000
 MODULE = "<module>"
-#: Most symbols that are broadcast to be looked for as parts of words.
+#: Most symbols that are looked for in one pass.
 MAX_PARTS = 1000
 
 
@@ -22,18 +22,27 @@ def source_lines(files: DataFrame, path: str = "path", content: str = "content")
 def references(lines: DataFrame, symbols: DataFrame, whole_word: bool = True, per_file: int = PER_FILE, most: int = MAX_RESULTS) -> DataFrame:
     """Lines that use each of ``symbols`` (symbol), at most ``per_file`` of a file and ``most`` in all, by path and line.
 
-    One pass over the lines for all symbols: whole words are exploded and joined, so there is no product of lines and
-    symbols; parts of words need the product, so their number is checked and more are refused.
+    One pass over the lines for up to MAX_PARTS symbols: a line is reduced to those of its words that are asked for
+    before anything is exploded.  More symbols than that join the lines' words; parts of words, which have nothing to
+    join on, are looked for in as many passes as there are blocks of MAX_PARTS.
     The over-fetch of twice ``most`` before the cut changes nothing once the order is fixed.
     """
-    if whole_word:
-        words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9_]+)"), F.lit(1)))
-        hits = lines.withColumn("symbol", F.explode(words)).join(symbols.select("symbol").distinct(), "symbol")
+    wanted = symbols.select("symbol").where("symbol is not null").distinct()
+    words = F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9_]+)"), F.lit(1))
+    some = [r[0] for r in wanted.limit(MAX_PARTS + 1).collect()]
+    if len(some) <= MAX_PARTS:
+        asked = F.array(*map(F.lit, some)).cast("array<string>")
+        own = F.array_intersect(words, asked) if whole_word else F.filter(asked, lambda x: F.contains("text", x))
+        hits = lines.withColumn("symbol", F.explode(own))
+    elif whole_word:
+        hits = lines.withColumn("symbol", F.explode(F.array_distinct(words))).join(wanted, "symbol")
     else:
-        wanted = symbols.select("symbol").distinct()
-        if wanted.count() > MAX_PARTS:
-            raise ValueError(f"parts of words are searched for at most {MAX_PARTS} symbols at once")
-        hits = lines.join(F.broadcast(wanted), F.contains("text", "symbol"))
+        hits, part = None, []
+        for r in wanted.orderBy("symbol").toLocalIterator():
+            part.append(r[0])
+            if len(part) == MAX_PARTS:
+                hits, part = _holding(lines, part, hits), []
+        hits = _holding(lines, part, hits)
     near = Window.partitionBy("symbol", "path").orderBy("line")
     hits = hits.withColumn("n", F.row_number().over(near)).where(F.col("n") <= per_file)
     order = Window.partitionBy("symbol").orderBy("path", "line")
@@ -41,6 +50,12 @@ def references(lines: DataFrame, symbols: DataFrame, whole_word: bool = True, pe
     return hits.select("symbol", "rank", "path", "line", T.strip(F.col("text")).alias("context"), T.usage_type(F.col("text"), F.col("symbol")).alias("usage_type"))
 
 
+def _holding(lines: DataFrame, part: list[str], others: DataFrame | None) -> DataFrame:
+    asked = F.array(*map(F.lit, part)).cast("array<string>")
+    own = lines.withColumn("symbol", F.explode(F.filter(asked, lambda x: F.contains("text", x))))
+    return own if others is None else others.unionByName(own)
+
+
 def counts(references: DataFrame, by: str) -> DataFrame:
     """Per symbol: references by ``path`` or ``usage_type``, most first, ties as first seen."""
     per = references.groupBy("symbol", by).agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("seen"))

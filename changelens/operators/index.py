@@ -64,23 +64,34 @@ def auto_index(facts: DataFrame, enabled: bool = True) -> DataFrame:
     return facts.withColumn("auto_index", F.lit(enabled) & F.col("state").isin("absent", "stale", "model_mismatch", "unknown"))
 
 
-def commits_behind(commits: DataFrame, since: str, head: str, most: int = 10_000) -> int:
-    """Commits that ``head`` reaches and ``since`` does not, in a table (sha, parent) with a row for each parent.
+def commits_behind(commits: DataFrame, points: DataFrame) -> DataFrame:
+    """(repository, behind): commits that ``head`` reaches and ``since`` does not.
 
-    History is walked from both ends as a breadth-first search that stops when nothing new is found.
+    ``commits`` (repository, sha, parent) has a row for each parent, ``points`` (repository, head, since) one a
+    repository.  A repository's history, of names only, is walked once from both ends in a task of its own.
     """
-
-    def ancestors(start: str) -> DataFrame:
-        seen = front = commits.sparkSession.createDataFrame([(start,)], "sha string")
-        for _ in range(most):
-            front = front.join(commits, "sha").select(F.col("parent").alias("sha")).where("sha is not null").distinct().join(seen, "sha", "left_anti")
-            front = front.checkpoint() if front.sparkSession.sparkContext.getCheckpointDir() else front.cache()
-            if front.isEmpty():
-                break
-            seen = seen.union(front)
-        return seen
-
-    return ancestors(head).join(ancestors(since), "sha", "left_anti").count()
+    import pandas as pd
+
+    def walk(history: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        parents: dict[str, list[str]] = {}
+        for sha, parent in zip(history["sha"], history["parent"]):
+            if isinstance(parent, str):
+                parents.setdefault(sha, []).append(parent)
+
+        def ancestors(start: str, known: set[str]) -> set[str]:
+            seen, front = set(), [start]
+            while front:
+                x = front.pop()
+                if x not in seen and x not in known:
+                    seen.add(x)
+                    front += parents.get(x, [])
+            return seen
+
+        rows = [(r, len(ancestors(h, ancestors(s, set())))) for r, h, s in zip(points["repository"], points["head"], points["since"])]
+        return pd.DataFrame(rows, columns=["repository", "behind"])
+
+    history = commits.select("repository", "sha", "parent").groupBy("repository")
+    return history.cogroup(points.select("repository", "head", "since").groupBy("repository")).applyInPandas(walk, "repository string, behind long")
 
 
 def next_step(facts: DataFrame) -> DataFrame:

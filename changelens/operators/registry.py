@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..runtime import written
 
 #: Similarity of file sets from which two indexes are one project.
 SAME = 0.6
@@ -62,37 +63,62 @@ def keepers(grouped: DataFrame, group: str = "group_id") -> DataFrame:
     return grouped.withColumn("keep", F.row_number().over(Window.partitionBy(group).orderBy(*best)) == 1)
 
 
+def connected(links: DataFrame) -> DataFrame:
+    """(node, part) for each node of the links (a, b): part is the least node that it is connected with.
+
+    Least names travel along links and then to their own least name's, so the number of rounds grows with the
+    logarithm of the longest way; each round reads and writes tables.
+    """
+    both = written(links.select("a", "b").union(links.select("b", "a")).distinct())
+    now = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("part")))
+    while True:
+        near = both.join(now, F.col("b") == F.col("node")).groupBy("a").agg(F.min("part").alias("m"))
+        step = written(now.join(near, F.col("node") == F.col("a")).select("node", F.least("part", "m").alias("part"), F.col("part").alias("old")))
+        up = step.select(F.col("node").alias("up"), F.col("part").alias("top"))
+        new = written(step.join(up, F.col("part") == F.col("up")).select("node", F.least("part", "top").alias("part"), "old"))
+        if new.where("part <> old").isEmpty():
+            return new.select("node", "part")
+        now = new.select("node", "part")
+
+
 def leaders(records: DataFrame, threshold: float = SAME) -> DataFrame:
     """``records`` with ``group_id``, the name of the first record of their group.
 
-    In order of name, a record joins the first group whose first record is the same project, else it starts one.  The
-    rule depends on all records before, so the links (names only, as many as there are similar records) are grouped
-    by connected part of the link graph's smallest unit, the registry, and walked there once.
+    In order of name, a record joins the first group whose first record is the same project, else it starts one.  Only
+    records of one connected part of the links (a remote counts as one of its records) can meet, so each part is walked
+    by itself, by names and links alone; a record without links is its own group.
     """
     import pandas as pd
 
-    links = similar_pairs(records, threshold).select("a", "b")
+    links = written(similar_pairs(records, threshold).select("a", "b"))
+    remote = records.where("remote <> ''")
+    first = remote.groupBy("remote").agg(F.min("name").alias("a"))
+    by_remote = remote.join(first, "remote").where(F.col("a") < F.col("name")).select("a", F.col("name").alias("b"))
+    part = connected(links.union(by_remote))
 
     def walk(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         near: dict[str, set[str]] = {}
         for a, b in zip(pairs["a"], pairs["b"]):
             near.setdefault(b, set()).add(a)
-        first, by_remote, out = [], {}, []
-        order = {}
+        order, names, by_remote, out = {}, [], {}, []
         for name, remote in sorted(zip(rows["name"], rows["remote"]), key=lambda r: r[0]):
-            best = min((order[x] for x in near.get(name, ()) if x in order), default=None)
+            groups = [order[x] for x in near.get(name, ()) if x in order]
             if remote and remote in by_remote:
-                best = by_remote[remote] if best is None else min(best, by_remote[remote])
-            if best is None:
-                best = order[name] = len(first)
-                first.append(name)
+                groups.append(by_remote[remote])
+            if groups:
+                best = min(groups)
+            else:
+                best = order[name] = len(names)
+                names.append(name)
                 if remote:
                     by_remote.setdefault(remote, best)
-            out.append((name, first[best]))
+            out.append((name, names[best]))
         return pd.DataFrame(out, columns=["name", "group_id"])
 
-    one = records.select(F.lit(1).alias("g"), "name", "remote").groupBy("g").cogroup(links.withColumn("g", F.lit(1)).groupBy("g"))
-    return records.join(one.applyInPandas(walk, "name string, group_id string"), "name")
+    rows = records.select("name", "remote").join(part.select(F.col("node").alias("name"), F.col("part").alias("p")), "name")
+    pairs = links.join(part.select(F.col("node").alias("a"), F.col("part").alias("q")), "a")
+    found = rows.groupBy("p").cogroup(pairs.groupBy("q")).applyInPandas(walk, "name string, group_id string")
+    return records.join(found, "name", "left").withColumn("group_id", F.coalesce("group_id", "name"))
 
 
 def prune(records: DataFrame, threshold: float = SAME) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 WINDOW_LINES, PREVIEW, KEY_CHARS, MAX_COMMENTS = 40, 150, 200, 25
+#: Characters at the end of a path that are joined on.
+SUFFIX = 12
 
 
 def manifest_stats(files: DataFrame) -> DataFrame:
@@ -35,18 +37,22 @@ def reply_threads(comments: DataFrame) -> DataFrame:
     """Review comments with the root of their thread, from (review_id, ord, id, in_reply_to_id).
 
     In order of arrival, a comment joins the thread it replies to if that is the root of one already, else it is a
-    root itself.  The fold runs inside one row per review, so one exchange by review is all that moves.
+    root itself.  Each review's comments are gone through once, in a task of its own, with the roots in a set.
     """
-    per = comments.groupBy("review_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "in_reply_to_id"))).alias("c"))
-    start = F.expr("named_struct('roots', cast(array() as array<bigint>), 'out', cast(array() as array<struct<id: bigint, root: bigint>>))")
+    import pandas as pd
 
-    def step(acc, x):
-        known = F.coalesce(F.array_contains(acc["roots"], x["in_reply_to_id"]), F.lit(False))
-        root = F.when(known, x["in_reply_to_id"]).otherwise(x["id"])
-        roots = F.when(known | F.array_contains(acc["roots"], x["id"]), acc["roots"]).otherwise(F.array_append(acc["roots"], x["id"]))
-        return F.struct(roots.alias("roots"), F.array_append(acc["out"], F.struct(x["id"].alias("id"), root.alias("root"))).alias("out"))
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        roots, out = set(), []
+        for own, reply in zip(*(rows.sort_values("ord", kind="stable")[c] for c in ("id", "in_reply_to_id"))):
+            joins = not pd.isna(reply) and int(reply) in roots
+            out.append(int(reply) if joins else own)
+            if not joins:
+                roots.add(int(own))
+        rows = rows.sort_values("ord", kind="stable")
+        return pd.DataFrame({"review_id": rows["review_id"], "id": rows["id"], "root": pd.array(out, "Int64")})
 
-    return per.select("review_id", F.inline(F.aggregate("c", start, step, lambda acc: acc["out"])))
+    own = comments.select("review_id", "ord", "id", "in_reply_to_id")
+    return own.groupBy("review_id").applyInPandas(walk, "review_id string, id long, root long")
 
 
 def split_threads(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -99,18 +105,35 @@ def distinct_threads(threads: DataFrame) -> DataFrame:
 def match_paths(threads: DataFrame, files: DataFrame) -> DataFrame:
     """The file of the diff that each located thread is about: the same path, else the first that ends as it or that it ends as.
 
-    Files with an empty patch do not count, nor those whose path contains no thread's path.  Paths are few per review;
-    they join on the review.
+    Files with an empty patch do not count, nor those whose path contains no thread's path.  Where one path ends as
+    another, their last SUFFIX characters agree, or the shorter one is that suffix; both are keys of equi-joins, so a
+    review of very many files and threads is spread by its paths.
     """
     paths = threads.where("located").select("review_id", F.col("file_path").alias("thread_path")).distinct()
     own = files.where("patch <> ''").select("review_id", "file_ord", "file_path")
-    loaded = own.join(paths, "review_id").where(F.contains("file_path", "thread_path")).select(own.columns).distinct()
-    both = paths.join(loaded, "review_id")
+    both = _ending_alike(paths, own)
+    sure = both.where(F.endswith("file_path", "thread_path"))  # such a file contains a thread's path
+    rest = both.where(~F.endswith("file_path", "thread_path"))
+    holds = rest.select(own.columns).distinct().join(paths.withColumnRenamed("thread_path", "other"), "review_id")
+    holds = holds.where(F.contains("file_path", "other")).select("review_id", "file_ord").distinct()
+    both = sure.unionByName(rest.join(holds, ["review_id", "file_ord"], "left_semi").select(sure.columns))
     exact = F.col("file_path") == F.col("thread_path")
-    both = both.where(exact | F.endswith("file_path", "thread_path") | F.endswith("thread_path", "file_path"))
     return both.groupBy("review_id", "thread_path").agg(F.min_by(F.struct("file_ord", "file_path"), F.struct(~exact, "file_ord")).alias("f")).select("review_id", "thread_path", "f.file_ord", "f.file_path")
 
 
+def _ending_alike(paths: DataFrame, files: DataFrame) -> DataFrame:
+    """Pairs (review_id, thread_path, file_ord, file_path) of which one path ends as the other."""
+    end = lambda c: F.expr(f"right({c}, {SUFFIX})")
+    ends = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.least(F.length(c), F.lit(SUFFIX - 1))), lambda n: F.substring(F.col(c), F.length(c) - n + 1, n)))
+    p, f = paths.withColumn("end", end("thread_path")), files.withColumn("end", end("file_path"))
+    long_ = p.where(F.length("thread_path") >= SUFFIX).join(f.where(F.length("file_path") >= SUFFIX), ["review_id", "end"])
+    short = p.where(F.length("thread_path") < SUFFIX).join(files.withColumn("end", ends("file_path")), ["review_id", "end"])
+    shorter = f.where(F.length("file_path") < SUFFIX).join(paths.withColumn("end", ends("thread_path")), ["review_id", "end"])
+    names = ["review_id", "thread_path", "file_ord", "file_path"]
+    both = long_.select(names).union(short.select(names)).union(shorter.select(names)).distinct()
+    return both.where(F.endswith("file_path", "thread_path") | F.endswith("thread_path", "file_path"))
+
+
 def nearby_changes(threads: DataFrame, matched: DataFrame, lines: DataFrame, window: int = WINDOW_LINES) -> DataFrame:
     """Changed lines within ``window`` of each located thread: an equi-join on the file, cells of lines against skew.
 

@@ -176,6 +176,52 @@ def calls(content: str, language: str | None, call_name: str = "last") -> list[t
     return out
 
 
+def python_usage(tree: ast.AST, line: int, symbol: str) -> str:
+    """How a line of a parsed Python file uses a symbol: by the outermost node around the line that tells."""
+
+    def visit(node) -> str | None:
+        first = getattr(node, "lineno", None)
+        if first is not None:
+            top = min([first, *[d.lineno for d in getattr(node, "decorator_list", [])]])
+            if not top <= line <= (node.end_lineno or first):
+                return None
+            if isinstance(node, (ast.Import, ast.ImportFrom)):
+                return "import"
+            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) and node.name == symbol and first <= line:
+                return "definition"
+            if isinstance(node, ast.Call):
+                return "call"
+            if isinstance(node, (ast.Assign, ast.AnnAssign)):
+                return "assignment"
+        return next((found for n in ast.iter_child_nodes(node) if (found := visit(n))), None)
+
+    return visit(tree) or "reference"
+
+
+def usages(files: DataFrame, hits: DataFrame) -> DataFrame:
+    """(path, line, symbol, usage): how lines of Python files that parse use symbols, by syntax.
+
+    ``files`` (path, content) and ``hits`` (path, line, symbol); a file is parsed once for all of its hits.
+    """
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for p, text, wanted in zip(b["path"], b["content"], b["wanted"]):
+                try:
+                    tree = ast.parse(text)
+                    rows += [(p, w["line"], w["symbol"], python_usage(tree, w["line"], w["symbol"])) for w in wanted]
+                except (SyntaxError, ValueError, RecursionError):
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "line", "symbol", "usage"])
+
+    ship(files.sparkSession)
+    per = hits.groupBy("path").agg(F.collect_list(F.struct("line", "symbol")).alias("wanted"))
+    own = files.where(T.language(F.col("path")) == "python").select("path", "content").join(per, "path")
+    return own.mapInPandas(run, "path string, line int, symbol string, usage string")
+
+
 def chunks(files: DataFrame) -> DataFrame:
     """Chunks of files (path, content), a batch of files at a time."""
     import pandas as pd
@@ -190,8 +236,12 @@ def chunks(files: DataFrame) -> DataFrame:
     return own.mapInPandas(run, CHUNK)
 
 
-def syntax(files: DataFrame, call_name: str = "last") -> DataFrame:
-    """Spans and calls of files (path, content) in one parse of each; ``pos`` is their order in the file."""
+def syntax(files: DataFrame, call_name: str = "last", most: int | None = MAX_BYTES) -> DataFrame:
+    """Spans and calls of files (path, content) in one parse of each; ``pos`` is their order in the file.
+
+    Each file also has a row of kind ``file``, or ``error`` where it does not parse.  Files of more than ``most`` bytes
+    are left out.
+    """
     import pandas as pd
 
     def flat(found, depth=0):
@@ -203,12 +253,14 @@ def syntax(files: DataFrame, call_name: str = "last") -> DataFrame:
         for b in batches:
             rows = []
             for p, lang, text in zip(b["path"], b["language"], b["content"]):
-                rows += [(p, "span", s[0], s[1], s[2], s[3], None, i) for i, s in enumerate(flat(spans(text, lang) or []))]
+                found = spans(text, lang)
+                rows.append((p, "file" if found is not None else "error", None, None, 0, 0, None, 0))
+                rows += [(p, "span", s[0], s[1], s[2], s[3], None, i) for i, s in enumerate(flat(found or []))]
                 rows += [(p, "call", callee, None, line, line, caller, pos) for caller, callee, line, pos in calls(text, lang, call_name)]
             yield pd.DataFrame(rows, columns=["path", "kind", "name", "symbol_type", "start_line", "end_line", "caller", "pos"])
 
     ship(files.sparkSession)
-    own = files.where(F.octet_length("content") <= MAX_BYTES).select("path", T.language(F.col("path")).alias("language"), "content").where("language is not null")
+    own = (files if most is None else files.where(F.octet_length("content") <= most)).select("path", T.language(F.col("path")).alias("language"), "content").where("language is not null")
     return own.mapInPandas(run, SYNTAX)
 
 
@@ -220,6 +272,11 @@ def declarations(syntax: DataFrame) -> DataFrame:
     return syntax.where("kind = 'span'").select("path", "name", "symbol_type", "start_line", "end_line", "pos")
 
 
+def scan_stats(syntax: DataFrame) -> DataFrame:
+    """One row: files_scanned, and how many of them did not parse (parse_errors)."""
+    return syntax.agg(F.count_if(F.col("kind").isin("file", "error")).alias("files_scanned"), F.count_if(F.col("kind") == "error").alias("parse_errors"))
+
+
 def new_file_sections(lines: DataFrame, files: DataFrame, include_context: bool = False, with_changes: bool = False) -> DataFrame:
     """Sections of new files by syntax: the file is rebuilt from added lines, chunked, and lines fall into chunks.
 

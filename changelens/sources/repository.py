@@ -34,7 +34,7 @@ def sidecars(spark: SparkSession, folder: str) -> DataFrame:
 
     ``files`` may be a map from path to hash or a list of paths.
     """
-    raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.meta.json").select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.meta\.json$", 1).alias("name"), "value")
+    raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.meta.json", recursiveFileLookup=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.meta\.json$", 1).alias("name"), "value")
     meta = F.from_json("value", "root string, remote string, chunks long, indexed_at string, git_sha string, model string")
     as_map, as_list = F.from_json(F.get_json_object("value", "$.files"), "map<string, string>"), F.from_json(F.get_json_object("value", "$.files"), "array<string>")
     is_list = F.get_json_object("value", "$.files").startswith("[")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 
@@ -78,8 +79,29 @@ def replace_index(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
+def _path(spark, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def drop_index(spark, path: str) -> bool:
     """Delete an index; tells whether there was one."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, target = _path(spark, path)
     return bool(fs.exists(target) and fs.delete(target, True))
+
+
+def write_record(spark, folder: str, name: str, record: dict) -> None:
+    """Write an index's record as ``<name>.meta.json``: beside the old one first, then in its place."""
+    fs, target = _path(spark, f"{folder}/{name}.meta.json")
+    _, fresh = _path(spark, f"{folder}/.{name}.new")
+    out = fs.create(fresh, True)
+    out.write(bytearray(json.dumps(record, ensure_ascii=False).encode()))
+    out.close()
+    fs.delete(target, False)
+    fs.rename(fresh, target)
+
+
+def drop_record(spark, folder: str, name: str) -> bool:
+    """Delete an index's record; tells whether there was one."""
+    fs, target = _path(spark, f"{folder}/{name}.meta.json")
+    return bool(fs.exists(target) and fs.delete(target, False))

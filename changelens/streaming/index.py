@@ -5,38 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import index, syntax
+from ..operators import index, search, syntax
+from ..runtime import written
 
 SNAPSHOT = "snapshot long, path string, content string"
 
 
-def refresh(spark: SparkSession, table: str, snapshot: DataFrame, version: int) -> DataFrame:
+def chunked(files: DataFrame, embed=None) -> DataFrame:
+    """The chunk rows of files (path, content, hash), with a ``chunk_id`` and, by ``embed(rows)``, their vectors."""
+    rows = syntax.chunks(files).join(files.select("path", "hash"), "path")
+    place = F.concat_ws(":", "path", F.col("start_line").cast("string"), F.col("end_line").cast("string"), "symbol")
+    rows = rows.withColumn("chunk_id", F.sha2(place, 256))
+    return embed(rows) if embed is not None else rows
+
+
+def refresh(spark: SparkSession, table: str, snapshot: DataFrame, version: int, embed=None, incremental: bool = True) -> DataFrame:
     """Bring the chunk table at ``table`` to a snapshot (path, content); unchanged files are not chunked again.
 
-    Hashes are compared before anything is parsed.  The new table is written beside the old one and named by its
-    version, so a batch that runs twice gives the same table, and readers of the old one are not disturbed.
+    Hashes are compared before anything is parsed or embedded.  The new table and its postings are written beside the
+    old ones and named by their version, so a batch that runs twice gives the same tables, and readers of the old ones
+    are not disturbed.
     """
     now = snapshot.select("path", "content", F.sha2("content", 256).alias("hash"))
-    old = latest(spark, table, before=version)
-    if old is None:
-        fresh = syntax.chunks(now).join(now.select("path", "hash"), "path")
-        out = fresh
+    old = latest(spark, table, before=version) if incremental else None
+    words = latest(spark, f"{table}/postings", before=version) if incremental else None
+    if old is None or words is None:
+        out = chunked(now, embed)
+        out.write.mode("overwrite").parquet(f"{table}/version={version}")
+        out = spark.read.parquet(f"{table}/version={version}")
+        terms = _postings(out)
     else:
-        changes = index.delta(old.select("path", "hash").distinct(), now)
+        changes = written(index.delta(old.select("path", "hash").distinct(), now))
         new = now.join(changes.where("change <> 'deleted'"), "path", "left_semi")
-        fresh = syntax.chunks(new).join(new.select("path", "hash"), "path")
+        fresh = written(chunked(new, embed))
         out = index.apply_delta(old, fresh, changes)
-    out.write.mode("overwrite").parquet(f"{table}/version={version}")
-    return spark.read.parquet(f"{table}/version={version}")
+        out.write.mode("overwrite").parquet(f"{table}/version={version}")
+        out = spark.read.parquet(f"{table}/version={version}")
+        terms = index.apply_delta(words, _postings(fresh), changes)
+    terms.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{table}/postings/version={version}")
+    return out
 
 
-def latest(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
-    """The chunk table of the newest version, or of the newest before one."""
+def _postings(chunks: DataFrame) -> DataFrame:
+    return search.postings(chunks).join(chunks.select("chunk_id", "path"), "chunk_id")
+
+
+def versions(spark: SparkSession, table: str) -> list[int]:
+    """The versions of a table that were written to their end."""
     path = spark._jvm.org.apache.hadoop.fs.Path(table)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-    found = sorted(int(n.split("=")[1]) for n in names if n.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/{n}/_SUCCESS")))
-    found = [v for v in found if before is None or v < before]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/{n}/_SUCCESS")))
+
+
+def latest(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
+    """The table of the newest version, or of the newest before one."""
+    found = [v for v in versions(spark, table) if before is None or v < before]
     return spark.read.parquet(f"{table}/version={found[-1]}") if found else None
 
 

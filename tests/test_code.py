@@ -20,11 +20,11 @@ def symbols(spark, *names):
 
 
 def test_impact(spark):
-    got = api.dependency_impact(sources(spark), symbols(spark, "helper")).orderBy("rank").collect()
+    got = api.dependency_impact(sources(spark), symbols(spark, "helper"))["references"].orderBy("rank").collect()
     assert [(g.path, g.line, g.usage_type, g.enclosing_symbol) for g in got] == [
         ("a.py", 4, "definition", "helper"), ("a.py", 10, "call", "run"), ("a.py", 11, "call", "run"), ("b.py", 1, "import", None), ("b.py", 3, "assignment", None),
     ]
-    assert api.dependency_impact(sources(spark), symbols(spark, "foo")).count() == 0
+    assert api.dependency_impact(sources(spark), symbols(spark, "foo"))["references"].count() == 0
     assert code.references(code.source_lines(sources(spark)), symbols(spark, "foo"), whole_word=False).count() == 1
 
 
@@ -110,8 +110,12 @@ def test_freshness(spark):
 
 
 def test_commits_behind(spark):
-    commits = spark.createDataFrame([("d", "c"), ("c", "b"), ("b", "a"), ("a", None), ("x", "b")], "sha string, parent string")
-    assert index.commits_behind(commits, "b", "d") == 2 and index.commits_behind(commits, "x", "d") == 2
+    rows = [("r", "d", "c"), ("r", "c", "b"), ("r", "b", "a"), ("r", "a", None), ("r", "x", "b"), ("q", "d", None)]
+    commits = spark.createDataFrame(rows, "repository string, sha string, parent string")
+    points = spark.createDataFrame([("r", "d", "b"), ("q", "d", "d")], "repository string, head string, since string")
+    assert {r.repository: r.behind for r in index.commits_behind(commits, points).collect()} == {"r": 2, "q": 0}
+    points = spark.createDataFrame([("r", "d", "x")], "repository string, head string, since string")
+    assert index.commits_behind(commits, points).first().behind == 2
 
 
 def test_search(spark):
