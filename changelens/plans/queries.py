@@ -428,17 +428,21 @@ def comment_position(s, d):
     return rows.select("review_id", "ord", "side", "line", F.get_json_object("gitlab", "$.old_path").alias("old_path"))
 
 
+def _python_files(s, d):
+    """A Python file of each document: its lines as comments of a function between others; each 19th holds bare text."""
+    k = F.col("doc_id").cast("string")
+    text = F.coalesce("text", F.lit(""))
+    lines = F.array_join(F.transform(F.split(text, "\n", -1), lambda x: F.concat(F.lit("    # "), x)), "\n")
+    body = F.concat(F.lit("import os\n\n\ndef f_"), k, F.lit("(x):\n"), lines, F.lit("\n    return a.g_"), k, F.lit("(h(x))\n\n\nclass C_"), k, F.lit(":\n    def m(self):\n        return f_"), k, F.lit("(1)\n\n\nf_"), k, F.lit("(2)\n"))
+    content = F.when(F.col("doc_id") % 19 == 0, F.concat(F.lit("def f("), text)).otherwise(body)
+    return C.documents(s, d).select(F.concat(F.lit("d/f"), k, F.lit(".py")).alias("path"), content.alias("content"))
+
+
 @query()
 def chunk_python(s, d):
-    k = F.col("doc_id").cast("string")
-    body = F.concat(F.lit("import os\n\n\ndef f_"), k, F.lit("(x):\n    return g_"), k, F.lit("(x)\n\n\nclass C_"), k, F.lit(":\n    def m(self):\n        return f_"), k, F.lit("(1)\n"))
-    files = C.documents(s, d).select(F.concat(F.lit("d/f"), k, F.lit(".py")).alias("path"), body.alias("content"))
-    return syntax.chunks(files)
+    return syntax.chunks(_python_files(s, d))
 
 
 @query()
 def call_edges_python(s, d):
-    k = F.col("doc_id").cast("string")
-    body = F.concat(F.lit("def f_"), k, F.lit("(x):\n    return a.g(h(x))\n\n\nf_"), k, F.lit("(2)\n"))
-    files = C.documents(s, d).select(F.concat(F.lit("d/f"), k, F.lit(".py")).alias("path"), body.alias("content"))
-    return syntax.edges(syntax.syntax(files))
+    return syntax.edges(syntax.syntax(_python_files(s, d), most=None))

@@ -40,3 +40,56 @@ def test_entry_lists_every_query():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.fixture
+def long_documents(spark, tmp_path):
+    """Documents whose files are packed, do not parse, or are empty."""
+    line = "alpha beta gamma " * 6
+    rows = [(0, "not python (("), (1, "\n".join(f"{k} {line}" for k in range(130))), (2, None), (3, "x" * 5000), (4, "a\n\nb"), (19, "y"), (5, "one\n" * 900)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path), rows
+
+
+def test_chunks_of_whole_texts_by_brute_force(spark, long_documents):
+    sf, rows = long_documents
+    files = {r.path: r.content for r in Q._python_files(spark, sf).collect()}
+    assert all((t or "") in c if i % 19 == 0 else all(x in c for x in (t or "").split("\n")) for i, t in rows for c in [files[f"d/f{i}.py"]])
+    got: dict = {}
+    for r in Q.QUERIES["chunk_python"](spark, sf).collect():
+        got.setdefault(r.path, []).append((r.symbol, r.symbol_type, r.start_line, r.end_line, r.text))
+    assert set(got) == set(files)
+    for i, t in rows:
+        path, lines = f"d/f{i}.py", files[f"d/f{i}.py"].split("\n")
+        if i % 19 == 0:
+            assert got[path] == [(None, "file", 1, len(lines), files[path])]
+            continue
+        n = len((t or "").split("\n"))
+        last = 4 + n + 1
+        body = "\n".join(lines[3:last])
+        own, at, pack = [], 4, []
+        if len(body) > 4000:  # pieces of whole lines, each line end counted
+            size = 0
+            for k in range(4, last + 1):
+                if size + len(lines[k - 1]) + 1 > 4000 and k > at:
+                    pack.append((at, k - 1))
+                    at, size = k, 0
+                size += len(lines[k - 1]) + 1
+            pack.append((at, last))
+        else:
+            pack.append((4, last))
+        own += [(f"f_{i}", "function", a, b, "\n".join(lines[a - 1 : b])) for a, b in pack]
+        own.append((f"C_{i}", "class", last + 3, last + 5, "\n".join(lines[last + 2 : last + 5])))
+        own.append((None, "preamble", 1, last + 8, f"import os\nf_{i}(2)"))
+        assert sorted(got[path], key=str) == sorted(own, key=str)
+
+
+def test_calls_of_whole_texts_by_brute_force(spark, long_documents):
+    sf, rows = long_documents
+    got = {(r.caller_path, r.caller, r.callee, r.call_line) for r in Q.QUERIES["call_edges_python"](spark, sf).collect()}
+    want = set()
+    for i, t in rows:
+        if i % 19:
+            path, end = f"d/f{i}.py", 4 + len((t or "").split("\n")) + 1
+            want |= {(path, f"f_{i}", f"g_{i}", end), (path, f"f_{i}", "h", end), (path, "m", f"f_{i}", end + 5), (path, "<module>", f"f_{i}", end + 8)}
+    assert got == want
