@@ -44,7 +44,7 @@ SMALL = 4
 #: Nodes of a block, and its shingles; nodes that go to every block of a cluster; incidence rows of a shuffle partition.
 BLOCK, GRAMS, CENTERS, ROWS = 1024, 1 << 20, 4, 1_000_000
 #: Rows of a shingle, and bytes of their bitmaps, that are looked at together for pairs between clusters.
-ACROSS, ACROSS_BYTES = 4096, 1 << 24
+ACROSS, ACROSS_BYTES = 1024, 1 << 22
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 
@@ -204,7 +204,7 @@ def folded(m: np.ndarray, width: int) -> np.ndarray:
 
 
 def _across(batches):
-    """Pairs of one shingle whose nodes have different labels and whose bitmaps leave 0.8 open, each once a chunk.
+    """Edges between labels, a forest for each chunk: pairs of one shingle whose bitmaps leave 0.8 open join theirs.
 
     Rows come by group, a shingle or two blocks of its nodes; ``own`` is a row's block, -1 where there is but one.
     """
@@ -218,24 +218,25 @@ def _across(batches):
             some = np.flatnonzero(size == w)
             at[some] = np.arange(len(some))
             table[w] = np.frombuffer(b"".join(bits[some].tolist()), np.uint64).reshape(len(some), w)
-        last_of = np.concatenate(([True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])))
-        run = np.cumsum(last_of | np.concatenate(([True], label[1:] != label[:-1])))
-        part = np.cumsum(last_of)
+        new = np.concatenate(([True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])))
+        run, part = np.cumsum(new | np.concatenate(([True], label[1:] != label[:-1]))), np.cumsum(new)
         end, last = np.searchsorted(run, run, side="right"), np.searchsorted(part, part, side="right")
-        left, right = [], []
+        tree, edges = label.copy(), []
         for i in np.flatnonzero(end < last):
             j = np.arange(end[i], last[i])
-            j = j[((own[j] != own[i]) | (own[i] < 0)) & possible(n[j], pos[j], n[i : i + 1], pos[i : i + 1])]
-            mine = table[size[i]][at[i] : at[i] + 1]
+            j = j[(tree[j] != tree[i]) & ((own[j] != own[i]) | (own[i] < 0))]
+            j = j[possible(n[j], pos[j], n[i : i + 1], pos[i : i + 1])]
+            mine, near = table[size[i]][at[i] : at[i] + 1], []
             for w in np.unique(size[j]):
                 k, both = j[size[j] == w], min(w, size[i])
                 apart = np.bitwise_count(folded(table[w][at[k]], both) ^ folded(mine, both)).sum(1, dtype=np.int64)
                 total = n[k].astype(np.int64) + int(n[i])
-                k = k[(total - apart) // 2 >= needed(total, 0)]
-                left.append(np.full(len(k), node[i]))
-                right.append(node[k])
-        if left:
-            yield _pair_batch(np.concatenate(left), np.concatenate(right))
+                near.append(k[(total - apart) // 2 >= needed(total, 0)])
+            for t in np.unique(tree[np.concatenate(near)]) if near else ():
+                edges.append((tree[i], t))
+                tree[tree == t] = tree[i]
+        if edges:
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def _similar(batches):
@@ -443,7 +444,7 @@ def _classes(docs: DataFrame, named: bool) -> tuple[DataFrame, DataFrame]:
     within = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).cast("long").alias("own")
     across = across.select(group, "key", "node", "n", "pos", "label", "bitmap", within)
     across = across.repartition(spread, "group").sortWithinPartitions("group")
-    more = work.stage(across.mapInArrow(_across, PAIR_DDL).select("a", "b").distinct())
+    more = work.stage(across.mapInArrow(_across, "a long, b long").distinct())
     if not more.isEmpty():
         label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
 
