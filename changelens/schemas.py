@@ -1,19 +1,8 @@
 """Explicit schemas of the relations that operators take and return."""
 
 FILE_DIFF = "review_id string, file_ord long, file_path string, old_path string, new_file boolean, deleted_file boolean, renamed_file boolean, patch string"
-DISCUSSION = "review_id string, disc_ord long, id string, resolved boolean, file_path string, line int"
-NOTE = "review_id string, id string, note_ord int, author string, body string, created_at string, system boolean"
-REVIEW = (
-    "review_id string, number int, title string, author string, source_branch string, target_branch string, description string, "
-    "state string, merge_status string, commits array<string>, shas struct<base_sha: string, head_sha: string, start_sha: string>"
-)
-COMMENT_DRAFT = "review_id string, ord int, file_path string, body string, new_line int, old_line int, old_path string"
 POST_OUTCOME = "review_id string, ord int, file_path string, line int, status string, error string, attempts int, waited double"
-CHUNK = "file_path string, symbol string, symbol_type string, start_line int, end_line int, text string"
-INDEX_META = "git_sha string, model string, chunks long, indexed_at string, root string, remote string, files map<string, string>"
 REGISTRY = (
     "name string, root string, remote string, chunks long, indexed_at string, fileset array<string>, size_bytes long, "
     "root_exists boolean, reachable boolean"
 )
-SOURCE_FILE = "path string, language string, content string, hash string"
-EDGE = "caller string, caller_path string, callee string, call_line int, pos int"
