@@ -25,8 +25,8 @@ LIMIT = 2048
 COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 #: Fixed value: the pre-token pattern of the vocabulary file, with white space as the library's engine sees it.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
-#: Most distinct pre-tokens that a task remembers before it starts afresh.
-MEMORY = 1 << 18
+#: Most distinct pre-tokens that a task remembers before it starts afresh, and the longest of them, in characters.
+MEMORY, LONG = 1 << 18, 64
 
 
 def byte_chars() -> dict[str, int]:
@@ -75,7 +75,9 @@ class _Costs(dict):
         if len(self) > len(self.whole) + MEMORY:
             self.clear()
             self.update(dict.fromkeys(self.whole, 1))
-        n = self[token] = len(self.tokenizer.encode(token, add_special_tokens=False).ids)
+        n = len(self.tokenizer.encode(token, add_special_tokens=False).ids)
+        if len(token) <= LONG:
+            self[token] = n
         return n
 
 

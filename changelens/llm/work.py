@@ -21,6 +21,8 @@ from ..runtime import table as read
 #: Upper bound of a broadcast bitmap: 2**29 bits are 64 MB.  Beyond it the bitmap only lets more rows through;
 #: every consumer confirms what the bitmap lets through, so results do not depend on its size.
 MAX_BLOOM_BITS = 1 << 29
+#: The paths of each application's work tables, in order.
+_tables: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,12 +42,30 @@ def stage(df: DataFrame) -> DataFrame:
     ship(spark)
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark(spark: SparkSession) -> int:
+    """A point in the sequence of this application's work tables."""
+    return len(_tables.get(spark.sparkContext.applicationId, ()))
+
+
+def only_latest(spark: SparkSession, since: int) -> None:
+    """Delete the work tables since a ``mark`` but the latest, which needs none of them any more."""
+    own = _tables.get(spark.sparkContext.applicationId, [])
+    for path in own[since:-1]:
+        _delete(spark, path)
+    own[since:-1] = []
+
+
 def drop_all(spark: SparkSession) -> None:
     """Delete this application's work tables; DataFrames that read them stop working."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    _delete(spark, shared_dir(spark))
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

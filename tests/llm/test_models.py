@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -226,6 +227,44 @@ def test_decontaminate_finds_an_edited_passage_in_many_documents(spark):
     assert {r.doc_id for r in decontaminate.remove(docs, bench).collect()} == {i for i, _ in clean}
 
 
+def test_recall_against_exhaustive_alignment(spark):
+    """Hundreds of copies, lightly to heavily edited, each aligned in full with every item."""
+    rng, texts = random.Random(41), []
+    vocabulary = words(rng, "abcdefghij", 400).split()
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [some(rng.randrange(8, 45)) for _ in range(20)]
+    for k in range(400):
+        w, rate = [], rng.choice([0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3])
+        for x in items[k % 20]:
+            r = rng.random()
+            w += [x] if r > rate else [] if r < rate / 3 else [rng.choice(vocabulary)] if r < 2 * rate / 3 else [x, rng.choice(vocabulary)]
+        texts.append(some(rng.randrange(30)) + w + some(rng.randrange(30)))
+    texts += [some(60) for _ in range(40)]
+    hashed = lambda w: decontaminate.normalised([" ".join(w).encode()]).hash
+    named = [hashed(w) for w in items]
+    want = {}
+    for i, w in enumerate(texts):
+        for k, a in enumerate(named):
+            score = decontaminate.align(a, hashed(w))[0] / (decontaminate.MATCH * len(a))
+            if score >= decontaminate.THRESHOLD:
+                want[i, k] = score
+    docs = frame(spark, [(i, " ".join(w)) for i, w in enumerate(texts)])
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.matches(docs, spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")).collect()}
+    print(f"exhaustive {len(want)}, found {len(got)}")
+    assert len(want) > 300 and set(got) <= set(want) and len(got) >= 0.97 * len(want) and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_decontaminate_odd_rows(spark):
+    rng = random.Random(42)
+    item = words(rng, "abcde", 30)
+    long = f"{words(rng, 'vwxyz', 60_000)} {item} {words(rng, 'vwxyz', 10)} {item}"
+    docs = frame(spark, [(1, long), (2, item), (2, item), (None, item), (3, "v w")])
+    bench = spark.createDataFrame([(0, item), (0, item), (None, item), (7, "")], "item_id long, text string")
+    got = decontaminate.matches(docs, bench).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.item_id is None) for r in got) == [(n, d, k) for n, d in [(False, 1), (False, 2), (True, 0)] for k in (False, True)]
+    assert {r.score for r in got} == {1.0} and [r.doc_id for r in decontaminate.remove(docs, bench).collect()] == [3]
+
+
 def test_promising_stretches_hold_every_sufficient_alignment():
     rng, met = random.Random(22), 0
     for _ in range(300):
@@ -348,6 +387,102 @@ def test_quotas_go_through_groups_of_shards(spark, monkeypatch):
         assert sum(r.taken for r in own) == pytest.approx(own[0].target, rel=0.03, abs=64) and all(r.taken <= 2 * r.size for r in own)
 
 
+def crc(i):
+    return zlib.crc32(str(i).encode()) % 3
+
+
+@pytest.fixture
+def learnable(spark, tmp_path):
+    """Tables whose held-out rows can be told wrong things about, and a run of a query over them."""
+    rng, rows = random.Random(51), []
+    for i in range(400):
+        good, lang = i % 3 > 0, "xy"[i % 2]
+        t = words(rng, "abcde" if lang == "x" else "vwxyz", rng.randrange(5, 40))
+        rows.append((i, t.capitalize() + "." if good else t.upper().replace(" ", "!! ") + "!!", lang, int(good)))
+    rows += [(1000, None, "x", 1), (1001, "", None, 0), (1002, "é" * 300_000, None, 1), (1003, rows[5][1], None, None)]
+
+    def run(name, query, wrong=lambda i: False, tables=rows):
+        d = tmp_path / name
+        lang = {"x": "y", "y": "x", None: None}
+        docs = [(i, t, lang[v] if wrong(i) else v, "s", 7) for i, t, v, _ in tables] + [(None, "abc bad", "y", "s", 7)] * bool(tables)
+        labels = [(i, 1 - q if wrong(i) else q, 0) for i, _, _, q in tables if q is not None] + [(9999, 1, 0)]
+        spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(d / "documents.parquet"))
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
+        return {r.doc_id: r for r in query(spark, str(d)).collect()}
+
+    return rows, run
+
+
+@pytest.mark.parametrize("name", ["op1", "op2"])
+def test_held_out_rows_are_not_learned_from(learnable, name):
+    rows, run = learnable
+    query, label = (quality_knn.op1_quality, "predicted") if name == "op1" else (language_id.op2_language_id, "lang_pred")
+    got = run("plain", query)
+    assert len(got) == 405 and all(got[i].held_out == (crc(i) == 1) for i in got if i is not None) and got[None].held_out is None
+    truth = {i: q if name == "op1" else v for i, _, v, q in rows[:400]}
+    held = [i for i in truth if crc(i) == 1]
+    assert len(held) > 100 and sum(got[i][label] == truth[i] for i in held) >= 0.97 * len(held) and all(0 <= r.score <= 1 for r in got.values())
+    assert got[5].score == got[1003].score
+    same = run("held", query, lambda i: crc(i) == 1)
+    assert {i: (r.score, r[label]) for i, r in same.items()} == {i: (r.score, r[label]) for i, r in got.items()}
+    other = run("learned", query, lambda i: crc(i) != 1)
+    assert sum(other[i][label] == truth[i] for i in held) < 0.1 * len(held)
+    assert run("none", query, tables=[]) == {}
+
+
+def test_scores_by_brute_force(spark):
+    """The result of both models, from their parts, one text, neighbour and weight at a time."""
+    docs = labelled(spark)
+    model = language_id.fit(language_id.learnable(docs))
+    dense = np.zeros((1 << language_id.BITS, 2))
+    for c, (k, v) in enumerate(model["w"].parts):
+        dense[k, c] = v
+    share = (dense != 0).sum() / (np.concatenate([k for k, _ in model["w"].parts]).size + 1e-9)
+    assert share == pytest.approx(1) and (dense != 0).mean() < 0.2 and 0.005 < model["t"] < 20
+    scores = set()
+    for r in language_id.predict(docs, model).collect():
+        text = next(x.text for x in docs.where(f"doc_id <=> {r.doc_id if r.doc_id is not None else 'null'}").collect())
+        codes = charvec.letter_codes((text or "").encode())
+        if (codes != 32).any():
+            n = charvec.counts(codes, language_id.ORDERS, language_id.BITS)
+            x = np.log1p(n) * model["idf"]
+            z = np.array([sum(a * b for a, b in zip(x[n > 0] / np.sqrt((x * x).sum()), dense[n > 0, c])) for c in (0, 1)])
+            p = np.exp(z / model["t"] - (z / model["t"]).max())
+            p /= p.sum()
+            scores.add(round(r.score, 6))
+            assert r.score == pytest.approx(p.max(), abs=1e-5) and r.lang_pred == model["names"][int(p.argmax())]
+        if len(scores) > 30:
+            break
+    assert len(scores) > 10
+
+
+def test_principal_vectors_by_brute_force():
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(90, 12)) * 3.0 ** -np.arange(12)) @ rng.normal(size=(12, 60))
+    want = np.linalg.svd(x)[2][:5]
+    got = quality_knn.principal(x.astype(np.float32), 5).T
+    assert np.abs(np.abs((want * got).sum(1)) - 1).max() < 1e-3
+
+
+def test_token_counts_odd_rows(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    long = "x" * 200_000 + " word" * 200_000
+    rows = [(1, "same text"), (1, "same text"), (None, "no id"), (2, long)]
+    n = {t: len(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids) for _, t in rows}
+    got = sorted((r.n_tokens, r.n_bytes, r.over_limit) for r in token_count.count_tokens(frame(spark, rows), path).collect())
+    assert got == sorted((n[t], len(t), n[t] > 2048) for _, t in rows)
+    assert token_count.count_tokens(frame(spark, rows).where("doc_id = 9"), path).count() == 0
+
+
+def test_mixing_of_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "w " * 400_000, "a"), (2, "x y", "a"), (3, "z " * 100, "b")], "doc_id long, text string, source string")
+    out = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    assert out[1].size == 400_000 and out[1].taken == pytest.approx(out[1].target, rel=0.01) and out[3].taken == 200
+
+
 def test_token_counts(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -389,6 +524,33 @@ def test_pipeline(spark, tmp_path):
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
 
 
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Null and shared ids, repeated rows, clashing columns and an empty table, through every stage and the whole."""
+    import corpus_pipeline
+
+    rng = random.Random(61)
+    item, leak = words(rng, "abcde", 40), words(rng, "abcde", 40)
+    texts = [words(rng, "abcde" if k % 2 else "vwxyz", 50) for k in range(40)]
+    rows = [(k if k % 5 else None, t, "x" if k % 2 else "y") for k, t in enumerate(texts)]
+    rows += [(1, texts[2].upper(), "y"), (1, leak + " " + item, "x"), (1, leak + " " + item, "x"), (None, None, None), (7, "", None), (7, texts[7] + " end", "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, id string, sha string"
+    extra = [(i, t, v, f"s{k % 3}", len(t or ""), "r", "i", "s") for k, (i, t, v) in enumerate(rows)]
+    spark.createDataFrame(extra, schema).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    left = dict(language_id=44, exact_dedup=43, ngram_jaccard=43, decontaminate=44)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        assert out.columns == docs.columns and len(got) == left[name], name
+        assert all((r.row, r.id, r.sha) == ("r", "i", "s") for r in got)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 40
+    none = docs.where("doc_id = -1")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("names", [["row", "sha", "id"], ["__gone", "__id", "__sha"], ["__spans", "sure", "any"], ["digest", "top", "spans"]])
 def test_clashing_columns(spark, names):
     """Columns named like helpers are carried as they are, for any id, null or shared."""
