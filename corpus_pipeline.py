@@ -49,7 +49,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = work.read(spark, sf_dir, "documents")
+    docs, since = work.read(spark, sf_dir, "documents"), work.mark(spark)
     for _, stage in STAGES:
         docs = work.stage(stage(spark, docs, sf_dir))
+        work.only_latest(spark, since)  # what this stage and the one before have written is not needed any more
     return docs
