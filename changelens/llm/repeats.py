@@ -190,14 +190,15 @@ def without(src: DataFrame, bitmap, result: Callable, schema: pa.Schema, ddl: st
     return src.select("doc_id", "th", "text").mapInArrow(run, ddl)
 
 
-def within(src: DataFrame, bitmap) -> DataFrame:
-    """The documents whose ``th`` is in the bitmap."""
+def held(batches, bitmap):
+    """Of batches (doc_id, doc, th, text) the documents whose ``th`` is in the bitmap."""
+    for b in batches:
+        yield b.filter(pa.array(work.in_bloom(bitmap.value, b.column(2).to_numpy().view(seq.U))))
 
-    def run(batches):
-        for b in batches:
-            yield b.filter(pa.array(work.in_bloom(bitmap.value, b.column(2).to_numpy().view(seq.U))))
 
-    return src.select("doc_id", "doc", "th", "text").mapInArrow(run, "doc_id long, doc long, th long, text string")
+def within(src: DataFrame, bitmap) -> DataFrame:
+    """The documents whose ``th`` is in the bitmap."""
+    return src.select("doc_id", "doc", "th", "text").mapInArrow(lambda batches: held(batches, bitmap), "doc_id long, doc long, th long, text string")
 
 
 def merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:

@@ -5,7 +5,7 @@
    content make a phrase.  No place of an occurrence goes on from here: a phrase goes to the shards of documents that
    hold its content, by a hash of the document.
 2. Locate.  Each shard's documents and phrases meet.  Phrases are compiled, at most LETTERS words at a time, into an
-   Aho-Corasick automaton, one letter a word, and every document of the shard is streamed through it whole; the words
+   Aho-Corasick automaton over words, and every document of the shard is streamed through it whole; the words
    that its hits cover are removed.  Phrases of hot anchors occur in most shards: they are broadcast in blocks of at
    most HOT_BYTES while they have at most HOT_LIMIT bytes in all, and go to every shard by shuffle beyond that.
 
@@ -173,7 +173,11 @@ def _confirm(shards: int):
 
 
 class Automaton:
-    """An Aho-Corasick automaton of phrases, one letter a word of theirs and one for all other words."""
+    """An Aho-Corasick automaton of phrases.  A word of theirs is two letters, any other word is one that none has.
+
+    First and second letters are of two alphabets, so hits start and end at words; both are small, as the library
+    looks through a state's letters one by one.
+    """
 
     def __init__(self, some: list[list[bytes]]):
         import ahocorasick
@@ -182,17 +186,17 @@ class Automaton:
         self.automaton = ahocorasick.Automaton()
         for words in some:
             for w in words:
-                if w not in self.letters:
-                    k = len(self.letters) + 2
-                    self.letters[w] = chr(k if k < 0xD800 else k + 0x800)  # surrogates are left out
+                if w not in self.letters:  # LETTERS of them give less than 2,000 first letters
+                    k = len(self.letters)
+                    self.letters[w] = chr(0x1000 + k // 256) + chr(0x100 + k % 256)
             self.automaton.add_word("".join([self.letters[w] for w in words]), len(words))
         self.automaton.make_automaton()
 
     def hits(self, words: list[bytes]):
         """(start, end) of each occurrence of a phrase, in words."""
         get = self.letters.get
-        for end, size in self.automaton.iter("".join([get(w, "\x01") for w in words])):
-            yield end + 1 - size, end + 1
+        for end, size in self.automaton.iter("".join([get(w, "\x01\x01") for w in words])):
+            yield (end + 1) // 2 - size, (end + 1) // 2
 
 
 def automata(some):
@@ -222,11 +226,11 @@ class Streams:
 
     def through(self, a: Automaton):
         for words, covered in zip(self.words, self.covered):
-            for s, e in a.hits(words):
-                if covered and covered[-1][0] <= s <= covered[-1][1]:
-                    covered[-1][1] = max(covered[-1][1], e)
-                else:
-                    covered.append([s, e])
+            for s, e in a.hits(words):  # ends rise
+                while covered and s <= covered[-1][1] and covered[-1][0] <= e:
+                    x, y = covered.pop()
+                    s, e = min(s, x), max(e, y)
+                covered.append((s, e))
 
     def results(self, result):
         for doc_id, words, covered in zip(self.ids, self.words, self.covered):
@@ -303,11 +307,11 @@ def _applied(docs: DataFrame, result, schema: pa.Schema, ddl: str) -> DataFrame:
         own = own.union(common.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), "phrase"))
 
     def dealt(batches):
-        for b in batches:
+        for b in repeats.held(batches, bitmap):
             shard = shard_of(b.column(1).to_numpy(), b.column(2).to_numpy(), shards)
             yield work.batch(ROW, shard, np.zeros(b.num_rows, np.int32), b.column(0), b.column(3).cast(pa.binary()))
 
-    rows = repeats.within(found.src, bitmap).mapInArrow(dealt, ROW_DDL)
+    rows = found.src.select("doc_id", "doc", "th", "text").mapInArrow(dealt, ROW_DDL)
     rows = rows.union(own.select("shard", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.col("phrase").alias("body")))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 8)
     rows = rows.repartition(parts, "shard").sortWithinPartitions("shard", "kind")
