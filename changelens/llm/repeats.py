@@ -4,10 +4,10 @@ A window is named by its anchor, the leftmost least hash among its runs of K sym
 anchors at equal offsets, so only windows of one anchor need to meet.  Neighbouring windows mostly share an anchor;
 those of one anchor occurrence make a cell.  Anchors that occur once are dropped by a bitmap of those that recur.
 
-Anchors of more than HOT occurrences (of more than the corpus's total over MAX_HOT, if that is more) are hot; at most
-MAX_HOT names are hot, and they are broadcast.  A hot run is an anchor only where a window has no other: common runs
-in ever new surroundings thus meet under rarer names, and under a hot name meet only windows that are hot throughout,
-which are few different ones.  Copies of one content are combined by each task before anything is shuffled, so a hot
+Anchors of more than HOT occurrences (of more than the corpus's total over MAX_HOT, if that is more) are hot, and so
+are runs that occur as often in windows of hot anchors; at most 2 * MAX_HOT names are hot, and they are broadcast.  A
+hot run is an anchor only where a window has no other: common runs in ever new surroundings thus meet under rarer
+names, and under a hot name meet only windows that are hot throughout, which are few different ones.  Copies of one content are combined by each task before anything is shuffled, so a hot
 name brings no more rows than tasks and different contents.
 
 Rows with one doc_id and one text are one document here.  Documents are ordered by doc_id, null last, then by a hash
@@ -121,6 +121,36 @@ def _anchors(spec: Spec):
     return run
 
 
+def _around(spec: Spec, hot):
+    """The runs of windows whose anchors are hot, counted where they stand."""
+
+    def run(batches):
+        names = Hot(hot.value)
+        for b in batches:
+            values, found = work.texts(b.column(0)), []
+            for lo, hi in work.segments(values):
+                s = Symbols(spec, values[lo:hi])
+                ends = [(first[at], last[at]) for _, key, first, last, _ in cells(spec, s) for at in [names.among(key)] if at.any()]
+                if not ends:
+                    continue
+                first, last = (np.concatenate(x) for x in zip(*ends))
+                edge = np.zeros(int(last.max()) + spec.window - spec.run + 3, np.int64)
+                np.add.at(edge, first, 1)
+                np.add.at(edge, last + spec.window - spec.run + 1, -1)
+                inside = np.cumsum(edge) > 0
+                done = 0  # blocks overlap; each run counts once
+                for off, h in s.blocks(spec):
+                    g = seq.gram_hashes(h, spec.run) >> seq.U(1)
+                    at = np.arange(max(off, done), min(off + len(g), len(inside)))
+                    found.append(g[at[inside[at]] - off])
+                    done = off + len(g)
+            if found:
+                key, n = np.unique(np.concatenate(found), return_counts=True)
+                yield work.batch(ANCHORS, key.view(np.int64), n.astype(np.int64))
+
+    return run
+
+
 def _cells(spec: Spec, bitmap, hot, sender):
     def run(batches):
         send, names = sender(), Hot(hot.value)
@@ -171,6 +201,11 @@ def candidates(docs: DataFrame, spec: Spec, sender: Callable) -> Candidates:
     total = anchors.agg(F.sum("n")).first()[0] or 0
     limit = max(HOT, -(-total // MAX_HOT))  # so at most MAX_HOT anchors can be above it
     hot = anchors.where(F.col("n") > limit).select("key").toArrow().column(0).to_numpy()
+    if len(hot):
+        names = work.share(spark, np.sort(hot.astype(np.int64).view(seq.U)))
+        runs = src.select("text").mapInArrow(_around(spec, names), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        runs = runs.where(F.col("n") > limit).orderBy(F.desc("n"), "key").limit(MAX_HOT).select("key")
+        hot = np.union1d(hot, runs.toArrow().column(0).to_numpy())
     bitmap = work.share(spark, work.bloom(anchors, "key"))
     names = work.share(spark, np.sort(hot.astype(np.int64).view(seq.U)))
     found = src.select("doc", "th", "text").mapInArrow(_cells(spec, bitmap, names, sender), CELL_DDL)
