@@ -197,7 +197,7 @@ def candidates(docs: DataFrame, spec: Spec, sender: Callable) -> Candidates:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     src = src.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("th"), "text")
     anchors = src.select("text").mapInArrow(_anchors(spec), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
-    anchors = work.stage(anchors)
+    anchors = work.stage(anchors, small=True)
     total = anchors.agg(F.sum("n")).first()[0] or 0
     limit = max(HOT, -(-total // MAX_HOT))  # so at most MAX_HOT anchors can be above it
     hot = anchors.where(F.col("n") > limit).select("key").toArrow().column(0).to_numpy()

@@ -32,7 +32,7 @@ SPEC = repeats.Spec(words=True, window=WINDOW, run=8)
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 DDL = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 #: Words of one automaton; recurring cells of a shard's documents, about; bytes of a block and of all broadcast phrases.
-LETTERS, SHARD_CELLS = 400_000, 20_000
+LETTERS, SHARD_CELLS = 400_000, 5_000
 HOT_BYTES, HOT_LIMIT = 4 << 20, 32 << 20
 #: What the confirming step gives: a phrase for a shard, a phrase of a hot anchor, a document that holds a phrase.
 PHRASE, COMMON, HOLDER = 0, 1, 2
@@ -313,7 +313,7 @@ def _applied(docs: DataFrame, result, schema: pa.Schema, ddl: str) -> DataFrame:
 
     rows = found.src.select("doc_id", "doc", "th", "text").mapInArrow(dealt, ROW_DDL)
     rows = rows.union(own.select("shard", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.col("phrase").alias("body")))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 8)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 32)
     rows = rows.repartition(parts, "shard").sortWithinPartitions("shard", "kind")
     alone = repeats.without(found.src, bitmap, lambda text, _: result(text.split(), []), schema, ddl)
     return rows.mapInArrow(_locate(blocks, result, schema), ddl).unionByName(alone)

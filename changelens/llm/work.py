@@ -36,10 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/changelens-{spark.sparkContext.applicationId}"
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and return a scan of what was written."""
+def stage(df: DataFrame, small: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and return a scan of what was written.
+
+    ``small``: of a table much smaller than what it is made from, few files are written; its rows are dealt anew.
+    """
     spark = df.sparkSession
     ship(spark)
+    df = df.hint("rebalance") if small else df
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
