@@ -138,7 +138,7 @@ def index_repo(spark: SparkSession, root: str, folder: str, connect=None, model:
     for name in twins:
         sinks.drop_index(spark, f"{folder}/{name}")
         sinks.drop_record(spark, folder, name)
-    return {"mode": "incremental" if incremental else "full", "indexed_chunks": chunks, "files": len(hashes), "changed_files": changed, "deleted_files": deleted, "git_sha": (stamp["git_sha"] or "")[:8], "model": model, "evicted": len(twins)}
+    return {"mode": "incremental" if incremental else "full", "indexed_chunks": chunks, "files": len(hashes), "skipped": repository.count_files(spark, root) - len(hashes), "changed_files": changed, "deleted_files": deleted, "git_sha": (stamp["git_sha"] or "")[:8], "model": model, "evicted": len(twins)}
 
 
 def _record(spark: SparkSession, folder: str, name: str):

@@ -16,8 +16,8 @@ def similar_pairs(records: DataFrame, threshold: float = SAME, key: str = "name"
     """(a, b, similarity): pairs whose file sets have Jaccard similarity of the threshold or more, a before b.
 
     Exact prefix filtering: of each set only its rarest n - ceil(threshold n) + 1 members are joined, as two similar
-    sets must share one of them, and pairs of incompatible sizes are dropped at once.  Then candidates alone are
-    compared in full.
+    sets must share one of them, and pairs whose sizes or whose places of the shared member rule the threshold out are
+    dropped at once.  Then candidates alone are compared in full.
     """
     sets = records.select(key, F.array_distinct("fileset").alias("s")).where(F.size("s") > 0).withColumn("n", F.size("s"))
     members = sets.select(key, "n", F.explode("s").alias("m"))
@@ -25,10 +25,12 @@ def similar_pairs(records: DataFrame, threshold: float = SAME, key: str = "name"
     order = Window.partitionBy(key).orderBy("df", "m")
     need = F.ceil(F.col("n") * threshold - F.lit(1e-9))
     prefix = members.join(freq, "m").withColumn("at", F.row_number().over(order)).where((F.col("at") <= F.col("n") - need + 1) & (F.col("df") > 1))
-    a = prefix.select("m", F.col(key).alias("a"), F.col("n").alias("na"))
-    b = prefix.select("m", F.col(key).alias("b"), F.col("n").alias("nb"))
+    a = prefix.select("m", F.col(key).alias("a"), F.col("n").alias("na"), F.col("at").alias("i"))
+    b = prefix.select("m", F.col(key).alias("b"), F.col("n").alias("nb"), F.col("at").alias("j"))
     small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    cand = a.join(b, "m").where((F.col("a") < F.col("b")) & (small >= large * threshold - F.lit(1e-9))).select("a", "b").distinct()
+    most = F.least("i", "j") + F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j"))  # shared up to the member, and after it
+    near = (small >= large * threshold - F.lit(1e-9)) & (most >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - F.lit(1e-9))
+    cand = a.join(b, "m").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
     left, right = sets.select(F.col(key).alias("a"), F.col("s").alias("sa")), sets.select(F.col(key).alias("b"), F.col("s").alias("sb"))
     both = cand.join(left, "a").join(right, "b")
     k = F.size(F.array_intersect("sa", "sb"))

@@ -12,15 +12,20 @@ from ..functions import text as T
 DEFAULT_BRANCHES = ("refs/remotes/origin/HEAD", "refs/remotes/origin/main", "refs/remotes/origin/master", "refs/heads/main", "refs/heads/master")
 
 
+def _tree(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, content) of all files of a tree but those in skipped directories; paths are relative to it."""
+    base = root.rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + T.quoted(base), "")
+    return files.select(rel.alias("path"), "length", "content").where(~T.in_skipped_dir(F.col("path")))
+
+
 def scan(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
     """(path, language, content, hash) of a tree's source files: known extensions, no skipped directory, not blank.
 
     Contents are decoded on the JVM; directories and sizes are filtered on file metadata, before any content is read.
     """
-    base = root.rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + T.quoted(base), "")
-    files = files.select(rel.alias("path"), "length", "content").where(T.language(F.col("path")).isNotNull() & ~T.in_skipped_dir(F.col("path")))
+    files = _tree(spark, root).where(T.language(F.col("path")).isNotNull())
     if limit is not None:
         files = files.where(F.col("length") <= limit)
     raw = F.col("content").cast("string")
@@ -29,6 +34,11 @@ def scan(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
     return out.where(T.strip(F.col("content")) != "").withColumn("hash", F.sha2("content", 256))
 
 
+def count_files(spark: SparkSession, root: str) -> int:
+    """How many files a walk of the tree meets, source files or not, from file metadata alone."""
+    return _tree(spark, root).select("path").count()
+
+
 def sidecars(spark: SparkSession, folder: str) -> DataFrame:
     """Index records of ``*.meta.json`` files; one that is not JSON gives a record of nulls.
 

@@ -21,6 +21,7 @@ def checkout(tmp_path):
     root.mkdir()
     (root / "a.py").write_text("def alpha(x):\n    return beta(x)\n")
     (root / "b.py").write_text("def beta(x):\n    return x\n")
+    (root / "notes.txt").write_text("no source\n")
     subprocess.run(["git", "init", "-q", "-b", "main", str(root)], check=True)
     git(root, "add", "-A")
     git(root, "commit", "-qm", "one")
@@ -35,7 +36,7 @@ def test_index_follows_a_checkout(spark, checkout, tmp_path):
     folder, root = str(tmp_path / "indexes"), str(checkout)
     assert api.index_status(spark, root, folder, "m").first().state == "absent"
     done = api.index_repo(spark, root, folder, connect, "m")
-    assert (done["mode"], done["files"], done["changed_files"], done["indexed_chunks"], done["evicted"]) == ("full", 2, 2, 2, 0)
+    assert (done["mode"], done["files"], done["changed_files"], done["indexed_chunks"], done["evicted"], done["skipped"]) == ("full", 2, 2, 2, 0, 1)
     name = next((tmp_path / "indexes").glob("*.meta.json")).name.split(".")[0]
     assert set(json.loads((tmp_path / "indexes" / f"{name}.meta.json").read_text())["files"]) == {"a.py", "b.py"}
     status = api.index_status(spark, root, folder, "m").first()
@@ -149,3 +150,14 @@ def test_matching_of_paths_by_brute_force(spark):
             if own:
                 want[p] = min(own)[1:]
         assert {r.thread_path: (r.file_ord, r.file_path) for r in review.match_paths(threads, df).collect()} == want and want
+
+
+def test_commands(spark, checkout, tmp_path, capsys):
+    from changelens.__main__ import main
+
+    folder = str(tmp_path / "indexes")
+    main(["index", str(checkout), "--folder", folder])
+    main(["status", str(checkout), "--folder", folder])
+    main(["prune", "--folder", folder])
+    done, status, freed = map(json.loads, capsys.readouterr().out.strip().splitlines()[-3:])
+    assert done["indexed_chunks"] == 2 and status["state"] == "fresh" and freed["prunable"] == 0
