@@ -9,7 +9,7 @@ from ..functions import text as T
 
 WINDOW_LINES, PREVIEW, KEY_CHARS, MAX_COMMENTS = 40, 150, 200, 25
 #: Characters at the end of a path that are joined on.
-SUFFIX = 12
+SUFFIX = 6
 
 
 def manifest_stats(files: DataFrame) -> DataFrame:
@@ -122,15 +122,21 @@ def match_paths(threads: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def _ending_alike(paths: DataFrame, files: DataFrame) -> DataFrame:
-    """Pairs (review_id, thread_path, file_ord, file_path) of which one path ends as the other."""
-    end = lambda c: F.expr(f"right({c}, {SUFFIX})")
-    ends = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.least(F.length(c), F.lit(SUFFIX - 1))), lambda n: F.substring(F.col(c), F.length(c) - n + 1, n)))
-    p, f = paths.withColumn("end", end("thread_path")), files.withColumn("end", end("file_path"))
-    long_ = p.where(F.length("thread_path") >= SUFFIX).join(f.where(F.length("file_path") >= SUFFIX), ["review_id", "end"])
-    short = p.where(F.length("thread_path") < SUFFIX).join(files.withColumn("end", ends("file_path")), ["review_id", "end"])
-    shorter = f.where(F.length("file_path") < SUFFIX).join(paths.withColumn("end", ends("thread_path")), ["review_id", "end"])
-    names = ["review_id", "thread_path", "file_ord", "file_path"]
-    both = long_.select(names).union(short.select(names)).union(shorter.select(names)).distinct()
+    """Pairs (review_id, thread_path, file_ord, file_path) of which one path ends as the other.
+
+    Two long paths meet under their last SUFFIX characters, a short one as a whole under an end of the other.
+    """
+
+    def keys(c: str, whole: str, ends: str):
+        own = F.col(c)
+        long_ = F.when(F.length(c) >= SUFFIX, F.array(F.concat(F.lit("long"), F.expr(f"right({c}, {SUFFIX})"))))
+        short = F.array(F.concat(F.lit(whole), own))
+        some = F.transform(F.sequence(F.lit(0), F.least(F.length(c), F.lit(SUFFIX - 1))), lambda n: F.concat(F.lit(ends), F.substring(own, F.length(c) - n + 1, n)))
+        return F.explode(F.concat(F.coalesce(long_, short), some)).alias("key")
+
+    p = paths.select("*", keys("thread_path", "thread", "file"))
+    f = files.select("*", keys("file_path", "file", "thread"))
+    both = p.join(f, ["review_id", "key"]).drop("key").distinct()
     return both.where(F.endswith("file_path", "thread_path") | F.endswith("thread_path", "file_path"))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import spread, table
 
 PATH = """CASE WHEN doc_id % 23 = 0 THEN concat('d', doc_id % 5, '/f', doc_id, '/yarn.lock')
  WHEN doc_id % 10 = 7 THEN concat('d', doc_id % 5, '/vendor/f', doc_id, '.py') WHEN doc_id % 10 = 8 THEN concat('d', doc_id % 5, '/f', doc_id, '.min.js')
@@ -66,7 +66,7 @@ dt AS (SELECT *, line IS NOT NULL AND coalesce(file_path, '') <> '' AS located F
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def file_diff(spark: SparkSession, sf_dir: str) -> DataFrame:

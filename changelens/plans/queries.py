@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import code, diff, index, registry, review, search, sections, syntax
-from ..runtime import table
+from ..runtime import table, written
 from . import corpora as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -334,18 +334,21 @@ b0 AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5))
 b AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM b0 QUALIFY rank <= 20)"""
 
 
+def _asking(vectors):
+    return vectors.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query"))
+
+
 def _arms(s, d):
     vectors, chunks = C.vectors(s, d), C.chunks(s, d)
-    asked = vectors.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query"))
-    near = search.nearest(vectors, asked)
-    postings = search.postings(chunks)
-    terms = search.terms(chunks.where("chunk_id % 50 = 0")).select(F.col("chunk_id").alias("query_id"), "term")
-    return near, search.bm25(postings, terms, search.totals(chunks))
+    postings = written(search.postings(chunks))  # as an index build does
+    terms = postings.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "term")
+    return search.nearest(vectors, _asking(vectors)), search.bm25(postings, terms, search.totals(chunks, postings))
 
 
 @query(f"WITH {_CHUNKS} SELECT query_id, chunk_id, distance, CAST(rank AS INTEGER) AS rank FROM v")
 def vector_topk(s, d):
-    return _arms(s, d)[0]
+    vectors = C.vectors(s, d)
+    return search.nearest(vectors, _asking(vectors))
 
 
 @query(f"WITH {_CHUNKS} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM b")

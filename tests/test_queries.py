@@ -34,7 +34,7 @@ def test_plans_have_no_python_and_no_nested_loops(spark):
 def test_plans_filter_and_aggregate_early(spark):
     plan = lambda n: Q.QUERIES[n](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "array_intersect" in plan("impact_references") and "Join" not in plan("impact_references")
-    assert plan("sections_merge").count("Exchange") == 1 and "Join" not in plan("sections_merge")
+    assert plan("sections_merge").count("Exchange hashpartitioning") == 1 and "Join" not in plan("sections_merge")
     match = plan("verify_path_match")
     assert "NestedLoop" not in match and "Cartesian" not in match
     assert "NestedLoop" not in plan("hybrid_rrf").replace("BroadcastNestedLoopJoin BuildRight, Cross", "")  # one row of totals
