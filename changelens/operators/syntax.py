@@ -1,27 +1,25 @@
 """Syntax of source files: chunks, declaration spans and call edges, one parse of each file.
 
-Python is parsed by the standard library; other languages by their declaration patterns and the braces after them; a
-file of neither kind, or that does not parse, is one chunk.
+Python is parsed by the standard library, brace languages as tables of tokens (``tokens``); a file of neither kind, or
+that does not parse, is one chunk.
 """
 
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..runtime import ship
+from ..runtime import ship, written
+from . import tokens
 from .code import MAX_BYTES, MODULE
 
 MAX_CHUNK = 4000
 CHUNK = "path string, symbol string, symbol_type string, start_line int, end_line int, text string"
 SYNTAX = "path string, kind string, name string, symbol_type string, start_line int, end_line int, caller string, pos int"
-CALL = re.compile(r"(?<![\w.])(?:(\w+)\.)*(\w+)\s*\(")
-NO_CALL = {"if", "for", "while", "switch", "catch", "return", "function", "def", "fn", "func", "fun", "match", "when"}
 
 Span = tuple[str | None, str, int, int, list]  # name, kind, first and last line, spans of members
 
@@ -45,47 +43,6 @@ def _python_spans(content: str) -> list[Span] | None:
     return of(tree.body)
 
 
-def _kind(line: str) -> str:
-    words = set(re.findall(r"\w+", line))
-    for name, kind in (("class", "class"), ("interface", "interface"), ("enum", "enum"), ("impl", "trait"), ("trait", "trait"), ("struct", "other"), ("object", "class")):
-        if name in words:
-            return kind
-    return "function"
-
-
-def _pattern_spans(content: str, language: str) -> list[Span] | None:
-    patterns = [re.compile(p) for p in T.DECLARATIONS.get(language, ())]
-    lines, flat = content.split("\n"), []
-    for i, line in enumerate(lines):
-        name = next((m.group(1) for p in patterns if (m := p.match(line))), None)
-        if name is None:
-            continue
-        depth, end, opened = 0, i, False
-        for j in range(i, len(lines)):
-            bare = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|//.*", "", lines[j])
-            depth += bare.count("{") - bare.count("}")
-            opened |= "{" in bare
-            end = j
-            if opened and depth <= 0 or not opened and (bare.rstrip().endswith(";") or j > i + 3):
-                break
-        flat.append((name, _kind(line), i + 1, (end if opened else i) + 1))
-    out: list[Span] = []
-    for name, kind, a, b in flat:
-        if out and a <= out[-1][3]:
-            inner = "method" if kind == "function" and out[-1][1] in ("class", "interface", "trait") else kind
-            out[-1][4].append((name, inner, a, b, []))
-        else:
-            out.append((name, kind, a, b, []))
-    return out
-
-
-def spans(content: str, language: str | None) -> list[Span] | None:
-    """Top declarations with their members, or None when the file cannot be parsed."""
-    if language == "python":
-        return _python_spans(content)
-    return _pattern_spans(content, language) if language in T.DECLARATIONS else None
-
-
 def pack(lines: list[str], first: int, last: int, most: int = MAX_CHUNK) -> Iterator[tuple[int, int]]:
     """Line ranges of at most ``most`` characters, line ends counted, but of one line at least."""
     start, size = first, 0
@@ -99,13 +56,13 @@ def pack(lines: list[str], first: int, last: int, most: int = MAX_CHUNK) -> Iter
 
 
 def chunk(content: str, language: str | None) -> list[tuple[str | None, str, int, int, str]]:
-    """(symbol, symbol_type, start_line, end_line, text) of a file, by start line.
+    """(symbol, symbol_type, start_line, end_line, text) of a Python file, or one of no known syntax, by start line.
 
     A declaration is one chunk if it is small enough; else its head and its members; else pieces.  Lines outside all
     declarations that are not blank make one preamble, unless it is too long.
     """
     lines = content.split("\n")
-    found = spans(content, language)
+    found = _python_spans(content) if language == "python" else None
     text = lambda a, b: "\n".join(lines[a - 1 : b])
     out: list[tuple[str | None, str, int, int, str]] = []
 
@@ -135,44 +92,31 @@ def chunk(content: str, language: str | None) -> list[tuple[str | None, str, int
     return sorted(out, key=lambda c: c[2])
 
 
-def calls(content: str, language: str | None, call_name: str = "last") -> list[tuple[str, str, int, int]]:
-    """(caller, callee, line, pos) of a file's calls in order; ``call_name`` first or last picks a.b()'s name."""
+def calls(content: str, call_name: str = "last") -> list[tuple[str, str, int, int]]:
+    """(caller, callee, line, pos) of a Python file's calls in order; ``call_name`` first or last picks a.b()'s name."""
     out: list[tuple[str, str, int, int]] = []
-    if language == "python":
-        try:
-            tree = ast.parse(content)
-        except (SyntaxError, ValueError, RecursionError):
-            return out
-
-        def name_of(f) -> str | None:
-            if isinstance(f, ast.Name):
-                return f.id
-            if isinstance(f, ast.Attribute):
-                if call_name == "last":
-                    return f.attr
-                return f.value.id if isinstance(f.value, ast.Name) else f.attr
-            return None
-
-        def walk(node, caller: str) -> None:
-            for n in ast.iter_child_nodes(node):
-                own = n.name if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) else caller
-                if isinstance(n, ast.Call) and (name := name_of(n.func)):
-                    out.append((caller, name, n.lineno, len(out)))
-                walk(n, own)
-
-        walk(tree, MODULE)
+    try:
+        tree = ast.parse(content)
+    except (SyntaxError, ValueError, RecursionError):
         return out
-    flat: list[Span] = []
-    for s in spans(content, language) or []:
-        flat += [s, *s[4]]
-    for i, line in enumerate(content.split("\n"), 1):
-        around = [s for s in flat if s[2] <= i <= s[3]]
-        caller = min(around, key=lambda s: s[3] - s[2])[0] if around else MODULE
-        declared = {s[0] for s in flat if s[2] == i}
-        for m in CALL.finditer(line):
-            name = m.group(2) if call_name == "last" or not m.group(1) else m.group(0).split(".")[0]
-            if name not in NO_CALL and name not in declared:
-                out.append((caller or MODULE, name, i, len(out)))
+
+    def name_of(f) -> str | None:
+        if isinstance(f, ast.Name):
+            return f.id
+        if isinstance(f, ast.Attribute):
+            if call_name == "last":
+                return f.attr
+            return f.value.id if isinstance(f.value, ast.Name) else f.attr
+        return None
+
+    def walk(node, caller: str) -> None:
+        for n in ast.iter_child_nodes(node):
+            own = n.name if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) else caller
+            if isinstance(n, ast.Call) and (name := name_of(n.func)):
+                out.append((caller, name, n.lineno, len(out)))
+            walk(n, own)
+
+    walk(tree, MODULE)
     return out
 
 
@@ -199,7 +143,7 @@ def python_usage(tree: ast.AST, line: int, symbol: str) -> str:
 
 
 def usages(files: DataFrame, hits: DataFrame) -> DataFrame:
-    """(path, line, symbol, usage): how lines of Python files that parse use symbols, by syntax.
+    """(path, line, symbol, usage): how lines of Python files that parse, and of brace languages, use symbols, by syntax.
 
     ``files`` (path, content) and ``hits`` (path, line, symbol); a file is parsed once for all of its hits.
     """
@@ -219,11 +163,20 @@ def usages(files: DataFrame, hits: DataFrame) -> DataFrame:
     ship(files.sparkSession)
     per = hits.groupBy("path").agg(F.collect_list(F.struct("line", "symbol")).alias("wanted"))
     own = files.where(T.language(F.col("path")) == "python").select("path", "content").join(per, "path")
-    return own.mapInPandas(run, "path string, line int, symbol string, usage string")
+    by_tree = own.mapInPandas(run, "path string, line int, symbol string, usage string")
+    found, declared = parsed(files)
+    by_token = tokens.usages(found, declared, hits.select("symbol")).drop("enclosing_symbol")
+    return by_tree.unionByName(by_token.join(hits.select("path", "line", "symbol"), ["path", "line", "symbol"], "left_semi"))
+
+
+def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tokens in statements, and the declarations, of files in brace languages; both written once."""
+    found = written(tokens.statements(tokens.tokens(files)))
+    return found, written(tokens.declared(tokens.items(found)))
 
 
 def chunks(files: DataFrame) -> DataFrame:
-    """Chunks of files (path, content), a batch of files at a time."""
+    """Chunks of files (path, content): brace languages by their tokens, others a batch of files at a time."""
     import pandas as pd
 
     def run(batches):
@@ -233,7 +186,8 @@ def chunks(files: DataFrame) -> DataFrame:
 
     ship(files.sparkSession)
     own = files.select("path", T.language(F.col("path")).alias("language"), "content").where(T.strip(F.col("content")) != "")
-    return own.mapInPandas(run, CHUNK)
+    others = own.where(~F.coalesce(F.col("language").isin(*tokens.LANGUAGES), F.lit(False)))
+    return others.mapInPandas(run, CHUNK).unionByName(tokens.chunks(files))
 
 
 def syntax(files: DataFrame, call_name: str = "last", most: int | None = MAX_BYTES) -> DataFrame:
@@ -252,16 +206,26 @@ def syntax(files: DataFrame, call_name: str = "last", most: int | None = MAX_BYT
     def run(batches):
         for b in batches:
             rows = []
-            for p, lang, text in zip(b["path"], b["language"], b["content"]):
-                found = spans(text, lang)
+            for p, text in zip(b["path"], b["content"]):
+                found = _python_spans(text)
                 rows.append((p, "file" if found is not None else "error", None, None, 0, 0, None, 0))
                 rows += [(p, "span", s[0], s[1], s[2], s[3], None, i) for i, s in enumerate(flat(found or []))]
-                rows += [(p, "call", callee, None, line, line, caller, pos) for caller, callee, line, pos in calls(text, lang, call_name)]
+                rows += [(p, "call", callee, None, line, line, caller, pos) for caller, callee, line, pos in calls(text, call_name)]
             yield pd.DataFrame(rows, columns=["path", "kind", "name", "symbol_type", "start_line", "end_line", "caller", "pos"])
 
     ship(files.sparkSession)
     own = (files if most is None else files.where(F.octet_length("content") <= most)).select("path", T.language(F.col("path")).alias("language"), "content").where("language is not null")
-    return own.mapInPandas(run, SYNTAX)
+    by_tree = own.where("language = 'python'").select("path", "content").mapInPandas(run, SYNTAX)
+    braces = own.where("language <> 'python'").select("path", "content")
+    found, declared = parsed(braces)
+    no = lambda kind="string": F.lit(None).cast(kind)
+    row = lambda df, kind, name, type_, a, b, caller, pos: df.select("path", F.lit(kind).alias("kind"), name.alias("name"), type_.alias("symbol_type"), a.cast("int").alias("start_line"), b.cast("int").alias("end_line"), caller.alias("caller"), pos.cast("int").alias("pos"))
+    zero, c = F.lit(0), F.col
+    calls_ = tokens.call_edges(found, declared, MODULE, call_name).withColumnRenamed("caller_path", "path")
+    return (
+        by_tree.unionByName(row(braces, "file", no(), no(), zero, zero, no(), zero)).unionByName(row(tokens.spans(declared), "span", c("name"), c("symbol_type"), c("start_line"), c("end_line"), no(), c("pos")))
+        .unionByName(row(calls_, "call", c("callee"), no(), c("call_line"), c("call_line"), c("caller"), c("pos")))
+    )
 
 
 def edges(syntax: DataFrame) -> DataFrame:
@@ -300,7 +264,7 @@ def new_file_sections(lines: DataFrame, files: DataFrame, include_context: bool
 
 
 def register(spark: SparkSession) -> None:
-    """Register ``chunk_source(content, language)`` as a table function for SQL's LATERAL."""
+    """Register ``chunk_source(content, language)`` as a table function for SQL's LATERAL; brace languages: ``chunks``."""
     from pyspark.sql.functions import udtf
 
     ship(spark)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import code, diff, index, registry, review, search, sections, syntax
+from ..operators import code, diff, index, registry, review, search, sections, syntax, tokens
 from ..runtime import table, written
+from . import braces
 from . import corpora as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -449,3 +450,24 @@ def chunk_python(s, d):
 @query()
 def call_edges_python(s, d):
     return syntax.edges(syntax.syntax(_python_files(s, d), most=None))
+
+
+def _statements(s, d):
+    found = written(tokens.statements(tokens.tokens(braces.files(s, d))))
+    return found, written(tokens.declared(tokens.items(found)))
+
+
+@query(braces.CHUNKS)
+def chunk_braces(s, d):
+    return tokens.chunks(braces.files(s, d))
+
+
+@query(braces.CALLS)
+def call_edges_braces(s, d):
+    return tokens.call_edges(*_statements(s, d))
+
+
+@query(braces.USAGES)
+def usage_by_tokens(s, d):
+    wanted = s.createDataFrame([(w,) for w in braces.SYMBOLS], "symbol string")
+    return tokens.usages(*_statements(s, d), wanted)

@@ -48,7 +48,8 @@ def test_chunks_split_and_fall_back(spark):
     long = syntax.chunk("def f():\n" + "    y = 22222\n" * 900, "python")
     assert len(long) > 1 and all(len(c[4]) <= 4000 for c in long) and long[0][2] == 1 and long[-1][3] == 901
     assert syntax.chunk("def (", "python") == [(None, "file", 1, 1, "def (")]
-    assert [c[0] for c in syntax.chunk("func A() {\n  b()\n}\n\nfunc B() int {\n}\n", "go")] == ["A", "B"]
+    go = spark.createDataFrame([("x.go", "func A() {\n  b()\n}\n\nfunc B() int {\n}\n")], "path string, content string")
+    assert [c.symbol for c in syntax.chunks(go).orderBy("start_line").collect()] == ["A", "B"]
     assert [(c[0], c[1]) for c in syntax.chunk("x = 1\n@d\ndef f():\n    pass\n", "python")] == [(None, "preamble"), ("f", "other")]
 
 
