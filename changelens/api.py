@@ -9,14 +9,14 @@ from __future__ import annotations
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import code, diff, index, registry, review, search, sections, syntax
 from .runtime import written
 from .sources import embeddings, repository, sinks
-from .streaming.index import latest, refresh, versions
+from .streaming.index import latest, part_paths, refresh, vacuum, versions
 
 
 def changed_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -97,8 +97,22 @@ def trace_call_chain(files: DataFrame, symbols: DataFrame, depth: int = 1, call_
     }
 
 
+def file_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, path, hash) of the indexes in a folder: from their tables, else from their records."""
+    found = repository.sidecars(spark, folder)
+    listed = found.select("name", F.explode("fileset").alias("path"), "files").select("name", "path", F.try_element_at("files", "path").alias("hash"))
+    names = [r[0] for r in found.select("name").collect()]  # one name an index
+    paths = [x for name in names for x in part_paths(spark, f"{folder}/{name}", "files")]
+    if not paths:
+        return listed
+    own = spark.read.schema("path string, hash string").parquet(*paths)
+    name = F.regexp_extract("_metadata.file_path", r"([^/]+)/files/version=\d+/bucket=\d+/[^/]+$", 1)
+    own = own.select(name.alias("name"), "path", "hash")
+    return listed.join(own.select("name").distinct(), "name", "left_anti").unionByName(own)
+
+
 def _records(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of all indexes in a folder, with what the registry asks of them."""
+    """The records of all indexes in a folder, with what the registry asks of them; file sets are in ``file_sets``."""
     found = repository.sidecars(spark, folder)
     roots = [r[0] for r in found.select("root").where("root <> ''").distinct().collect()]  # one path an index
     there = spark.createDataFrame([(r, Path(r).exists()) for r in roots], "root string, root_exists boolean")
@@ -112,33 +126,26 @@ def index_repo(spark: SparkSession, root: str, folder: str, connect=None, model:
 
     Only changed files are chunked and, with ``connect`` (see ``sources.embeddings``), embedded again, unless there is
     no index, no record, another model, or ``force``.  The record is written last; indexes of the same project that
-    nothing reaches any more are dropped.  Returns what was done, in numbers.
+    nothing reaches any more are dropped.  The files and their hashes are a table of the index (``file_sets``): none of
+    their paths passes through the driver.  Returns what was done, in numbers, observed by the passes that did it.
     """
-    facts = repository.git_facts(spark, root).first()
-    table, files = f"{folder}/{facts.key}", written(repository.scan(spark, root).select("path", "content", "hash"))
+    facts, met = repository.git_facts(spark, root).first(), Observation()
+    table, files = f"{folder}/{facts.key}", written(repository.scan(spark, root, seen=met).select("path", "content", "hash"))
     record = _record(spark, folder, facts.key)
     known = versions(spark, table)
-    state = spark.createDataFrame([(force, bool(known), record.model if record else None, model, record.files if record else None)], "force boolean, has_table boolean, meta_model string, model string, files map<string, string>")
+    state = spark.createDataFrame([(force, bool(known), record.model if record else None, model, record and "")], "force boolean, has_table boolean, meta_model string, model string, files string")
     gate = index.is_incremental(*map(F.col, ("force", "has_table", "meta_model", "model", "files")))
-    incremental = bool(state.select(gate).first()[0])
-    changed, deleted = files.count(), 0
-    if incremental:
-        before = state.select(F.explode("files").alias("path", "hash"))
-        changed, deleted = index.delta_counts(index.delta(before, files)).first()
-    version = known[-1] if known else 0
-    if not incremental or changed or deleted:
-        version += 1
-        embed = (lambda rows: embeddings.embed(rows, connect)) if connect is not None else None
-        refresh(spark, table, files, version, embed, incremental)
-    chunks = latest(spark, table).count()
-    hashes = dict(files.select("path", "hash").collect())  # a record holds them all
-    stamp = {"git_sha": facts.main_sha or facts.head_sha, "model": model, "chunks": chunks, "indexed_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "root": facts.root, "remote": facts.remote, "files": hashes}
+    incremental, done = bool(state.select(gate).first()[0]), {}
+    embed = (lambda rows: embeddings.embed(rows, connect)) if connect is not None else None
+    refresh(spark, table, files, known[-1] + 1 if known else 1, embed, incremental, counts=done)
+    vacuum(spark, table, keep=2)  # a reader may still be at the one before
+    stamp = {"git_sha": facts.main_sha or facts.head_sha, "model": model, "chunks": done["chunks"], "indexed_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "root": facts.root, "remote": facts.remote, "n_files": done["files"]}
     sinks.write_record(spark, folder, facts.key, stamp)
-    twins = [r.name for r in registry.dead_twins(_records(spark, folder), facts.key, facts.remote, sorted(hashes)).select("name").collect()]
+    twins = [r.name for r in registry.dead_twins(_records(spark, folder), facts.key, facts.remote, files.select("path"), sets=file_sets(spark, folder)).select("name").collect()]  # one name an index
     for name in twins:
         sinks.drop_index(spark, f"{folder}/{name}")
         sinks.drop_record(spark, folder, name)
-    return {"mode": "incremental" if incremental else "full", "indexed_chunks": chunks, "files": len(hashes), "skipped": repository.count_files(spark, root) - len(hashes), "changed_files": changed, "deleted_files": deleted, "git_sha": (stamp["git_sha"] or "")[:8], "model": model, "evicted": len(twins)}
+    return {"mode": "incremental" if incremental else "full", "indexed_chunks": done["chunks"], "files": done["files"], "skipped": met.get["met"] - done["files"], "changed_files": done["changed"], "deleted_files": done["deleted"], "git_sha": (stamp["git_sha"] or "")[:8], "model": model, "evicted": len(twins)}
 
 
 def _record(spark: SparkSession, folder: str, name: str):
@@ -153,8 +160,8 @@ def index_status(spark: SparkSession, root: str, folder: str, model: str = "") -
     """One row: the state of a checkout's index (absent, fresh, stale, model_mismatch, unknown) and what it follows from."""
     facts = repository.git_facts(spark, root)
     row = facts.first()
-    record, table = _record(spark, folder, row.key), latest(spark, f"{folder}/{row.key}")
-    own = {"has_table": table is not None, "has_meta": record is not None, "meta_model": record and record.model, "indexed_sha": record and record.git_sha, "indexed_at": record and record.indexed_at, "chunks": table.count() if table is not None else None}
+    record, table = _record(spark, folder, row.key), versions(spark, f"{folder}/{row.key}") or None
+    own = {"has_table": table is not None, "has_meta": record is not None, "meta_model": record and record.model, "indexed_sha": record and record.git_sha, "indexed_at": record and record.indexed_at, "chunks": record.chunks if record is not None and table is not None else None}
     types = {"has_table": "boolean", "has_meta": "boolean", "chunks": "long"}
     out = index.freshness(facts.withColumns({"model": F.lit(model)} | {k: F.lit(v).cast(types.get(k, "string")) for k, v in own.items()}))
     behind = repository.commits_between(root, record.git_sha, row.main_sha or "HEAD") if record and out.first().needs_commits_behind else None
@@ -163,7 +170,9 @@ def index_status(spark: SparkSession, root: str, folder: str, model: str = "") -
 
 def prune_folder(spark: SparkSession, folder: str, dry_run: bool = True) -> tuple[DataFrame, DataFrame]:
     """``prune_indexes`` of a folder's records; without ``dry_run`` what is prunable is deleted."""
-    rows, freed = prune_indexes(_records(spark, folder))
+    sets = file_sets(spark, folder).groupBy("name").agg(F.collect_set("path").alias("paths"))
+    own = _records(spark, folder).join(sets, "name", "left").withColumn("fileset", F.coalesce("paths", "fileset")).drop("paths")
+    rows, freed = prune_indexes(own)
     rows, freed = written(rows), written(freed)
     if not dry_run:
         for r in rows.where("reason is not null").select("name").collect():  # one name an index

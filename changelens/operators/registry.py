@@ -137,13 +137,25 @@ def reclaimed(pruned: DataFrame) -> DataFrame:
     return pruned.agg(F.coalesce(F.sum(F.when(F.col("reason").isNotNull(), F.col("size_bytes"))), F.lit(0)).alias("reclaimed_bytes"), F.count("reason").alias("prunable"))
 
 
-def dead_twins(records: DataFrame, name: str, remote: str | None, fileset: list[str], threshold: float = SAME) -> DataFrame:
-    """Records other than ``name`` that are its project and no longer reachable."""
-    other = F.array(*map(F.lit, fileset)) if fileset else F.array().cast("array<string>")
-    k = F.size(F.array_intersect("fileset", other))
-    like = F.when((F.size("fileset") > 0) & F.lit(bool(fileset)), k / (F.size(F.array_distinct("fileset")) + len(set(fileset)) - k) >= threshold).otherwise(False)
-    same = like | (F.coalesce(F.col("remote"), F.lit("")) == (remote or "\x00"))
-    return records.where((F.col("name") != name) & same & ~(F.col("root_exists") & F.col("reachable")))
+def dead_twins(records: DataFrame, name: str, remote: str | None, fileset: DataFrame | list[str], threshold: float = SAME, sets: DataFrame | None = None) -> DataFrame:
+    """Records other than ``name`` that are its project and no longer reachable.
+
+    ``fileset`` (path) are its files; ``sets`` (name, path) those of the others, else ``records`` have them.  Files meet by
+    an equi-join on the path, and only for records whose number of files leaves the threshold open.
+    """
+    spark = records.sparkSession
+    mine = fileset if isinstance(fileset, DataFrame) else spark.createDataFrame([(p,) for p in fileset], "path string")
+    mine = mine.select("path").distinct()
+    dead = records.where((F.col("name") != name) & ~(F.col("root_exists") & F.col("reachable")))
+    sets = dead.select("name", F.explode("fileset").alias("path")) if sets is None else sets.join(dead.select("name"), "name", "left_semi")
+    sets = sets.select("name", "path").distinct()
+    sizes = sets.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    size = mine.agg(F.count(F.lit(1)).alias("m"))
+    near = sizes.join(F.broadcast(size)).where((F.least("n", "m") >= F.greatest("n", "m") * threshold) & (F.col("m") > 0))  # one row of size
+    shared = sets.join(mine, "path").join(near.select("name"), "name", "left_semi").groupBy("name").agg(F.count(F.lit(1)).alias("k"))
+    like = near.join(shared, "name").where(F.col("k") / (F.col("n") + F.col("m") - F.col("k")) >= threshold).select("name", F.lit(True).alias("like"))
+    same = F.coalesce("like", F.lit(False)) | (F.coalesce(F.col("remote"), F.lit("")) == (remote or "\x00"))
+    return dead.join(like, "name", "left").where(same).drop("like")
 
 
 def with_keys(roots: DataFrame) -> DataFrame:

@@ -43,6 +43,22 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file as a whole: beside its place first, then over what is there by one rename."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    target = hadoop.Path(path)
+    fs = target.getFileSystem(conf)
+    target = fs.makeQualified(target)
+    fresh = hadoop.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    kind = getattr(hadoop, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(kind, 1)
+    over[0] = kind.OVERWRITE
+    hadoop.FileContext.getFileContext(target.toUri(), conf).rename(fresh, target, over)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df``, dealt to all cores where it is read in fewer parts than there are: one small file, say."""
     cores = df.sparkSession.sparkContext.defaultParallelism

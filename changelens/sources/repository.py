@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import subprocess
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -20,12 +20,14 @@ def _tree(spark: SparkSession, root: str) -> DataFrame:
     return files.select(rel.alias("path"), "length", "content").where(~T.in_skipped_dir(F.col("path")))
 
 
-def scan(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
+def scan(spark: SparkSession, root: str, limit: int | None = None, seen: Observation | None = None) -> DataFrame:
     """(path, language, content, hash) of a tree's source files: known extensions, no skipped directory, not blank.
 
-    Contents are decoded on the JVM; directories and sizes are filtered on file metadata, before any content is read.
+    Contents are decoded on the JVM.  ``seen`` observes ``met``, the files that the walk meets, source files or not.
     """
-    files = _tree(spark, root).where(T.language(F.col("path")).isNotNull())
+    files = _tree(spark, root)
+    files = files if seen is None else files.observe(seen, F.count(F.lit(1)).alias("met"))
+    files = files.where(T.language(F.col("path")).isNotNull())
     if limit is not None:
         files = files.where(F.col("length") <= limit)
     raw = F.col("content").cast("string")
@@ -34,15 +36,10 @@ def scan(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
     return out.where(T.strip(F.col("content")) != "").withColumn("hash", F.sha2("content", 256))
 
 
-def count_files(spark: SparkSession, root: str) -> int:
-    """How many files a walk of the tree meets, source files or not, from file metadata alone."""
-    return _tree(spark, root).select("path").count()
-
-
 def sidecars(spark: SparkSession, folder: str) -> DataFrame:
     """Index records of ``*.meta.json`` files; one that is not JSON gives a record of nulls.
 
-    ``files`` may be a map from path to hash or a list of paths.
+    ``files`` may be a map from path to hash or a list of paths; an index that keeps its files as a table has neither.
     """
     raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.meta.json", recursiveFileLookup=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.meta\.json$", 1).alias("name"), "value")
     meta = F.from_json("value", "root string, remote string, chunks long, indexed_at string, git_sha string, model string")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.review import comment_errors
+from ..runtime import put
 from ..schemas import POST_OUTCOME
 
 RETRY = (429, 500, 502, 503, 504)
@@ -91,14 +92,8 @@ def drop_index(spark, path: str) -> bool:
 
 
 def write_record(spark, folder: str, name: str, record: dict) -> None:
-    """Write an index's record as ``<name>.meta.json``: beside the old one first, then in its place."""
-    fs, target = _path(spark, f"{folder}/{name}.meta.json")
-    _, fresh = _path(spark, f"{folder}/.{name}.new")
-    out = fs.create(fresh, True)
-    out.write(bytearray(json.dumps(record, ensure_ascii=False).encode()))
-    out.close()
-    fs.delete(target, False)
-    fs.rename(fresh, target)
+    """Write an index's record as ``<name>.meta.json``, over the old one by one rename."""
+    put(spark, f"{folder}/{name}.meta.json", json.dumps(record, ensure_ascii=False))
 
 
 def drop_record(spark, folder: str, name: str) -> bool:

@@ -1,14 +1,27 @@
-"""The incremental index as a stream: new snapshots of source files come in, the index table follows."""
+"""The incremental index: chunk, postings and file tables in buckets of paths, followed by snapshots or by a stream of them.
+
+Each table lies in buckets by a hash of the path.  A refresh writes the buckets of changed paths only, under its version;
+a manifest, written last and put in place by one rename, says which version of each bucket counts.  So readers see the old
+index or the new one, a refresh that dies leaves nothing that counts, and one that runs twice gives the same.  ``vacuum``
+removes the versions of buckets that no manifest names any more.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..operators import index, search, syntax
-from ..runtime import written
+from ..operators import search, syntax
+from ..runtime import put, written
 
+#: A row with a path is a file; one without closes the snapshot: its content is the number of the snapshot's files.
 SNAPSHOT = "snapshot long, path string, content string"
+#: Buckets of a new index.  An index keeps its number; one of very many files should begin with more.
+BUCKETS = 64
+PARTS = ("chunks", "postings", "files")
 
 
 def chunked(files: DataFrame, embed=None) -> DataFrame:
@@ -19,57 +32,183 @@ def chunked(files: DataFrame, embed=None) -> DataFrame:
     return embed(rows) if embed is not None else rows
 
 
-def refresh(spark: SparkSession, table: str, snapshot: DataFrame, version: int, embed=None, incremental: bool = True) -> DataFrame:
-    """Bring the chunk table at ``table`` to a snapshot (path, content); unchanged files are not chunked again.
+def bucket(path: str | Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
+
 
-    Hashes are compared before anything is parsed or embedded.  The new table and its postings are written beside the
-    old ones and named by their version, so a batch that runs twice gives the same tables, and readers of the old ones
-    are not disturbed.
+def refresh(spark: SparkSession, table: str, snapshot: DataFrame, version: int, embed=None, incremental: bool = True, buckets: int = BUCKETS, counts: dict | None = None) -> DataFrame:
+    """Bring the index at ``table`` to a snapshot (path, content) of one row a file; unchanged files are not chunked again.
+
+    Hashes are compared before anything is parsed or embedded; only buckets with changed paths are read and written.
+    ``counts`` is filled with files, changed, deleted and chunks, observed in the passes that write.
     """
-    now = snapshot.select("path", "content", F.sha2("content", 256).alias("hash"))
-    old = latest(spark, table, before=version) if incremental else None
-    words = latest(spark, f"{table}/postings", before=version) if incremental else None
-    if old is None or words is None:
-        out = chunked(now, embed)
-        out.write.mode("overwrite").parquet(f"{table}/version={version}")
-        out = spark.read.parquet(f"{table}/version={version}")
-        terms = _postings(out)
-    else:
-        changes = written(index.delta(old.select("path", "hash").distinct(), now))
-        new = now.join(changes.where("change <> 'deleted'"), "path", "left_semi")
+    content = F.coalesce("content", F.lit(""))
+    now = snapshot.select("path", content.alias("content"), F.sha2(content, 256).alias("hash"))
+    old = manifest(spark, table, before=version)
+    if not incremental or old is None:
+        old = {"buckets": old["buckets"] if old else buckets, "rows": 0, "schemas": {}, **{p: {} for p in PARTS}}
+    n, at = old["buckets"], lambda part, some=None: _read(spark, table, old, part, some)
+    files = at("files")
+    before = files.select("path", F.col("hash").alias("old"), "chunks") if files is not None else spark.createDataFrame([], "path string, old string, chunks long")
+    both = before.join(now.select("path", F.col("hash").alias("new")), "path", "full")
+    change = F.when(F.col("new").isNull(), "deleted").when(F.col("old").isNull(), "added").when(F.col("old") != F.col("new"), "changed")
+    seen, wrote = Observation(), Observation()
+    gone = F.col("change").isin("deleted", "changed")
+    both = both.withColumn("change", change).observe(
+        seen, F.count("new").alias("files"), F.count_if(F.col("change").isin("added", "changed")).alias("changed"), F.count_if(F.col("change") == "deleted").alias("deleted"), F.coalesce(F.sum(F.when(gone, F.col("chunks"))), F.lit(0)).alias("removed")
+    )
+    changes = written(both.where("change is not null").select("path", "change", bucket("path", n).alias("bucket")))
+    some = sorted(r[0] for r in changes.select("bucket").distinct().collect())  # at most the number of buckets
+    total = dict(seen.get)
+    out = old | {"schemas": dict(old["schemas"])}
+    if some:
+        new = now.join(changes.where("change <> 'deleted'").select("path"), "path", "left_semi")
         fresh = written(chunked(new, embed))
-        out = index.apply_delta(old, fresh, changes)
-        out.write.mode("overwrite").parquet(f"{table}/version={version}")
-        out = spark.read.parquet(f"{table}/version={version}")
-        terms = index.apply_delta(words, _postings(fresh), changes)
-    terms.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{table}/postings/version={version}")
-    return out
+        per = fresh.groupBy("path").agg(F.count(F.lit(1)).alias("chunks"))
+        parts = {"files": new.select("path", "hash").join(per, "path", "left").fillna({"chunks": 0}), "postings": _postings(fresh), "chunks": fresh}
+        for part in ("files", "postings", "chunks"):
+            kept = at(part, some)
+            rows = parts[part].withColumn("fresh", F.lit(True))
+            if kept is not None:
+                rows = rows.unionByName(kept.join(changes.select("path"), "path", "left_anti").withColumn("fresh", F.lit(False)), allowMissingColumns=True)
+            rows = rows.withColumn("bucket", bucket("path", n)).hint("rebalance", "bucket")
+            if part == "chunks":
+                rows = rows.observe(wrote, F.count_if("fresh").alias("added"))  # after the exchange: once a task that counts
+            sort = ["bucket", "term"] if part == "postings" else ["bucket", "path"]
+            rows = rows.drop("fresh")
+            out["schemas"][part] = rows.drop("bucket").schema.json()
+            rows.sortWithinPartitions(*sort).write.mode("overwrite").partitionBy("bucket").parquet(_folder(table, part, version))
+            there = _buckets(spark, _folder(table, part, version))
+            out[part] = {b: v for b, v in old[part].items() if int(b) not in some} | {str(b): version for b in there}
+        out["rows"] = old["rows"] - total["removed"] + wrote.get["added"]
+    out["version"] = version
+    put(spark, f"{table}/manifest/{version}", json.dumps(out))
+    if counts is not None:
+        counts |= {"files": total["files"], "changed": total["changed"], "deleted": total["deleted"], "chunks": out["rows"]}
+    found = latest(spark, table)
+    return found if found is not None else chunked(now.limit(0), embed)
 
 
 def _postings(chunks: DataFrame) -> DataFrame:
     return search.postings(chunks).join(chunks.select("chunk_id", "path"), "chunk_id")
 
 
-def versions(spark: SparkSession, table: str) -> list[int]:
-    """The versions of a table that were written to their end."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-    return sorted(int(n.split("=")[1]) for n in names if n.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/{n}/_SUCCESS")))
+def _folder(table: str, part: str, version: int) -> str:
+    return f"{table}/{part}/version={version}"
+
+
+def _fs(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, target = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
 
 
-def latest(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
-    """The table of the newest version, or of the newest before one."""
-    found = [v for v in versions(spark, table) if before is None or v < before]
-    return spark.read.parquet(f"{table}/version={found[-1]}") if found else None
+def _buckets(spark: SparkSession, folder: str) -> list[int]:
+    return [int(n.split("=")[1]) for n in _names(spark, folder) if n.startswith("bucket=")]
 
 
-def follow(snapshots: DataFrame, table: str, checkpoint: str):
-    """Follow a stream of whole snapshots (snapshot, path, content): each micro-batch's newest one is applied."""
+def _paths(table: str, known: dict, part: str, some: list[int] | None = None) -> list[str]:
+    return [f"{_folder(table, part, v)}/bucket={b}" for b, v in known[part].items() if some is None or int(b) in some]
+
+
+def _read(spark: SparkSession, table: str, known: dict, part: str, some: list[int] | None = None) -> DataFrame | None:
+    paths = _paths(table, known, part, some)
+    return spark.read.schema(StructType.fromJson(json.loads(known["schemas"][part]))).parquet(*paths) if paths else None
+
+
+def part_paths(spark: SparkSession, table: str, part: str) -> list[str]:
+    """The folders, one a bucket, that hold a part of the newest index."""
+    known = manifest(spark, table)
+    return [] if known is None else _paths(table, known, part)
+
+
+def versions(spark: SparkSession, table: str) -> list[int]:
+    """The versions of an index that were written to their end."""
+    return sorted(int(n) for n in _names(spark, f"{table}/manifest") if n.isdigit())
+
+
+def manifest(spark: SparkSession, table: str, before: int | None = None, version: int | None = None) -> dict | None:
+    """The manifest of a version, of the newest, or of the newest before one: buckets, and the version of each by part."""
+    found = [v for v in versions(spark, table) if (before is None or v < before) and (version is None or v == version)]
+    if not found:
+        return None
+    text = spark.read.text(f"{table}/manifest/{found[-1]}", wholetext=True).first()[0]
+    return json.loads(text)
+
+
+def history(spark: SparkSession, table: str) -> DataFrame:
+    """(version, chunks, buckets_written): the versions of an index that were written to their end."""
+    rows = [manifest(spark, table, version=v) for v in versions(spark, table)]
+    return spark.createDataFrame([(m["version"], m["rows"], sum(v == m["version"] for v in m["chunks"].values())) for m in rows], "version long, chunks long, buckets_written int")
+
+
+def latest(spark: SparkSession, table: str, before: int | None = None, part: str = "chunks") -> DataFrame | None:
+    """A part of the newest index (or of the newest before a version): chunks, postings or files; null if it has no rows."""
+    for name in PARTS:
+        if table.endswith(f"/{name}"):
+            table, part = table[: -len(name) - 1], name
+    found = manifest(spark, table, before)
+    return None if found is None else _read(spark, table, found, part)
+
+
+def vacuum(spark: SparkSession, table: str, keep: int = 1) -> int:
+    """Delete manifests but the newest ``keep`` and the versions of buckets that none of those names; tells how many went."""
+    known = versions(spark, table)
+    kept = [manifest(spark, table, version=v) for v in known[-keep:]]
+    gone = 0
+    for v in known[:-keep]:
+        fs, target = _fs(spark, f"{table}/manifest/{v}")
+        fs.delete(target, False)
+    for part in PARTS:
+        named = {(int(b), v) for m in kept for b, v in m[part].items()}
+        for name in _names(spark, f"{table}/{part}"):
+            if not name.startswith("version="):
+                continue
+            v = int(name.split("=")[1])
+            there = _buckets(spark, f"{table}/{part}/{name}")
+            if v > known[-1]:
+                continue  # being written
+            for b in there:
+                if (b, v) not in named:
+                    fs, target = _fs(spark, f"{table}/{part}/{name}/bucket={b}")
+                    fs.delete(target, True)
+                    gone += 1
+            if not any((b, v) in named for b in there):
+                fs, target = _fs(spark, f"{table}/{part}/{name}")
+                fs.delete(target, True)
+    return gone
+
+
+def follow(snapshots: DataFrame, table: str, checkpoint: str, embed=None):
+    """Follow a stream of snapshots (snapshot, path, content); a row without path closes one and says how many files it has.
+
+    Rows wait beside the index until as many paths of their snapshot have come as its closing row says, in however many
+    micro-batches, in any order and repeated; then the newest complete snapshot is applied under its number, and what
+    waited for it and for older ones goes.  Of a path that comes twice the later content stays.  Snapshots older than
+    the index are passed over.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.agg(F.max("snapshot")).first()[0]
-        if newest is not None:
-            refresh(batch.sparkSession, table, batch.where(F.col("snapshot") == newest), batch_id)
+        spark = batch.sparkSession
+        waiting = f"{table}/arrivals"
+        rows = batch.where("snapshot is not null").select("snapshot", "path", "content")
+        rows.write.mode("overwrite").partitionBy("snapshot").parquet(f"{waiting}/batch={batch_id}")
+        known = versions(spark, table)
+        there = spark.read.schema("path string, content string, snapshot long, batch long").parquet(waiting).where(F.col("snapshot") > (known[-1] if known else -1))
+        size = F.max(F.when(F.col("path").isNull(), F.col("content").cast("long")))
+        ready = there.groupBy("snapshot").agg(F.count_distinct("path").alias("n"), size.alias("size")).where("n = size").agg(F.max("snapshot")).first()[0]
+        if ready is None:
+            return
+        files = there.where((F.col("snapshot") == ready) & F.col("path").isNotNull()).groupBy("path").agg(F.max_by(F.coalesce("content", F.lit("")), "batch").alias("content"))
+        refresh(spark, table, files, ready, embed)
+        for name in _names(spark, waiting):
+            for s in _names(spark, f"{waiting}/{name}"):
+                if s.startswith("snapshot=") and int(s.split("=")[1]) <= ready:
+                    fs, target = _fs(spark, f"{waiting}/{name}/{s}")
+                    fs.delete(target, True)
 
     return snapshots.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -94,7 +94,8 @@ def test_delta_stream_equals_rebuild(spark, tmp_path):
     key = lambda df: sorted((r.path, r.symbol or "", r.start_line, r.text) for r in df.collect())
     assert key(got) == key(full)
     for n, df in ((1, one), (2, two)):
-        df.select(F.lit(n).cast("long").alias("snapshot"), "path", "content").write.mode("append").parquet(str(tmp_path / "in"))
+        closing = spark.createDataFrame([(None, str(df.count()))], "path string, content string")
+        df.union(closing).select(F.lit(n).cast("long").alias("snapshot"), "path", "content").write.mode("append").parquet(str(tmp_path / "in"))
     src = spark.readStream.schema(stream.SNAPSHOT).parquet(str(tmp_path / "in"))
     stream.follow(src, str(tmp_path / "t2"), str(tmp_path / "cp")).awaitTermination()
     assert key(stream.latest(spark, str(tmp_path / "t2"))) == key(full)

@@ -8,7 +8,9 @@ import pytest
 from changelens import api
 from changelens.functions import text as T
 from changelens.operators import registry, syntax
+from changelens.streaming import index as stream
 from changelens.streaming.index import latest
+from pyspark.sql import functions as F
 
 
 def git(root, *args):
@@ -38,7 +40,8 @@ def test_index_follows_a_checkout(spark, checkout, tmp_path):
     done = api.index_repo(spark, root, folder, connect, "m")
     assert (done["mode"], done["files"], done["changed_files"], done["indexed_chunks"], done["evicted"], done["skipped"]) == ("full", 2, 2, 2, 0, 1)
     name = next((tmp_path / "indexes").glob("*.meta.json")).name.split(".")[0]
-    assert set(json.loads((tmp_path / "indexes" / f"{name}.meta.json").read_text())["files"]) == {"a.py", "b.py"}
+    assert json.loads((tmp_path / "indexes" / f"{name}.meta.json").read_text())["n_files"] == 2
+    assert {(r.name, r.path) for r in api.file_sets(spark, folder).collect()} == {(name, "a.py"), (name, "b.py")}
     status = api.index_status(spark, root, folder, "m").first()
     assert (status.state, status.chunks, status.auto_index, status.next) == ("fresh", 2, False, None)
     assert api.index_status(spark, root, folder, "other").first().state == "model_mismatch"
@@ -161,3 +164,91 @@ def test_commands(spark, checkout, tmp_path, capsys):
     main(["prune", "--folder", folder])
     done, status, freed = map(json.loads, capsys.readouterr().out.strip().splitlines()[-3:])
     assert done["indexed_chunks"] == 2 and status["state"] == "fresh" and freed["prunable"] == 0
+
+
+def sources(spark, n, change=()):
+    body = F.concat(F.lit("def f"), F.col("id").cast("string"), F.lit("():\n    return g()"), F.when(F.col("id").isin(*change), "\n\n\ndef more():\n    pass\n").otherwise("\n"))
+    return spark.range(n).select(F.concat(F.lit("d/f"), F.col("id").cast("string"), F.lit(".py")).alias("path"), body.alias("content"))
+
+
+def key(df):
+    return sorted((r.path, r.symbol or "", r.start_line, r.end_line, r.text, r.hash) for r in df.collect())
+
+
+def test_refresh_writes_touched_buckets_only(spark, tmp_path):
+    table, counts = str(tmp_path / "ix"), {}
+    stream.refresh(spark, table, sources(spark, 300), 1, counts=counts)
+    assert counts == {"files": 300, "changed": 300, "deleted": 0, "chunks": 300}
+    files = lambda: {str(p.relative_to(table)) for p in (tmp_path / "ix").rglob("*.parquet")}
+    before = files()
+    stream.refresh(spark, table, sources(spark, 300, [7]), 2, counts=counts)
+    new = files() - before
+    assert counts == {"files": 300, "changed": 1, "deleted": 0, "chunks": 301}
+    assert len(new) == 3 and len({f.split("bucket=")[1].split("/")[0] for f in new}) == 1 and all("version=2" in f for f in new)
+    stream.refresh(spark, table, sources(spark, 295, [7]), 3, counts=counts)
+    assert counts == {"files": 295, "changed": 0, "deleted": 5, "chunks": 296} and len(files() - before - new) <= 15
+    stream.refresh(spark, str(tmp_path / "all"), sources(spark, 295, [7]), 9)
+    assert key(latest(spark, table)) == key(latest(spark, str(tmp_path / "all")))
+    words = lambda t: sorted((r.path, r.term, r.tf, r.length, r.chunk_id) for r in latest(spark, t, part="postings").collect())
+    assert words(table) == words(str(tmp_path / "all"))
+    assert key(latest(spark, table, before=2)) == key(latest(spark, table, before=2)) and latest(spark, table, before=2).count() == 300
+    assert [tuple(r) for r in stream.history(spark, table).select("version", "chunks").collect()] == [(1, 300), (2, 301), (3, 296)]
+    kept = key(latest(spark, table))
+    assert stream.vacuum(spark, table) > 0 and stream.versions(spark, table) == [3] and key(latest(spark, table)) == kept
+    again = files()
+    stream.refresh(spark, table, sources(spark, 295, [7]), 4, counts=counts)  # nothing changed, nothing written
+    assert files() == again and counts == {"files": 295, "changed": 0, "deleted": 0, "chunks": 296}
+    stream.refresh(spark, table, sources(spark, 0), 5, counts=counts)
+    assert counts == {"files": 0, "changed": 0, "deleted": 295, "chunks": 0} and latest(spark, table) is None
+
+
+def test_a_refresh_that_died_counts_for_nothing(spark, tmp_path, monkeypatch):
+    table = str(tmp_path / "ix")
+    stream.refresh(spark, table, sources(spark, 20), 1)
+    old = key(latest(spark, table))
+    monkeypatch.setattr(stream, "put", lambda *a: (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(OSError):
+        stream.refresh(spark, table, sources(spark, 20, [3]), 2)
+    monkeypatch.undo()
+    assert stream.versions(spark, table) == [1] and key(latest(spark, table)) == old
+    assert ("d/f3.py", "more") in {k[:2] for k in key(stream.refresh(spark, table, sources(spark, 20, [3]), 2))}
+
+
+def test_snapshots_in_pieces_out_of_order_and_repeated(spark, tmp_path):
+    place, table = tmp_path / "in", str(tmp_path / "ix")
+    part = lambda n, rows: spark.createDataFrame([(n, *r) for r in rows], stream.SNAPSHOT).coalesce(1).write.mode("append").parquet(str(place))
+    file = lambda k, more="": (f"{k}.py", f"def {k}():\n    pass\n{more}")
+
+    def run():
+        src = spark.readStream.schema(stream.SNAPSHOT).option("maxFilesPerTrigger", 1).parquet(str(place))
+        stream.follow(src, table, str(tmp_path / "cp")).awaitTermination()
+        found = latest(spark, table)
+        return stream.versions(spark, table), set() if found is None else {r.path for r in found.collect()}
+
+    part(1, [file("a"), file("b")])
+    assert run() == ([], set())  # nothing counts before the snapshot is whole
+    part(1, [(None, "3")])
+    part(2, [file("c")])
+    part(1, [file("a")])  # repeated
+    assert run() == ([], set())
+    part(1, [file("c")])
+    assert run() == ([1], {"a.py", "b.py", "c.py"})
+    part(3, [(None, "2"), file("x")])
+    part(2, [(None, "2"), file("d", "# two\n")])
+    assert run() == ([1, 2], {"c.py", "d.py"})
+    part(3, [file("c", "# three\n")])
+    part(2, [file("late")])  # of a snapshot that is passed
+    assert run() == ([1, 2, 3], {"x.py", "c.py"})
+    whole = spark.createDataFrame([file("x"), file("c", "# three\n")], "path string, content string")
+    stream.refresh(spark, str(tmp_path / "all"), whole, 1)
+    assert key(latest(spark, table)) == key(latest(spark, str(tmp_path / "all")))
+
+
+def test_twins_among_many_files(spark):
+    many = spark.range(200_000).select(F.concat(F.lit("src/dir/file_"), F.col("id").cast("string"), F.lit(".py")).alias("path"))
+    sets = many.select(F.lit("near").alias("name"), "path").where("pmod(hash(path), 10) < 8").union(many.select(F.lit("far").alias("name"), "path").where("pmod(hash(path), 10) < 5"))
+    sets = sets.union(spark.createDataFrame([("small", "src/dir/file_1.py")], "name string, path string")).union(many.select(F.lit("alive"), "path"))
+    records = spark.createDataFrame([("near", "", False, False), ("far", "", False, False), ("small", "", False, False), ("alive", "", True, True), ("kin", "h/p", True, False)], "name string, remote string, root_exists boolean, reachable boolean")
+    found = registry.dead_twins(records, "own", "h/p", many, sets=sets)
+    assert {r.name for r in found.collect()} == {"near", "kin"}
+    assert "LocalRelation" in found._jdf.queryExecution().optimizedPlan().toString() and "file_1999" not in found._jdf.queryExecution().logical().toString()  # no path in the plan
