@@ -65,62 +65,38 @@ def keepers(grouped: DataFrame, group: str = "group_id") -> DataFrame:
     return grouped.withColumn("keep", F.row_number().over(Window.partitionBy(group).orderBy(*best)) == 1)
 
 
-def connected(links: DataFrame) -> DataFrame:
-    """(node, part) for each node of the links (a, b): part is the least node that it is connected with.
-
-    Least names travel along links and then to their own least name's, so the number of rounds grows with the
-    logarithm of the longest way; each round reads and writes tables.
-    """
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct())
-    now = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("part")))
-    while True:
-        near = both.join(now, F.col("b") == F.col("node")).groupBy("a").agg(F.min("part").alias("m"))
-        step = written(now.join(near, F.col("node") == F.col("a")).select("node", F.least("part", "m").alias("part"), F.col("part").alias("old")))
-        up = step.select(F.col("node").alias("up"), F.col("part").alias("top"))
-        new = written(step.join(up, F.col("part") == F.col("up")).select("node", F.least("part", "top").alias("part"), "old"))
-        if new.where("part <> old").isEmpty():
-            return new.select("node", "part")
-        now = new.select("node", "part")
-
-
 def leaders(records: DataFrame, threshold: float = SAME) -> DataFrame:
     """``records`` with ``group_id``, the name of the first record of their group.
 
-    In order of name, a record joins the first group whose first record is the same project, else it starts one.  Only
-    records of one connected part of the links (a remote counts as one of its records) can meet, so each part is walked
-    by itself, by names and links alone; a record without links is its own group.
+    In order of name, a record joins the first group whose first record is the same project, else it starts one.  So the
+    first records are the lexicographically first independent set of the links, which is decided in rounds: a record with
+    a first record among its smaller neighbours is none; one whose smaller neighbours are all decided, and none of them a
+    first record, is one.  A remote is not made into links between all its records: at most one of them is a first record,
+    and what a round asks of the others is the least name that is not ruled out.  Each round reads and writes tables and
+    decides the least undecided record of each connected part; as names are digests, rounds grow with the logarithm of
+    the number of records.  An empty remote is none.  Names are taken to be unique.
     """
-    import pandas as pd
-
     links = written(similar_pairs(records, threshold).select("a", "b"))
-    remote = records.where("remote <> ''")
-    first = remote.groupBy("remote").agg(F.min("name").alias("a"))
-    by_remote = remote.join(first, "remote").where(F.col("a") < F.col("name")).select("a", F.col("name").alias("b"))
-    part = connected(links.union(by_remote))
-
-    def walk(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, set[str]] = {}
-        for a, b in zip(pairs["a"], pairs["b"]):
-            near.setdefault(b, set()).add(a)
-        order, names, by_remote, out = {}, [], {}, []
-        for name, remote in sorted(zip(rows["name"], rows["remote"]), key=lambda r: r[0]):
-            groups = [order[x] for x in near.get(name, ()) if x in order]
-            if remote and remote in by_remote:
-                groups.append(by_remote[remote])
-            if groups:
-                best = min(groups)
-            else:
-                best = order[name] = len(names)
-                names.append(name)
-                if remote:
-                    by_remote.setdefault(remote, best)
-            out.append((name, names[best]))
-        return pd.DataFrame(out, columns=["name", "group_id"])
-
-    rows = records.select("name", "remote").join(part.select(F.col("node").alias("name"), F.col("part").alias("p")), "name")
-    pairs = links.join(part.select(F.col("node").alias("a"), F.col("part").alias("q")), "a")
-    found = rows.groupBy("p").cogroup(pairs.groupBy("q")).applyInPandas(walk, "name string, group_id string")
-    return records.join(found, "name", "left").withColumn("group_id", F.coalesce("group_id", "name"))
+    remote = F.when(F.col("remote") != "", F.col("remote"))
+    state = written(records.select("name", remote.alias("remote"), F.lit("?").alias("state")))
+    while True:
+        smaller = state.select(F.col("name").alias("a"), F.col("state").alias("of"))
+        near = links.join(smaller, "a").groupBy(F.col("b").alias("name")).agg(F.max(F.col("of") == "first").alias("led"), F.max(F.col("of") == "?").alias("waits"))
+        open_ = state.where("remote is not null and state <> 'member'").groupBy("remote").agg(F.min("name").alias("least"), F.min(F.when(F.col("state") == "first", F.col("name"))).alias("lead"))
+        both = state.join(near, "name", "left").join(open_, "remote", "left")
+        led = F.coalesce("led", F.lit(False)) | F.coalesce(F.col("lead") < F.col("name"), F.lit(False))
+        waits = F.coalesce("waits", F.lit(False)) | F.coalesce(F.col("least") < F.col("name"), F.lit(False))
+        new = F.when(F.col("state") != "?", F.col("state")).when(led, "member").when(~waits, "first").otherwise("?")
+        state = written(both.select("name", "remote", new.alias("state")))
+        if state.where("state = '?'").isEmpty():
+            break
+    first = state.where("state = 'first'")
+    by_link = links.join(first.select(F.col("name").alias("a")), "a").groupBy(F.col("b").alias("name")).agg(F.min("a").alias("linked"))
+    by_remote = first.where("remote is not null").groupBy("remote").agg(F.min("name").alias("lead"))
+    found = state.join(by_link, "name", "left").join(by_remote, "remote", "left")
+    lead = F.when(F.col("lead") < F.col("name"), F.col("lead"))
+    group = F.when(F.col("state") == "first", F.col("name")).otherwise(F.least("linked", lead))
+    return records.join(found.select("name", group.alias("group_id")), "name")
 
 
 def prune(records: DataFrame, threshold: float = SAME) -> DataFrame:

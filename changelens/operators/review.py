@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..runtime import written
 
 WINDOW_LINES, PREVIEW, KEY_CHARS, MAX_COMMENTS = 40, 150, 200, 25
 #: Characters at the end of a path that are joined on.
@@ -36,23 +37,31 @@ def manifest_order(files: DataFrame) -> DataFrame:
 def reply_threads(comments: DataFrame) -> DataFrame:
     """Review comments with the root of their thread, from (review_id, ord, id, in_reply_to_id).
 
-    In order of arrival, a comment joins the thread it replies to if that is the root of one already, else it is a
-    root itself.  Each review's comments are gone through once, in a task of its own, with the roots in a set.
-    """
-    import pandas as pd
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        roots, out = set(), []
-        for own, reply in zip(*(rows.sort_values("ord", kind="stable")[c] for c in ("id", "in_reply_to_id"))):
-            joins = not pd.isna(reply) and int(reply) in roots
-            out.append(int(reply) if joins else own)
-            if not joins:
-                roots.add(int(own))
-        rows = rows.sort_values("ord", kind="stable")
-        return pd.DataFrame({"review_id": rows["review_id"], "id": rows["id"], "root": pd.array(out, "Int64")})
+    In order of arrival, a comment joins the thread it replies to if that is the root of one already, else it is a root
+    itself.  So along a chain of replies to earlier comments the rule alternates: a comment at an even number of steps from
+    the chain's end is a root, one at an odd number joins its parent.  Steps are counted by pointer jumping: in each round
+    a comment looks as far again as it has looked, so rounds grow with the logarithm of the longest chain, and a review of
+    any size is spread by its comments.
 
+    Comments are in order of ord, then id.  Of rows with one id the first counts for those that reply to it; the others are
+    judged by their own parent.  A null id is its own root and has no replies.
+    """
     own = comments.select("review_id", "ord", "id", "in_reply_to_id")
-    return own.groupBy("review_id").applyInPandas(walk, "review_id string, id long, root long")
+    first = own.where("id is not null").groupBy("review_id", "id").agg(F.min_by(F.struct("ord", "in_reply_to_id"), "ord").alias("f"))
+    known = first.select("review_id", "id", F.col("f.ord").alias("ord"), F.col("f.in_reply_to_id").alias("reply"))
+    parent = known.select("review_id", F.col("id").alias("reply"), F.col("ord").alias("parent_ord"))
+    earlier = F.col("parent_ord").isNotNull() & (F.struct("parent_ord", "reply") < F.struct("ord", "id"))
+    up = F.when(earlier, F.col("reply"))
+    steps = written(known.join(parent, ["review_id", "reply"], "left").select("review_id", "id", up.alias("up"), up.isNotNull().alias("odd")))
+    while not steps.where("up is not null").isEmpty():
+        far = steps.select("review_id", F.col("id").alias("up"), F.col("up").alias("far"), F.col("odd").alias("more")).where("more or far is not null")
+        both = steps.join(far, ["review_id", "up"], "left")
+        steps = written(both.select("review_id", "id", F.col("far").alias("up"), (F.col("odd") != F.coalesce("more", F.lit(False))).alias("odd")))
+    roots = steps.where("not odd").select("review_id", F.col("id").alias("in_reply_to_id"), F.lit(True).alias("is_root"))
+    at = parent.withColumnRenamed("reply", "in_reply_to_id").join(roots, ["review_id", "in_reply_to_id"])
+    joined = own.join(at, ["review_id", "in_reply_to_id"], "left")
+    joins = F.coalesce(F.struct("parent_ord", "in_reply_to_id") < F.struct("ord", "id"), F.lit(False)) & F.col("is_root").isNotNull()
+    return joined.select("review_id", "id", F.when(joins, F.col("in_reply_to_id")).otherwise(F.col("id")).alias("root"))
 
 
 def split_threads(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,16 +116,15 @@ def match_paths(threads: DataFrame, files: DataFrame) -> DataFrame:
 
     Files with an empty patch do not count, nor those whose path contains no thread's path.  Where one path ends as
     another, their last SUFFIX characters agree, or the shorter one is that suffix; both are keys of equi-joins, so a
-    review of very many files and threads is spread by its paths.
+    review of very many files and threads is spread by its paths.  Where one path holds another, one run of SUFFIX
+    characters of the latter, the one of least hash, is in both, or the whole of it.
     """
     paths = threads.where("located").select("review_id", F.col("file_path").alias("thread_path")).distinct()
     own = files.where("patch <> ''").select("review_id", "file_ord", "file_path")
     both = _ending_alike(paths, own)
     sure = both.where(F.endswith("file_path", "thread_path"))  # such a file contains a thread's path
     rest = both.where(~F.endswith("file_path", "thread_path"))
-    holds = rest.select(own.columns).distinct().join(paths.withColumnRenamed("thread_path", "other"), "review_id")
-    holds = holds.where(F.contains("file_path", "other")).select("review_id", "file_ord").distinct()
-    both = sure.unionByName(rest.join(holds, ["review_id", "file_ord"], "left_semi").select(sure.columns))
+    both = sure.unionByName(rest.join(_containing(rest.select(own.columns).distinct(), paths), ["review_id", "file_ord"], "left_semi").select(sure.columns))
     exact = F.col("file_path") == F.col("thread_path")
     return both.groupBy("review_id", "thread_path").agg(F.min_by(F.struct("file_ord", "file_path"), F.struct(~exact, "file_ord")).alias("f")).select("review_id", "thread_path", "f.file_ord", "f.file_path")
 
@@ -140,6 +148,17 @@ def _ending_alike(paths: DataFrame, files: DataFrame) -> DataFrame:
     return both.where(F.endswith("file_path", "thread_path") | F.endswith("thread_path", "file_path"))
 
 
+def _containing(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """(review_id, file_ord) of the files whose path contains one of the threads' ``paths``."""
+    hashed = lambda x: F.xxhash64(x)
+    runs = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(F.col(c), i, F.lit(n)))
+    long_ = lambda c: F.transform(F.when(F.length(c) >= SUFFIX, runs(c, SUFFIX)).otherwise(F.array().cast("array<string>")), hashed)
+    short = [F.transform(F.when(F.length("file_path") >= n, runs("file_path", n)).otherwise(F.array().cast("array<string>")), hashed) for n in range(1, SUFFIX)]
+    f = files.select("review_id", "file_ord", "file_path", F.explode(F.array_distinct(F.concat(long_("file_path"), *short))).alias("key"))
+    p = paths.select("review_id", "thread_path", F.when(F.length("thread_path") >= SUFFIX, F.array_min(long_("thread_path"))).otherwise(F.xxhash64("thread_path")).alias("key"))
+    return f.join(p, ["review_id", "key"]).where(F.contains("file_path", "thread_path")).select("review_id", "file_ord").distinct()
+
+
 def nearby_changes(threads: DataFrame, matched: DataFrame, lines: DataFrame, window: int = WINDOW_LINES) -> DataFrame:
     """Changed lines within ``window`` of each located thread: an equi-join on the file, cells of lines against skew.
 

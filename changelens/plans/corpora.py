@@ -121,7 +121,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    d = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))  # hashed where it is read
     old = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
     before = d.where("doc_id % 10 <> 0").select(F.col("doc_id").alias("path"), F.sha2(old, 256).alias("hash"))
     return before, d.where("doc_id % 13 <> 0").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("hash"))

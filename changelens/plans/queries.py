@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import code, diff, index, registry, review, search, sections, syntax, tokens
+from ..operators import code, diff, index, registry, review, search, sections, syntax, tokens, topk
 from ..runtime import table, written
 from . import braces
 from . import corpora as C
@@ -357,6 +357,20 @@ def fts_bm25_topk(s, d):
     return _arms(s, d)[1]
 
 
+@query(f"WITH {_CHUNKS} SELECT query_id, chunk_id, distance, CAST(rank AS INTEGER) AS rank FROM v")
+def vector_topk_cells(s, d):
+    vectors = C.vectors(s, d)
+    return topk.nearest_in_cells(topk.cells(vectors), _asking(vectors))
+
+
+@query(f"WITH {_CHUNKS} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM b")
+def fts_blocks_topk(s, d):
+    chunks = C.chunks(s, d)
+    postings = written(search.postings(chunks))
+    terms = postings.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "term")
+    return topk.bm25_in_blocks(topk.blocks(postings, search.totals(chunks, postings)), terms)
+
+
 @query(f"""WITH {_CHUNKS}, f AS (SELECT coalesce(v.query_id, b.query_id) AS query_id, coalesce(v.chunk_id, b.chunk_id) AS chunk_id, round(coalesce(1.0 / (60 + v.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 9) AS score
  FROM v FULL JOIN b ON v.query_id = b.query_id AND v.chunk_id = b.chunk_id) SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 8""")
 def hybrid_rrf(s, d):
@@ -380,15 +394,25 @@ def registry_keeper(s, d):
     return registry.keepers(C.registry(s, d).withColumn("group_id", F.coalesce("remote", "name"))).select("name", "keep")
 
 
-@query()
+#: Leaders in order of name, one record a step: the list of them grows where no smaller neighbour is among them.
+_PRUNE = f"""WITH RECURSIVE {C.REGISTRY_SQL}, ro AS (SELECT *, root IS NOT NULL AND NOT root_exists AND NOT reachable AS orphan FROM reg), rn AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY name) AS i FROM ro WHERE NOT orphan),
+ m AS (SELECT name, unnest(fileset) AS x FROM rn), n AS (SELECT name, len(fileset) AS n FROM rn), k AS (SELECT p.name AS a, q.name AS b, count(*) AS k FROM m p JOIN m q ON p.x = q.x AND p.name < q.name GROUP BY ALL),
+ ln AS (SELECT a, b FROM k JOIN n p ON p.name = a JOIN n q ON q.name = b WHERE k / (p.n + q.n - k) >= 0.6 UNION SELECT p.name, q.name FROM rn p JOIN rn q ON p.remote = q.remote AND p.name < q.name),
+ nb AS MATERIALIZED (SELECT rn.i, rn.name, coalesce(list(ln.a) FILTER (ln.a IS NOT NULL), []) AS near FROM rn LEFT JOIN ln ON ln.b = rn.name GROUP BY ALL),
+ wk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS firsts UNION ALL SELECT nb.i, CASE WHEN list_has_any(wk.firsts, nb.near) THEN wk.firsts ELSE list_append(wk.firsts, nb.name) END FROM wk JOIN nb ON nb.i = wk.i + 1),
+ ld AS (SELECT firsts FROM wk ORDER BY i DESC LIMIT 1), gr AS (SELECT rn.*, coalesce(list_min(list_intersect(near, firsts)), rn.name) AS group_id FROM rn JOIN nb USING (name), ld),
+ kp AS (SELECT *, row_number() OVER w AS r, first_value(name) OVER w AS winner FROM gr WINDOW w AS (PARTITION BY group_id ORDER BY reachable DESC, root IS NOT NULL AND root_exists DESC, indexed_at DESC, chunks DESC, name)),
+ pr AS (SELECT name, CASE WHEN r > 1 THEN concat('duplicate of ', substr(winner, 1, 8)) END AS reason, size_bytes FROM kp UNION ALL SELECT name, 'orphan: checkout gone', size_bytes FROM ro WHERE orphan)"""
+
+
+@query(f"{_PRUNE} SELECT name, reason, size_bytes FROM pr")
 def registry_prune(s, d):
     return registry.prune(C.registry(s, d)).select("name", "reason", "size_bytes")
 
 
-@query(f"WITH {C.REGISTRY_SQL}, o AS (SELECT * FROM reg WHERE root IS NOT NULL AND NOT root_exists AND NOT reachable) SELECT CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS reclaimed_bytes, count(*) AS prunable FROM o")
+@query(f"{_PRUNE} SELECT CAST(coalesce(sum(size_bytes) FILTER (reason IS NOT NULL), 0) AS BIGINT) AS reclaimed_bytes, count(reason) AS prunable FROM pr")
 def registry_reclaimed(s, d):
-    gone = registry.orphans(C.registry(s, d)).withColumn("reason", F.when(F.col("orphan"), "orphan"))
-    return registry.reclaimed(gone)
+    return registry.reclaimed(registry.prune(C.registry(s, d)))
 
 
 @query(f"""WITH u AS (SELECT page_id, {C.URL} AS url FROM pages), p AS (SELECT *, CASE WHEN contains(url, 'merge_requests/') THEN 'gitlab' WHEN contains(url, '/pull/') THEN 'github' END AS platform FROM u)

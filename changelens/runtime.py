@@ -26,8 +26,8 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` once computed: a table below ``spark.checkpoint.dir``, which all executors share, read again.
+def written(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``df`` once computed: a table below ``spark.checkpoint.dir``, which all executors share, read again; in folders ``by``.
 
     Unlike a cached table it outlives lost executors, so what made it does not run a second time.
     """
@@ -39,7 +39,7 @@ def written(df: DataFrame) -> DataFrame:
         base = tempfile.mkdtemp(prefix="changelens-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/changelens-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*(by or [])).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,9 @@
+import random
+
 from changelens import api
 from changelens.operators import diff, review
 from changelens.sources import reviews, sinks
+from pyspark.sql import functions as F
 
 from .test_diff import files
 
@@ -136,3 +139,40 @@ def test_new_file_sections(spark):
     got = {(s.file_path, s.symbol, s.symbol_type, s.start_line, s.end_line, s.changed_lines) for s in found.where("file_path = 'a.py'").collect()}
     assert got == {("a.py", None, "preamble", 1, 1, 1), ("a.py", "f", "function", 2, 3, 2), ("a.py", "g", "function", 5, 7, 3)}
     assert diff.path_filter(files(spark, ("a.py", patch, True)), []).count() == 1
+
+
+def test_reply_threads_by_brute_force(spark):
+    rng, rows = random.Random(8), []
+    for r in range(6):
+        ids = list(range(100 * r, 100 * r + rng.randrange(1, 60)))
+        for k, i in enumerate(ids):
+            reply = rng.choice([None, ids[k - 1] if k else None, rng.choice(ids), 9999, i])
+            rows.append((f"r{r}", k // 2, i, reply))  # two of each place in order
+    rows += [("chain", k, k, k - 1 if k else None) for k in range(700)] + [("none", 1, None, 3), ("none", 2, 3, None), ("none", 3, 4, 3)]
+    want, seen = {}, {}
+    for review_id, _, own, reply in sorted(rows, key=lambda x: (x[0], x[1], -1 if x[2] is None else x[2])):
+        roots = seen.setdefault(review_id, set())
+        joins = reply in roots
+        want[(review_id, own)] = reply if joins else own
+        if not joins and own is not None:
+            roots.add(own)
+    df = spark.createDataFrame(rows, "review_id string, ord int, id long, in_reply_to_id long").withColumn("root", F.lit("clash")).repartition(3)
+    got = review.reply_threads(df)
+    assert {(g.review_id, g.id): g.root for g in got.collect()} == want and "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert review.reply_threads(df.where("ord < 0")).collect() == []
+
+
+def test_match_paths_by_brute_force(spark):
+    rng, part = random.Random(9), ["a", "b", "src", "x.py", "y.py", "main", "lib/util.go", "p"]
+    name = lambda: "/".join(rng.choice(part) for _ in range(rng.randrange(1, 5)))
+    files = [("r", k, name(), "@@") for k in range(60)] + [("r", 99, "none.py", "")]
+    threads = [("r", k, name(), True) for k in range(80)] + [("r", 500, "none.py", True), ("q", 1, "src", True)]
+    want = {}
+    for review_id, _, path, _ in threads:
+        paths = [t[2] for t in threads if t[0] == review_id]
+        own = [f for f in files if f[0] == review_id and f[3] and any(p in f[2] for p in paths)]
+        like = [f for f in own if f[2] == path or f[2].endswith(path) or path.endswith(f[2])]
+        if like:
+            want[(review_id, path)] = min(like, key=lambda f: (f[2] != path, f[1]))[1]
+    got = review.match_paths(spark.createDataFrame(threads, "review_id string, disc_ord int, file_path string, located boolean"), spark.createDataFrame(files, "review_id string, file_ord int, file_path string, patch string"))
+    assert {(g.review_id, g.thread_path): g.file_ord for g in got.collect()} == want
