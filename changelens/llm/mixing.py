@@ -9,7 +9,8 @@ own.  A document's blocks are then the first of a permutation of its own, so blo
 shard's blocks are shuffled.  What the mix takes of a document is summed from its drawn blocks.  Draws depend on the
 data and the seed only, never on partitions or task order.
 
-Only (doc_id, size, source) move, dealt by a hash of doc_id, so a hot source is spread over all shards.
+Only (doc_id, size, source, a digest of the text) move.  Rows are dealt by a hash of doc_id, size, digest and a number
+among wholly equal rows, so neither a hot source nor very many rows without doc_id, or repeated, meet in one shard.
 
 Defined results.  Null text: size 0, nothing taken.  Null source: a source of its own, last in order.  Null doc_id:
 an ordinary row.  Repeated rows: each is drawn from by itself.  Sources without words: target 0.  Empty table: no
@@ -35,8 +36,10 @@ BLOCK, SHARD_ROWS, LEAST_SHARDS = 32, 20_000, 64
 SEED = 17
 #: Shards that one task deals quotas to; population from which hypergeometric draws are made here, not by numpy.
 GROUP, LARGE = 1024, 1_000_000_000
+#: Equal rows that are written out together.
+COPIES = 4096
 
-SIZES = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("source", pa.string())])
+SIZES = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("source", pa.string()), ("digest", pa.int64())])
 TAKEN = "doc_id long, source string, size long, source_size long, target double, taken long"
 DRAWN = "doc_id long, source string, pass int, block int, place long"
 
@@ -49,7 +52,7 @@ def _sizes(batches):
             buf, start, end = seq.joined(values[lo:hi])
             at = seq.word_bounds(buf)[0]
             n[lo:hi] = (np.searchsorted(at, end) - np.searchsorted(at, start)).tolist()
-        yield work.batch(SIZES, b.column(0), n, b.column(2))
+        yield work.batch(SIZES, b.column(0), n, b.column(2), b.column(3))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -214,11 +217,23 @@ def _draws(seed: int, digest: bool):
     return run
 
 
+def _numbered(sized: DataFrame) -> DataFrame:
+    """``sized`` with ``copy``, a number among wholly equal rows that does not depend on where they lie.
+
+    Equal rows are counted, and written out again in runs of COPIES, so very many of them are spread like others.
+    """
+    per = sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("n"))
+    runs = per.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    last = F.least(F.col("n"), (F.col("run") + 1) * COPIES) - 1
+    return runs.select(*sized.columns, F.explode(F.sequence(F.col("run") * COPIES, last)).alias("copy"))
+
+
 def _mix(docs: DataFrame, seed: int, digest: bool) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
-    sized = work.stage(src.mapInArrow(_sizes, "doc_id long, size long, source string"))
+    digest_of = src.select("doc_id", "text", "source", F.xxhash64("text").alias("digest"))
+    sized = work.stage(_numbered(digest_of.mapInArrow(_sizes, "doc_id long, size long, source string, digest long")))
     shards = max(LEAST_SHARDS, -(-sized.count() // SHARD_ROWS))
-    sized = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size"), F.lit(shards)).cast("int"))
+    sized = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size", "digest", "copy"), F.lit(shards)).cast("int")).drop("digest", "copy")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK))
     counts = sized.groupBy("source", "shard").agg(F.sum(blocks).alias("blocks"))
     counts = work.stage(counts.withColumn("group", F.floor(F.col("shard") / GROUP).cast("int")))  # a row for each shard and source

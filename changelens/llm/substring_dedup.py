@@ -7,7 +7,8 @@
 2. Locate.  Each shard's documents and phrases meet.  Phrases are compiled, at most LETTERS words at a time, into an
    Aho-Corasick automaton over words, and every document of the shard is streamed through it whole; the words
    that its hits cover are removed.  Phrases of hot anchors occur in most shards: they are broadcast in blocks of at
-   most HOT_BYTES while they have at most HOT_LIMIT bytes in all, and go to every shard by shuffle beyond that.
+   most HOT_BYTES while they have at most HOT_LIMIT bytes in all.  Beyond that a further pass over the documents finds,
+   by the hash of a phrase's first window, the shards that hold it, and it goes to those.
 
 Documents that hold no confirmed window are not shuffled.
 
@@ -291,6 +292,52 @@ def _common(rows: DataFrame):
         yield part
 
 
+FIRST = pa.schema([("h", pa.int64()), ("phrase", pa.binary())])
+PLACE = pa.schema([("h", pa.int64()), ("shard", pa.int64())])
+
+
+def _windows(values: list[bytes | None]):
+    """The hash of each window of some texts, and the number of its text."""
+    w = seq.Words(values)
+    n = np.maximum(w.last - w.first - WINDOW + 1, 0)
+    cell = np.repeat(np.arange(len(values)), n)
+    at = np.arange(len(cell)) - np.repeat(np.cumsum(n) - n, n) + w.first[cell]
+    return seq.gram_hashes(w.hash, WINDOW)[at] if len(at) else np.zeros(0, seq.U), cell
+
+
+def _firsts(batches):
+    """Phrases by the hash of their first window."""
+    for b in batches:
+        texts = work.texts(b.column(0))
+        h, cell = _windows(texts)
+        first = np.searchsorted(cell, np.arange(len(texts)))
+        yield work.batch(FIRST, h[first].view(np.int64), texts)
+
+
+def _to_holders(common: DataFrame, src: DataFrame, bitmap, shards: int) -> DataFrame:
+    """(shard, phrase): hot phrases, each for the shards with a document that holds its first window, once a task."""
+    spark = src.sparkSession
+    firsts = work.stage(common.mapInArrow(_firsts, "h long, phrase binary"))
+    known = work.share(spark, work.bloom(firsts.select("h").distinct(), "h"))
+
+    def places(batches):
+        sent: set[tuple[int, int]] = set()
+        for b in repeats.held(batches, bitmap):
+            shard, texts = shard_of(b.column(1).to_numpy(), b.column(2).to_numpy(), shards), work.texts(b.column(3))
+            for lo, hi in work.segments(texts):
+                h, cell = _windows(texts[lo:hi])
+                some = np.flatnonzero(work.in_bloom(known.value, h))
+                new = set(zip(h[some].view(np.int64).tolist(), shard[lo + cell[some]].tolist())) - sent
+                sent |= new
+                if new:
+                    yield work.batch(PLACE, [x for x, _ in new], [y for _, y in new])
+            if len(sent) > repeats.MEMORY:
+                sent.clear()
+
+    at = src.select("doc_id", "doc", "th", "text").mapInArrow(places, "h long, shard long").distinct()
+    return at.join(firsts, "h").select("shard", "phrase")
+
+
 def _applied(docs: DataFrame, result, schema: pa.Schema, ddl: str) -> DataFrame:
     """Per document, ``result(words, stretches to remove)`` as the columns after doc_id."""
     spark = docs.sparkSession
@@ -304,7 +351,7 @@ def _applied(docs: DataFrame, result, schema: pa.Schema, ddl: str) -> DataFrame:
     if (common.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0) <= HOT_LIMIT:
         blocks = [work.share(spark, b) for b in _common(common)]
     else:
-        own = own.union(common.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), "phrase"))
+        own = own.union(_to_holders(common, found.src, bitmap, shards))
 
     def dealt(batches):
         for b in repeats.held(batches, bitmap):

@@ -197,3 +197,45 @@ def test_align_by_brute_force():
 def test_registered():
     for name in ("op11_lexical_search", "op12_fill_in_middle", "op13_chat_format"):
         assert name in queries.QUERIES and name in queries.SQL
+
+
+# --- hot groups of earlier operators
+
+
+def test_mix_spreads_rows_without_id_and_equal_rows(spark):
+    from changelens.llm import mixing
+
+    n = 20_000
+    ids = F.lit(None).cast("long")
+    same = spark.range(n).select(ids.alias("doc_id"), F.lit("one two three four").alias("text"), F.lit("a").alias("source"))
+    alike = spark.range(n).select(ids.alias("doc_id"), F.concat(F.lit("w x y "), F.col("id").cast("string")).alias("text"), F.lit("b").alias("source"))
+    docs = same.union(alike).withColumns({"shard": F.lit("clash"), "copy": F.lit(1), "digest": F.lit("x"), "taken": F.lit(0)})
+    per = mixing.mixed_blocks(docs).groupBy("source", F.shiftright("place", 40).alias("shard")).count().collect()
+    for source in "ab":
+        counts = [r["count"] for r in per if r.source == source]
+        assert len(counts) == mixing.LEAST_SHARDS and max(counts) < 2.5 * sum(counts) / len(counts)
+    taken = lambda d: sorted(tuple(r) for r in mixing.mix(d).groupBy("source", "size", "target", "taken").count().collect())
+    assert taken(docs) == taken(docs.repartition(7))  # however the rows lie
+
+
+def test_hot_phrases_go_to_their_shards_only(spark, monkeypatch):
+    from changelens.llm import repeats, substring_dedup
+
+    from .test_dedup import brute_words, corpus, got
+
+    monkeypatch.setattr(repeats, "HOT", 2)
+    monkeypatch.setattr(substring_dedup, "HOT_LIMIT", 0)
+    monkeypatch.setattr(substring_dedup, "SHARD_CELLS", 1)
+    sent = []
+    plain = substring_dedup._to_holders
+
+    def watched(common, src, bitmap, shards):
+        out = plain(common, src, bitmap, shards)
+        sent.append((out.count(), common.count(), shards))
+        return out
+
+    monkeypatch.setattr(substring_dedup, "_to_holders", watched)
+    rows = corpus(2)
+    assert got(substring_dedup.deduplicate(frame(spark, rows))) == brute_words(rows)
+    rows_sent, phrases, shards = sent[0]
+    assert shards > 100 and 0 < rows_sent < phrases * shards / 4
