@@ -71,32 +71,39 @@ def leaders(records: DataFrame, threshold: float = SAME) -> DataFrame:
     In order of name, a record joins the first group whose first record is the same project, else it starts one.  So the
     first records are the lexicographically first independent set of the links, which is decided in rounds: a record with
     a first record among its smaller neighbours is none; one whose smaller neighbours are all decided, and none of them a
-    first record, is one.  A remote is not made into links between all its records: at most one of them is a first record,
-    and what a round asks of the others is the least name that is not ruled out.  Each round reads and writes tables and
-    decides the least undecided record of each connected part; as names are digests, rounds grow with the logarithm of
-    the number of records.  An empty remote is none.  Names are taken to be unique.
+    first record, is one.
+
+    Records of one remote, or of equal file sets, are not linked pair by pair: at most one of them is a first record, and
+    a round asks of the others only for the least name that is not ruled out.  So file sets are compared once for each
+    different one.  Each round reads and writes tables and decides the least undecided record of each connected part; as
+    names are digests, rounds grow with the logarithm of the number of records.  An empty remote is none.  Names are taken
+    to be unique.
     """
-    links = written(similar_pairs(records, threshold).select("a", "b"))
-    remote = F.when(F.col("remote") != "", F.col("remote"))
-    state = written(records.select("name", remote.alias("remote"), F.lit("?").alias("state")))
-    while True:
-        smaller = state.select(F.col("name").alias("a"), F.col("state").alias("of"))
-        near = links.join(smaller, "a").groupBy(F.col("b").alias("name")).agg(F.max(F.col("of") == "first").alias("led"), F.max(F.col("of") == "?").alias("waits"))
-        open_ = state.where("remote is not null and state <> 'member'").groupBy("remote").agg(F.min("name").alias("least"), F.min(F.when(F.col("state") == "first", F.col("name"))).alias("lead"))
-        both = state.join(near, "name", "left").join(open_, "remote", "left")
-        led = F.coalesce("led", F.lit(False)) | F.coalesce(F.col("lead") < F.col("name"), F.lit(False))
-        waits = F.coalesce("waits", F.lit(False)) | F.coalesce(F.col("least") < F.col("name"), F.lit(False))
-        new = F.when(F.col("state") != "?", F.col("state")).when(led, "member").when(~waits, "first").otherwise("?")
-        state = written(both.select("name", "remote", new.alias("state")))
-        if state.where("state = '?'").isEmpty():
-            break
-    first = state.where("state = 'first'")
-    by_link = links.join(first.select(F.col("name").alias("a")), "a").groupBy(F.col("b").alias("name")).agg(F.min("a").alias("linked"))
-    by_remote = first.where("remote is not null").groupBy("remote").agg(F.min("name").alias("lead"))
-    found = state.join(by_link, "name", "left").join(by_remote, "remote", "left")
-    lead = F.when(F.col("lead") < F.col("name"), F.col("lead"))
-    group = F.when(F.col("state") == "first", F.col("name")).otherwise(F.least("linked", lead))
-    return records.join(found.select("name", group.alias("group_id")), "name")
+    files = F.array_sort(F.array_distinct("fileset"))
+    content = F.when(F.size("fileset") > 0, F.sha2(F.array_join(files, "\x00"), 256))
+    own = records.select("name", F.when(F.col("remote") != "", F.col("remote")).alias("remote"), content.alias("set"), "fileset")
+    sets = own.where("set is not null").groupBy("set").agg(F.first("fileset").alias("fileset"))
+    pairs = similar_pairs(sets, threshold, "set").select("a", "b")
+    links = written(pairs.union(pairs.select("b", "a")))
+    state = written(own.select("name", "remote", "set", F.lit("?").alias("state")))
+
+    def around(state: DataFrame) -> DataFrame:
+        """``state`` with the least first record, and the least not ruled out, among a record's neighbours and itself."""
+        left = state.where("state <> 'member'")
+        mins = [F.min("name").alias("least"), F.min(F.when(F.col("state") == "first", F.col("name"))).alias("lead")]
+        of_set = left.where("set is not null").groupBy("set").agg(*mins)
+        near = links.join(of_set, links["a"] == of_set["set"]).groupBy(F.col("b").alias("set")).agg(F.min("least").alias("least"), F.min("lead").alias("lead"))
+        of_set = of_set.unionByName(near).groupBy("set").agg(F.min("least").alias("set_least"), F.min("lead").alias("set_lead"))
+        of_remote = left.where("remote is not null").groupBy("remote").agg(*mins)
+        both = state.join(of_set, "set", "left").join(of_remote, "remote", "left")
+        return both.select("name", "remote", "set", "state", F.least("set_least", "least").alias("least"), F.least("set_lead", "lead").alias("lead"))
+
+    smaller = lambda c: F.coalesce(F.col(c) < F.col("name"), F.lit(False))
+    while not state.where("state = '?'").isEmpty():
+        new = F.when(F.col("state") != "?", F.col("state")).when(smaller("lead"), "member").when(~smaller("least"), "first").otherwise("?")
+        state = written(around(state).select("name", "remote", "set", new.alias("state")))
+    group = around(state).select("name", F.when(F.col("state") == "first", F.col("name")).otherwise(F.col("lead")).alias("group_id"))
+    return records.join(group, "name")
 
 
 def prune(records: DataFrame, threshold: float = SAME) -> DataFrame:

@@ -166,7 +166,9 @@ EDGES_SQL = """
 e0 AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href, unnest(range(len(regexp_extract_all(html, 'href="([^"]*)"', 1)))) AS pos FROM pages),
 e AS (SELECT concat('p', page_id % 97) AS caller, page_id AS caller_path, concat('p', (page_id * 7 + pos * 13 + length(href)) % 97) AS callee, CAST(pos // 2 + 1 AS INTEGER) AS call_line, CAST(pos AS INTEGER) AS pos FROM e0)"""
 
-URL = """CASE page_id % 3 WHEN 0 THEN concat('https://git.example.com/grp/proj', page_id, '/-/merge_requests/', page_id, '/diffs')
- WHEN 1 THEN concat('https://github.com/o', page_id % 7, '/r/pull/', page_id, '/files') ELSE url END"""
-REMOTE = """CASE page_id % 6 WHEN 0 THEN concat('git@Host.com:Org/R', page_id, '.git') WHEN 1 THEN concat(' https://user@host.com/Org/R', page_id, '.git/')
- WHEN 2 THEN concat('ssh://git@host.com/x', page_id, '/') WHEN 3 THEN concat('HTTP://Host.com/A', page_id, '.git') WHEN 4 THEN concat('git://host.com/a@b', page_id) ELSE url END"""
+#: Review URLs and remotes in several forms from the host and the path of each page's own URL; alike in both languages.
+HOST, PLACE = "split_part(url, '/', 3)", "substr(url, length(split_part(url, '/', 1)) + length(split_part(url, '/', 3)) + 4)"
+URL = f"""CASE page_id % 3 WHEN 0 THEN concat('https://git.example.com/', {HOST}, '/', split_part({PLACE}, '/', 1), '/-/merge_requests/', page_id, '/diffs?from=', {PLACE})
+ WHEN 1 THEN concat('https://github.com/', {HOST}, '/', split_part({PLACE}, '/', 1), '/pull/', page_id, '/files') ELSE url END"""
+REMOTE = f"""CASE page_id % 6 WHEN 0 THEN concat('git@', upper({HOST}), ':', {PLACE}, '.git') WHEN 1 THEN concat(' https://user@', {HOST}, '/', {PLACE}, '.git')
+ WHEN 2 THEN concat('ssh://git@', {HOST}, '/', {PLACE}, '/') WHEN 3 THEN concat('HTTP://', {HOST}, '/', upper({PLACE}), '.git') WHEN 4 THEN concat('git://', {HOST}, '/a@', {PLACE}) ELSE url END"""

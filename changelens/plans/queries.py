@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import code, diff, index, registry, review, search, sections, syntax, tokens, topk
-from ..runtime import table, written
+from ..runtime import shared, table, written
+from ..streaming import index as follow
 from . import braces
 from . import corpora as C
 
@@ -249,15 +251,20 @@ def impact_by_usage(s, d):
     return code.counts(_references(s, d), "usage_type")
 
 
-_SPANS = "sp AS (SELECT doc_id AS path, k AS pos, concat('s', k) AS name, CAST(1 + k * 2 AS INTEGER) AS start_line, CAST(1 + k * 2 + (doc_id + k * 5) % 11 AS INTEGER) AS end_line FROM documents, range(6) AS t(k))"
+#: Spans of a text: all of it, named by its source; each run of lines that are not empty, named by its first word.
+_SPANS = """pl AS (SELECT path, line, text, text = '' AS gap, sum(CASE WHEN text = '' THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) AS part FROM sl0),
+sp AS (SELECT path, part + 1 AS pos, split_part(arg_min(text, line), ' ', 1) AS name, min(line) AS start_line, max(line) AS end_line FROM pl WHERE NOT gap GROUP BY path, part
+ UNION ALL SELECT doc_id, 0, source, 1, len(string_split(coalesce(text, ''), chr(10))) FROM documents)"""
 
 
 @query(f"""WITH {_REFS}, {_SPANS} SELECT rf.symbol, rf.path, CAST(rf.line AS INTEGER) AS line, (SELECT arg_min(name, struct_pack(a := end_line - start_line, b := pos)) FROM sp WHERE sp.path = rf.path AND rf.line BETWEEN start_line AND end_line) AS enclosing_symbol FROM rf""")
 def enclosing_symbol(s, d):
-    k = F.explode(F.sequence(F.lit(0), F.lit(5))).alias("pos")
-    spans = C.documents(s, d).select(F.col("doc_id").alias("path"), k)
-    spans = spans.select("path", "pos", F.concat(F.lit("s"), F.col("pos").cast("string")).alias("name"), (1 + F.col("pos") * 2).alias("start_line"), (1 + F.col("pos") * 2 + (F.col("path") + F.col("pos") * 5) % 11).alias("end_line"))
-    return code.enclosing(_references(s, d), spans).select("symbol", "path", "line", "enclosing_symbol")
+    lines = code.source_lines(C.source_files(s, d))
+    gap = F.col("text") == ""
+    parts = lines.withColumn("pos", F.sum(F.when(gap, 1).otherwise(0)).over(Window.partitionBy("path").orderBy("line")) + 1).where(~gap)
+    parts = parts.groupBy("path", "pos").agg(F.split_part(F.min_by("text", "line"), F.lit(" "), F.lit(1)).alias("name"), F.min("line").alias("start_line"), F.max("line").alias("end_line"))
+    whole = C.documents(s, d).select(F.col("doc_id").alias("path"), F.lit(0).cast("long").alias("pos"), F.col("source").alias("name"), F.lit(1).alias("start_line"), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("end_line"))
+    return code.enclosing(_references(s, d), parts.select(whole.columns).union(whole)).select("symbol", "path", "line", "enclosing_symbol")
 
 
 def _wanted(s, names=("p3", "p10", "p42")):
@@ -296,29 +303,47 @@ def index_apply_delta(s, d):
     return index.apply_delta(old, new, index.delta(old, new))
 
 
-@query(f"WITH {_SNAP} SELECT count(*) FILTER (change <> 'deleted') AS changed_files, count(*) FILTER (change = 'deleted') AS deleted_files FROM dl")
+@query(f"""WITH {_SNAP} SELECT (SELECT count(*) FROM b) AS files, (SELECT count(*) FROM documents) - (SELECT count(*) FROM b) AS skipped,
+ (SELECT count(*) FROM documents WHERE doc_id % 13 <> 0 AND regexp_matches(text, '[^\\s\\p{{Z}}\\x{{0B}}\\x{{1C}}-\\x{{1F}}\\x{{85}}]')) AS chunks,
+ count(*) FILTER (change <> 'deleted') AS changed_files, count(*) FILTER (change = 'deleted') AS deleted_files FROM dl""")
 def index_delta_counts(s, d):
-    return index.delta_counts(index.delta(*C.snapshots(s, d)))
-
-
-@query("""WITH f AS (SELECT doc_id, doc_id % 9 <> 0 AS has_table, doc_id % 8 <> 0 AS has_meta, concat('m', doc_id % 5 // 4) AS meta_model, 'm0' AS model, concat('s', doc_id % 4) AS indexed_sha,
- CASE WHEN doc_id % 3 = 0 THEN concat('s', doc_id % 2) END AS main_sha, CASE WHEN doc_id % 11 <> 0 THEN concat('s', doc_id % 6 // 2) END AS head_sha, doc_id % 2 = 0 AS dirty FROM documents),
- g AS (SELECT *, coalesce(main_sha, head_sha) AS now FROM f), h AS (SELECT *, CASE WHEN NOT has_table THEN 'absent' WHEN NOT has_meta THEN 'unknown' WHEN meta_model <> model THEN 'model_mismatch' WHEN now IS NULL THEN 'unknown'
+    seen, counts = Observation(), {}
+    text, k = F.coalesce("text", F.lit("")), F.col("doc_id")
+    files = C.documents(s, d).observe(seen, F.count(F.lit(1)).alias("met"))
+    files = files.select(k, F.concat(F.lit("d/f"), k.cast("string"), F.lit(".txt")).alias("path"), text.alias("content"))
+    old = files.where(k % 10 != 0).select("path", F.when(k % 7 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content")).alias("content"))
+    place = f"{shared(s)}/{uuid.uuid4().hex}"
+    follow.refresh(s, place, old, 1)
+    follow.refresh(s, place, written(files.where(k % 13 != 0).select("path", "content")), 2, counts=counts)
+    row = (counts["files"], seen.get["met"] - counts["files"], counts["chunks"], counts["changed"], counts["deleted"])
+    return s.createDataFrame([row], "files long, skipped long, chunks long, changed_files long, deleted_files long")
+
+
+#: What a checkout and its index say of themselves, from a digest of each text, its language, source and length.
+_DIGEST = "sha256(coalesce(text, ''))"
+_FACTS = {
+    "has_table": "n_chars % 9 <> 0", "has_meta": "n_chars % 8 <> 0", "meta_model": "coalesce(lang, 'none')", "model": "CASE WHEN n_chars % 4 = 0 THEN 'en' ELSE coalesce(lang, 'none') END",
+    "indexed_sha": "translate(substr({d}, 1, 1), '0123456789abcdef', 'aaaabbbbccccddd')", "main_sha": "CASE WHEN substr({d}, 2, 1) < '6' THEN translate(substr({d}, 3, 1), '0123456789abcdef', 'aaaaaabbbbbbccc') END",
+    "head_sha": "CASE WHEN substr({d}, 4, 1) <> '0' THEN translate(substr({d}, 1, 1), '0123456789abcdef', 'aaaabbbbcccceee') END", "dirty": "substr({d}, 5, 1) < '8'",
+}
+_FACTS_SQL = ", ".join(f"{v.replace('{d}', _DIGEST)} AS {k}" for k, v in _FACTS.items())
+
+
+def _facts(s, d):
+    return C.documents(s, d).select("doc_id", *[F.expr(v.replace("{d}", "sha2(coalesce(text, ''), 256)")).alias(k) for k, v in _FACTS.items()])
+
+
+@query(f"""WITH f AS (SELECT doc_id, {_FACTS_SQL} FROM documents),
+ g AS (SELECT *, coalesce(main_sha, head_sha) AS now FROM f), h AS (SELECT *, CASE WHEN NOT has_table THEN 'absent' WHEN NOT has_meta THEN 'unknown' WHEN meta_model <> model THEN 'model_mismatch' WHEN coalesce(now, '') = '' OR indexed_sha = '' THEN 'unknown'
  WHEN now = indexed_sha AND main_sha IS NULL AND dirty THEN 'stale' WHEN now = indexed_sha THEN 'fresh' ELSE 'stale' END AS state FROM g)
  SELECT doc_id, state, state = 'stale' AND NOT coalesce(now = indexed_sha, false) AS needs_commits_behind FROM h""")
 def index_freshness(s, d):
-    k, t = F.col("doc_id"), lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    facts = C.documents(s, d).select(
-        k, (k % 9 != 0).alias("has_table"), (k % 8 != 0).alias("has_meta"), t("m", F.floor(k % 5 / 4)).alias("meta_model"), F.lit("m0").alias("model"), t("s", k % 4).alias("indexed_sha"),
-        F.when(k % 3 == 0, t("s", k % 2)).alias("main_sha"), F.when(k % 11 != 0, t("s", F.floor(k % 6 / 2))).alias("head_sha"), (k % 2 == 0).alias("dirty"),
-    )
-    return index.freshness(facts).select("doc_id", "state", "needs_commits_behind")
+    return index.freshness(_facts(s, d)).select("doc_id", "state", "needs_commits_behind")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 'mr_head_absent' WHEN doc_id % 4 <> doc_id % 6 THEN 'not_checked_out' ELSE 'on_mr_head' END AS root_state FROM documents""")
+@query(f"""WITH f AS (SELECT doc_id, {_FACTS_SQL} FROM documents) SELECT doc_id, CASE WHEN coalesce(main_sha, '') = '' OR NOT has_table THEN NULL WHEN NOT has_meta THEN 'mr_head_absent' WHEN coalesce(head_sha, '') <> main_sha THEN 'not_checked_out' ELSE 'on_mr_head' END AS root_state FROM f""")
 def root_status(s, d):
-    k = F.col("doc_id")
-    facts = C.documents(s, d).select(k, (k % 7 != 0).alias("is_git"), (k % 4).cast("string").alias("root_sha"), F.when(k % 5 != 0, (k % 6).cast("string")).alias("review_head"), (k % 3 != 0).alias("head_present"))
+    facts = _facts(s, d).select("doc_id", F.col("has_table").alias("is_git"), F.coalesce("head_sha", F.lit("")).alias("root_sha"), F.col("main_sha").alias("review_head"), F.col("has_meta").alias("head_present"))
     return index.root_state(facts).select("doc_id", "root_state")
 
 

@@ -26,19 +26,24 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def written(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """``df`` once computed: a table below ``spark.checkpoint.dir``, which all executors share, read again; in folders ``by``.
-
-    Unlike a cached table it outlives lost executors, so what made it does not run a second time.
-    """
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``, which all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="changelens-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/changelens-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/changelens-{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``df`` once computed: a table below ``spark.checkpoint.dir``, which all executors share, read again; in folders ``by``.
+
+    Unlike a cached table it outlives lost executors, so what made it does not run a second time.
+    """
+    spark = df.sparkSession
+    path = f"{shared(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*(by or [])).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
