@@ -7,7 +7,7 @@ per application; ``drop_all`` removes it once the results have been consumed.
 
 from __future__ import annotations
 
-import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -15,25 +15,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import shared, ship
 from ..runtime import table as read
 
 #: Upper bound of a broadcast bitmap: 2**29 bits are 64 MB.  Beyond it the bitmap only lets more rows through;
 #: every consumer confirms what the bitmap lets through, so results do not depend on its size.
 MAX_BLOOM_BITS = 1 << 29
-#: The paths of each application's work tables, in order.
-_tables: dict[str, list[str]] = {}
+#: The paths of the work tables that each thread of an application has staged, in order: queries that run side by side
+#: in threads of one application keep apart.
+_tables: dict[tuple[str, int], list[str]] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of this application's work tables."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="changelens-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/changelens-{spark.sparkContext.applicationId}"
+def _own(spark: SparkSession) -> list[str]:
+    return _tables.setdefault((spark.sparkContext.applicationId, threading.get_ident()), [])
 
 
 def stage(df: DataFrame, small: bool = False) -> DataFrame:
@@ -44,20 +38,20 @@ def stage(df: DataFrame, small: bool = False) -> DataFrame:
     spark = df.sparkSession
     ship(spark)
     df = df.hint("rebalance") if small else df
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{shared(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _own(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def mark(spark: SparkSession) -> int:
-    """A point in the sequence of this application's work tables."""
-    return len(_tables.get(spark.sparkContext.applicationId, ()))
+    """A point in the sequence of this thread's work tables."""
+    return len(_own(spark))
 
 
 def only_latest(spark: SparkSession, since: int) -> None:
     """Delete the work tables since a ``mark`` but the latest, which needs none of them any more."""
-    own = _tables.get(spark.sparkContext.applicationId, [])
+    own = _own(spark)
     for path in own[since:-1]:
         _delete(spark, path)
     own[since:-1] = []
@@ -65,7 +59,7 @@ def only_latest(spark: SparkSession, since: int) -> None:
 
 def drop_all(spark: SparkSession) -> None:
     """Delete this application's work tables; DataFrames that read them stop working."""
-    _delete(spark, shared_dir(spark))
+    _delete(spark, shared(spark))
 
 
 def _delete(spark: SparkSession, name: str) -> None:

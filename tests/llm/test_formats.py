@@ -239,3 +239,89 @@ def test_hot_phrases_go_to_their_shards_only(spark, monkeypatch):
     assert got(substring_dedup.deduplicate(frame(spark, rows))) == brute_words(rows)
     rows_sent, phrases, shards = sent[0]
     assert shards > 100 and 0 < rows_sent < phrases * shards / 4
+
+
+def test_quality_whole_result_by_brute_force(spark):
+    """Every score of the model again: trigrams in a dictionary, all cosines, neighbours sorted, one text at a time."""
+    from changelens.llm import charvec, quality_knn, seq
+
+    rng = random.Random(11)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(2, 7)))
+    good = [(i, " ".join(word("abcdeé") for _ in range(rng.randrange(5, 30)))) for i in range(60)]
+    bad = [(100 + i, " ".join(word("XYZ#7!") for _ in range(rng.randrange(5, 30)))) for i in range(50)]
+    docs = frame(spark, [*good, *bad, (500, None), (501, ""), (502, "ab"), (503, "abc XYZ! " * 300), (None, good[0][1])])
+    labels = spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad], "doc_id long, quality int")
+    learned = {r.doc_id: (r.text, r.label) for r in quality_knn.labelled(docs, labels).collect()}
+    model = quality_knn.fit(quality_knn.labelled(docs, labels), docs)
+    mask, shift = (1 << 64) - 1, 64 - quality_knn.BITS
+
+    def trigrams(text):
+        codes, out = [48 if 48 <= c <= 57 else c for c in text.encode()], Counter()
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            h = (a * int(seq.STEP[40])) & mask
+            for x in (b, c):
+                h = (h * int(seq.STEP[41]) + x) & mask
+            out[((h * int(seq.STEP[45])) & mask) >> shift] += 1
+        return out
+
+    texts = [r.text for r in docs.collect() if r.text]
+    df = Counter(k for t in texts for k in trigrams(t))
+    idf = lambda k: math.log((1 + len(texts)) / (1 + df[k])) + 0.1
+
+    def latent(text):
+        x = np.zeros(1 << quality_knn.BITS)
+        for k, n in trigrams(text).items():
+            x[k] = math.log1p(n) * idf(k)
+        x = x / max(np.sqrt((x * x).sum()), 1e-12)
+        words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
+        b = text.encode()
+        kinds = [sum(charvec.CLASS[c] == k for c in b) / len(b) for k in (1, 2, 3)]
+        shares = [sum(p == q for p, q in zip(words, words[1:])) / max(1, len(words) - 1), 1 - len(set(words)) / len(words), *kinds]
+        y = np.concatenate([x, 0.7 * np.sqrt(shares)]) @ model["basis"].astype(float)
+        return y / max(np.sqrt((y * y).sum()), 1e-12)
+
+    known = [(latent(t), int(label)) for t, label in learned.values()]
+    assert len(known) == len(model["y"]) and model["prior"] == pytest.approx(sum(y for _, y in known) / len(known))
+    rows = docs.select("doc_id", "text").collect()
+    scores = {r.doc_id: r for r in quality_knn.score(docs, model).collect()}
+    assert len(rows) == len(scores)
+    tied = 0
+    for doc_id, text in rows:
+        if not text:
+            want = model["prior"]
+        else:
+            v = latent(text)
+            near = sorted(((float(v @ k), y) for k, y in known), reverse=True)
+            if near[quality_knn.NEIGHBOURS - 1][0] - near[quality_knn.NEIGHBOURS][0] < 1e-5:
+                tied += 1  # which of equal neighbours votes is open
+                continue
+            near = near[: quality_knn.NEIGHBOURS]
+            weight = [max(c, 0.0) ** 4 + 1e-9 for c, _ in near]
+            want = sum(w * y for w, (_, y) in zip(weight, near)) / sum(weight)
+        assert scores[doc_id].score == pytest.approx(want, abs=2e-4) and scores[doc_id].predicted == int(scores[doc_id].score >= 0.5)
+    assert tied < 10
+
+
+def test_work_tables_of_two_runs_at_a_time(spark):
+    import threading
+
+    from changelens.llm import work
+
+    at, seen = threading.Barrier(2, timeout=120), {}
+
+    def run(name):
+        since = work.mark(spark)
+        first = work.stage(spark.range(5))
+        at.wait()  # both have staged
+        last = work.stage(spark.range(7))
+        at.wait()
+        work.only_latest(spark, since)
+        at.wait()
+        seen[name] = (last.count(), len(work._own(spark)) - since, first.inputFiles()[0])
+
+    threads = [threading.Thread(target=run, args=(n,)) for n in "ab"]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert {n: x[:2] for n, x in seen.items()} == {"a": (7, 1), "b": (7, 1)}
+    for _, _, path in seen.values():  # only their own earlier tables went
+        assert not spark._jvm.java.io.File(path.removeprefix("file:").replace("///", "/")).exists()
