@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import code, diff, index, registry, review, search, sections, syntax
 from .runtime import written
-from .sources import embeddings, repository, sinks
+from .sources import embeddings, posting, repository, sinks
 from .streaming.index import latest, part_paths, refresh, vacuum, versions
 
 
@@ -233,11 +233,15 @@ def verify_review(threads: DataFrame, files: DataFrame, window: int = review.WIN
     return own, near, review.verify_summary(own, near)
 
 
-def post_comments(drafts: DataFrame, connect, max_comments: int = review.MAX_COMMENTS, scrub=str) -> tuple[DataFrame, DataFrame]:
-    """(outcomes, summary); reviews whose batch is refused post nothing and come with the error in the summary."""
+def post_comments(drafts: DataFrame, connect, max_comments: int = review.MAX_COMMENTS, scrub=str, ledger: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, summary); reviews whose batch is refused post nothing and come with the error in the summary.
+
+    With a ``ledger`` (see ``sources.posting``) a draft is posted once, whatever runs again; without one that is up to what
+    ``connect`` gives.
+    """
     errors = review.batch_error(drafts, max_comments)
     ok = drafts.join(errors.where("error is null").select("review_id"), "review_id", "left_semi")
-    outcomes = written(sinks.post_comments(ok, connect, scrub))  # posted once, read twice
+    outcomes = posting.post_once(ok, connect, ledger, scrub) if ledger else written(sinks.post_comments(ok, connect, scrub))  # posted once, read twice
     return outcomes, errors.join(sinks.post_summary(outcomes), "review_id", "left")
 
 

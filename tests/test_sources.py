@@ -70,3 +70,43 @@ def test_next_step_and_gates(spark):
     assert got[0].next is None and not got[0].auto_index and got[1].next and got[1].auto_index
     row = spark.range(1).select(index.is_incremental(F.lit(False), F.lit(True), F.lit("m"), F.lit("m"), F.lit("f")), index.is_incremental(F.lit(False), F.lit(True), F.lit(None).cast("string"), F.lit("m"), F.lit("f"))).first()
     assert tuple(row) == (True, False)
+
+
+def test_a_killed_and_repeated_task_posts_once(spark, tmp_path):
+    from changelens import api
+
+    log, fuse = tmp_path / "posts", tmp_path / "fuse"
+    fuse.write_text("x")
+
+    def connect():
+        def post(draft):
+            import os
+
+            if draft["body"] == "bad":
+                raise ValueError("refused with a secret")
+            with open(log, "a") as f:
+                f.write(f"{draft['review_id']} {draft['ord']}\n")
+            if draft["body"] == "kill" and fuse.exists():
+                fuse.unlink()
+            elif draft["body"] == "last" and not (tmp_path / "again").exists():
+                os._exit(1)  # the worker dies before it posts the last of the review
+        return post
+
+    schema = "review_id string, ord int, file_path string, body string, new_line int, old_line int, old_path string"
+    rows = [("r", 0, "f", "one", 1, None, None), ("r", 1, "f", "kill", 2, None, None), ("r", 2, "f", "bad", 3, None, None), ("r", 3, "f", "one", 1, None, None), ("q", 0, "f", "x", None, 4, None), ("q", 1, "", "none", 1, None, None)]
+    last = ("r", 4, "f", "last", 9, None, None)
+    drafts = spark.createDataFrame([*rows[:5], last], schema)
+    ledger = str(tmp_path / "ledger")
+    scrub = lambda m: m.replace("secret", "***")
+    with pytest.raises(Exception):
+        api.post_comments(drafts, connect, scrub=scrub, ledger=ledger)[0].collect()
+    (tmp_path / "again").write_text("x")
+    outcomes, summary = api.post_comments(drafts, connect, scrub=scrub, ledger=ledger)
+    got = {(o.review_id, o.ord): (o.status, o.error) for o in outcomes.collect()}
+    assert got == {("r", 0): ("posted", None), ("r", 1): ("posted", None), ("r", 2): ("failed", "refused with a ***"), ("r", 4): ("posted", None), ("q", 0): ("posted", None)}
+    posts = log.read_text().split("\n")[:-1]
+    assert sorted(set(posts)) == ["q 0", "r 0", "r 1", "r 4"] and posts.count("r 0") == posts.count("r 1") == posts.count("q 0") == 1
+    assert posts.count("r 4") == 2  # died between the call and the ledger, the one gap that is stated
+    api.post_comments(drafts, connect, scrub=scrub, ledger=ledger)
+    assert log.read_text().split("\n")[:-1] == posts
+    assert {s.review_id: (s.posted, s.failed) for s in summary.collect()} == {"r": (3, 1), "q": (1, 0)}
