@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .prefix import running
 
 FILE = ["review_id", "file_ord", "file_path"]
 #: The headers of hunks in the unified diff format, and what stands after them.
 HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 HINT = r"^@@ [^@]+ @@ ?(.+)$"
 MAX_CHARS = 80_000
+#: Files of a review that are summed up together.
+BLOCK = 4096
 
 
 def measured(files: DataFrame) -> DataFrame:
@@ -79,10 +82,8 @@ def budget(files: DataFrame, max_chars: int = MAX_CHARS, skip_noise: bool = True
     skipped even after that point.
     """
     noise = (~F.col("reviewable")) & F.lit(skip_noise)
-    order = Window.partitionBy("review_id").orderBy("file_ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    used = F.sum(F.when(~noise, F.col(cost)).otherwise(0)).over(order)
-    rank = F.count(F.when(~noise, 1)).over(order)
-    out = files.withColumns({"used_chars": used, "rank": rank})
+    sums = {"used_chars": F.when(~noise, F.col(cost)).otherwise(0), "rank": F.when(~noise, 1).otherwise(0)}
+    out = running(files, "review_id", F.floor(F.col("file_ord") / BLOCK), ["file_ord"], sums)
     status = F.when(noise, "skipped").when((F.col("rank") == 1) | (F.col("used_chars") <= max_chars), "returned").otherwise("omitted")
     return out.withColumn("status", status).drop("rank")
 
@@ -129,14 +130,21 @@ def hunk_heads(files: DataFrame) -> DataFrame:
 def entry_costs(files: DataFrame, lines: DataFrame) -> DataFrame:
     """(FILE columns, cost): characters of each measured file's entry as JSON, its hunks and their lines included."""
     per_line = lines.groupBy(*FILE).agg(F.count(F.lit(1)).alias("n"), F.sum(line_cost()).alias("chars"), F.count_distinct("hunk_no").alias("full"))
-    numbers = [json_plain(F.col(c)) for c in ("old_start", "old_lines", "new_start", "new_lines")]
-    hunk = json_object("old_start", "old_lines", "new_start", "new_lines", "lines") + 2 + sum(numbers[1:], numbers[0])
-    per_hunk = hunk_heads(files).groupBy(*FILE).agg(F.count(F.lit(1)).alias("hunks"), F.sum(hunk).alias("heads"))
-    both = files.join(per_hunk, FILE, "left").join(per_line, FILE, "left").fillna(0, ["n", "chars", "full", "hunks", "heads"])
+
+    def head_cost(raw):
+        """Characters of a hunk's entry without its lines, from its header."""
+        part = lambda k: F.regexp_extract(raw, HEADER, k).try_cast("int")
+        numbers = [part(1), F.coalesce(part(2), F.lit(1)), part(3), F.coalesce(part(4), F.lit(1))]
+        return json_object("old_start", "old_lines", "new_start", "new_lines", "lines") + 2 + sum(map(json_plain, numbers[1:]), json_plain(numbers[0]))
+
+    heads = F.filter(T.split_lines(F.coalesce("patch", F.lit(""))), lambda x: x.rlike(HEADER))
+    own = files.withColumn("costs", F.transform(heads, head_cost)).drop("patch")
+    own = own.withColumns({"hunks": F.size("costs"), "heads": F.aggregate("costs", F.lit(0), lambda a, x: a + x)})
+    both = own.join(per_line, FILE, "left").fillna(0, ["n", "chars", "full"])
     hunks = json_array(F.col("hunks"), F.col("heads") + F.col("chars") + 2 * (F.col("n") - F.col("full")))
     flags = ["new_file", "deleted_file", "renamed_file", "additions", "deletions"]
-    own = json_object("file_path", "old_path", *flags, "hunks") + json_string(F.col("file_path")) + json_string(F.col("old_path")) + sum((json_plain(F.col(c)) for c in flags), F.lit(0))
-    return both.select(*FILE, (own + hunks).cast("long").alias("cost"))
+    entry = json_object("file_path", "old_path", *flags, "hunks") + json_string(F.col("file_path")) + json_string(F.col("old_path")) + sum((json_plain(F.col(c)) for c in flags), F.lit(0))
+    return both.select(*FILE, (entry + hunks).cast("long").alias("cost"))
 
 
 def section_costs(files: DataFrame, sections: DataFrame) -> DataFrame:

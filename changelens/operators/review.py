@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..runtime import written
+from .prefix import running
 
 WINDOW_LINES, PREVIEW, KEY_CHARS, MAX_COMMENTS = 40, 150, 200, 25
+#: Changed lines from which ranges of them make a block of the manifest; files of a block below.
+LARGE, RUN = 4096, 1 << 16
 #: Characters at the end of a path that are joined on.
 SUFFIX = 6
 
@@ -29,9 +32,16 @@ def manifest_stats(files: DataFrame) -> DataFrame:
 
 
 def manifest_order(files: DataFrame) -> DataFrame:
-    """Measured files with their place in the manifest: reviewable first, most changed lines first, then as given."""
-    order = Window.partitionBy("review_id").orderBy(F.desc("reviewable"), F.desc(F.col("additions") + F.col("deletions")), "file_ord")
-    return files.withColumn("place", F.row_number().over(order))
+    """Measured files with their place in the manifest: reviewable first, most changed lines first, then as given.
+
+    Blocks are numbers of changed lines, ranges of them from LARGE on; below, where very many files may agree, also runs
+    of RUN files.
+    """
+    noise, changed = (~F.col("reviewable")).cast("int"), F.col("additions") + F.col("deletions")
+    size = F.when(changed < LARGE, changed).otherwise(LARGE + F.floor(F.log2(changed / LARGE) * 16)).cast("int")
+    block = F.struct(noise.alias("noise"), (-size).alias("size"), F.when(changed < LARGE, F.floor(F.col("file_ord") / RUN)).otherwise(F.lit(0).cast("long")).alias("run"))
+    out = running(files, "review_id", block, [noise, F.desc(changed), "file_ord"], {"place": F.lit(1)})
+    return out.withColumn("place", F.col("place").cast("int"))
 
 
 def reply_threads(comments: DataFrame) -> DataFrame:

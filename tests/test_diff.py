@@ -133,3 +133,35 @@ def test_costs_are_the_length_of_the_entry(spark):
         some = [{c: x[c] for c in ("symbol", "symbol_type", "start_line", "end_line")} | {"changes": [line(y) for y in x.changes]} for x in sorted(found.collect(), key=lambda x: x.section_no) if x.file_ord == k]
         entry = {"file_path": r.file_path, "language": language[k]} | {c: r[c] for c in ("new_file", "deleted_file", "additions", "deletions")} | {"sections": some}
         assert got[k] == len(json.dumps(entry))
+
+
+def test_budget_and_order_of_a_huge_review(spark):
+    import numpy as np
+    from changelens.operators import review
+    from pyspark.sql import functions as F
+
+    n = 200_000
+    k = F.col("id")
+    rows = spark.range(n, numPartitions=8).select(
+        F.when(k < n - 10, "r").alias("review_id"), k.alias("file_ord"), F.concat(F.lit("f"), k.cast("string")).alias("file_path"), (k % 7 != 0).alias("reviewable"),
+        F.when(k % 5 == 0, 1).otherwise((k * 7919) % 9001).cast("int").alias("additions"), (k % 3).cast("int").alias("deletions"), (k % 11 + 1).alias("cost"),
+    )
+    got = diff.budget(rows, 500_000).select("review_id", "file_ord", "used_chars", "status").toPandas().sort_values("file_ord")
+    ids = np.arange(n)
+    cost = np.where(ids % 7 != 0, ids % 11 + 1, 0)
+    used = np.concatenate((np.cumsum(cost[: n - 10]), np.cumsum(cost[n - 10 :])))  # the rest is a review without id
+    assert (got["used_chars"].to_numpy() == used).all()
+    want = np.where(ids % 7 == 0, "skipped", np.where(used <= 500_000, "returned", "omitted"))
+    assert (got["status"].to_numpy() == want).all()
+    out = review.manifest_order(rows)
+    placed = out.select("review_id", "file_ord", "place").toPandas().sort_values("file_ord")["place"].to_numpy()
+    changed = np.where(ids % 5 == 0, 1, (ids * 7919) % 9001) + ids % 3
+    for part in (slice(0, n - 10), slice(n - 10, n)):
+        order = sorted(ids[part].tolist(), key=lambda i: (i % 7 == 0, -changed[i], i))
+        want = np.empty(len(order), int)
+        want[np.array(order) - ids[part][0]] = np.arange(1, len(order) + 1)
+        assert (placed[part] == want).all()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spread = out.groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spread) > 1 and max(r["count"] for r in spread) < 0.6 * n  # one review in several tasks
