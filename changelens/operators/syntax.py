@@ -142,6 +142,11 @@ def python_usage(tree: ast.AST, line: int, symbol: str) -> str:
     return visit(tree) or "reference"
 
 
+def _languages(files: DataFrame) -> set[str]:
+    """The languages of files, from their paths alone; those that are not there need no plan."""
+    return {r[0] for r in files.select(T.language(F.col("path"))).distinct().collect()}
+
+
 def usages(files: DataFrame, hits: DataFrame) -> DataFrame:
     """(path, line, symbol, usage): how lines of Python files that parse, and of brace languages, use symbols, by syntax.
 
@@ -164,6 +169,8 @@ def usages(files: DataFrame, hits: DataFrame) -> DataFrame:
     per = hits.groupBy("path").agg(F.collect_list(F.struct("line", "symbol")).alias("wanted"))
     own = files.where(T.language(F.col("path")) == "python").select("path", "content").join(per, "path")
     by_tree = own.mapInPandas(run, "path string, line int, symbol string, usage string")
+    if not _languages(files) & set(tokens.LANGUAGES):
+        return by_tree
     found, declared = parsed(files)
     by_token = tokens.usages(found, declared, hits.select("symbol")).drop("enclosing_symbol")
     return by_tree.unionByName(by_token.join(hits.select("path", "line", "symbol"), ["path", "line", "symbol"], "left_semi"))
@@ -186,8 +193,10 @@ def chunks(files: DataFrame) -> DataFrame:
 
     ship(files.sparkSession)
     own = files.select("path", T.language(F.col("path")).alias("language"), "content").where(T.strip(F.col("content")) != "")
-    others = own.where(~F.coalesce(F.col("language").isin(*tokens.LANGUAGES), F.lit(False)))
-    return others.mapInPandas(run, CHUNK).unionByName(tokens.chunks(files))
+    others, known = own.where(~F.coalesce(F.col("language").isin(*tokens.LANGUAGES), F.lit(False))).mapInPandas(run, CHUNK), _languages(files)
+    if not known & set(tokens.LANGUAGES):
+        return others
+    return others.unionByName(tokens.chunks(files)) if known - set(tokens.LANGUAGES) else tokens.chunks(files)
 
 
 def syntax(files: DataFrame, call_name: str = "last", most: int | None = MAX_BYTES) -> DataFrame:
@@ -216,6 +225,8 @@ def syntax(files: DataFrame, call_name: str = "last", most: int | None = MAX_BYT
     ship(files.sparkSession)
     own = (files if most is None else files.where(F.octet_length("content") <= most)).select("path", T.language(F.col("path")).alias("language"), "content").where("language is not null")
     by_tree = own.where("language = 'python'").select("path", "content").mapInPandas(run, SYNTAX)
+    if not _languages(own) & set(tokens.LANGUAGES):
+        return by_tree
     braces = own.where("language <> 'python'").select("path", "content")
     found, declared = parsed(braces)
     no = lambda kind="string": F.lit(None).cast(kind)
