@@ -131,7 +131,7 @@ def match_paths(threads: DataFrame, files: DataFrame) -> DataFrame:
     """
     paths = threads.where("located").select("review_id", F.col("file_path").alias("thread_path")).distinct()
     own = files.where("patch <> ''").select("review_id", "file_ord", "file_path")
-    both = _ending_alike(paths, own)
+    both = written(_ending_alike(paths, own))  # few, and read three times
     sure = both.where(F.endswith("file_path", "thread_path"))  # such a file contains a thread's path
     rest = both.where(~F.endswith("file_path", "thread_path"))
     both = sure.unionByName(rest.join(_containing(rest.select(own.columns).distinct(), paths), ["review_id", "file_ord"], "left_semi").select(sure.columns))
