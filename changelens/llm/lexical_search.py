@@ -36,6 +36,8 @@ TERM = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 IN_TERM = np.array([TERM.fullmatch(bytes([c])) is not None for c in range(256)])
 #: Bytes of text and documents of a shard; bytes of a text that are looked at together.
 SHARD_BYTES, SHARD_DOCS, PART = 1 << 23, 1 << 14, 1 << 20
+#: Shards of a file, as many as a reader holds at once.
+FILE_SHARDS = 4
 #: Items and different terms that are sent at once; groups in which the tasks' best are merged first.
 BLOCK, BLOCK_TERMS, SALT = 1024, 1 << 18, 64
 #: Constants of the impact: scale, and the fixed and length-dependent shares of the damping in hundredths and tenths.
@@ -142,7 +144,7 @@ def build(docs: DataFrame, shard_docs: int = SHARD_DOCS) -> Index:
     """The index of documents (doc_id, text), written to the shared folder; a shard has at most ``shard_docs`` of them."""
     n, words = totals(docs)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return Index(work.stage(src.mapInArrow(_index(n, words, shard_docs), SHARDS)), n)
+    return Index(work.stage(src.mapInArrow(_index(n, words, shard_docs), SHARDS), rows=FILE_SHARDS), n)
 
 
 def _blocks(items: DataFrame, most: int):

@@ -30,16 +30,17 @@ def _own(spark: SparkSession) -> list[str]:
     return _tables.setdefault((spark.sparkContext.applicationId, threading.get_ident()), [])
 
 
-def stage(df: DataFrame, small: bool = False) -> DataFrame:
+def stage(df: DataFrame, small: bool = False, rows: int = 0) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written.
 
     ``small``: of a table much smaller than what it is made from, few files are written; its rows are dealt anew.
+    ``rows``: most rows of a file, for rows of megabytes: the reader fills its columns with thousands of one file's rows at once.
     """
     spark = df.sparkSession
     ship(spark)
     df = df.hint("rebalance") if small else df
     path = f"{shared(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(path)
     _own(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -62,6 +62,13 @@ def test_search_by_brute_force(spark, shard, block):
     assert index.n == len([1 for _, t in rows if t and re.search(r"[0-9A-Za-zéΔ]", t)])
 
 
+def test_index_files_hold_few_shards(spark):
+    docs = frame(spark, [(d, t) for d, t in corpus()]).coalesce(1)
+    shards = lexical_search.build(docs, 2).shards
+    per = shards.groupBy(F.input_file_name()).count().collect()
+    assert shards.count() > lexical_search.FILE_SHARDS and max(r["count"] for r in per) <= lexical_search.FILE_SHARDS
+
+
 def test_search_of_nothing(spark):
     docs, items = frame(spark, corpus()[:5]), spark.createDataFrame(ITEMS[:2], "item_id long, text string")
     assert lexical_search.search(lexical_search.build(docs.where("doc_id < 0")), items).collect() == []
