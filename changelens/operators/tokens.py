@@ -30,6 +30,8 @@ LANGUAGES = ("java", "kotlin", "javascript", "typescript", "go", "rust")
 BY_LINE = ("javascript", "typescript", "go", "kotlin")
 #: Tokens of a statement that are looked at for a declaration; most characters of a chunk.
 HEAD, MAX_CHUNK = 64, 4000
+#: Characters of the files of a partition: some million tokens, which a task sorts in memory.
+PART = 1 << 22
 SPACE = r"[ \t\n\x0B\f\r]+"
 LETTER, MORE = r"[^\x00-\x23\x25-\x40\x5B-\x5E\x60\x7B-\x7F]", r"[^\x00-\x23\x25-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]"
 WORD, NUMBER = f"{LETTER}{MORE}*", r"[0-9][0-9A-Za-z_.]*"
@@ -110,19 +112,31 @@ DECLARATIONS = [
 HOLDERS = ("class", "interface", "trait", "enum")
 
 
-def by_path(files: DataFrame) -> DataFrame:
-    """(path, language, content) of files of brace languages, dealt by path; the only exchange of whole texts."""
+def deal(rows: DataFrame, size: Column) -> DataFrame:
+    """``rows`` dealt by path into partitions of some PART characters; ``size``: the characters of a row's file.
+
+    The number of partitions is fixed: joined by their bytes, files would make partitions of a hundred times as many bytes of tokens.
+    """
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    return rows.repartition(max(1, -(-total // PART)), "path")
+
+
+def by_path(files: DataFrame, dealt: bool = False) -> DataFrame:
+    """(path, language, content) of files of brace languages, dealt by path unless they are; the only exchange of whole texts."""
     own = files.select("path", T.language(F.col("path")).alias("language"), F.coalesce("content", F.lit("")).alias("content"))
-    return own.where(F.col("language").isin(*LANGUAGES)).repartition("path")
+    own = own.where(F.col("language").isin(*LANGUAGES))
+    return own if dealt else deal(own, F.length("content"))
 
 
-def tokens(files: DataFrame) -> DataFrame:
+def tokens(files: DataFrame, dealt: bool = False) -> DataFrame:
     """(path, language, pos, text, line, end_line, level, scope): the tokens of files (path, content) but comments and spaces.
 
+    ``dealt``: the files have been dealt by path.
+
     ``text`` of a string is two quotes.  ``level`` is the depth of the scope that the token stands in, brackets themselves
     outside of what they hold; ``scope`` is the place of the bracket that opened it, null for the file.
     """
-    own = by_path(files)
+    own = by_path(files, dealt)
     cut = F.lit(None).cast("array<string>")
     for name in LANGUAGES:
         cut = F.when(F.col("language") == name, F.regexp_extract_all("content", F.lit(pattern(name)), F.lit(0))).otherwise(cut)
@@ -163,15 +177,22 @@ def statements(tokens: DataFrame) -> DataFrame:
     return rows.select("path", "language", "pos", "text", "line", "end_line", "level", "scope", "item", "next", "next_pos", "b1", "b2", "b3", "b4")
 
 
-def items(statements: DataFrame) -> DataFrame:
+def asked(*symbols: str) -> Column:
+    """The tokens of ``statements`` that calls, and usages of ``symbols``, are found by."""
+    return (F.col("text") == "(") | F.coalesce(F.col("next") == "(", F.lit(False)) | F.col("text").isin(*symbols)
+
+
+def items(statements: DataFrame, keep: Column | None = None) -> DataFrame:
     """The statements: path, language, level, scope, item, first and last place, lines, body (the first brace's place), head, words.
 
-    ``last`` is null, and the last line that of the last token, where a bracket stays open.
+    ``last`` is null, and the last line that of the last token, where a bracket stays open.  ``keep``: tokens that each
+    statement is to hold, in a column ``kept``; ``kept`` gives them as rows.
     """
+    hold = [F.collect_list(F.when(keep, F.struct("pos", "text", "line", "next", "next_pos", "b1", "b2", "b3", "b4"))).alias("kept")] if keep is not None else []
     per = statements.groupBy("path", "language", "level", "scope", "item").agg(
         F.min("pos").alias("first"), F.max("pos").alias("last"), F.max_by("text", "pos").alias("final"), F.min("line").alias("start_line"), F.max("end_line").alias("end_line"),
         F.min(F.when(F.col("text") == "{", F.col("pos"))).alias("body"), F.min(F.when(F.col("text").isin("=", ";", "=>", ":="), F.col("pos"))).alias("cut"),
-        F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("all"),
+        F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("all"), *hold,
     )
     upto = F.least(F.coalesce("body", F.lit(2**31 - 1)), F.coalesce("cut", F.lit(2**31 - 1)))
     words = F.filter(F.slice("all", 1, HEAD), lambda x: (x["pos"] < upto) | ((x["pos"] == upto) & (x["text"] == "{")))
@@ -183,6 +204,11 @@ def items(statements: DataFrame) -> DataFrame:
     return per.drop("final", "all_lines")
 
 
+def kept(items: DataFrame) -> DataFrame:
+    """The tokens that ``items`` hold, with the columns of ``statements`` that calls and usages need."""
+    return items.select("path", "language", "level", "scope", F.explode("kept").alias("t")).select("path", "language", "level", "scope", "t.*")
+
+
 def declared(items: DataFrame) -> DataFrame:
     """``items`` with name, its place and kind of what they declare, null for those that declare nothing; ``held``: in such a body.
 
@@ -228,15 +254,16 @@ def _pieces(lines: Column, first: Column, last: Column) -> Column:
     return F.arrays_zip(F.concat(F.array(first.cast("int")), cuts).alias("a"), F.concat(F.transform(cuts, lambda x: x - 1), F.array(last.cast("int"))).alias("b"))
 
 
-def chunks(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
+def chunks(files: DataFrame, found: DataFrame | None = None, dealt: bool = False) -> DataFrame:
     """Chunks of brace languages' files: path, symbol, symbol_type, start_line, end_line, text.
 
     A top declaration is one chunk if it is small enough; else its head and its members; else pieces; so are imports of
     Java and other statements of JS and TS.  Lines outside of them that are not blank make one preamble, unless it is too
     long.  A file without any is one chunk; one of white space none.
     """
-    found = declared(items(statements(tokens(files)))) if found is None else found
-    own = by_path(files).where(F.regexp_replace("content", SPACE, "") != "").select("path", F.split("content", "\n", -1).alias("lines"))
+    files, dealt = by_path(files, dealt).select("path", "content"), True  # once
+    found = declared(items(statements(tokens(files, dealt)))) if found is None else found
+    own = by_path(files, dealt).select("path", (F.regexp_replace("content", SPACE, "") != "").alias("any"), F.split("content", "\n", -1).alias("lines"))
     statement = F.col("language").isin("javascript", "typescript") & ~F.col("first_word").isin(*NO_MEMBER) | ((F.col("language") == "java") & (F.col("first_word") == "import"))
     top = F.col("scope").isNull() & (F.col("level") == 0) & (F.col("name").isNotNull() | statement)
     kept = found.withColumn("top", top).where(F.col("top") | (F.col("held") & F.col("name").isNotNull()))
@@ -266,7 +293,7 @@ def chunks(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
     preamble = F.array(F.struct(none, F.lit("preamble").alias("symbol_type"), F.array_min("rest").alias("start_line"), F.array_max("rest").alias("end_line"), F.col("body").alias("text")))
     file = F.array(F.struct(none, F.lit("file").alias("symbol_type"), F.lit(1).alias("start_line"), F.size("lines").alias("end_line"), F.array_join("lines", "\n").alias("text")))
     every = F.when(F.size("found") == 0, file).when((F.size("rest") > 0) & (F.length("body") <= MAX_CHUNK), F.concat("by_symbol", preamble)).otherwise(F.col("by_symbol"))
-    return both.select("path", F.inline(every))
+    return both.where("any").select("path", F.inline(every))
 
 
 def _calls(statements: DataFrame, declared: DataFrame) -> DataFrame:

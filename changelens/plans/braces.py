@@ -24,7 +24,7 @@ SYMBOLS = ("x", "h", "run", "the", "B", "erth", "value", "a")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content): of each document a file that holds its text three times: commented, as code, and in a block comment.
+    """(path, content): of each document a file that holds its text three times: commented, as code, and in a block comment; dealt by path.
 
     Brackets and quotes stand in comments and strings, each 17th file leaves a brace open.
     """
@@ -36,7 +36,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("/* { "), text, F.lit(" */\n"), by(TYPE), F.lit(" {\n  "), by(MEMBER), F.lit(" {\n    return f_"), k, F.lit("(x.a(1));\n  }\n}\n"), text,
     )
     docs = C.documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), ext.alias("ext"))
-    return docs.select(F.concat(F.lit("d/f"), k, F.lit("."), F.col("ext")).alias("path"), content.alias("content"))
+    docs = docs.select("*", F.concat(F.lit("d/f"), k, F.lit("."), F.col("ext")).alias("path"))
+    return K.deal(docs, 3 * F.length("text")).select("path", content.alias("content"))  # the texts move, not the files made of them
 
 
 def _quoted(text: str) -> str:

@@ -117,3 +117,24 @@ def test_plans_hold_no_python(spark, name, tmp_path):
     want = con.execute(f"SELECT {', '.join(columns)} FROM ({Q.SQL[name]})").fetchall()
     assert sorted(map(repr, map(tuple, df.select(*columns).collect()))) == sorted(map(repr, want)) and want
     assert braces.EXTENSIONS
+
+
+def test_partitions_follow_the_size_of_the_files(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "PART", 1000)
+    files = frame(spark, *[(f"f{i}.java", JAVA) for i in range(40)])
+    own = tokens.by_path(files)
+    assert own.rdd.getNumPartitions() == -(-40 * len(JAVA) // 1000)  # nor are they joined by the bytes that move
+    assert tokens.by_path(own.select("path", "content"), dealt=True)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_calls_and_usages_from_the_tokens_kept(spark):
+    files = frame(spark, ("K.java", JAVA), ("s.rs", RUST), ("x.kt", KOTLIN), ("a.go", GO), ("a.ts", TS))
+    every = tokens.statements(tokens.tokens(files))
+    want = tokens.declared(tokens.items(every))
+    found = tokens.declared(tokens.items(every, tokens.asked("x", "a")))
+    some, own = tokens.kept(found), found.drop("kept")
+    assert some.count() < every.count() / 2
+    symbols = spark.createDataFrame([("x",), ("a",)], "symbol string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(tokens.call_edges(some, own)) == rows(tokens.call_edges(every, want)) != []
+    assert rows(tokens.usages(some, own, symbols)) == rows(tokens.usages(every, want, symbols)) != []
