@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -21,14 +21,15 @@ from ..runtime import put, written
 SNAPSHOT = "snapshot long, path string, content string"
 #: Buckets of a new index.  An index keeps its number; one of very many files should begin with more.
 BUCKETS = 64
+#: Characters of chunks of a partition, and so of its postings, which are sorted in memory.
+PART = 1 << 23
 PARTS = ("chunks", "postings", "files")
 
 
 def chunked(files: DataFrame, embed=None) -> DataFrame:
-    """The chunk rows of files (path, content, hash), with a ``chunk_id`` and, by ``embed(rows)``, their vectors."""
-    rows = syntax.chunks(files).join(files.select("path", "hash"), "path")
+    """The chunk rows of files (path, content), with a ``chunk_id`` and, by ``embed(rows)``, their vectors."""
     place = F.concat_ws(":", "path", F.col("start_line").cast("string"), F.col("end_line").cast("string"), "symbol")
-    rows = rows.withColumn("chunk_id", F.sha2(place, 256))
+    rows = syntax.chunks(files).withColumn("chunk_id", F.sha2(place, 256))
     return embed(rows) if embed is not None else rows
 
 
@@ -43,54 +44,80 @@ def refresh(spark: SparkSession, table: str, snapshot: DataFrame, version: int,
     ``counts`` is filled with files, changed, deleted and chunks, observed in the passes that write.
     """
     content = F.coalesce("content", F.lit(""))
-    now = snapshot.select("path", content.alias("content"), F.sha2(content, 256).alias("hash"))
+    now = snapshot.select("path", content.alias("content"), F.sha2(content, 256).alias("hash"), F.length(content).cast("long").alias("size"))
     old = manifest(spark, table, before=version)
     if not incremental or old is None:
         old = {"buckets": old["buckets"] if old else buckets, "rows": 0, "schemas": {}, **{p: {} for p in PARTS}}
     n, at = old["buckets"], lambda part, some=None: _read(spark, table, old, part, some)
     files = at("files")
     before = files.select("path", F.col("hash").alias("old"), "chunks") if files is not None else spark.createDataFrame([], "path string, old string, chunks long")
-    both = before.join(now.select("path", F.col("hash").alias("new")), "path", "full")
+    both = before.join(now.select("path", F.col("hash").alias("new"), "size"), "path", "full")
     change = F.when(F.col("new").isNull(), "deleted").when(F.col("old").isNull(), "added").when(F.col("old") != F.col("new"), "changed")
     seen, wrote = Observation(), Observation()
-    gone = F.col("change").isin("deleted", "changed")
+    gone, came = F.col("change").isin("deleted", "changed"), F.col("change").isin("added", "changed")
     both = both.withColumn("change", change).observe(
-        seen, F.count("new").alias("files"), F.count_if(F.col("change").isin("added", "changed")).alias("changed"), F.count_if(F.col("change") == "deleted").alias("deleted"), F.coalesce(F.sum(F.when(gone, F.col("chunks"))), F.lit(0)).alias("removed")
-    )
-    changes = written(both.where("change is not null").select("path", "change", bucket("path", n).alias("bucket")))
+        seen, F.count("new").alias("files"), F.count_if(came).alias("changed"), F.count_if(F.col("change") == "deleted").alias("deleted"), F.coalesce(F.sum(F.when(gone, F.col("chunks"))), F.lit(0)).alias("removed"),
+        F.coalesce(F.sum(F.when(came, F.col("size"))), F.lit(0)).alias("size"),
+    )
+    changes = written(both.where("change is not null").select("path", "change", F.col("new").alias("hash"), bucket("path", n).alias("bucket")))
     some = sorted(r[0] for r in changes.select("bucket").distinct().collect())  # at most the number of buckets
     total = dict(seen.get)
     out = old | {"schemas": dict(old["schemas"])}
+
+    def write(part: str, rows: DataFrame) -> None:
+        out["schemas"][part] = rows.drop("bucket", "salt").schema.json()
+        rows.drop("salt").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(_folder(table, part, version))
+        there = _buckets(spark, _folder(table, part, version))
+        out[part] = {b: v for b, v in old[part].items() if int(b) not in some} | {str(b): version for b in there}
+
     if some:
-        new = now.join(changes.where("change <> 'deleted'").select("path"), "path", "left_semi")
-        fresh = written(chunked(new, embed))
-        per = fresh.groupBy("path").agg(F.count(F.lit(1)).alias("chunks"))
-        parts = {"files": new.select("path", "hash").join(per, "path", "left").fillna({"chunks": 0}), "postings": _postings(fresh), "chunks": fresh}
-        for part in ("files", "postings", "chunks"):
-            kept = at(part, some)
-            rows = parts[part].withColumn("fresh", F.lit(True))
-            if kept is not None:
-                rows = rows.unionByName(kept.join(changes.select("path"), "path", "left_anti").withColumn("fresh", F.lit(False)), allowMissingColumns=True)
-            rows = rows.withColumn("bucket", bucket("path", n)).hint("rebalance", "bucket")
-            if part == "chunks":
-                rows = rows.observe(wrote, F.count_if("fresh").alias("added"))  # after the exchange: once a task that counts
-            sort = ["bucket", "term"] if part == "postings" else ["bucket", "path"]
-            rows = rows.drop("fresh")
-            out["schemas"][part] = rows.drop("bucket").schema.json()
-            rows.sortWithinPartitions(*sort).write.mode("overwrite").partitionBy("bucket").parquet(_folder(table, part, version))
-            there = _buckets(spark, _folder(table, part, version))
-            out[part] = {b: v for b, v in old[part].items() if int(b) not in some} | {str(b): version for b in there}
+        kept = at("chunks", some)
+        size = total["size"] + ((kept.agg(F.sum(F.length("text"))).first()[0] or 0) if kept is not None else 0)
+        new = now.select("path", "content")
+        if files is not None:
+            new = new.join(changes.where("change <> 'deleted'").select("path"), "path", "left_semi")
+        rows = chunked(new, embed).withColumn("fresh", F.lit(True))
+        if kept is not None:
+            rows = rows.unionByName(kept.withColumn("fresh", F.lit(False)), allowMissingColumns=True)
+        own = rows.drop("hash", "fresh").columns
+        marks = changes.select("path", F.col("hash").alias("_hash"), F.lit(True).alias("_mark"))  # a row for each changed path, which moves with its chunks
+        rows = _dealt(rows.unionByName(marks, allowMissingColumns=True), n, size)
+        of_path = Window.partitionBy("bucket", "salt", "path")
+        rows = rows.withColumns({"_hash": F.max("_hash").over(of_path), "_mark": F.max("_mark").over(of_path)})
+        rows = rows.where("fresh or not fresh and _mark is null").observe(wrote, F.count_if("fresh").alias("added"))  # after the exchange: once a task that counts
+        held = F.when(F.col("fresh"), F.col("_hash")).otherwise(F.col("hash")) if "hash" in rows.columns else F.col("_hash")
+        write("chunks", rows.withColumn("hash", held).select(*own, "hash", "bucket", "salt"))
+        rows = _read(spark, table, out, "chunks", some)
+        if rows is None:
+            rows = spark.createDataFrame([], StructType.fromJson(json.loads(out["schemas"]["chunks"])))
+        write("postings", _postings(_dealt(rows, n, size)))
+        rows = changes.where("change <> 'deleted'").select("path", "hash").join(rows.groupBy("path").agg(F.count(F.lit(1)).alias("chunks")), "path", "left").fillna({"chunks": 0})
+        if files is not None:
+            rows = rows.unionByName(at("files", some).join(changes.select("path"), "path", "left_anti"))
+        write("files", rows.withColumn("bucket", bucket("path", n)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "path"))
         out["rows"] = old["rows"] - total["removed"] + wrote.get["added"]
     out["version"] = version
     put(spark, f"{table}/manifest/{version}", json.dumps(out))
     if counts is not None:
         counts |= {"files": total["files"], "changed": total["changed"], "deleted": total["deleted"], "chunks": out["rows"]}
     found = latest(spark, table)
-    return found if found is not None else chunked(now.limit(0), embed)
+    return found if found is not None else chunked(now.limit(0), embed).withColumn("hash", F.lit(""))
+
+
+def _dealt(rows: DataFrame, buckets: int, size: int) -> DataFrame:
+    """``rows`` with their bucket, all of a path together, in partitions of some PART of ``size`` characters; a bucket lies in several."""
+    parts = max(1, -(-size // PART))
+    salt = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(max(1, 4 * parts // buckets))).cast("int")
+    return rows.withColumns({"bucket": bucket("path", buckets), "salt": salt}).repartition(parts, "bucket", "salt")
 
 
 def _postings(chunks: DataFrame) -> DataFrame:
-    return search.postings(chunks).join(chunks.select("chunk_id", "path"), "chunk_id")
+    """The postings of chunks that ``_dealt`` has dealt, counted where they lie and sorted by bucket and term."""
+    place = ["bucket", "salt", "path", "chunk_id"]
+    words = F.regexp_extract_all(F.lower("text"), F.lit(search.WORD), F.lit(1))
+    rows = chunks.select(*place, words.alias("words")).withColumn("length", F.size("words")).select(*place, "length", F.explode("words").alias("term"))
+    rows = rows.groupBy(*place, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    return rows.select("bucket", "salt", "chunk_id", "term", "tf", "length", "path").sortWithinPartitions("bucket", "term")
 
 
 def _folder(table: str, part: str, version: int) -> str:

@@ -252,3 +252,17 @@ def test_twins_among_many_files(spark):
     found = registry.dead_twins(records, "own", "h/p", many, sets=sets)
     assert {r.name for r in found.collect()} == {"near", "kin"}
     assert "file_1999" not in found._jdf.queryExecution().logical().toString()  # no path in the plan
+
+
+def test_postings_of_a_refresh_move_as_texts_only(spark, monkeypatch):
+    from changelens.operators import search
+
+    monkeypatch.setattr(stream, "PART", 400)
+    rows = stream.chunked(sources(spark, 120)).localCheckpoint()
+    dealt = stream._dealt(rows, 4, 4000)
+    got = stream._postings(dealt)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # no posting moves
+    assert dealt.select("bucket", F.spark_partition_id()).distinct().count() > 4  # a bucket lies in several tasks
+    assert dealt.select("path", F.spark_partition_id()).distinct().count() == 120
+    words = lambda df: sorted((r.term, r.chunk_id, r.tf, r.length) for r in df.collect())
+    assert words(got) == words(search.postings(rows))
