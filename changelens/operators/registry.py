@@ -10,6 +10,8 @@ from ..runtime import written
 
 #: Similarity of file sets from which two indexes are one project.
 SAME = 0.6
+#: Characters of a SHA-256 in base 64.
+DIGEST = 44
 
 
 def similar_pairs(records: DataFrame, threshold: float = SAME, key: str = "name") -> DataFrame:
@@ -17,9 +19,12 @@ def similar_pairs(records: DataFrame, threshold: float = SAME, key: str = "name"
 
     Exact prefix filtering: of each set only its rarest n - ceil(threshold n) + 1 members are joined, as two similar
     sets must share one of them, and pairs whose sizes or whose places of the shared member rule the threshold out are
-    dropped at once.  Then candidates alone are compared in full.
+    dropped at once.  Then candidates alone are compared in full.  Long members move as their SHA-256, which is longer than
+    any member that moves as it is.
     """
-    sets = records.select(key, F.array_distinct("fileset").alias("s")).where(F.size("s") > 0).withColumn("n", F.size("s"))
+    brief = lambda x: F.when(F.octet_length(x) >= DIGEST, F.base64(F.unhex(F.sha2(x, 256)))).otherwise(x)
+    sets = records.select(key, F.array_distinct("fileset").alias("s")).where(F.size("s") > 0)
+    sets = sets.select(key, F.transform("s", brief).alias("s"), F.size("s").alias("n"))
     members = sets.select(key, "n", F.explode("s").alias("m"))
     freq = members.groupBy("m").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy(key).orderBy("df", "m")

@@ -172,3 +172,18 @@ def test_root_states(spark):
     rows = [(True, "a", "a", True, "on_mr_head"), (True, "a", "b", True, "not_checked_out"), (True, "a", "b", False, "mr_head_absent"), (False, "a", "b", False, None), (True, "a", None, False, None)]
     got = index.root_state(spark.createDataFrame(rows, "is_git boolean, root_sha string, review_head string, head_present boolean, want string")).collect()
     assert all(g.root_state == g.want for g in got)
+
+
+def test_similar_sets_of_long_members_by_brute_force(spark):
+    import base64
+    import hashlib
+
+    long = [f"line {k} " + "x" * (30 + k) for k in range(12)]
+    names = {f"n{i:02}": {long[(i * k) % 12] for k in range(1, 6)} | {f"short{i % 3}"} for i in range(20)}
+    names["twin"] = {base64.b64encode(hashlib.sha256(x.encode()).digest()).decode() for x in names["n01"]}  # digests as members are other members
+    df = spark.createDataFrame([(n, sorted(s)) for n, s in names.items()], "name string, fileset array<string>")
+    want = sorted((a, b, round(len(s & t) / len(s | t), 6)) for a, s in names.items() for b, t in names.items() if a < b and len(s & t) / len(s | t) >= 0.6)
+    pairs = registry.similar_pairs(df)
+    assert sorted((p.a, p.b, round(p.similarity, 6)) for p in pairs.collect()) == want and want
+    moved = pairs._jdf.queryExecution().executedPlan().toString().split("Exchange")[1:]
+    assert all("sha2(" in m for m in moved if "fileset" in m)  # no exchange of members as they are
