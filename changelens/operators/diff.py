@@ -17,14 +17,19 @@ MAX_CHARS = 80_000
 BLOCK = 4096
 
 
-def measured(files: DataFrame) -> DataFrame:
-    """``files`` with additions, deletions, skip_reason and reviewable; no shuffle, and ``patch`` can be pruned."""
+def measured(files: DataFrame, heads: bool = False) -> DataFrame:
+    """``files`` with additions, deletions, skip_reason and reviewable, and the ``heads`` of hunks if asked for; no shuffle, and ``patch`` can be pruned."""
     out = files.withColumn("__lines", T.split_lines(F.col("patch")))  # once for both counts
-    out = out.withColumns({"additions": T.count_lines(F.col("__lines"), "+"), "deletions": T.count_lines(F.col("__lines"), "-")}).drop("__lines")
+    own = {"additions": T.count_lines(F.col("__lines"), "+"), "deletions": T.count_lines(F.col("__lines"), "-")} | ({"heads": _heads(F.col("__lines"))} if heads else {})
+    out = out.withColumns(own).drop("__lines")
     out = out.withColumn("skip_reason", T.skip_reason(F.col("file_path"), F.col("additions") + F.col("deletions")))
     return out.withColumn("reviewable", F.col("skip_reason").isNull())
 
 
+def _heads(lines: Column) -> Column:
+    return F.filter(lines, lambda x: x.startswith("@@ -") & x.rlike(HEADER))
+
+
 def hunk_lines(files: DataFrame) -> DataFrame:
     """One row per diff line with exact old and new numbers; one exchange, by file.
 
@@ -34,7 +39,7 @@ def hunk_lines(files: DataFrame) -> DataFrame:
     raw = F.col("raw")
     part = lambda k: F.regexp_extract(raw, HEADER, k).try_cast("int")
     start = F.when(
-        raw.rlike(HEADER),
+        raw.startswith("@@ -") & raw.rlike(HEADER),
         F.struct(
             part(1).alias("old_start"),
             F.coalesce(part(2), F.lit(1)).alias("old_lines"),
@@ -90,10 +95,10 @@ def budget(files: DataFrame, max_chars: int = MAX_CHARS, skip_noise: bool = True
 
 def json_string(c: Column) -> Column:
     """Characters of a string in JSON that is pure ASCII: quotes, escapes of two, six or (beyond 16 bits) twelve."""
-    short = F.length(c) - F.length(F.translate(c, '"\\\n\r\t\b\f', ""))
+    count = lambda others: F.length(F.regexp_replace(c, f"{others}+", ""))  # noqa: E731  # by runs of the others, not by characters
+    short, other = count(r'[^"\\\n\r\t\x08\x0C]'), count(r"[ -~\x08\x09\x0A\x0C\x0D]")
     plain = F.octet_length(c) == F.length(c)
-    other = F.length(F.regexp_replace(c, r"[ -~\x08\x09\x0A\x0C\x0D]", ""))
-    far = F.when(plain, 0).otherwise(F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]", "")))
+    far = F.when(plain, 0).otherwise(count(r"[^\x{10000}-\x{10FFFF}]"))
     return F.when(c.isNull(), 4).otherwise(2 + F.length(c) + short + 5 * other + 6 * far)
 
 
@@ -129,6 +134,11 @@ def hunk_heads(files: DataFrame) -> DataFrame:
 
 def entry_costs(files: DataFrame, lines: DataFrame) -> DataFrame:
     """(FILE columns, cost): characters of each measured file's entry as JSON, its hunks and their lines included."""
+    return priced(files, lines).select(*FILE, "cost")
+
+
+def priced(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """Measured ``files`` without their patches and with their ``cost``, as ``entry_costs`` has it; patches are read once for both, and split once if they come with ``heads``."""
     per_line = lines.groupBy(*FILE).agg(F.count(F.lit(1)).alias("n"), F.sum(line_cost()).alias("chars"), F.count_distinct("hunk_no").alias("full"))
 
     def head_cost(raw):
@@ -137,14 +147,14 @@ def entry_costs(files: DataFrame, lines: DataFrame) -> DataFrame:
         numbers = [part(1), F.coalesce(part(2), F.lit(1)), part(3), F.coalesce(part(4), F.lit(1))]
         return json_object("old_start", "old_lines", "new_start", "new_lines", "lines") + 2 + sum(map(json_plain, numbers[1:]), json_plain(numbers[0]))
 
-    heads = F.filter(T.split_lines(F.coalesce("patch", F.lit(""))), lambda x: x.rlike(HEADER))
-    own = files.withColumn("costs", F.transform(heads, head_cost)).drop("patch")
+    heads = F.coalesce("heads", F.array().cast("array<string>")) if "heads" in files.columns else _heads(T.split_lines(F.coalesce("patch", F.lit(""))))
+    own = files.withColumn("costs", F.transform(heads, head_cost)).drop("patch", "heads")
     own = own.withColumns({"hunks": F.size("costs"), "heads": F.aggregate("costs", F.lit(0), lambda a, x: a + x)})
     both = own.join(per_line, FILE, "left").fillna(0, ["n", "chars", "full"])
     hunks = json_array(F.col("hunks"), F.col("heads") + F.col("chars") + 2 * (F.col("n") - F.col("full")))
     flags = ["new_file", "deleted_file", "renamed_file", "additions", "deletions"]
     entry = json_object("file_path", "old_path", *flags, "hunks") + json_string(F.col("file_path")) + json_string(F.col("old_path")) + sum((json_plain(F.col(c)) for c in flags), F.lit(0))
-    return both.select(*FILE, (entry + hunks).cast("long").alias("cost"))
+    return both.select(*[c for c in files.columns if c not in ("patch", "heads")], (entry + hunks).cast("long").alias("cost"))
 
 
 def section_costs(files: DataFrame, sections: DataFrame) -> DataFrame:

@@ -165,3 +165,21 @@ def test_budget_and_order_of_a_huge_review(spark):
     spread = out.groupBy(F.spark_partition_id()).count().collect()
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(spread) > 1 and max(r["count"] for r in spread) < 0.6 * n  # one review in several tasks
+
+
+def test_costs_read_patches_twice_and_count_characters_by_runs(spark):
+    texts = ["", None, "plain", 'a"b\\c\n\r\t\b\f', "\x00\x01\x1f\x7f ~", "äöü €", "\U0001f600x\U0001f601퟿", "  a \x0b", '""""', "\x7f" * 3, "é\U00010000é"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.n for r in df.select("i", diff.json_string(F.col("t")).alias("n")).collect()}
+    assert got == {i: len(json.dumps(t)) for i, t in enumerate(texts)}
+    patch = "@@ -1,2 +3,4 @@ x\n+a\n b\n@@ -bad\n-c\n@@ -9 +9 @@\n@@ -20,0 +21,1 @@\n+ é"
+    rows = [(f"r{i % 2}", i, f"d/f{i}.py", p) for i, p in enumerate([patch, "", "no header", None, patch + "\n"])]
+    f = spark.createDataFrame(rows, "review_id string, file_ord long, file_path string, patch string")
+    f = f.select("*", F.col("file_path").alias("old_path"), *[F.lit(False).alias(c) for c in ("new_file", "deleted_file", "renamed_file")])
+    lines = diff.hunk_lines(f)
+    want = sorted(map(tuple, diff.entry_costs(diff.measured(f), lines).collect()))
+    both = diff.priced(diff.measured(f, heads=True), lines)
+    assert sorted(map(tuple, both.select(*diff.FILE, "cost").collect())) == want and len(want) == 5
+    assert "patch" not in both.columns and "heads" not in both.columns and {"additions", "reviewable"} <= set(both.columns)
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("LogicalRDD") == 2  # the files once for measures and heads, once for lines
