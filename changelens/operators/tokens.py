@@ -20,6 +20,8 @@ one of ``( , = : ! & | ?``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,18 @@ NO_MEMBER = ("if", "for", "while", "switch", "catch", "return", "function", "do"
 IMPORTS = ("import", "use", "require", "include")
 
 
+#: Letters as WORD has them, in the form that Java's patterns test fastest: characters one by one in a set of bits.
+_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_$"
+#: A run: words of a line with one space between them, marks before it, and marks after the last.  It is cut again by PIECE;
+#: a number with a full stop, a raw string of Rust, ``!=`` and what may begin a regular expression stay outside.
+MARKS = ",.%*#!"
+_RAW, _LETTERS = '(?!b?r#{0,2}")', f"[{_CHARS}\\x80-\\x{{10FFFF}}][{_CHARS}0123456789\\x80-\\x{{10FFFF}}]*"
+_MARK = r"(?:[.%*#]|,(?![ \t]*/)|!(?!=|[ \t]*/))*+"
+RUN = rf"{_RAW}{_LETTERS}(?:{_MARK} {_RAW}(?:{_LETTERS}|[0-9][0-9A-Za-z_]*+(?!\.)))*+{_MARK}"
+PIECE, PIECES = f"[^ {MARKS}]+|[ {MARKS}]", f"[^ {MARKS}]+|[{MARKS}]"  # with and without spaces
+
+
+
 def _string(quote: str, lines: bool, java: bool) -> str:
     """A string with escapes: to its end, or to the end of its line (``lines``: of its file) where it has none.
 
@@ -57,8 +71,8 @@ def _string(quote: str, lines: bool, java: bool) -> str:
     return f"{quote}{body}{quote}|{quote}{any_}*"
 
 
-def pattern(language: str, java: bool = True) -> str:
-    """The tokens of a language as one alternation that covers every text; ``java`` False: without looking around."""
+def pattern(language: str, java: bool = True, runs: bool = False) -> str:
+    """The tokens of a language as one alternation that covers every text; ``java`` False: without looking around; ``runs``: words in runs."""
     text = lambda q, lines=False: _string(q, lines, java)
     block = r'"""(?s:.*?)(?:"""|\z)'
     own = {
@@ -69,7 +83,7 @@ def pattern(language: str, java: bool = True) -> str:
         "rust": [r'b?r"[^"]*(?:"|\z)', r'b?r#"(?s:.*?)(?:"#|\z)', r'b?r##"(?s:.*?)(?:"##|\z)', text('"', True), rf"'(?:\\[^\n][^'\n]*|[^\\'\n])'|'{WORD}"],
     }
     own["typescript"] = own["javascript"]
-    return "|".join([r"//[^\n]*", r"/\*(?s:.*?)(?:\*/|\z)", *own[language], SPACE, WORD, NUMBER, OPERATORS])
+    return "|".join([r"//[^\n]*", r"/\*(?s:.*?)(?:\*/|\z)", *own[language], *([RUN] if runs else []), SPACE, WORD, NUMBER, OPERATORS])
 
 
 def _regex(java: bool) -> str:
@@ -128,10 +142,11 @@ def by_path(files: DataFrame, dealt: bool = False) -> DataFrame:
     return own if dealt else deal(own, F.length("content"))
 
 
-def tokens(files: DataFrame, dealt: bool = False) -> DataFrame:
+def tokens(files: DataFrame, dealt: bool = False, runs: bool = False) -> DataFrame:
     """(path, language, pos, text, line, end_line, level, scope): the tokens of files (path, content) but comments and spaces.
 
-    ``dealt``: the files have been dealt by path.
+    ``dealt``: the files have been dealt by path.  ``runs``: one row for a run of words, as all that is asked of most words
+    is how many they are: ``pos`` and ``until`` are the places of its first and last token, ``head`` and ``tail`` those tokens.
 
     ``text`` of a string is two quotes.  ``level`` is the depth of the scope that the token stands in, brackets themselves
     outside of what they hold; ``scope`` is the place of the bracket that opened it, null for the file.
@@ -139,42 +154,69 @@ def tokens(files: DataFrame, dealt: bool = False) -> DataFrame:
     own = by_path(files, dealt)
     cut = F.lit(None).cast("array<string>")
     for name in LANGUAGES:
-        cut = F.when(F.col("language") == name, F.regexp_extract_all("content", F.lit(pattern(name)), F.lit(0))).otherwise(cut)
+        cut = F.when(F.col("language") == name, F.regexp_extract_all("content", F.lit(pattern(name, runs=runs)), F.lit(0))).otherwise(cut)
     t = F.col("token")
-    rows = own.select("path", "language", F.posexplode(cut).alias("pos", "token"))
+    rows = own.select("path", "language", F.posexplode(cut).alias("at", "token"))
     first, two = F.substring(t, 1, 1), F.substring(t, 1, 2)
     blank = two.isin("//", "/*") | first.isin(" ", "\t", "\n", "\x0b", "\f", "\r")
-    string = first.isin('"', "`") | ((first == "'") & (F.substring(t, -1, 1) == "'")) | t.rlike('^b?r#*"')
+    string = first.isin('"', "`") | ((first == "'") & (F.substring(t, -1, 1) == "'")) | (first.isin("b", "r") & t.rlike('^b?r#*"'))
     open_, close = first.isin("(", "[", "{"), t.isin(")", "]", "}")
+    code, count = F.ascii(t), lambda mark: F.octet_length(t) - F.octet_length(F.replace(t, F.lit(mark), F.lit("")))
+    letter = code.between(65, 90) | code.between(97, 122) | code.isin(36, 95) | (code > 127)
+    many = F.when(letter & ~string, 2 * count(" ") + sum(map(count, MARKS)) + 1).otherwise(1) if runs else F.lit(1)  # tokens, spaces among them
     rows = rows.select(
-        "path", "language", "pos", F.when(blank, None).when(string, F.lit('""')).when(open_, first).otherwise(t).alias("text"),
-        (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))).alias("ends"), F.when(open_, 1).when(close, -1).otherwise(0).alias("step"),
+        "path", "language", "at", F.when(blank, None).when(string, F.lit('""')).when(open_, first).otherwise(t).alias("text"), many.alias("many"),
+        count("\n").alias("ends"), F.when(open_, 1).when(close, -1).otherwise(0).alias("step"),
     )
-    before = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumns({"last": (F.sum("ends").over(before) + 1).cast("int"), "depth": F.sum("step").over(before).cast("int")}).where("text is not null")
-    rows = rows.withColumns({"line": F.col("last") - F.col("ends"), "level": F.when(F.col("step") == 1, F.col("depth") - 1).otherwise(F.col("depth"))})
+    before = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    until = (F.sum("many").over(before) - 1).cast("int") if runs else F.col("at")
+    rows = rows.withColumns({"until": until, "last": (F.sum("ends").over(before) + 1).cast("int"), "depth": F.sum("step").over(before).cast("int")}).where("text is not null")
+    rows = rows.withColumns({"pos": F.col("until") - F.col("many") + 1, "line": F.col("last") - F.col("ends"), "level": F.when(F.col("step") == 1, F.col("depth") - 1).otherwise(F.col("depth"))})
     # an opening bracket also stands at the level that it opens, as a mark
     at = F.when(F.col("step") == 1, F.array("level", "depth")).otherwise(F.array("level"))
-    rows = rows.select("path", "language", "pos", "text", "line", F.col("last").alias("end_line"), "step", F.posexplode(at).alias("mark", "level"))
+    rows = rows.select("path", "language", "pos", "until", "text", "line", F.col("last").alias("end_line"), "step", F.posexplode(at).alias("mark", "level"))
     seen = Window.partitionBy("path", "level").orderBy("pos", F.desc("mark")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("scope", F.last(F.when(F.col("mark") == 1, F.col("pos")), ignorenulls=True).over(seen)).where("mark = 0")
-    return rows.select("path", "language", "pos", "text", "line", "end_line", "level", "scope")
+    rows = rows.select("path", "language", "pos", "text", "line", "end_line", "level", "scope", "until")
+    if not runs:
+        return rows.drop("until")
+    text, several = F.col("text"), F.col("until") > F.col("pos")
+    mark = F.substring(text, -1, 1)
+    return rows.withColumns({
+        "head": F.when(several, F.translate(F.substring_index(text, " ", 1), MARKS, "")).otherwise(text),
+        "tail": F.when(~several, text).when(mark.isin(*MARKS), mark).otherwise(F.substring_index(text, " ", -1)),
+    })
 
 
 def statements(tokens: DataFrame) -> DataFrame:
-    """``tokens`` with ``item``, the number of the statement in its scope, and their neighbours in the scope: next, b1 to b4 before."""
+    """``tokens`` with ``item``, the number of the statement in its scope, and their neighbours in the scope: next, b1 to b4 before.
+
+    No statement ends within a run; of ``tokens`` with runs, next and next_pos follow a run's tail, b1 to b4 precede its head.
+    """
+    runs = "until" in tokens.columns
     scope = Window.partitionBy("path", "level", "scope").orderBy("pos")
-    at = lambda n: F.lag("text", n).over(scope)
-    rows = tokens.withColumns({"next": F.lead("text").over(scope), "next_line": F.lead("line").over(scope), "next_pos": F.lead("pos").over(scope), **{f"b{n}": at(n) for n in range(1, 5)}})
-    text, none = F.col("text"), F.col("next").isNull()
+    after = {"next": F.lead("head" if runs else "text").over(scope), "next_line": F.lead("line").over(scope), "next_pos": F.lead("pos").over(scope)}
+    if runs:
+        several = F.col("until") > F.col("pos")
+        some = F.regexp_extract_all(F.substring_index("text", " ", -4), F.lit(PIECES), F.lit(0))  # four words at least, or all
+        rows = tokens.withColumn("four", F.when(~several, F.array("text")).when(F.size(some) > 4, F.slice(some, -4, 4)).otherwise(some))
+        rows = rows.withColumns({**after, **{f"f{n}": F.lag("four", n).over(scope) for n in range(1, 5)}})
+        none = F.array().cast("array<string>")
+        rows = rows.withColumn("behind", F.reverse(F.concat(*[F.coalesce(f"f{n}", none) for n in (4, 3, 2, 1)])))
+        rows = rows.withColumns({f"b{n}": F.get("behind", F.lit(n - 1)) for n in range(1, 5)})
+        b1 = F.when(~several, F.col("b1"))  # of a run's tail it is a word
+    else:
+        rows = tokens.withColumns({**after, **{f"b{n}": F.lag("text", n).over(scope) for n in range(1, 5)}})
+        b1 = F.col("b1")
+    text, none = F.col("tail" if runs else "text"), F.col("next").isNull()
     block = (text == "}") & ~F.col("next").isin(*AFTER_BLOCK)
-    annotated = (F.coalesce("b1", F.lit("")) == "@") | ((text == ")") & (F.coalesce("b3", F.lit("")) == "@"))
+    annotated = (F.coalesce(b1, F.lit("")) == "@") | ((text == ")") & (F.coalesce("b3", F.lit("")) == "@"))
     line = F.col("language").isin(*BY_LINE) & (F.col("next_line") > F.col("end_line")) & ~text.isin(*GOES_ON_AFTER) & ~F.col("next").isin(*GOES_ON_BEFORE) & ~annotated
     attribute = (F.col("language") == "rust") & (text == "]") & (F.coalesce("b1", F.lit("")) == "[") & (F.coalesce("b2", F.lit("")).isin("#", "!"))
     ends = ~none & (((text == ";") & (F.col("next") != ";")) | block | line | attribute)
     before = scope.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("item", F.coalesce(F.sum(F.when(ends, 1).otherwise(0)).over(before), F.lit(0)).cast("int"))
-    return rows.select("path", "language", "pos", "text", "line", "end_line", "level", "scope", "item", "next", "next_pos", "b1", "b2", "b3", "b4")
+    return rows.select("path", "language", "pos", "text", "line", "end_line", "level", "scope", "item", "next", "next_pos", "b1", "b2", "b3", "b4", *(["until", "tail"] if runs else []))
 
 
 def asked(*symbols: str) -> Column:
@@ -182,21 +224,52 @@ def asked(*symbols: str) -> Column:
     return (F.col("text") == "(") | F.coalesce(F.col("next") == "(", F.lit(False)) | F.col("text").isin(*symbols)
 
 
+def in_runs(statements: DataFrame, *symbols: str) -> DataFrame:
+    """``statements`` of runs with ``kept``, the tokens of each row that ``asked`` names, as ``items`` holds them."""
+    called = F.coalesce(F.col("next") == "(", F.lit(False))
+    several = F.col("until") > F.col("pos")
+    here = called
+    if symbols:
+        here = here | F.col("text").rlike("(?:^| )(?:" + "|".join(map(re.escape, symbols)) + f")(?:$|[ {MARKS}])")
+    cut = F.transform(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)), lambda t, i: F.struct((F.col("pos") + i).alias("pos"), t.alias("text")))
+    rows = statements.withColumn("run", F.when(several & here, F.filter(cut, lambda t: t["text"] != " ")))
+    end = F.size("run") - 1
+    hits = F.filter(F.sequence(F.lit(0), end), lambda k: F.get("run", k)["text"].isin(*symbols) | (called & (k == end)))
+    behind = F.array("b1", "b2", "b3", "b4")
+
+    def token(k):
+        own, after = F.get("run", k), F.get("run", k + 1)
+        near = [F.coalesce(F.get("run", k - n)["text"], F.get(behind, n - 1 - k)).alias(f"b{n}") for n in range(1, 5)]
+        return F.struct(own["pos"].alias("pos"), own["text"].alias("text"), "line", F.coalesce(after["text"], "next").alias("next"), F.coalesce(after["pos"], "next_pos").alias("next_pos"), *near)
+
+    whole = F.struct("pos", "text", "line", "next", "next_pos", "b1", "b2", "b3", "b4")
+    return rows.withColumn("kept", F.when(several & here, F.transform(hits, token)).when(~several & asked(*symbols), F.array(whole))).drop("run")
+
+
 def items(statements: DataFrame, keep: Column | None = None) -> DataFrame:
     """The statements: path, language, level, scope, item, first and last place, lines, body (the first brace's place), head, words.
 
     ``last`` is null, and the last line that of the last token, where a bracket stays open.  ``keep``: tokens that each
-    statement is to hold, in a column ``kept``; ``kept`` gives them as rows.
+    statement is to hold, in a column ``kept`` (of runs: what ``in_runs`` gives each row); ``kept`` gives them as rows.
     """
     hold = [F.collect_list(F.when(keep, F.struct("pos", "text", "line", "next", "next_pos", "b1", "b2", "b3", "b4"))).alias("kept")] if keep is not None else []
+    runs = "until" in statements.columns
+    if "kept" in statements.columns:
+        hold = [F.flatten(F.collect_list("kept")).alias("kept")]
+    row = F.struct("pos", F.substring_index("text", " ", HEAD).alias("text"), "until") if runs else F.struct("pos", "text")
     per = statements.groupBy("path", "language", "level", "scope", "item").agg(
-        F.min("pos").alias("first"), F.max("pos").alias("last"), F.max_by("text", "pos").alias("final"), F.min("line").alias("start_line"), F.max("end_line").alias("end_line"),
+        F.min("pos").alias("first"), F.max("until" if runs else "pos").alias("last"), F.max_by("tail" if runs else "text", "pos").alias("final"), F.min("line").alias("start_line"), F.max("end_line").alias("end_line"),
         F.min(F.when(F.col("text") == "{", F.col("pos"))).alias("body"), F.min(F.when(F.col("text").isin("=", ";", "=>", ":="), F.col("pos"))).alias("cut"),
-        F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("all"), *hold,
+        F.array_sort(F.collect_list(row)).alias("all"), F.max(F.col("text").isin("=", ":=")).alias("set"), *hold,
     )
+    if runs:
+        piece = lambda x: F.transform(F.regexp_extract_all(x["text"], F.lit(PIECE), F.lit(0)), lambda t, i: F.struct((x["pos"] + i).alias("pos"), t.alias("text")))
+        one = lambda x: F.array(F.struct(x["pos"].alias("pos"), x["text"].alias("text")))
+        cut = F.transform(F.slice("all", 1, HEAD), lambda x: F.when(x["until"] > x["pos"], F.filter(piece(x), lambda t: t["text"] != " ")).otherwise(one(x)))
+        per = per.withColumn("all", F.slice(F.flatten(cut), 1, HEAD))
     upto = F.least(F.coalesce("body", F.lit(2**31 - 1)), F.coalesce("cut", F.lit(2**31 - 1)))
     words = F.filter(F.slice("all", 1, HEAD), lambda x: (x["pos"] < upto) | ((x["pos"] == upto) & (x["text"] == "{")))
-    per = per.withColumn("words", words).withColumns({"head": F.array_join(F.transform("words", lambda x: x["text"]), " "), "first_word": F.get("all", F.lit(0))["text"], "set": F.exists("all", lambda x: x["text"].isin("=", ":="))}).drop("all", "cut")
+    per = per.withColumn("words", words).withColumns({"head": F.array_join(F.transform("words", lambda x: x["text"]), " "), "first_word": F.get("all", F.lit(0))["text"]}).drop("all", "cut")
     everything = Window.partitionBy("path")
     open_ = F.col("final").isin("(", "[", "{")
     per = per.withColumn("all_lines", F.max("end_line").over(everything))
@@ -262,8 +335,8 @@ def chunks(files: DataFrame, found: DataFrame | None = None, dealt: bool = False
     long.  A file without any is one chunk; one of white space none.
     """
     files, dealt = by_path(files, dealt).select("path", "content"), True  # once
-    found = declared(items(statements(tokens(files, dealt)))) if found is None else found
-    own = by_path(files, dealt).select("path", (F.regexp_replace("content", SPACE, "") != "").alias("any"), F.split("content", "\n", -1).alias("lines"))
+    found = declared(items(statements(tokens(files, dealt, runs=True)))) if found is None else found
+    own = by_path(files, dealt).select("path", (F.ltrim("content", F.lit(" \t\n\x0b\f\r")) != "").alias("any"), F.split("content", "\n", -1).alias("lines"))
     statement = F.col("language").isin("javascript", "typescript") & ~F.col("first_word").isin(*NO_MEMBER) | ((F.col("language") == "java") & (F.col("first_word") == "import"))
     top = F.col("scope").isNull() & (F.col("level") == 0) & (F.col("name").isNotNull() | statement)
     kept = found.withColumn("top", top).where(F.col("top") | (F.col("held") & F.col("name").isNotNull()))

@@ -138,3 +138,21 @@ def test_calls_and_usages_from_the_tokens_kept(spark):
     rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
     assert rows(tokens.call_edges(some, own)) == rows(tokens.call_edges(every, want)) != []
     assert rows(tokens.usages(some, own, symbols)) == rows(tokens.usages(every, want, symbols)) != []
+
+
+def test_runs_of_words_give_what_single_tokens_give(spark):
+    import random
+
+    pick = random.Random(4)
+    pieces = [" ", " ", " ", " ", "  ", "\n", "\t", "word", "x", "a", "é日", "B1", "$v", "_", "12", "3.5", "7.", "r", "br", 'r"', 'b"', 'r#"', "'", '"', "`", ",", ".", "%", "*", "#", "!", "!=", "/", "//", "/*", "*/", "(", ")", "[", "]", "{", "}", ";", "=", "=>", ":", "@", "&&", "|", "<", ">", "class C", "function f", "def", "else", "import", "fn g", "fun k", "func m", "impl T", "const y"]
+    rows = [(f"f{i}.{ext}", "".join(pick.choice(pieces[: 30 if i % 2 else None]) for _ in range(300))) for i in range(25) for ext in braces.EXTENSIONS]
+    rows += [(f"p.{ext}", "the x, and a. x (a b x (c " * 40 + "\n" + "@ word\nx y) z\n#[a] b\n#![a] b. c! [x] / x, /re/ a! /re x/ b " * 9) for ext in braces.EXTENSIONS]
+    files = frame(spark, *rows)
+    single, runs = tokens.statements(tokens.tokens(files)), tokens.statements(tokens.tokens(files, runs=True))
+    every = lambda df: sorted(map(repr, df.select(*sorted(set(df.columns) - {"kept"})).collect()))
+    held = lambda df: sorted(map(repr, tokens.kept(df).select("path", "level", "scope", "pos", "text", "line", "next", "next_pos", "b1", "b2", "b3", "b4").collect()))
+    want = tokens.declared(tokens.items(single, tokens.asked("x", "a", "B1")))
+    got = tokens.declared(tokens.items(tokens.in_runs(runs, "x", "a", "B1")))
+    assert every(got) == every(want) != [] and held(got) == held(want) != []
+    assert held(tokens.items(tokens.in_runs(runs))) == held(tokens.items(single, tokens.asked()))
+    assert runs.where("path like 'p.%'").count() < 0.6 * single.where("path like 'p.%'").count()
